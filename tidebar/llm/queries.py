@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebar.llm import bpe_automaton, decontaminate, radix_dedup, token_attribution
+from tidebar.llm import bpe_automaton, decontaminate, radix_dedup, substring_dedup, token_attribution
 from tidebar.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,14 +64,34 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_attribution.section_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS u(i)),
+late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM windows) WHERE doc_id > first),
+gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM late, unnest(range(i, i + 13)) AS u(p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed,
+  sha256(array_to_string([x FOR x, i IN w IF p IS NULL OR NOT list_contains(p, i)], ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe_encoding": op2_bpe_encoding,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op9_decontamination": OP9_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
