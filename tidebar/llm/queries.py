@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe_automaton, decontaminate, jaccard_join, radix_dedup, substring_dedup, token_attribution
+from tidebar.llm import bpe_automaton, decontaminate, jaccard_join, radix_dedup, substring_dedup, token_attribution, toxicity
 from tidebar.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,18 @@ FROM n WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
 """
 
 
+def held_out(key: Column) -> Column:
+    """The fold that no model learns from."""
+    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
+    out = toxicity.toxicity(docs, lexicon)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -105,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op2_bpe_encoding": op2_bpe_encoding,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
