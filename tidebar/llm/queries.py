@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe_automaton, decontaminate, jaccard_join, radix_dedup, secret_crf, substring_dedup, token_attribution, toxicity
+from tidebar.llm import bpe_automaton, decontaminate, jaccard_join, radix_dedup, sanitise, secret_crf, substring_dedup, token_attribution, toxicity
 from tidebar.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -107,6 +107,12 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op4_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sanitise.spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in sanitise.PATTERNS]
+    return out.select("doc_id", *counts, F.sha2(_span_list(F.col("base")), 256).alias("base_sha256"), _span_list(F.concat("base", "added")).alias("spans"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_attribution.section_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -132,6 +138,7 @@ FROM d LEFT JOIN gone USING (doc_id)
 QUERIES: dict[str, Query] = {
     "op2_bpe_encoding": op2_bpe_encoding,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_sanitisation": op4_sanitisation,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
