@@ -33,8 +33,8 @@ from tidebar.llm.common import text_of
 from tidebar.llm.word_hashes import mixed, sequence_hashes, word_hashes
 
 WINDOW, SEED = 13, 4
-SUFFIXES_IN_GROUP = 1_500_000
-CHUNK_WORDS = 3_000_000
+SUFFIXES_IN_GROUP = 600_000
+CHUNK_WORDS = 700_000
 #: A null id counts as larger than any other.
 LAST = 2**63 - 1
 _RUN = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("known", "u1")])
