@@ -8,11 +8,13 @@
 3. Groups. In each round every set is compared with two leaders of each of its first tokens that still meets
    several groups (other leaders in each round). Linked sets become one group. Copies of one text thus
    hang together after comparisons in proportion to their number.
-4. The matrix. For tokens that still meet several groups, a row (group, token) says that the union of the
-   group's sets holds the token. The number of a set's tokens in the row of a group bounds its overlap with
-   every member; a set of n tokens opens the group only if that is at least t n.
-5. In an opened group the set is compared with the members that share one of their first tokens, so no link
-   between groups is missed; links within a group change no component.
+4. The matrix. For first tokens that still meet several groups, a row (group, token) says that the union of
+   the group's first tokens holds the token. Of the tokens that two sets share, those up to the earlier end of
+   their first tokens are first tokens of both; so c, the number of a set's first tokens in a group's row, and
+   the tokens that are not first bound the overlap with every member. Only groups where the bound allows a
+   link are opened.
+5. In an opened group the set is compared with the members that share one of their first tokens, if the same
+   bound for the pair allows it. So no link between groups is missed; links within a group change nothing.
 
 Nothing but the sketch reaches the driver. Set ids are 64-bit hashes, checked against 128-bit digests; if two
 sets shared an id, another seed would be drawn.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import forget, stored, text_of
@@ -117,7 +119,7 @@ class _Join:
                 else:
                     counts += raw[1:]
             mean = float(np.median(counts))
-            flags = counts > mean + 8 * math.sqrt(mean) + 24
+            flags = counts > mean + 5 * math.sqrt(mean) + 6
             return pa.table({"part": part.column("part")[:1], "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
         flags = np.zeros((1 << (SKETCH_BITS - ROW_BITS), (1 << ROW_BITS) // 8), np.uint8)
@@ -126,14 +128,14 @@ class _Join:
         return flags.reshape(-1)
 
     def first_tokens(self, frequent: np.ndarray) -> DataFrame:
-        """token, set: of every document, the tokens of which two linked sets share one."""
+        """token, set, n: of every document, the tokens of which two linked sets share one; n tokens in all."""
         shingle, percent, seed = self.shingle, self.percent, self.seed
         flags = self.source.sparkSession.sparkContext.broadcast(frequent)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = np.unpackbits(flags.value).view(bool)
             for batch in batches:
-                tokens, sets, size = [], [], 0
+                tokens, sets, sizes, size = [], [], [], 0
                 for value in batch.column(0):
                     every = shingle_set(value.as_py(), shingle, seed)
                     if not len(every):
@@ -143,14 +145,15 @@ class _Join:
                     first = np.concatenate([every[~late], every[late]])[:some]
                     tokens.append(first)
                     sets.append(np.full(len(first), set_id(every)[0]))
+                    sizes.append(np.full(len(first), len(every)))
                     size += len(first)
                     if size > 200_000:
-                        yield pa.RecordBatch.from_arrays([_long(np.concatenate(tokens)), pa.array(np.concatenate(sets))], ["token", "set"])
-                        tokens, sets, size = [], [], 0
+                        yield pa.RecordBatch.from_arrays([_long(np.concatenate(tokens)), pa.array(np.concatenate(sets)), pa.array(np.concatenate(sizes))], ["token", "set", "n"])
+                        tokens, sets, sizes, size = [], [], [], 0
                 if size:
-                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(tokens)), pa.array(np.concatenate(sets))], ["token", "set"])
+                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(tokens)), pa.array(np.concatenate(sets)), pa.array(np.concatenate(sizes))], ["token", "set", "n"])
 
-        return self.source.select("text").mapInArrow(run, "token long, set long")
+        return self.source.select("text").mapInArrow(run, "token long, set long, n long")
 
     def texts_of(self, sets: DataFrame, rows: DataFrame) -> DataFrame:
         """set, text: one text of each set."""
@@ -177,24 +180,28 @@ class _Join:
         b = texts.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
         return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
-    def tokens_of(self, texts: DataFrame) -> DataFrame:
-        """token, set, n: all tokens of the sets, n of them."""
-        shingle, seed = self.shingle, self.seed
+    def enough(self, c: Column, na: Column, nb: Column) -> Column:
+        """Whether sets of na and nb tokens that share c of their first tokens may link."""
+        t = self.percent
+        rest = F.greatest(F.floor(na * t / 100.0 - 1e-9), F.floor(nb * t / 100.0 - 1e-9))
+        return (100 + t) * (c + rest) >= t * (na + nb)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for s, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    every = shingle_set(value.as_py(), shingle, seed)
-                    yield pa.RecordBatch.from_arrays([_long(every), pa.array(np.full(len(every), s)), pa.array(np.full(len(every), len(every)))], ["token", "set", "n"])
+    def near_in_size(self, na: Column, nb: Column) -> Column:
+        return 100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)
 
-        return texts.mapInArrow(run, "token long, set long, n long")
+    def promising(self, pairs: DataFrame, shared: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose common first tokens allow a link."""
+        a = shared.select(F.col("set").alias("a"), "token", F.col("n").alias("na"))
+        b = shared.select(F.col("set").alias("b"), "token", F.col("n").alias("nb"))
+        counts = pairs.join(a, "a").join(b, ["b", "token"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+        return counts.where(self.enough(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def _split(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """token, set, group for the tokens whose sets lie in several groups."""
+    """token, set, n, group for the tokens whose sets lie in several groups."""
     if groups is None:
         return shared.withColumn("group", F.col("set"))
-    of = shared.join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", F.coalesce("root", "set").alias("group"))
+    of = shared.join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", F.coalesce("root", "set").alias("group"))
     of = stored(of)
     several = stored(of.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token"))
     return stored(of.join(several, "token"))
@@ -219,17 +226,20 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     first = join.first_tokens(frequent)
     shared = stored(first.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("token"))
     shared = stored(join.first_tokens(frequent).join(shared, "token").distinct())
-    texts = join.texts_of(shared.select("set").distinct(), rows)
-
     edges = tried = groups = None
     split = _split(shared, None)
     for turn in range(ROUNDS):
         order = F.xxhash64("set", F.lit(turn))
-        leaders = stored(split.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("set").alias("s"), F.col("group").alias("g"))).alias("one"), F.max(F.struct(order.alias("o"), F.col("set").alias("s"), F.col("group").alias("g"))).alias("two")))
-        with_leaders = split.join(leaders, "token").select("set", "group", F.explode(F.array("one", "two")).alias("leader"))
-        pairs = with_leaders.where(F.col("leader.g") != F.col("group")).select(F.least("set", "leader.s").alias("a"), F.greatest("set", "leader.s").alias("b")).distinct()
+        one = F.struct(order.alias("o"), F.col("set").alias("s"), F.col("group").alias("g"), F.col("n").alias("n"))
+        leaders = stored(split.groupBy("token").agg(F.min(one).alias("one"), F.max(one).alias("two")))
+        met = split.join(leaders, "token").select("set", "n", "group", F.explode(F.array("one", "two")).alias("leader"))
+        met = met.where((F.col("leader.g") != F.col("group")) & join.near_in_size(F.col("n"), F.col("leader.n")))
+        pairs = met.select(F.least("set", "leader.s").alias("a"), F.greatest("set", "leader.s").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        new = join.links(pairs, texts)
+        ahead = stored(join.promising(pairs, shared))
+        texts = join.texts_of(ahead.select(F.explode(F.array("a", "b")).alias("set")).distinct(), rows)
+        new = join.links(ahead, texts)
+        forget(texts, leaders)
         tried = pairs if tried is None else tried.unionAll(pairs)
         edges = new if edges is None else edges.unionAll(new)
         groups = components(edges)
@@ -237,8 +247,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         if split.isEmpty():
             break
     if not split.isEmpty():
-        pairs = _opened(join, split, groups, texts, percent)
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = stored(_opened(join, split).join(tried, ["a", "b"], "left_anti"))
+        texts = join.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), rows)
         edges = edges.unionAll(join.links(pairs, texts))
         groups = components(edges)
 
@@ -249,17 +259,18 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def _opened(join: _Join, split: DataFrame, groups: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets of two groups that share a first token, one of which opens the other's group."""
-    meets = split.select("token", F.col("group").alias("other")).distinct()
-    asked = stored(split.join(meets, "token").where("group <> other").select("set", "other").distinct())
-    open_sets = texts.join(split.select("set").distinct(), "set", "left_semi")
-    tokens = stored(join.tokens_of(open_sets))
-    wanted = asked.select("other").distinct()
-    member = groups.withColumnRenamed("node", "set").withColumnRenamed("root", "other")
-    members = texts.select("set").join(member, "set", "left").select("set", F.coalesce("other", "set").alias("other")).join(wanted, "other", "left_semi")
-    matrix = stored(join.tokens_of(texts.join(members, "set").select("set", "text")).join(members, "set").select("token", "other").distinct())
-    bound = tokens.join(asked, "set").join(matrix, ["token", "other"]).groupBy("set", "other", "n").agg(F.count(F.lit(1)).alias("overlap"))
-    opened = stored(bound.where(100 * F.col("overlap") >= percent * F.col("n")).select("set", "other"))
-    others = split.select("token", F.col("set").alias("b"), F.col("group").alias("other"))
-    return split.join(opened, "set").select("token", "set", "other").join(others, ["token", "other"]).select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
+def _opened(join: _Join, split: DataFrame) -> DataFrame:
+    """(a, b): sets of two groups that share a first token and may link, one of which opens the other's group."""
+    matrix = split.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sizes = split.groupBy(F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    met = split.join(matrix.drop("low", "high"), "token").where("group <> other")
+    bound = met.groupBy("set", "n", "other").agg(F.count(F.lit(1)).alias("c")).join(sizes, "other")
+    t = join.percent
+    low, high = F.greatest("low", F.floor(F.col("n") * t / 100.0)), F.least("high", F.ceil(F.col("n") * 100.0 / t))
+    more = F.col("c") + 1  # sizes between the two differ by rounding
+    may = (low <= high) & (join.enough(more, F.col("n"), low) | join.enough(more, F.col("n"), high))
+    opened = stored(bound.where(may).select("set", "other"))
+    others = split.select("token", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("group").alias("other"))
+    pairs = split.join(opened, "set").select("token", "set", "n", "other").join(others, ["token", "other"]).where(join.near_in_size(F.col("n"), F.col("nb")))
+    counts = pairs.groupBy("set", "b", "n", "nb").agg(F.count(F.lit(1)).alias("c")).where(join.enough(F.col("c"), F.col("n"), F.col("nb")))
+    return counts.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
