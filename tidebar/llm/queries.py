@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe_automaton, decontaminate, jaccard_join, radix_dedup, sanitise, secret_crf, substring_dedup, token_attribution, toxicity
+from tidebar.llm import bpe_automaton, decontaminate, jaccard_join, radix_dedup, sanitise, secret_crf, substring_dedup, template_extract, token_attribution, toxicity
 from tidebar.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -136,6 +140,7 @@ FROM d LEFT JOIN gone USING (doc_id)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_bpe_encoding": op2_bpe_encoding,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sanitisation": op4_sanitisation,
