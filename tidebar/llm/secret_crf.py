@@ -9,14 +9,13 @@ the TRAINING_ROWS rows with the smallest hash of their id, whose base spans are
 words are features of the training, the secret's own text is not, only its shape; so it also marks a
 token that looks and stands like a secret where no pattern matches.
 
-Decoding is exact and whole-text, yet cheap: weights of a token are summed once for each different token,
-and a token whose "outside" leads by more than all transitions could win back is outside in the best
+Decoding is exact and whole-text, yet cheap: a token outside the training's words has only its shape's weights,
+which are summed once for each different shape, and a token whose "outside" leads by more than all transitions could win back is outside in the best
 sequence, so only the stretches between such tokens need Viterbi's steps.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +30,6 @@ from tidebar.llm.common import text_of
 TRAINING_ROWS = 2_000
 #: Of the tokens of a training row, those within this many of a span, and as many elsewhere.
 NEAR = 6
-BUCKETS = 1 << 16
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 CACHED_TOKENS = 200_000
 # The base kinds in order, as patterns.
@@ -43,6 +41,10 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+|[^\sA-Za-z0-9+/_.-]")
 
 
+#: ASCII characters by class, so that tokens of one shape look alike.
+_CLASSES = {i: "a" if chr(i).islower() else "A" if chr(i).isupper() else "0" if chr(i).isdigit() else "_" for i in range(128)}
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as listed."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST_VALUE] if ":" in text or "=" in text else []
@@ -58,36 +60,47 @@ def shape(token: str) -> str:
     return f"{classes}{min(len(token).bit_length(), 7)}{min(changes, 3)}"
 
 
-def _bucket(feature: str) -> int:
-    return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=4).digest(), "little") % BUCKETS
+def shape_features(token: str) -> tuple[list[str], list[str], list[str]]:
+    """What a token's shape says of itself, of the next token, and of the one before."""
+    s = shape(token)
+    odd = sum(c.isdigit() for c in token) * 4 >= len(token) >= 8
+    return [f"s={s}", f"odd={odd}"], [f"ps={s}"], [f"ns={s}"]
+
 
+def word_features(token: str) -> tuple[list[str], list[str], list[str]]:
+    """What a word says of its neighbours; of itself it says nothing."""
+    w = token.lower()[:24]
+    return [], [f"p={w}"], [f"n={w}"]
 
-def token_features(token: str) -> tuple[list[int], list[int], list[int]]:
-    """Buckets of what a token says of itself, of the next token, and of the one before."""
-    s, w = shape(token), token.lower()[:24]
-    odd = sum(c.isdigit() for c in token) * 4 >= len(token) >= 8
-    return [_bucket(f"s={s}"), _bucket(f"odd={odd}")], [_bucket(f"p={w}"), _bucket(f"ps={s}")], [_bucket(f"n={w}"), _bucket(f"ns={s}")]
+
+def token_features(token: str) -> tuple[list[str], list[str], list[str]]:
+    return tuple(a + b for a, b in zip(shape_features(token), word_features(token), strict=True))
 
 
-def file_kind(text: str) -> int:
-    """A bucket for the file: does it look like code or settings?"""
+def file_kind(text: str) -> str:
+    """A feature of the file: does it look like code or settings?"""
     head = min(len(text), 1 << 20)
     signs = sum(text.count(c) for c in "={};")
-    return _bucket(f"file={min(3, int(400 * signs / max(head, 1)))}")
+    return f"file={min(3, int(400 * signs / max(head, 1)))}"
 
 
 @dataclass
 class Field:
-    weights: np.ndarray  # BUCKETS x 3
+    index: dict[str, int]  # the features of the training
+    weights: np.ndarray  # features x 3
     moves: np.ndarray  # 3 x 3, from row to column
     start: np.ndarray  # 3
 
     @classmethod
-    def blank(cls) -> Field:
+    def blank(cls, features: list[str]) -> Field:
         moves = np.zeros((3, 3))
         moves[OUTSIDE, INSIDE] = -20.0  # nothing begins inside
         start = np.array([0.0, -20.0, 0.0])
-        return cls(np.zeros((BUCKETS, 3)), moves, start)
+        return cls({f: i for i, f in enumerate(features)}, np.zeros((len(features), 3)), moves, start)
+
+    def weight(self, features: list[str]) -> np.ndarray:
+        """Their sum; features that the training did not see weigh nothing."""
+        return self.weights[[self.index[f] for f in features if f in self.index]].sum(0)
 
     def step(self, features: list[list[int]], tags: list[int], rate: float) -> None:
         """One gradient step on the log-likelihood of one sequence."""
@@ -121,7 +134,7 @@ def _spans_to_tags(tokens: list[tuple[int, int]], spans: list[tuple[str, int, in
     return tags
 
 
-def examples(text: str) -> list[tuple[list[list[int]], list[int]]]:
+def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
     """Sequences for training: around base spans, and as long a stretch from elsewhere."""
     spans = base_spans(text)
     # the secret value itself, without the key before it
@@ -163,12 +176,12 @@ def train(docs: DataFrame, limit: int = TRAINING_ROWS, epochs: int = 2, id_colum
                     yield pa.RecordBatch.from_arrays([pa.array([flat]), pa.array([[x for f in seq for x in f]]), pa.array([tags])], ["sizes", "features", "tags"])
 
     chosen = ids.select("o", "hint").orderBy(F.desc("hint"), "o").limit(limit).select("o").distinct()  # so small a table may be broadcast
-    got = ids.join(F.broadcast(chosen), "o").select("text").mapInArrow(run, "sizes array<long>, features array<long>, tags array<long>").toPandas()  # bounded by `limit`
-    field = Field.blank()
+    got = ids.join(F.broadcast(chosen), "o").select("text").mapInArrow(run, "sizes array<long>, features array<string>, tags array<long>").toPandas()  # bounded by `limit`
+    field = Field.blank(sorted({f for row in got["features"] for f in row}))
     sequences = []
     for sizes, features, tags in zip(got["sizes"], got["features"], got["tags"], strict=True):
         cuts = np.cumsum(sizes)[:-1]
-        sequences.append(([list(x) for x in np.split(np.asarray(features), cuts)], list(tags)))
+        sequences.append(([list(x) for x in np.split(np.array([field.index[f] for f in features], np.int64), cuts)], list(tags)))
     sequences.sort(key=lambda s: (s[1], s[0]))
     sequences = sequences[: 2 * limit]
     order = np.random.Generator(np.random.PCG64(7))
@@ -181,15 +194,32 @@ def train(docs: DataFrame, limit: int = TRAINING_ROWS, epochs: int = 2, id_colum
 class _Rows(dict):
     """Row numbers of tokens in a table of weights: own, for the next token, for the one before."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, field: Field):
+        self.field = field
+        self.words = {f[2:] for f in field.index if f.startswith(("p=", "n="))}
+        self.shapes: dict[str, int] = {}
         self.table = np.zeros((1024, 9), np.float32)
+        self.used = 0
 
-    def __missing__(self, token: str) -> int:
-        i = self[token] = len(self)
-        if i == len(self.table):
+    def _add(self, parts: tuple[list[str], list[str], list[str]]) -> int:
+        if self.used == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[i] = np.concatenate([self.weights[f].sum(0) for f in token_features(token)])
+        self.table[self.used] = np.concatenate([self.field.weight(f) for f in parts])
+        self.used += 1
+        return self.used - 1
+
+    def __missing__(self, token: str) -> int:
+        if token.lower()[:24] in self.words:
+            i = self._add(token_features(token))
+        else:
+            plain = token.translate(_CLASSES)
+            i = self.shapes.get(plain)
+            if i is None:
+                i = self._add(shape_features(token))
+                if len(plain) <= 64:
+                    self.shapes[plain] = i
+        if len(token) <= 64:
+            self[token] = i
         return i
 
 
@@ -199,18 +229,18 @@ class Tagger:
     def __init__(self, field: Field):
         self.field = field
         self.bound = float(2 * (np.abs(np.delete(field.moves.ravel(), OUTSIDE * 3 + INSIDE)).max() + 1))
-        self.rows = _Rows(field.weights)
+        self.rows = _Rows(field)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of each run of begin and inside."""
         tokens = TOKEN.findall(text)
         if not tokens:
             return []
-        if len(self.rows) >= CACHED_TOKENS:
-            self.rows = _Rows(self.field.weights)
+        if len(self.rows) >= CACHED_TOKENS or self.rows.used >= CACHED_TOKENS:
+            self.rows = _Rows(self.field)
         at = np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
         every = self.rows.table[at]
-        e = every[:, :3] + self.field.weights[file_kind(text)]
+        e = every[:, :3] + self.field.weight([file_kind(text)])
         e[1:] += every[:-1, 3:6]
         e[:-1] += every[1:, 6:9]
         lead = e[:, OUTSIDE] - e[:, :OUTSIDE].max(1)
