@@ -216,3 +216,16 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int, matched_weight double, n_words long").withColumnRenamed("id", id_column)
+
+
+def accepted(docs: DataFrame, lexicon: Lexicon, text_column: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score below 0.5. Null and empty texts are accepted if no match is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = lexicon.automaton()
+        for batch in batches:
+            at = batch.schema.get_field_index(text_column)
+            keep = [lexicon.score(*lexicon.matched(a, folded(t.as_py() or ""))) < 0.5 for t in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
