@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("ticker").orderBy("idx")
+def by() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("idx")
 
 
 def last(n: int):
-    return BY.rowsBetween(1 - n, 0)
+    return by().rowsBetween(1 - n, 0)
 
 
 def full(agg: Callable[[Column], Column], x: Column | str, n: int) -> Column:
@@ -21,7 +22,7 @@ def full(agg: Callable[[Column], Column], x: Column | str, n: int) -> Column:
 
 
 def back(x: Column | str, k: int) -> Column:
-    return F.lag(x, k).over(BY)
+    return F.lag(x, k).over(by())
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.functions.rolling import BY, back, full, last, ratio, sample_kurtosis, sample_skew, zscore
+from tidebar.functions.rolling import back, by, full, last, ratio, sample_kurtosis, sample_skew, zscore
 from tidebar.operators.recurrences import recurrences
 
 EPS = 1e-9
@@ -58,7 +58,7 @@ def session(bars: DataFrame, zone: str = "America/New_York") -> DataFrame:
 
 def _streak(sign: int, n: int = 10) -> Column:
     """Length of the current run of changes with this sign, at most n, over n."""
-    broken = F.max(F.when(F.coalesce(F.signum("change") != sign, F.lit(True)), F.col("idx"))).over(BY.rowsBetween(Window.unboundedPreceding, 0))
+    broken = F.max(F.when(F.coalesce(F.signum("change") != sign, F.lit(True)), F.col("idx"))).over(by().rowsBetween(Window.unboundedPreceding, 0))
     return F.least(F.col("idx") - broken, F.lit(n)) / n
 
 
@@ -67,7 +67,7 @@ def optional(bars: DataFrame) -> DataFrame:
     c, h, lo = F.col("close"), F.col("high"), F.col("low")
     b = bars.join(recurrences(bars).select("ticker", "idx", "atr_5", "atr_14", "atr_20", "rsi_2"), ["ticker", "idx"])
     b = b.withColumns({"r1": _log_return(1), "change": c - back("close", 1), "gap": F.col("open") / back("close", 1) - 1})
-    b = b.withColumn("obv", F.sum(F.coalesce(F.signum("change"), F.lit(0.0)) * F.col("volume")).over(BY.rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.withColumn("obv", F.sum(F.coalesce(F.signum("change"), F.lit(0.0)) * F.col("volume")).over(by().rowsBetween(Window.unboundedPreceding, 0)))
     high14, low14 = full(F.max, h, 14), full(F.min, lo, 14)
     out = {
         "momentum_60": _log_return(60), "return_120": _log_return(120), "gap_open_z20": zscore("gap", 20, None),
