@@ -6,8 +6,10 @@
    are frequent. They come last, so passages that many documents hold are seldom among the first; what
    the sketch errs in costs time only.
 3. Groups. In each round every set is compared with two leaders of each of its first tokens that still meets
-   several groups (other leaders in each round). Linked sets become one group. Copies of one text thus
-   hang together after comparisons in proportion to their number.
+   several groups. Linked sets become one group. The first round's leaders are the most central sets, whose
+   first tokens are the most shared ones: the text that near copies come from has none of their changes.
+   Other rounds draw leaders at random. Copies thus hang together after comparisons in proportion to their
+   number.
 4. The matrix. For first tokens that still meet several groups, a row (group, token) says that the union of
    the group's first tokens holds the token. Of the tokens that two sets share, those up to the earlier end of
    their first tokens are first tokens of both; so c, the number of a set's first tokens in a group's row, and
@@ -198,10 +200,10 @@ class _Join:
 
 
 def _split(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """token, set, n, group for the tokens whose sets lie in several groups."""
+    """token, set, n, central, group for the tokens whose sets lie in several groups."""
     if groups is None:
         return shared.withColumn("group", F.col("set"))
-    of = shared.join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", F.coalesce("root", "set").alias("group"))
+    of = shared.join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "central", F.coalesce("root", "set").alias("group"))
     of = stored(of)
     several = stored(of.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token"))
     return stored(of.join(several, "token"))
@@ -223,15 +225,20 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
             break
         forget(every)
     frequent = join.frequent(every.where("part IS NOT NULL").select("part", "counts"))
-    first = join.first_tokens(frequent)
-    shared = stored(first.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("token"))
-    shared = stored(join.first_tokens(frequent).join(shared, "token").distinct())
+    first = stored(join.first_tokens(frequent))
+    several = stored(first.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count(F.lit(1)).alias("sets")).where("low < high").select("token", "sets"))
+    met = stored(first.join(several, "token").distinct())
+    forget(first, several)
+    central = stored(met.groupBy("set").agg((F.sum("sets") / F.first("n")).alias("central")))
+    shared = stored(met.join(central, "set").select("token", "set", "n", "central"))
+    forget(met, central)
     edges = tried = groups = None
     split = _split(shared, None)
     for turn in range(ROUNDS):
         order = F.xxhash64("set", F.lit(turn))
-        one = F.struct(order.alias("o"), F.col("set").alias("s"), F.col("group").alias("g"), F.col("n").alias("n"))
-        leaders = stored(split.groupBy("token").agg(F.min(one).alias("one"), F.max(one).alias("two")))
+        first_choice = F.struct((-F.col("central") if turn == 0 else F.lit(0.0)).alias("c"), order.alias("o"), F.col("set").alias("s"), F.col("group").alias("g"), F.col("n").alias("n"))
+        second = F.struct(F.lit(0.0).alias("c"), order.alias("o"), F.col("set").alias("s"), F.col("group").alias("g"), F.col("n").alias("n"))
+        leaders = stored(split.groupBy("token").agg(F.min(first_choice).alias("one"), F.max(second).alias("two")))
         met = split.join(leaders, "token").select("set", "n", "group", F.explode(F.array("one", "two")).alias("leader"))
         met = met.where((F.col("leader.g") != F.col("group")) & join.near_in_size(F.col("n"), F.col("leader.n")))
         pairs = met.select(F.least("set", "leader.s").alias("a"), F.greatest("set", "leader.s").alias("b")).distinct()
