@@ -14,7 +14,7 @@ from compare import rows
 import corpus_pipeline
 from tidebar.llm import queries, sanitise, secret_crf, token_attribution, toxicity
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="session")
@@ -148,7 +148,8 @@ def test_op5_rules():
 
 
 def test_op6_held_out_accuracy(spark):
-    got = queries.op6_toxicity(spark, MIDDLE).toPandas().merge(pd.read_parquet(f"{MIDDLE}/labels.parquet"), on="doc_id")
+    """On the largest tables: 97 held-out rows are toxic there, 6 on those a tenth as large."""
+    got = queries.op6_toxicity(spark, LARGE).toPandas().merge(pd.read_parquet(f"{LARGE}/labels.parquet"), on="doc_id")
     got = got[got.held_out]
     toxic, clean = got[got.toxic == 1].score.to_numpy(), got[got.toxic == 0].score.to_numpy()
     area = ((toxic[:, None] > clean).mean() + 0.5 * (toxic[:, None] == clean).mean()) if len(toxic) else 1
@@ -170,6 +171,7 @@ def test_op6_held_out_labels_teach_nothing(spark, tmp_path):
 
 def test_op6_folding_and_exceptions():
     assert toxicity.folded("BАD  w0rd! Ｘ") == toxicity.folded("bad word x")
+    assert toxicity.folded("SCUM!! st!ff | bad!!!") == toxicity.folded("scum stiff bad")
     lexicon = toxicity.Lexicon(weights={" bad ": 3.0, " ba": 2.0}, exceptions={" bad luck "})
     a = lexicon.automaton()
     assert lexicon.matched(a, " bad man ")[0] == 3.0 and lexicon.matched(a, " bad luck ")[0] == 0 and lexicon.matched(a, " ") == (0, 0)

@@ -13,6 +13,7 @@ enter nowhere else.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -58,9 +59,13 @@ class _Fold(dict):
 _FOLD = _Fold()
 
 
+#: Signs that stand for a letter inside a word, but after one are what they are.
+_ENDS = re.compile(r"[!|]++(?!\w)")
+
+
 def folded(text: str) -> str:
-    """Folded words, each between two spaces. "!" at the end of a word ends it instead of being a letter."""
-    words = text.lower().replace("! ", " ").replace("!\n", " ").translate(_FOLD).split()
+    """Folded words, each between two spaces. Any number of "!" or "|" at the end of a word end it instead of being letters."""
+    words = _ENDS.sub(" ", text).lower().translate(_FOLD).split()
     return f" {' '.join(words)} "
 
 
