@@ -9,9 +9,17 @@ from tidebar.llm import bpe_automaton, decontaminate, jaccard_join, queries, rad
 from tidebar.llm.common import stored, table
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _only(docs: DataFrame, kept: DataFrame, *keys: tuple[str, Column]) -> DataFrame:
     """The rows of docs whose keys are among kept's; null keys are equal."""
-    names = [f"kept_{name}" for name, _ in keys]
+    names = [_free(docs, f"kept_{name}") for name, _ in keys]
     kept = kept.select(*[F.col(name).alias(alias) for (name, _), alias in zip(keys, names, strict=True)]).distinct()
     condition = None
     for (_, own), alias in zip(keys, names, strict=True):
@@ -35,7 +43,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     repeated = groups.groupBy("doc_id", "text_sha256").count().where("count > 1")
     if repeated.isEmpty():
         return out
-    return out.withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    same = _free(docs, "digest")
+    return out.withColumn(same, digest).dropDuplicates(["doc_id", same]).drop(same)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
