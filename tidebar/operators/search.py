@@ -50,7 +50,7 @@ def exceedance(null: DataFrame, observed: DataFrame, keys: list[str], pass_at: i
     return x.withColumn("p", (F.col("b") + 1) / (F.col("m") + 1)).withColumn("verdict", F.when(F.col("b") <= pass_at, "passed").otherwise("failed"))
 
 
-def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p = k / n
     mid, half, d = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
     return (mid - half) / d, (mid + half) / d

@@ -350,7 +350,7 @@ ORACLES = {
     "search_pool_order": f"WITH {_VARIANTS} SELECT family, id, representative, row_number() OVER (ORDER BY NOT representative, CASE WHEN representative THEN best_mean ELSE mean END DESC, id)::INT AS place FROM o",
     "null_exceedance": """WITH n AS (SELECT o_orderpriority AS ticker, o_orderkey % 50 AS perm, max(o_totalprice) AS t FROM orders GROUP BY ALL), s AS (SELECT o_orderpriority AS ticker, max(o_totalprice) * 0.995 AS statistic FROM orders GROUP BY ALL),
       x AS (SELECT ticker, count(*) FILTER (t >= statistic) AS b, count(*) AS m FROM n JOIN s USING (ticker) GROUP BY ALL) SELECT ticker, b, m, round((b + 1) / (m + 1), 6) AS p, CASE WHEN b <= 4 THEN 'passed' ELSE 'failed' END AS verdict FROM x""",
-    "wilson_interval": """WITH x AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n, 1.959963984540054 AS z FROM orders GROUP BY 1), y AS (SELECT *, k / n AS p, 1 + z * z / n AS d FROM x)
+    "wilson_interval": """WITH x AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n, 1.96 AS z FROM orders GROUP BY 1), y AS (SELECT *, k / n AS p, 1 + z * z / n AS d FROM x)
       SELECT o_orderpriority, k, n, round(((p + z * z / (2 * n)) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / d, 6) AS lo, round(((p + z * z / (2 * n)) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / d, 6) AS hi FROM y""",
     "time_blocks": f"{_BLOCKS} SELECT ticker, t0, block, pos FROM blk",
     "macro_segments": f"{_BASE} SELECT ticker, t0, least(3, floor((t0 - min(t0) OVER t) / ((max(t0) OVER t + 1 - min(t0) OVER t) / 4.0)))::INT AS segment FROM cand WINDOW t AS (PARTITION BY ticker)",
