@@ -11,33 +11,39 @@ from tidebar.llm.common import forget, stored
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b); root is one node of the component, the same for all of it.
 
-    Each round sends every node to its smallest neighbour, or keeps it if it is smaller, follows the
-    pointers twice, and contracts. Edges within a merged node vanish, so the table shrinks geometrically and
+    Each round sends every node to its first neighbour in an order drawn anew by hash, or keeps it if it comes
+    before them, follows the pointers twice, and contracts. The order keeps chains of rising ids from shrinking
+    by a few nodes a round. Edges within a merged node vanish, so the table shrinks geometrically and
     a hub of any degree is one partial aggregate and one join that adaptive execution may split.
     """
-    roots = None
+    roots, turn = None, 0
     left = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while not left.isEmpty():
+        place = lambda c, turn=turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+        to = stored(both.groupBy("a").agg(F.min(place("b")).alias("first")).select(F.col("a").alias("node"), F.least("first", place("a"))["v"].alias("root")))
         for _ in range(2):
-            on = to.select(F.col("node").alias("via"), F.col("root").alias("further"))
-            further = stored(to.join(on, F.col("root") == F.col("via"), "left").select("node", F.coalesce("further", "root").alias("root")))
+            further = stored(_followed(to, to))
             forget(to)
             to = further
+        a = to.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        b = to.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        # the ends of edges are labels, so they move by this round's pointers alone
+        rest = stored(left.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        forget(left)
+        left = rest
         if roots is None:
             roots = to
         else:
-            on = to.select(F.col("node").alias("via"), F.col("root").alias("further"))
-            known = roots.join(on, F.col("root") == F.col("via"), "left").select("node", F.coalesce("further", "root").alias("root"))
-            merged = stored(known)
-            forget(roots, to) if to is not roots else None
+            merged = stored(_followed(roots, to))
+            forget(roots, to)
             roots = merged
-            to = merged
-        a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        rest = stored(left.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        forget(left)
-        left = rest
+        turn += 1
     forget(left)
     return edges.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
+
+
+def _followed(roots: DataFrame, to: DataFrame) -> DataFrame:
+    """node, root with each root sent on to where `to` has it."""
+    on = to.select(F.col("node").alias("via"), F.col("root").alias("further"))
+    return roots.join(on, F.col("root") == F.col("via"), "left").select("node", F.coalesce("further", "root").alias("root"))
