@@ -3,10 +3,11 @@
 Pages of one host come from one template. A token is a start or end tag, or a piece of text, together with the path
 of elements it stands in, so equal tags in different places are different tokens. Tokens with the same
 occurrence vector (how often in each page of the host) form an equivalence class. A class is valid if it
-occurs in enough pages, has at least two tokens, and its elements hold both their tags, one inside the other
-along their paths; valid classes, nested by path, are the template. Text that belongs to no valid
-class fills the template's slots. The class whose elements stand once in every page gives the frame; the main
-text is what the slots hold below its deepest element that has most of the host's slot text.
+occurs in enough pages and has an element, that is a pair of tags; text of a valid class, and text in nearly
+all pages, is the template's and left out, unless its own element also holds text that varies. Other text fills the template's slots. The frame is the deepest
+element, once in nearly every page, that holds all the host's slot text; the main text is what the slots hold
+below it. Text that varies and yet stands beside the article (comments, related links) looks like any slot; it is
+told apart by names of elements and words in class and id, which are lists, not learned.
 
 A vector never exists as such: classes are found by an exclusive-or over the hashes of (page, count), which
 partial aggregation combines, so a host with a third of all pages is no large group anywhere.
@@ -14,6 +15,7 @@ partial aggregation combines, so a host with a third of all pages is no large gr
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.common import stored, text_of
 
-#: A class must occur in this share of the host's pages, and in two pages; the frame's element must hold this share of slot text.
-SUPPORT, MOST = 0.3, 0.6
+#: A class must occur in this share of the host's pages, and in two pages; the frame's element, and text without one in its class, in this share.
+SUPPORT, WHOLE = 0.3, 0.9
 # Names of elements, as HTML has them, and words in class and id that say what an element is for.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -45,13 +47,18 @@ MARK = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
 
 
+def piece(path: str, text: str) -> int:
+    """A whole text with its path, as a number."""
+    return int.from_bytes(hashlib.blake2b(f"{path} {text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 class Page:
-    """blocks: (path of the element that holds it, text, whether it stands in something beside the article)."""
+    """blocks: (path of the element that holds it, text, whether it stands in something beside the article, number of the element)."""
 
     def __init__(self, source: str):
         self.tokens: Counter = Counter()
-        self.blocks: list[tuple[str, str, bool]] = []
-        stack: list[tuple[str, str, bool]] = [("", "", False)]  # name, path, beside
+        self.blocks: list[tuple[str, str, bool, int]] = []
+        stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # name, path, beside, number
         held: list[str] = []
 
         def flush() -> None:
@@ -59,13 +66,13 @@ class Page:
             held.clear()
             if text:
                 inner = next(s for s in reversed(stack) if s[0] not in INLINE)
-                self.blocks.append((inner[1], text, any(s[2] for s in stack)))
+                self.blocks.append((inner[1], text, any(s[2] for s in stack), inner[3]))
 
         def close(upto: int) -> None:
             while len(stack) > upto:
-                name, path, _ = stack.pop()
+                name, path, _, _ = stack.pop()
                 if name not in INLINE:
-                    self.tokens["-" + path] += 1
+                    self.tokens["+" + path] += 1
 
         for m in LEXER.finditer(source):
             if m.group("text") is not None:
@@ -93,24 +100,17 @@ class Page:
             label = re.sub(r"\d+", "0", marks.split()[0]) if marks.strip() else ""
             path = f"{stack[-1][1]}/{name}.{label}" if label else f"{stack[-1][1]}/{name}"
             if name in INLINE:
-                stack.append((name, stack[-1][1], bool(PURPOSE.search(marks))))
+                stack.append((name, stack[-1][1], bool(PURPOSE.search(marks)), stack[-1][3]))
                 continue
-            self.tokens["+" + path] += 1
             if name not in VOID and not m.group("rest").rstrip().endswith("/"):
-                stack.append((name, path, name in ASIDE or bool(PURPOSE.search(marks))))
+                stack.append((name, path, name in ASIDE or bool(PURPOSE.search(marks)), m.start()))
         flush()
         close(1)
 
-    def slots(self) -> Counter:
-        """Characters of text beside nothing, by path."""
-        out: Counter = Counter()
-        for path, text, beside in self.blocks:
-            if not beside:
-                out[path] += len(text)
-        return out
-
-    def main(self, frame: str | None) -> str:
-        own = [(p, t) for p, t, beside in self.blocks if not beside]
+    def main(self, frame: str | None, template: frozenset[int] = frozenset()) -> str:
+        # a line beside slot text in one element is part of that slot; a page that has nothing but template keeps it
+        slots = {at for p, t, beside, at in self.blocks if not beside and piece(p, t) not in template}
+        own = [(p, t) for p, t, beside, at in self.blocks if not beside and (at in slots or not slots)]
         if frame and any(p == frame or p.startswith(frame + "/") for p, _ in own):
             own = [(p, t) for p, t in own if p == frame or p.startswith(frame + "/")]
         else:
@@ -122,46 +122,55 @@ class Page:
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, path, page, n, chars: tokens of each page with their counts, and text by path."""
+    """host, path, piece, page, n, chars: elements of each page (piece null) and its texts, with their counts and, for texts beside nothing, characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, token, page, n, chars = [], [], [], [], []
+            host, path, text, page, n, chars = [], [], [], [], [], []
             for h, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 read = Page(value.as_py())
-                found = dict(read.tokens)
-                text = read.slots()
-                pieces = Counter(f"#{p} {t[:200]}" for p, t, _ in read.blocks)
-                for name, k in [*found.items(), *pieces.items()]:
+                found = {(token[1:], None): [k, 0] for token, k in read.tokens.items()}
+                for p, t, beside, _ in read.blocks:
+                    of = found.setdefault((p, piece(p, t)), [0, 0])
+                    of[0] += 1
+                    of[1] += 0 if beside else len(t)
+                for (p, t), (k, c) in found.items():
                     host.append(h)
-                    token.append(name)
+                    path.append(p)
+                    text.append(t)
                     page.append(key)
                     n.append(k)
-                    chars.append(text.pop(name[1:], 0) if name[0] == "+" else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token, pa.string()), pa.array(page, pa.int64()), pa.array(n, pa.int64()), pa.array(chars, pa.int64())], ["host", "token", "page", "n", "chars"])
+                    chars.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), *[pa.array(x, pa.int64()) for x in (text, page, n, chars)]], ["host", "path", "piece", "page", "n", "chars"])
 
-    return pages.select("host", "page", "html").mapInArrow(run, "host string, token string, page long, n long, chars long")
+    return pages.select("host", "page", "html").mapInArrow(run, "host string, path string, piece long, page long, n long, chars long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, frame: the path below which a host's pages keep their main text; hosts without a template are left out."""
-    every = _occurrences(pages).groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.expr("bit_xor(xxhash64(page, n))").alias("vector"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
-    # tokens of one page only are slots, never template; their text counts for the elements that hold it
+    """host, frame, template: the path below which a host's pages keep their main text, and the texts (as pieces) that are the template's."""
+    every = _occurrences(pages).groupBy("host", "path", "piece").agg(F.count(F.lit(1)).alias("pages"), F.expr("bit_xor(xxhash64(page, n))").alias("vector"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
+    # texts of one page only are slots, never template; of them only their characters count
+    once = F.col("piece").isNotNull() & (F.col("pages") == 1)
+    every = every.groupBy("host", "path", F.when(~once, F.col("piece")).alias("piece"), once.alias("once")).agg(F.max("pages").alias("pages"), F.max("vector").alias("vector"), F.max("most").alias("most"), F.sum("chars").alias("chars"))
     every = stored(every.where("pages > 1 OR chars > 0"))
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    framed = every.join(total, "host").where((F.col("pages") >= F.greatest(F.lit(2), F.ceil(SUPPORT * F.col("total")))))
-    classes = framed.groupBy("host", "vector", "pages", "total").agg(F.collect_list(F.struct("token", "most")).alias("tokens")).where(F.size("tokens") > 1)
-    starts = F.transform(F.filter("tokens", lambda t: t["token"].startswith("-") & (t["most"] == 1)), lambda t: F.substring(t["token"], 2, 1 << 20))
-    whole = classes.where(F.col("pages") >= 0.9 * F.col("total"))
-    frames = whole.select("host", F.explode(starts).alias("frame")).distinct()
-    text = every.where("chars > 0").select("host", F.substring("token", 2, 1 << 20).alias("path"), "chars")
+    framed = every.where("NOT once").join(total, "host").where(F.col("pages") >= F.greatest(F.lit(2), F.ceil(SUPPORT * F.col("total"))))
+    whole = F.col("pages") >= WHOLE * F.col("total")
+    elements = framed.where("piece IS NULL").select("host", "vector", "pages").distinct().withColumn("valid", F.lit(True))
+    texts = framed.where("piece IS NOT NULL").join(elements, ["host", "vector", "pages"], "left").where(F.col("valid") | whole)
+    fixed = stored(texts.select("host", "path", "piece", "chars"))
+    template = fixed.groupBy("host").agg(F.collect_list("piece").alias("template"))
+    frames = framed.where((F.col("piece").isNull()) & (F.col("most") == 1) & whole).select("host", F.col("path").alias("frame"))
+    signed = every.where("chars > 0").select("host", "path", "chars").unionAll(fixed.select("host", "path", -F.col("chars")))
+    text = stored(signed.groupBy("host", "path").agg(F.sum("chars").alias("chars")).where("chars > 0"))
     parts = F.split("path", "/")
     above = text.select("host", "chars", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("frame"))
-    held = above.groupBy("host", "frame").agg(F.sum("chars").alias("held")).join(frames, ["host", "frame"])
+    held = above.where("frame <> ''").groupBy("host", "frame").agg(F.sum("chars").alias("held")).join(frames, ["host", "frame"])
     all_text = text.groupBy("host").agg(F.sum("chars").alias("all"))
-    best = held.join(all_text, "host").where(F.col("held") >= MOST * F.col("all"))
+    best = held.join(all_text, "host").where(F.col("held") == F.col("all"))
     depth = F.size(F.split("frame", "/"))
-    return best.groupBy("host").agg(F.max(F.struct(depth.alias("d"), F.col("held"), F.col("frame"))).alias("b")).select("host", F.col("b.frame").alias("frame"))
+    best = best.groupBy("host").agg(F.max(F.struct(depth.alias("d"), F.col("frame"))).alias("b")).select("host", F.col("b.frame").alias("frame"))
+    return best.join(template, "host", "full")
 
 
 def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -179,8 +188,8 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h.as_py()).main(f.as_py()) for h, f in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [Page(h.as_py()).main(f.as_py(), frozenset(t.as_py() or ())) for h, f, t in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    found = rows.join(template, "host", "left").select("id", "url", "html", "frame")
+    found = rows.join(template, "host", "left").select("id", "url", "html", "frame", "template")
     return found.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_column).withColumnRenamed("url", url_column)
