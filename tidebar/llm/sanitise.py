@@ -1,14 +1,15 @@
 """Information-theoretic sanitisation, in DataFrame functions only.
 
-Protected entities are the personal data that the base patterns find. A term that stands beside an entity may
+Protected entities are the personal data that the base patterns find. A term that stands in an entity's text may
 reveal it even when the entity itself is gone. How strongly is estimated from the whole corpus, each
 different text counted once: with IC(e) = -log p(e) and PMI(e; t) = log p(e, t) / (p(e) p(t)), the share
 PMI / IC of the entity's information that the term gives away is 1 if the term occurs only with the entity.
 Terms with a share of at least GENERALISE are generalised, those with at least REMOVE are removed; pairs
 seen in fewer than LEAST_TEXTS texts prove nothing.
 
-Only words within NEAR characters of an entity are asked about, so the number of (entity, term) pairs grows
-with the entities found; each term's own frequency is counted over all words of all texts.
+All words of the texts that hold an entity are asked about, outside its spans. Pairs that no frequency of the
+term in the other texts could make telling are left out before those texts are read for it. A disclosing term
+is marked wherever it stands in a text that holds the entity.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import stored, text_of
 
-GENERALISE, REMOVE, LEAST_TEXTS, NEAR = 0.8, 1.0, 2, 48
+GENERALISE, REMOVE, LEAST_TEXTS = 0.8, 1.0, 2
 BROADCAST_TERMS = 500_000
 #: The base kinds in order with their patterns. Possessive repeats and the look-behinds change no
 #: match; they keep long runs from being tried again from each of their characters.
@@ -33,8 +34,8 @@ PATTERNS = {
 }
 #: What a text must contain for a pattern to be worth trying.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-WORD = r"[\p{L}\p{M}]{3,}"
-_SPAN = "array<struct<start: int, end: int, value: string, before: string, after: string>>"
+WORD = r"[\p{L}\p{M}\p{N}]{2,}"
+_SPAN = "array<struct<start: int, end: int, value: string>>"
 
 
 def _valid(kind: str) -> Callable[[Column], Column]:
@@ -62,63 +63,88 @@ def _doubled(d: Column, i: Column) -> Column:
     return F.when(i % 2 == 1, d).when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
 
 
-def _located(found: str, gaps: str, after: str) -> Column:
+def _located(found: str, gaps: str) -> Column:
     """Matches with their places, from the matches and the stretches between them."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x[gaps])
         end = begin + F.length(x[found])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x[found].alias("value"), F.right(x[gaps], F.lit(NEAR)).alias("before"), F.left(x[after], F.lit(NEAR)).alias("after"))).alias("out"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x[found].alias("value"))).alias("out"))
 
-    return F.aggregate(F.arrays_zip(found, gaps, after), start, step, lambda acc: acc["out"])
+    return F.aggregate(F.arrays_zip(found, gaps), start, step, lambda acc: acc["out"])
 
 
 def base_spans(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """row, id, text_key and one array of spans for each kind."""
+    """row, id, text_key, one array of spans for each kind, and rest: the text with blanks in place of spans, null where there are none."""
     t = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("t"))
     none = F.array().cast("array<string>")
     columns = []
     for kind, pattern in PATTERNS.items():
         hint = F.col("t").contains(HINTS[kind]) if kind == "email" else F.col("t").rlike(pattern)
         columns += [F.when(hint, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"m_{kind}"), F.when(hint, F.split("t", pattern, -1)).otherwise(none).alias(f"s_{kind}")]
-    cut = t.select("id", F.xxhash64("t").alias("text_key"), *columns)
-    zipped = cut.select("id", "text_key", *[c for k in PATTERNS for c in (F.col(f"m_{k}"), F.slice(f"s_{k}", F.lit(1), F.size(f"m_{k}")).alias(f"g_{k}"), F.when(F.size(f"m_{k}") > 0, F.slice(f"s_{k}", F.lit(2), F.size(f"m_{k}"))).otherwise(none).alias(f"a_{k}"))])
-    placed = zipped.select("id", "text_key", *[_located(f"m_{k}", f"g_{k}", f"a_{k}").alias(k) for k in PATTERNS])
-    return placed.select(F.monotonically_increasing_id().alias("row"), "id", "text_key", *[F.filter(k, _valid(k)).alias(k) for k in PATTERNS])
+    cut = t.select("id", "t", F.xxhash64("t").alias("text_key"), *columns)
+    zipped = cut.select("id", "t", "text_key", *[c for k in PATTERNS for c in (F.col(f"m_{k}"), F.slice(f"s_{k}", F.lit(1), F.size(f"m_{k}")).alias(f"g_{k}"))])
+    placed = zipped.select("id", "t", "text_key", *[_located(f"m_{k}", f"g_{k}").alias(k) for k in PATTERNS])
+    valid = placed.select("id", "t", "text_key", *[F.filter(k, _valid(k)).alias(k) for k in PATTERNS])
+    every = F.array_sort(F.transform(F.concat(*PATTERNS), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return valid.select(F.monotonically_increasing_id().alias("row"), "id", "text_key", *PATTERNS, F.when(F.size(every) > 0, _blanked(F.col("t"), every)).alias("rest"))
 
 
-def _neighbours(spans: DataFrame) -> DataFrame:
-    """row, text_key, entity, term, start, end: the words beside each base span."""
+def _blanked(text: Column, places: Column) -> Column:
+    """The text with as many blanks in place of each span."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blanks = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, blanks).alias("out"))
+
+    return F.aggregate(places, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _entities(spans: DataFrame) -> DataFrame:
+    """row, text_key, entity: each entity once for each row that holds it."""
     each = reduce(DataFrame.unionAll, [spans.select("row", "text_key", F.lit(k).alias("kind"), F.explode(k).alias("s")) for k in PATTERNS])
-    left = F.regexp_replace("s.before", r"^[\p{L}\p{M}]+", "")  # a word cut off at the edge
-    right = F.regexp_replace("s.after", r"[\p{L}\p{M}]+$", "")
-    sides = []
-    for side, from_end in ((left, True), (right, False)):
-        side = F.when(F.length(F.col("s.before" if from_end else "s.after")) < NEAR, F.col("s.before" if from_end else "s.after")).otherwise(side)
-        parts = each.select("row", "text_key", F.concat_ws(":", "kind", "s.value").alias("entity"), (F.col("s.start") if from_end else F.col("s.end")).alias("edge"), side.alias("side"))
-        parts = parts.withColumn("m", F.regexp_extract_all("side", F.lit(WORD), F.lit(0))).where(F.size("m") > 0).withColumn("g0", F.split("side", WORD, -1))
-        parts = parts.withColumn("g", F.slice("g0", F.lit(1), F.size("m"))).withColumn("a", F.slice("g0", F.lit(2), F.size("m")))
-        at = F.col("edge") - F.length("side") if from_end else F.col("edge")
-        parts = parts.select("row", "text_key", "entity", at.alias("at"), F.explode(_located("m", "g", "a")).alias("w"))
-        sides.append(parts.select("row", "text_key", "entity", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end")))
-    return reduce(DataFrame.unionAll, sides)
-
-
-def disclosing_pairs(docs: DataFrame, near: DataFrame, text_column: str) -> DataFrame:
+    return each.select("row", "text_key", F.concat_ws(":", "kind", "s.value").alias("entity")).distinct()
+
+
+def _words(text: str) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def disclosing_pairs(docs: DataFrame, found: DataFrame, entities: DataFrame, text_column: str) -> DataFrame:
     """entity, term, share: pairs in which the term gives away at least GENERALISE of the entity's information."""
-    pairs = stored(near.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= LEAST_TEXTS))
-    entities = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    texts = docs.select(text_of(text_column).alias("t"))
+    total = texts.select(F.xxhash64("t").alias("text_key")).distinct().agg(F.count(F.lit(1)).alias("n"))
+    seen = entities.select("entity", "text_key").distinct()
+    often = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= LEAST_TEXTS)
+    rest = found.where("rest IS NOT NULL").dropDuplicates(["text_key"]).select("text_key", F.explode(_words("rest")).alias("term"))
+    both = seen.join(often, "entity").join(rest, "text_key").groupBy("entity", "term", "n_entity").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= LEAST_TEXTS)
+    # a term stands in at least as many texts as in those with entities
+    beside = rest.groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+
+    def share(n_term: str) -> Column:
+        return F.ln(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.col(n_term))) / F.ln(F.col("n") / F.col("n_entity"))
+
+    known = both.join(beside, "term").join(F.broadcast(total), how="cross").where(F.col("n") > F.col("n_entity"))  # one row
+    pairs = stored(known.where(share("n_least") >= GENERALISE - 1e-9))
     terms = stored(pairs.select("term").distinct())
     wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    texts = docs.select(text_of(text_column).alias("t"))
-    words = texts.select(F.xxhash64("t").alias("text_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)))).alias("term"))
+    words = texts.select(F.xxhash64("t").alias("text_key"), F.explode(_words("t")).alias("term"))
     counts = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = texts.select(F.xxhash64("t").alias("text_key")).distinct().agg(F.count(F.lit(1)).alias("n"))
-    known = pairs.join(entities, "entity").join(counts, "term").join(F.broadcast(total))  # one row
-    information = F.ln(F.col("n") / F.col("n_entity"))
-    shared = F.ln(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    return known.where(F.col("n") > F.col("n_entity")).select("entity", "term", (shared / information).alias("share")).where(F.col("share") >= GENERALISE - 1e-9)
+    out = pairs.join(counts, "term", "left").withColumn("n_term", F.greatest("n_term", "n_least"))  # a word that ends at a span is none in the whole text
+    return out.select("entity", "term", share("n_term").alias("share")).where(F.col("share") >= GENERALISE - 1e-9)
+
+
+def _occurrences(found: DataFrame, marked: DataFrame) -> DataFrame:
+    """row, share, start, end: every place of the marked terms (row, term, share) in their rows."""
+    t = found.join(marked.select("row").distinct(), "row", "left_semi").select("row", F.regexp_extract_all("rest", F.lit(WORD), F.lit(0)).alias("m"), F.split("rest", WORD, -1).alias("g"))
+    each = t.select("row", F.posexplode(F.arrays_zip("m", F.slice("g", F.lit(1), F.size("m")).alias("g"))).alias("k", "w"))
+    end = F.sum(F.length("w.g") + F.length("w.m")).over(Window.partitionBy("row").orderBy("k")).cast("int")
+    placed = each.select("row", F.lower("w.m").alias("term"), (end - F.length("w.m")).alias("start"), end.alias("end"))
+    return placed.join(marked, ["row", "term"]).select("row", "share", "start", "end")
 
 
 def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -129,10 +155,11 @@ def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     are kept apart. Other columns are not read. An empty table gives an empty one.
     """
     found = stored(base_spans(docs, id_column, text_column))
-    near = stored(_neighbours(found))
-    telling = stored(disclosing_pairs(docs, near, text_column))
+    entities = stored(_entities(found))
+    telling = stored(disclosing_pairs(docs, found, entities, text_column))
+    marked = stored(entities.join(telling, "entity").groupBy("row", "term").agg(F.max("share").alias("share")))
     kind = F.when(F.col("share") >= REMOVE - 1e-9, F.lit("remove")).otherwise(F.lit("general"))
-    terms = near.join(telling, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share")).select("row", F.struct(kind.alias("kind"), "start", "end").alias("s"))
+    terms = _occurrences(found, marked).select("row", F.struct(kind.alias("kind"), "start", "end").alias("s"))
     added = terms.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("added"))
     base = F.concat(*[F.transform(k, _named(k)) for k in PATTERNS])
     out = found.select("row", "id", base.alias("base")).join(added, "row", "left")
