@@ -5,17 +5,20 @@ secret, from the token's shape, its neighbours' shapes and words, and the file's
 its spans that no base span touches are added.
 
 It is trained here, by stochastic gradient on the exact likelihood (forward-backward), on a bounded sample:
-the TRAINING_ROWS rows with the smallest hash of their id, whose base spans are the labels. Neighbouring
+half of TRAINING_ROWS from the rows in which a pattern may match and half from the others, by the smallest hash
+of their id, whose base spans are the labels. Of each row it takes at most PER_ROW stretches around spans and
+one from anywhere, of all rows at most TRAINING_ROWS of either kind, all by hash. Neighbouring
 words are features of the training, the secret's own text is not, only its shape; so it also marks a
 token that looks and stands like a secret where no pattern matches.
 
 Decoding is exact and whole-text, yet cheap: a token outside the training's words has only its shape's weights,
-which are summed once for each different shape, and a token whose "outside" leads by more than all transitions could win back is outside in the best
-sequence, so only the stretches between such tokens need Viterbi's steps.
+which are summed once for each different shape, and a token whose "outside" leads by more than all transitions and its successor's "inside" could win back is
+outside in the best sequence, so only the stretches between such tokens need Viterbi's steps.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +33,8 @@ from tidebar.llm.common import text_of
 TRAINING_ROWS = 2_000
 #: Of the tokens of a training row, those within this many of a span, and as many elsewhere.
 NEAR = 6
+#: Stretches around spans that one row may give.
+PER_ROW = 8
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 CACHED_TOKENS = 200_000
 # The base kinds in order, as patterns.
@@ -79,9 +84,8 @@ def token_features(token: str) -> tuple[list[str], list[str], list[str]]:
 
 def file_kind(text: str) -> str:
     """A feature of the file: does it look like code or settings?"""
-    head = min(len(text), 1 << 20)
     signs = sum(text.count(c) for c in "={};")
-    return f"file={min(3, int(400 * signs / max(head, 1)))}"
+    return f"file={min(3, int(400 * signs / max(len(text), 1)))}"
 
 
 @dataclass
@@ -134,8 +138,19 @@ def _spans_to_tags(tokens: list[tuple[int, int]], spans: list[tuple[str, int, in
     return tags
 
 
+def _hash(value: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(value, digest_size=8).digest(), "big")
+
+
+def bounded(sequences: list, limit: int) -> list:
+    """At most `limit` sequences with secrets and as many without, those with the smallest hashes."""
+    ordered = sorted(sequences, key=lambda s: (_hash(repr(s).encode("utf-8", "surrogatepass")), s[1]))
+    kinds = [[s for s in ordered if any(t != OUTSIDE for t in s[1]) == secret] for secret in (True, False)]
+    return kinds[0][:limit] + kinds[1][:limit]
+
+
 def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
-    """Sequences for training: around base spans, and as long a stretch from elsewhere."""
+    """Sequences for training: around base spans, and as long a stretch from anywhere, both drawn by hash."""
     spans = base_spans(text)
     # the secret value itself, without the key before it
     values = [(k, m.start(2), m.end(2)) for k, m in (("assign", m) for m in ASSIGN.finditer(text)) if len(m.group(2)) >= LEAST_VALUE] + [s for s in spans if s[0] != "assign"]
@@ -146,8 +161,11 @@ def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
     tags = _spans_to_tags(tokens, values)
     kind = file_kind(text)
     marked = [i for i, t in enumerate(tags) if t != OUTSIDE]
-    windows = [(max(0, i - NEAR), min(len(words), i + NEAR + 1)) for i in marked[:: NEAR] or []]
-    windows.append((0, min(len(words), 2 * NEAR)))
+    seed = text.encode("utf-8", "surrogatepass")
+    drawn = sorted(sorted(marked[::NEAR], key=lambda i: _hash(b"%d " % i + seed[:4096]))[:PER_ROW])
+    windows = [(max(0, i - NEAR), min(len(words), i + NEAR + 1)) for i in drawn]
+    at = _hash(seed) % max(1, len(words) - 2 * NEAR + 1)
+    windows.append((at, min(len(words), at + 2 * NEAR)))
     out = []
     for a, b in windows:
         feats = [token_features(w) for w in words[max(0, a - 1) : b + 1]]
@@ -163,7 +181,7 @@ def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
 
 
 def train(docs: DataFrame, limit: int = TRAINING_ROWS, epochs: int = 2, id_column: str = "doc_id", text_column: str = "text") -> Field:
-    """Fit the field on at most `limit` rows, those that a pattern may match before others."""
+    """Fit the field on at most `limit` rows: half of them such that a pattern may match, half others."""
     text = text_of(text_column)
     hint = text.rlike(r"AKIA|[0-9a-f]{24}|[:=]")
     ids = docs.where(F.col(id_column).isNotNull()).select(text.alias("text"), hint.cast("int").alias("hint"), F.xxhash64(F.col(id_column)).alias("o"))
@@ -175,15 +193,15 @@ def train(docs: DataFrame, limit: int = TRAINING_ROWS, epochs: int = 2, id_colum
                     flat = [len(f) for f in seq]
                     yield pa.RecordBatch.from_arrays([pa.array([flat]), pa.array([[x for f in seq for x in f]]), pa.array([tags])], ["sizes", "features", "tags"])
 
-    chosen = ids.select("o", "hint").orderBy(F.desc("hint"), "o").limit(limit).select("o").distinct()  # so small a table may be broadcast
+    parts = [ids.where(f"hint = {k}").select("o").orderBy("o").limit(limit // 2) for k in (0, 1)]
+    chosen = parts[0].unionAll(parts[1]).distinct()  # so small a table may be broadcast
     got = ids.join(F.broadcast(chosen), "o").select("text").mapInArrow(run, "sizes array<long>, features array<string>, tags array<long>").toPandas()  # bounded by `limit`
     field = Field.blank(sorted({f for row in got["features"] for f in row}))
     sequences = []
     for sizes, features, tags in zip(got["sizes"], got["features"], got["tags"], strict=True):
         cuts = np.cumsum(sizes)[:-1]
-        sequences.append(([list(x) for x in np.split(np.array([field.index[f] for f in features], np.int64), cuts)], list(tags)))
-    sequences.sort(key=lambda s: (s[1], s[0]))
-    sequences = sequences[: 2 * limit]
+        sequences.append(([[int(i) for i in x] for x in np.split(np.array([field.index[f] for f in features], np.int64), cuts)], [int(t) for t in tags]))
+    sequences = bounded(sequences, limit)
     order = np.random.Generator(np.random.PCG64(7))
     for epoch in range(epochs):
         for i in order.permutation(len(sequences)):
@@ -228,7 +246,8 @@ class Tagger:
 
     def __init__(self, field: Field):
         self.field = field
-        self.bound = float(2 * (np.abs(np.delete(field.moves.ravel(), OUTSIDE * 3 + INSIDE)).max() + 1))
+        # a tag made outside changes two transitions, and a third where the next tag must turn from inside to begin
+        self.bound = float(6 * np.abs(np.delete(field.moves.ravel(), OUTSIDE * 3 + INSIDE)).max() + 1e-3)
         self.rows = _Rows(field)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
@@ -244,6 +263,7 @@ class Tagger:
         e[1:] += every[:-1, 3:6]
         e[:-1] += every[1:, 6:9]
         lead = e[:, OUTSIDE] - e[:, :OUTSIDE].max(1)
+        lead[:-1] -= np.maximum(e[1:, INSIDE] - e[1:, BEGIN], 0)
         unsure = np.flatnonzero(lead <= self.bound)
         if not len(unsure):
             return []
