@@ -31,7 +31,7 @@ TRAINING_ROWS = 20_000
 ENTRIES, EXCEPTIONS = 2_000, 2_000
 #: Word beginnings of these lengths may become entries.
 BEGINNINGS = (4, 5, 6)
-LEAST_SHARE, LEAST_ROWS, LEAST_WEIGHT = 0.02, 3, 2.0
+LEAST_ROWS, LEAST_WEIGHT = 3, 2.0
 
 # Characters read as a Latin letter, as text.
 LOOK_ALIKES = {
@@ -127,8 +127,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int, id_column: str
     return texts.groupBy(F.xxhash64("text").alias("same")).agg(F.max("label").alias("label"), F.first("text").alias("text")).select("label", "text")
 
 
-def _counted(rows: DataFrame, terms_of, least: float, limit: int) -> list:
-    """(term, toxic rows, clean rows) of the terms in at least `least` rows of one kind, the `limit` most frequent."""
+def _counted(rows: DataFrame, terms_of) -> DataFrame:
+    """term, toxic, clean: the numbers of rows of each kind that hold the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +138,7 @@ def _counted(rows: DataFrame, terms_of, least: float, limit: int) -> list:
             names = sorted(kinds[0] | kinds[1])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([kinds[1][n] for n in names], pa.int64()), pa.array([kinds[0][n] for n in names], pa.int64())], ["term", "toxic", "clean"])
 
-    sums = rows.select("label", "text").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    most = F.greatest("toxic", "clean")
-    return sums.where(most >= least).orderBy(F.desc(most), "term").limit(limit).collect()
+    return rows.select("label", "text").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -167,21 +165,14 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, id_col
     if not toxic:
         return out
 
-    least = max(LEAST_ROWS, LEAST_SHARE * toxic)
-
     def terms(text: str) -> set[str]:
         return _terms(set(text.split()))
 
-    def odds(t: int, n: int) -> float:
-        return math.log((t + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
-
-    weights = {}
-    for r in _counted(rows.where("label > 0"), terms, least, 20 * ENTRIES):
-        weights[r.term] = r.toxic
-    counts = {r.term: r.clean for r in _counted(rows, lambda text, w=frozenset(weights): {t for t in terms(text) if t in w}, 1, 20 * ENTRIES)}
-    scored = {t: odds(n, counts.get(t, 0)) for t, n in weights.items()}
-    scored = {t: w for t, w in scored.items() if w >= LEAST_WEIGHT and w - 2 * math.sqrt(1 / (weights[t] + 0.5) + 1 / (counts.get(t, 0) + 0.5)) > 0}
-    out.weights = dict(sorted(scored.items(), key=lambda x: (-x[1] * weights[x[0]], x[0]))[:ENTRIES])
+    # log-odds, and whether they are above 0 by two deviations
+    odds = F.ln((F.col("toxic") + 0.5) / (toxic + 1)) - F.ln((F.col("clean") + 0.5) / (clean + 1))
+    sure = odds > 2 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    telling = _counted(rows, terms).where((F.col("toxic") >= LEAST_ROWS) & (odds >= LEAST_WEIGHT) & sure).select("term", odds.alias("w"), "toxic")
+    out.weights = {r.term: r.w for r in telling.orderBy(F.desc(F.col("w") * F.col("toxic")), "term").limit(ENTRIES).collect()}
 
     words = frozenset(t.strip() for t in out.weights if t.endswith(" "))
 
@@ -190,9 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, id_col
         return {f" {a} {b} " for a, b in zip(w, w[1:]) if a in words or b in words}
 
     if words:
-        for r in _counted(rows, phrases, LEAST_ROWS, EXCEPTIONS):
-            if r.clean >= LEAST_ROWS and odds(r.toxic, r.clean) <= 0:
-                out.exceptions.add(r.term)
+        clearing = _counted(rows, phrases).where((F.col("clean") >= LEAST_ROWS) & (odds <= 0))
+        out.exceptions = {r.term for r in clearing.orderBy(F.desc(F.greatest("toxic", "clean")), "term").limit(EXCEPTIONS).collect()}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = out.automaton()
