@@ -25,10 +25,25 @@ def one_se(variants: DataFrame) -> DataFrame:
     return v.withColumn("representative", simple["id"] == F.col("id")).select("family", "id", "mean", "best", "best_mean", "se", "in_plateau", "representative")
 
 
-def pool_order(ranked: DataFrame) -> DataFrame:
-    """Representatives by their family's best mean, then the others by their own: id, place."""
-    order = Window.orderBy((~F.col("representative")).cast("int"), F.desc(F.when(F.col("representative"), F.col("best_mean")).otherwise(F.col("mean"))), "id")
-    return ranked.select("family", "id", "representative", F.row_number().over(order).alias("place"))  # one row for each feature
+def pool_order(ranked: DataFrame, ranges: int = 32) -> DataFrame:
+    """Representatives by their family's best mean, then the others by their own: id, place.
+
+    Rows are numbered within ranges of the order, cut at sampled rows, and each range starts where those before it end.
+    """
+    value = F.when(F.col("representative"), F.col("best_mean")).otherwise(F.col("mean"))
+    x = ranked.select("family", "id", "representative", F.struct((~F.col("representative")).cast("int").alias("later"), value.isNull().alias("none"), (-value).alias("value"), F.col("id").alias("id")).alias("key"))
+    some = sorted((r.key for r in x.select("key").orderBy(F.xxhash64("id"), "key").limit(16 * ranges).collect()), key=lambda k: [(v is not None, v if v is not None else 0) for v in k])
+    kinds = {f.name: f.dataType for f in x.schema["key"].dataType}
+    bounds = [F.struct(*[F.lit(k[c]).cast(t).alias(c) for c, t in kinds.items()]) for k in some[8::16]]
+    part = F.size(F.filter(F.array(*bounds), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    x = x.withColumn("part", part)
+    before, starts = 0, {}
+    for part, n in sorted(tuple(r) for r in x.groupBy("part").count().collect()):
+        starts[part] = before
+        before += n
+    offset = F.element_at(F.array(*[F.lit(starts.get(k, 0)).cast("bigint") for k in range(len(bounds) + 1)]), F.col("part") + 1)
+    place = (F.row_number().over(Window.partitionBy("part").orderBy("key")) + offset).cast("int")
+    return x.select("family", "id", "representative", place.alias("place"))  # one row for each feature
 
 
 def acceptance(rotations: DataFrame, penalty: float = 0.004) -> DataFrame:
