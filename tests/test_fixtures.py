@@ -21,19 +21,39 @@ def series(spark, closes, opens=None, ticker="A"):
     return spark.createDataFrame(rows, "ticker string, idx int, ts timestamp, open double, high double, low double, close double, volume double")
 
 
-def test_wilder_atr():
-    out = recurrences.wilder_atr(np.array([10, 12, 11.0]), np.array([8, 9, 10.0]), np.array([9, 11, 10.5]), 2)
-    assert np.isnan(out[0]) and out[1:].tolist() == [2.5, 1.75]
+def test_average_range(spark):
+    rows = [("A", i, float(h), float(lo), float(c)) for i, (h, lo, c) in enumerate([(10, 8, 9), (12, 9, 11), (11, 10, 10.5)])]
+    x = spark.createDataFrame(rows, "ticker string, idx int, high double, low double, close double")
+    got = [r.atr_2 for r in recurrences.with_recurrences(x, (2,), (2,)).orderBy("idx").collect()]
+    assert got == [None, 2.5, 1.75]
 
 
-def test_ewm_skips_leading_nulls():
-    out = recurrences.ewm(pd.Series([None, None, None, 1, 2, 3, 4.0]), 0.5, 3)
-    assert out[5] == 2.25 and out[6] == 3.125 and out[:5].isna().all()
+def test_exponential_mean_skips_leading_nulls(spark):
+    got = [r.x for r in dsl.feature(series(spark, [1, 2, 3, 4, 9, 9, 9]), "ewm(shift(c, 3), 3)", "x").orderBy("idx").collect()]
+    assert got == [None] * 5 + [2.25, 3.125]
 
 
-def test_rsi_edges():
-    up, flat = recurrences.rsi(pd.Series(np.arange(30.0)), 14), recurrences.rsi(pd.Series(np.ones(30)), 14)
-    assert up.iloc[-1] == 100 and flat.iloc[-1] == 50 and up[:14].isna().all()
+def test_relative_strength_edges(spark):
+    up = [r.rsi_14 for r in recurrences.with_recurrences(series(spark, list(range(1, 31)))).orderBy("idx").collect()]
+    flat = [r.rsi_14 for r in recurrences.with_recurrences(series(spark, [1] * 30)).orderBy("idx").collect()]
+    assert up[-1] == 100 and flat[-1] == 50 and up[:14] == [None] * 14
+
+
+def test_fold_over_many_chunks(spark):
+    from tidebar.functions.folds import CHUNK, running
+
+    n = 3 * CHUNK + 5
+    x = spark.range(n).select((F.col("id") % 2).alias("k"), F.col("id").alias("at"), F.lit(1).alias("v"))
+    y = running(x, ["k"], ["at"], {"s": 0}, "`s`: int", lambda s, r: F.struct((s["s"] + r["v"]).alias("s")))
+    got = {(r.k, r["at"]): r.state.s for r in y.collect()}
+    assert len(got) == n and all(got[i % 2, i] == i // 2 + 1 for i in range(n))
+
+
+def test_no_python_in_recurrences_and_replay(spark):
+    s = "ticker string, t0 int, p double, passes boolean, size double, net_return double, flat_from int"
+    x = engine.replay(spark.createDataFrame([("A", 0, 0.6, True, 1.0, 0.1, 3)], s), ["ticker"])
+    for df in (features.core(series(spark, [1, 2, 3])), x):
+        assert not any(w in df._jdf.queryExecution().toString() for w in ("InPandas", "InArrow", "ArrowEval", "BatchEvalPython"))
 
 
 def test_average_precision_with_ties(spark):
@@ -100,6 +120,32 @@ def test_acceptance(spark):
     assert r.accepted == "feature:1" and r.statistic == pytest.approx(0.011)
 
 
+def test_acceptance_needs_two_rotations_and_a_majority(spark):
+    d = lambda unit, *gains: [("T", 0, "flat", unit, "f", r, g) for r, g in enumerate(gains)]
+    one = lambda rows: search.acceptance(spark.createDataFrame(rows, "ticker string, outer_fold int, arm string, picked int, family string, rotation int, confirm_delta double")).first()
+    assert one(d(1, 0.9)).unit is None and one(d(1, 0.9)).statistic == 0
+    assert one(d(1, 0.9, -0.1)).unit is None
+    r = one(d(1, 0.002, 0.003))
+    assert r.unit == "feature:1" and r.accepted is None and r.statistic == pytest.approx(-0.0015)
+    r = one([("T", 0, "flat", 9, "f", 0, 0.05), ("T", 0, "flat", 2, "f", 1, 0.05), ("T", 0, "flat", 9, "f", 2, 0.05), ("T", 0, "flat", 2, "f", 3, 0.05), *d(3, None, 0.9)])
+    assert (r.accepted, r.units, r.units_eligible) == ("feature:9", 3, 2)
+
+
+def test_family_classes(spark):
+    rows = [("u", "A", "passed"), ("u", "B", "passed"), ("u", "C", "failed"), ("c", "A", "passed"), ("c", "B", "passed"), ("c", "C", "failed"), ("c", "D", None), ("a", "A", "passed"), ("s", "A", None), ("n", "A", "failed"), ("n", "A", "failed")]
+    x = search.family_matrix(spark.createDataFrame([(t, f, v) for f, t, v in rows], "ticker string, family string, null string"))
+    got = {r.family: (r.classification, r.recurrence, r.n_screening) for r in x.collect()}
+    assert got == {"u": ("universal", 0.667, 0), "c": ("conditional", 0.5, 1), "a": ("asset_specific", 1.0, 0), "s": ("screening_only", 0.0, 1), "n": ("unconfirmed", 0.0, 0)}
+    assert [r.family for r in search.transfer_prior(x).orderBy("place").collect()] == ["u", "c", "a", "s", "n"]
+
+
+def test_quality_counts_far_repeats_and_infinite_volume(spark):
+    b = series(spark, [10, 11, 12, 13]).withColumn("position", F.col("idx"))
+    again = b.withColumn("ts", F.when(F.col("idx") == 3, F.lit("2024-01-01 00:00:00").cast("timestamp")).otherwise(F.col("ts")))
+    assert B.quality(again).first().duplicate_ts == 1
+    assert B.quality(b.withColumn("volume", F.when(F.col("idx") == 1, float("inf")).otherwise(F.col("volume")))).first().bad_volume == 1
+
+
 def test_blocks_and_reorder(spark):
     x = search.blocks(spark.createDataFrame([("A", t) for t in (0, 5, 23, 24, 30, 48, 49)], "ticker string, t0 int"), 24)
     got = [(r.t0, r.block) for r in x.orderBy("t0").collect()]

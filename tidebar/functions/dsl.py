@@ -10,10 +10,10 @@ from __future__ import annotations
 import ast
 import itertools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.functions.folds import running, smoothed
 from tidebar.functions.rolling import back, full, last, zscore
 
 #: Names of the columns, and how many arguments each function takes.
@@ -115,14 +115,14 @@ class _Compiler:
         return F.col(self.kept(out))
 
     def _ewm(self, column: str, span: int) -> str:
-        name = next(self.names)
+        """Null until `span` values are there; nulls between add nothing."""
+        name, alpha = next(self.names), 2 / (span + 1)
 
-        def smooth(b: pd.DataFrame) -> pd.DataFrame:
-            b = b.sort_values("idx")
-            return b.assign(y=b["x"].ewm(span=span, adjust=False, min_periods=span).mean())[["ticker", "idx", "y"]]
+        def step(state: Column, row: Column) -> Column:
+            return F.struct(smoothed(state["y"], row[column], alpha).alias("y"), (state["n"] + row[column].isNotNull().cast("int")).alias("n"))
 
-        y = self.df.select("ticker", "idx", F.col(column).alias("x")).groupBy("ticker").applyInPandas(smooth, "ticker string, idx int, y double")
-        self.df = self.df.join(y.withColumnRenamed("y", name), ["ticker", "idx"])
+        x = running(self.df, ["ticker"], ["idx"], {"y": None, "n": 0}, "`y`: double, `n`: int", step, name)
+        self.df = x.withColumn(name, F.when(F.col(f"{name}.n") >= span, F.col(f"{name}.y")))
         return name
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.functions.folds import running
 from tidebar.operators.trades import EPS, Costs
 
 
@@ -23,52 +23,39 @@ def replay(scored: DataFrame, keys: list[str], costs: Costs = Costs(), tie: floa
     scored: keys, t0, p, passes (p reaches the threshold), size, net_return, flat_from. Returns every event with
     its fate (entered, ignored_while_open, threshold_rejects, not_selected, simultaneous_tie_skip, after_halt) and, if
     entered, trade_id, capital_before and capital_after. Keys are advanced side by side; one key's events
-    are one ordered pass in a task.
+    are one ordered fold, on the JVM.
     """
-    schema = ", ".join(f"`{c}` {scored.schema[c].dataType.simpleString()}" for c in [*keys, "t0", "p"]) + ", fate string, trade_id int, capital_before double, capital_after double"
-    columns = [*keys, "t0", "p", "fate", "trade_id", "capital_before", "capital_after"]
-
-    def walk(events: pd.DataFrame) -> pd.DataFrame:
-        e = events.sort_values(["t0", "p"], ascending=[True, False], kind="stable")
-        fate, number, before, after = [], [], [], []
-        capital, flat, trade, halted = costs.capital, None, 0, False
-
-        def put(what: str, n=None, b=None, a=None) -> None:
-            fate.append(what)
-            number.append(n)
-            before.append(b)
-            after.append(a)
-
-        for t0, group in e.groupby("t0", sort=True):
-            if halted:
-                for _ in group.index:
-                    put("after_halt")
-                continue
-            if flat is not None and t0 < flat:
-                for _ in group.index:
-                    put("ignored_while_open")
-                continue
-            rows = list(group.itertuples(index=False))
-            good = [r for r in rows if r.passes]
-            tied = len(good) > 1 and abs(good[0].p - good[1].p) <= tie
-            for i, r in enumerate(rows):
-                if not r.passes:
-                    put("threshold_rejects")
-                elif tied:
-                    put("simultaneous_tie_skip")
-                elif i or r.size <= 0:
-                    put("not_selected")
-                else:
-                    trade += 1
-                    start = capital
-                    capital = max(0.0, capital * (1 + max(r.size * r.net_return, -1.0)))
-                    flat, halted = r.flat_from, capital <= 0
-                    put("entered", trade, start, capital)
-        out = e[[*keys, "t0", "p"]].copy()
-        out["fate"], out["trade_id"], out["capital_before"], out["capital_after"] = fate, pd.array(number, "Int32"), before, after
-        return out[columns]
-
-    return scored.select(*keys, "t0", "p", "passes", "size", "net_return", "flat_from").groupBy(*keys).applyInPandas(walk, schema)
+    order = Window.partitionBy(*keys, "t0").orderBy("_rank", "size", "net_return", "flat_from")
+    good = F.when(F.col("passes"), F.col("p"))
+    x = scored.select(*keys, "t0", (-F.col("p")).alias("_rank"), "p", "passes", "size", "net_return", "flat_from")
+    x = x.withColumn("_place", F.row_number().over(order))
+    best = Window.partitionBy(*keys, "t0")
+    x = x.withColumn("_good", F.sort_array(F.collect_list(good).over(best), asc=False))
+    tied = (F.size("_good") > 1) & (F.abs(F.get("_good", F.lit(0)) - F.get("_good", F.lit(1))) <= tie)
+    alone = F.when(~F.coalesce("passes", F.lit(False)), "threshold_rejects").when(tied, "simultaneous_tie_skip").when((F.col("_place") > 1) | (F.col("size") <= 0), "not_selected").otherwise("entered")
+    x = x.withColumn("_alone", alone).drop("_good")
+
+    def step(s: Column, r: Column) -> Column:
+        # what holds for a bar's events is what held before the first of them
+        first = s["t0"].isNull() | (s["t0"] != r["t0"])
+        flat, halted = F.when(first, s["flat"]).otherwise(s["group_flat"]), F.when(first, s["halted"]).otherwise(s["group_halted"])
+        fate = F.when(halted, "after_halt").when(r["t0"] < flat, "ignored_while_open").otherwise(r["_alone"])
+        enters = fate == "entered"
+        capital = F.when(enters, F.greatest(F.lit(0.0), s["capital"] * (1 + F.greatest(r["size"] * r["net_return"], F.lit(-1.0))))).otherwise(s["capital"])
+        fields = {
+            "t0": r["t0"], "group_flat": flat, "group_halted": halted, "flat": F.when(enters, r["flat_from"]).otherwise(s["flat"]), "halted": s["halted"] | (enters & (capital <= 0)),
+            "trade": s["trade"] + enters.cast("int"), "before": s["capital"], "capital": capital, "fate": fate,
+        }
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    start = {"t0": None, "group_flat": None, "group_halted": False, "flat": None, "halted": False, "trade": 0, "before": None, "capital": costs.capital, "fate": None}
+    kind = "`t0`: int, `group_flat`: int, `group_halted`: boolean, `flat`: int, `halted`: boolean, `trade`: int, `before`: double, `capital`: double, `fate`: string"
+    y = running(x, keys, ["t0", "_place"], start, kind, step)
+    entered = F.col("state.fate") == "entered"
+    return y.select(
+        *keys, "t0", "p", F.col("state.fate").alias("fate"), F.when(entered, F.col("state.trade")).alias("trade_id"),
+        F.when(entered, F.col("state.before")).alias("capital_before"), F.when(entered, F.col("state.capital")).alias("capital_after"),
+    )
 
 
 def equity(bars: DataFrame, ledger: DataFrame, costs: Costs = Costs()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.rolling import back, by, full, last, ratio, sample_kurtosis, sample_skew, zscore
-from tidebar.operators.recurrences import recurrences
+from tidebar.operators.recurrences import with_recurrences
 
 EPS = 1e-9
 #: Names of the core features in order.
@@ -28,7 +28,7 @@ def _log_return(k: int) -> Column:
 def core(bars: DataFrame) -> DataFrame:
     """ticker, idx, ts, the core and opt-in features, atr (absolute)."""
     c = F.col("close")
-    b = bars.join(recurrences(bars), ["ticker", "idx"])
+    b = with_recurrences(bars)
     b = b.withColumns({f"log_return_{k}": _log_return(k) for k in (1, 5, 20)} | {f"sma_{n}": full(F.avg, c, n) for n in (4, 10, 20, 50)} | {"dev_20": full(F.stddev_pop, c, 20)})
     width = 4 * F.col("dev_20")
     low = F.col("sma_20") - 2 * F.col("dev_20")
@@ -65,7 +65,7 @@ def _streak(sign: int, n: int = 10) -> Column:
 def optional(bars: DataFrame) -> DataFrame:
     """ticker, idx and OPTIONAL."""
     c, h, lo = F.col("close"), F.col("high"), F.col("low")
-    b = bars.join(recurrences(bars).select("ticker", "idx", "atr_5", "atr_14", "atr_20", "rsi_2"), ["ticker", "idx"])
+    b = with_recurrences(bars)
     b = b.withColumns({"r1": _log_return(1), "change": c - back("close", 1), "gap": F.col("open") / back("close", 1) - 1})
     b = b.withColumn("obv", F.sum(F.coalesce(F.signum("change"), F.lit(0.0)) * F.col("volume")).over(by().rowsBetween(Window.unboundedPreceding, 0)))
     high14, low14 = full(F.max, h, 14), full(F.min, lo, 14)

@@ -28,7 +28,7 @@ def bin_stats(rows: DataFrame, edges: list[float]) -> DataFrame:
     return x.withColumn("rate", F.col("n_entry") / F.col("n")).withColumn("lift", F.when(base > 0, F.col("n_entry") / F.col("n") / F.when(base > 0, base)).otherwise(0.0))
 
 
-def entry_segments(rows: DataFrame, edges: list[float], lift: float = 1.2, least_rows: int = 20) -> DataFrame:
+def entry_segments(rows: DataFrame, edges: list[float], lift: float = 1.25, least_rows: int = 20) -> DataFrame:
     """Runs of bins of one class (hot or cold): lo_bin, hi_bin, class, n, n_entry.
 
     Empty bins extend the run before them, also at a change of class; leading ones belong to none.

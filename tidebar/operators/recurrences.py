@@ -1,55 +1,58 @@
-"""Indicators that depend on their own last value. One sorted pass over each ticker's bars."""
+"""Indicators that depend on their own last value: one ordered fold over each ticker's bars, on the JVM."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-COLUMNS = ["atr_5", "atr_14", "atr_20", "rsi_2", "rsi_14", "macd_line", "macd_signal", "macd_hist"]
-
-
-def wilder_atr(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int) -> np.ndarray:
-    """Mean of the first n true ranges, then (a (n - 1) + tr) / n."""
-    out = np.full(len(close), np.nan)
-    if len(close) < n:
-        return out
-    before = np.concatenate([close[:1], close[:-1]])
-    tr = np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before)))
-    a = out[n - 1] = tr[:n].mean()
-    for i in range(n, len(tr)):
-        a = out[i] = (a * (n - 1) + tr[i]) / n
-    return out
-
-
-def ewm(x: pd.Series, alpha: float, least: int) -> pd.Series:
-    """y = (1 - alpha) y + alpha x from the first value on; null until `least` values."""
-    return x.ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-
-
-def rsi(close: pd.Series, n: int) -> pd.Series:
-    change = close.diff()
-    up, down = ewm(change.clip(lower=0), 1 / n, n), ewm((-change).clip(lower=0), 1 / n, n)
-    out = 100 - 100 / (1 + up / down.where(down > 0))
-    return out.where(down > 0, np.where(up > 0, 100.0, 50.0)).where(up.notna())
-
-
-def _all(bars: pd.DataFrame) -> pd.DataFrame:
-    b = bars.sort_values("idx")
-    out = b[["ticker", "idx"]].copy()
-    h, lo, c = (b[x].to_numpy(float) for x in ("high", "low", "close"))
-    for n in (5, 14, 20):
-        out[f"atr_{n}"] = wilder_atr(h, lo, c, n)
-    for n in (2, 14):
-        out[f"rsi_{n}"] = rsi(b["close"], n)
-    line = ewm(b["close"], 2 / 13, 12) - ewm(b["close"], 2 / 27, 26)
-    out["macd_line"] = line
-    out["macd_signal"] = ewm(line, 2 / 10, 9)
-    out["macd_hist"] = line - out["macd_signal"]
-    return out.astype(object).where(out.notna(), None)
-
-
-def recurrences(bars: DataFrame) -> DataFrame:
-    """ticker, idx and COLUMNS. Needs one ticker's bars (not its raw rows) in a task."""
-    schema = "ticker string, idx int, " + ", ".join(f"{c} double" for c in COLUMNS)
-    return bars.select("ticker", "idx", "high", "low", "close").groupBy("ticker").applyInPandas(_all, schema)
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidebar.functions.folds import running, smoothed
+from tidebar.functions.rolling import back
+
+RANGES, STRENGTHS = (5, 14, 20), (2, 14)
+FAST, SLOW, SIGNAL = 12, 26, 9
+#: Its columns with these lengths.
+COLUMNS = [*[f"atr_{n}" for n in RANGES], *[f"rsi_{n}" for n in STRENGTHS], "macd_line", "macd_signal", "macd_hist"]
+
+
+def true_range() -> Column:
+    """The bar's range, widened to the close before; the first bar's own range."""
+    high, low = F.col("high"), F.col("low")
+    before = F.coalesce(back("close", 1), F.col("close"))
+    return F.greatest(high, before) - F.least(low, before)
+
+
+def strength(up: Column, down: Column) -> Column:
+    """Relative strength index of the smoothed rises and falls: 100 without falls, 50 without either."""
+    return F.when(down > 0, 100 * up / (up + down)).when(up > 0, 100.0).otherwise(50.0)
+
+
+def with_recurrences(bars: DataFrame, ranges: tuple[int, ...] = RANGES, strengths: tuple[int, ...] = STRENGTHS) -> DataFrame:
+    """bars and COLUMNS, or those of other lengths. A value is null until the bars it is first defined on are there.
+
+    Average ranges start with the mean of their first n true ranges, other means with their first value. A
+    null price changes no mean. One ticker's bars, not its raw rows, are one pass.
+    """
+    change = F.col("close") - back("close", 1)
+    x = bars.withColumns({"_range": true_range(), "_up": F.when(change >= 0, change).otherwise(change * 0), "_down": F.when(change < 0, -change).otherwise(change * 0)})
+    names = ["sum", *[f"range_{n}" for n in ranges], *[f"{way}_{n}" for n in strengths for way in ("up", "down")], "fast", "slow", "signal"]
+
+    def step(s: Column, b: Column) -> Column:
+        seen = b["idx"] + 1
+        out = {"sum": s["sum"] + F.coalesce(b["_range"], F.lit(0.0))}
+        for n in ranges:
+            out[f"range_{n}"] = F.when(seen <= n, (s["sum"] + b["_range"]) / n).otherwise(smoothed(s[f"range_{n}"], b["_range"], 1 / n))
+        for n in strengths:
+            for way in ("up", "down"):
+                out[f"{way}_{n}"] = smoothed(s[f"{way}_{n}"], b[f"_{way}"], 1 / n)
+        out["fast"], out["slow"] = (smoothed(s[k], b["close"], 2 / (n + 1)) for k, n in (("fast", FAST), ("slow", SLOW)))
+        out["signal"] = F.when(seen >= SLOW, smoothed(s["signal"], out["fast"] - out["slow"], 2 / (SIGNAL + 1)))
+        return F.struct(*[out[k].alias(k) for k in names])
+
+    y = running(x, ["ticker"], ["idx"], {k: 0.0 if k == "sum" else None for k in names}, ", ".join(f"`{k}`: double" for k in names), step)
+    seen = F.col("idx") + 1
+    line = F.col("state.fast") - F.col("state.slow")
+    out = {f"atr_{n}": F.when(seen >= n, F.col(f"state.range_{n}")) for n in ranges}
+    out |= {f"rsi_{n}": F.when(seen > n, strength(F.col(f"state.up_{n}"), F.col(f"state.down_{n}"))) for n in strengths}
+    ready = seen >= SLOW + SIGNAL - 1
+    out |= {"macd_line": F.when(seen >= SLOW, line), "macd_signal": F.when(ready, F.col("state.signal")), "macd_hist": F.when(ready, line - F.col("state.signal"))}
+    return y.select(*bars.columns, *[v.alias(k) for k, v in out.items()])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.functions.folds import running
+
 
 def complexity(formula: Column) -> Column:
     """Longest look-back, operators, length: smaller is simpler."""
@@ -46,17 +48,24 @@ def pool_order(ranked: DataFrame, ranges: int = 32) -> DataFrame:
     return x.select("family", "id", "representative", place.alias("place"))  # one row for each feature
 
 
-def acceptance(rotations: DataFrame, penalty: float = 0.004) -> DataFrame:
-    """Per ticker, fold and arm: the unit with the best median gain, and the statistic max(median - penalty).
+def acceptance(rotations: DataFrame, penalty: float = 0.004, least: int = 2, majority: float = 0.5) -> DataFrame:
+    """Per ticker, fold and arm: the eligible unit with the best median gain less the penalty, and whether it is accepted.
 
-    A unit is a feature in the flat arm, a family in the hierarchical one; it is eligible if it won more
-    often than not and its median gain is positive.
+    A unit is a feature in the flat arm, a family in the hierarchical one; it is eligible if at least `least`
+    comparable rotations picked it and it gained in more than `majority` of them. The statistic is its score, 0 without
+    an eligible unit; the unit is accepted if that is above 0. Of equal scores the unit first picked wins, by
+    `rotation` if there is such a column, then by name. Rotations without a gain count for nothing.
     """
     unit = F.when(F.col("arm") == "flat", F.concat(F.lit("feature:"), F.col("picked").cast("string"))).otherwise(F.concat(F.lit("family:"), F.col("family")))
-    x = rotations.where("confirm_delta IS NOT NULL").withColumn("unit", unit).groupBy("ticker", "outer_fold", "arm", "unit").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("confirm_delta") > 0).cast("double")).alias("win"), F.median("confirm_delta").alias("median"))
-    x = x.withColumn("eligible", (F.col("win") > 0.5) & (F.col("median") > 0))
-    best = F.max(F.when(F.col("eligible"), F.struct(F.col("median"), F.col("unit"))))
-    return x.groupBy("ticker", "outer_fold", "arm").agg(F.count(F.lit(1)).alias("units"), best["unit"].alias("accepted"), F.coalesce(best["median"] - penalty, F.lit(0.0)).alias("statistic"))
+    first = F.min(F.col("rotation") if "rotation" in rotations.columns else F.lit(0))
+    x = rotations.where("confirm_delta IS NOT NULL").withColumn("unit", unit).groupBy("ticker", "outer_fold", "arm", "unit").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("confirm_delta") > 0).cast("int")).alias("wins"), F.median("confirm_delta").alias("median"), first.alias("first"),
+    )
+    x = x.withColumn("eligible", (F.col("n") >= least) & (F.col("wins") / F.col("n") > majority))
+    best = F.min(F.when(F.col("eligible"), F.struct((-F.col("median")).alias("m"), "first", "unit", "n", "wins")))
+    x = x.groupBy("ticker", "outer_fold", "arm").agg(F.count(F.lit(1)).alias("units"), F.sum(F.col("eligible").cast("int")).alias("units_eligible"), best.alias("best"))
+    score = F.coalesce(-F.col("best.m") - penalty, F.lit(0.0))
+    return x.select("ticker", "outer_fold", "arm", "units", "units_eligible", F.col("best.unit").alias("unit"), F.coalesce("best.n", F.lit(0)).alias("rotations"), F.coalesce("best.wins", F.lit(0)).alias("wins"), F.when(score > 0, F.col("best.unit")).alias("accepted"), score.alias("statistic"))
 
 
 def exceedance(null: DataFrame, observed: DataFrame, keys: list[str], pass_at: int = 4) -> DataFrame:
@@ -76,14 +85,11 @@ def blocks(times: DataFrame, span: int) -> DataFrame:
 
     Each block depends on where the last one began, so a ticker's times are one ordered fold.
     """
-    start = F.struct(F.lit(None).cast("int").alias("begin"), F.lit(-1).alias("block"), F.array().cast("array<struct<t0: int, block: int>>").alias("out"))
-
-    def step(a, t):
-        new = a["begin"].isNull() | (t - a["begin"] >= span)
-        block = F.when(new, a["block"] + 1).otherwise(a["block"])
-        return F.struct(F.when(new, t).otherwise(a["begin"]).alias("begin"), block.alias("block"), F.array_append(a["out"], F.struct(t.alias("t0"), block.alias("block"))).alias("out"))
+    def step(a: Column, r: Column) -> Column:
+        new = a["begin"].isNull() | (r["t0"] - a["begin"] >= span)
+        return F.struct(F.when(new, r["t0"]).otherwise(a["begin"]).alias("begin"), (a["block"] + new.cast("int")).alias("block"))
 
-    x = times.groupBy("ticker").agg(F.array_sort(F.collect_list("t0")).alias("ts")).select("ticker", F.inline(F.aggregate("ts", start, step, lambda a: a["out"])))
+    x = running(times.select("ticker", "t0"), ["ticker"], ["t0"], {"begin": None, "block": -1}, "`begin`: int, `block`: int", step).select("ticker", "t0", "state.block")
     return x.withColumn("pos", F.row_number().over(Window.partitionBy("ticker", "block").orderBy("t0")) - 1)
 
 
@@ -104,9 +110,27 @@ def permuted(blocked: DataFrame, seed: int, number: int) -> DataFrame:
     return dst.join(src, ["ticker", "place"]).select("ticker", "t0", "src_t0")
 
 
-def family_matrix(accepted: DataFrame) -> DataFrame:
-    """Per family: assets, recurrence, class. accepted: ticker, family, passed (0 or 1)."""
-    per = accepted.groupBy("family", "ticker").agg(F.max("passed").alias("passed"), F.count(F.lit(1)).alias("seen"))
-    x = per.groupBy("family").agg(F.count(F.lit(1)).alias("assets"), F.sum("passed").alias("passed"), F.sum("seen").alias("recurrence"))
-    kind = F.when(F.col("passed") >= 3, "cross_asset").when(F.col("passed") == 2, "pair").when(F.col("passed") == 1, "single").otherwise("none")
-    return x.withColumn("kind", kind)
+def family_matrix(accepted: DataFrame, majority: float = 0.5) -> DataFrame:
+    """Per family, in how many tickers it was accepted and in how many of them the null run confirmed it, and its class.
+
+    accepted: ticker, family, null (passed, failed, or null where no null run was made), one row for each fold and arm
+    that accepted it. Recurrence is the confirmed share of the tickers, to three places.
+    """
+    passed, missing = F.max(F.coalesce(F.col("null") == "passed", F.lit(False)).cast("int")), F.max(F.col("null").isNull().cast("int"))
+    per = accepted.groupBy("family", "ticker").agg(passed.alias("passed"), missing.alias("missing"))
+    x = per.groupBy("family").agg(F.count(F.lit(1)).alias("n_provisional"), F.sum("passed").alias("n_confirmed"), F.sum(((F.col("missing") == 1) & (F.col("passed") == 0)).cast("int")).alias("n_screening"))
+    kind = (
+        F.when((F.col("n_confirmed") == 0) & (F.col("n_screening") == 0), "unconfirmed").when(F.col("n_confirmed") == 0, "screening_only").when(F.col("n_confirmed") == 1, "asset_specific")
+        .when(F.col("n_confirmed") > majority * F.col("n_provisional"), "universal").otherwise("conditional")
+    )
+    return x.withColumns({"classification": kind, "recurrence": F.round(F.col("n_confirmed") / F.col("n_provisional"), 3)})
+
+
+#: The classes, the most transferable first.
+CLASSES = "universal conditional asset_specific screening_only unconfirmed".split()
+
+
+def transfer_prior(matrix: DataFrame) -> DataFrame:
+    """The matrix with `place`, the order in which to search families on a new ticker. One row for each family."""
+    order = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("classification"))
+    return matrix.withColumn("place", F.row_number().over(Window.orderBy(order, F.desc("n_confirmed"), F.desc("recurrence"), "family")))

@@ -96,7 +96,7 @@ def feature_contributions(spark, d):
 
 
 def feature_tooltips(spark, d):
-    x = B.read(spark, d, "part").where("p_partkey <= 500").select(F.col("p_partkey").alias("feature_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("family"))
+    x = B.read(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("family"))
     return C.tooltips(x)
 
 
@@ -170,7 +170,7 @@ def trajectory_bands(spark, d):
 
 
 def interval_overlap(spark, d):
-    x = B.read(spark, d, "lineitem").where("l_orderkey <= 2000").select(F.col("l_orderkey").alias("key"), F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise("b").alias("side"), F.col("l_quantity").alias("lo"), (F.col("l_quantity") + 3 + F.col("l_linenumber")).alias("hi"))
+    x = B.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise("b").alias("side"), F.col("l_quantity").alias("lo"), (F.col("l_quantity") + 3 + F.col("l_linenumber")).alias("hi"))
     return rounded(I.interval_jaccard(x), ["jaccard"])
 
 
@@ -193,7 +193,7 @@ def five_significant_digits(spark, d):
     return B.read(spark, d, "part").select("p_partkey", I.five_digits(F.col("p_retailprice") / 7).alias("v"))
 
 
-_ROT = "o_orderpriority AS ticker, o_orderkey % 3 AS outer_fold, CASE WHEN o_custkey % 2 = 0 THEN 'flat' ELSE 'hierarchical' END AS arm, o_custkey % 11 AS picked, concat('f', cast(o_custkey % 4 as varchar(5))) AS family, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE floor(o_totalprice) % 1000 / 10000.0 - 0.047 END AS confirm_delta"
+_ROT = "o_orderpriority AS ticker, o_orderkey AS rotation, o_orderkey % 3 AS outer_fold, CASE WHEN o_custkey % 2 = 0 THEN 'flat' ELSE 'hierarchical' END AS arm, o_custkey % 11 AS picked, concat('f', cast(o_custkey % 4 as varchar(5))) AS family, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE floor(o_totalprice) % 1000 / 10000.0 - 0.047 END AS confirm_delta"
 
 
 def rotation_acceptance(spark, d):
@@ -215,7 +215,7 @@ def _split_top(text: str) -> list[str]:
 
 
 def _variants(spark, d):
-    x = B.read(spark, d, "part").where("p_partkey <= 400")
+    x = B.read(spark, d, "part")
     m = F.floor("p_retailprice") % 97 / 1000.0
     return x.select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("id"), m.alias("mean"), F.array(m - 0.01, m + 0.02, m - 0.005 * (F.col("p_size") % 3)).alias("folds"), F.concat(F.lit("rolling_mean(c,"), F.col("p_size").cast("string"), F.lit(")/c-1")).alias("formula"))
 
@@ -257,9 +257,18 @@ def block_permutation(spark, d):
     return R.permuted(R.blocks(_t0(spark, d), 24), 42, 1)
 
 
+def _accepted(spark, d):
+    x = B.read(spark, d, "lineitem").join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_quantity > 49")
+    verdict = F.when(F.col("l_orderkey") % 13 == 0, "passed").when(F.col("l_orderkey") % 5 > 0, "failed")
+    return x.select(F.col("p_type").alias("family"), F.concat("l_returnflag", F.col("l_suppkey").cast("string")).alias("ticker"), verdict.alias("null"))
+
+
 def family_matrix(spark, d):
-    x = B.read(spark, d, "lineitem").join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.substring("p_type", 1, 3).alias("family"), F.col("l_returnflag").alias("ticker"), (F.col("l_discount") > 0.095).cast("int").alias("passed"))
-    return R.family_matrix(x)
+    return R.family_matrix(_accepted(spark, d))
+
+
+def transfer_prior(spark, d):
+    return R.transfer_prior(R.family_matrix(_accepted(spark, d))).select("place", "family", "classification")
 
 
 _BASE = f"""{S.core_features(S.BARS_1H)}, cand AS (SELECT ticker, idx AS t0 FROM (SELECT *, max(idx) OVER (PARTITION BY ticker) AS last FROM core) WHERE idx < last AND log_return_5 <> 0 AND atr > 1e-9)"""
@@ -267,11 +276,16 @@ _BLOCKS = f"""{_BASE}, num AS (SELECT ticker, t0, row_number() OVER (PARTITION B
 walk AS (SELECT ticker, t0, k, t0 AS b0, 0 AS block FROM num WHERE k = 1 UNION ALL
   SELECT n.ticker, n.t0, n.k, CASE WHEN n.t0 - b0 >= 24 THEN n.t0 ELSE b0 END, CASE WHEN n.t0 - b0 >= 24 THEN block + 1 ELSE block END FROM walk JOIN num n ON n.ticker = walk.ticker AND n.k = walk.k + 1),
 blk AS (SELECT ticker, t0, block, (row_number() OVER (PARTITION BY ticker, block ORDER BY t0) - 1)::INT AS pos FROM walk)"""
+_MATRIX = """WITH a AS (SELECT p_type AS family, l_returnflag || l_suppkey AS ticker, CASE WHEN l_orderkey % 13 = 0 THEN 'passed' WHEN l_orderkey % 5 > 0 THEN 'failed' END AS v FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
+t AS (SELECT family, ticker, coalesce(bool_or(v = 'passed'), false) AS passed, bool_or(v IS NULL) AS missing FROM a GROUP BY ALL),
+f AS (SELECT family, count(*) AS n_provisional, sum(passed::INT)::BIGINT AS n_confirmed, sum((missing AND NOT passed)::INT)::BIGINT AS n_screening FROM t GROUP BY family),
+m AS (SELECT *, CASE WHEN n_confirmed = 0 AND n_screening = 0 THEN 'unconfirmed' WHEN n_confirmed = 0 THEN 'screening_only' WHEN n_confirmed = 1 THEN 'asset_specific' WHEN n_confirmed > 0.5 * n_provisional THEN 'universal' ELSE 'conditional' END AS classification,
+  round(n_confirmed / n_provisional, 3) AS recurrence FROM f)"""
 _BINS = f"""bins AS (SELECT len(list_filter({EDGES}, lambda e: e::FLOAT <= (l_extendedprice / 10000)::FLOAT))::INT AS bin, count(*) AS n, sum((l_returnflag = 'R')::INT)::BIGINT AS n_entry FROM lineitem GROUP BY 1),
 stats AS (SELECT *, n_entry / n AS rate, (n_entry / n) / (sum(n_entry) OVER () / sum(n) OVER ()) AS lift FROM bins)"""
 _MODE = "CASE WHEN trade_floor_met = 0 THEN 'TRAIN_OOF_FLOOR_NOT_MET' WHEN model_trades = 0 THEN 'HODL_FALLBACK_NO_MODEL_TRADES' WHEN model_trades = 1 THEN 'ML_ONE_TRADE_LOW_EVIDENCE' ELSE 'ML_MULTI_TRADE' END"
 _VARIANTS = """v AS (SELECT p_brand AS family, p_partkey AS id, floor(p_retailprice) % 97 / 1000.0 AS mean, 'rolling_mean(c,' || p_size || ')/c-1' AS formula, p_size,
-  [floor(p_retailprice) % 97 / 1000.0 - 0.01, floor(p_retailprice) % 97 / 1000.0 + 0.02, floor(p_retailprice) % 97 / 1000.0 - 0.005 * (p_size % 3)] AS folds FROM part WHERE p_partkey <= 400),
+  [floor(p_retailprice) % 97 / 1000.0 - 0.01, floor(p_retailprice) % 97 / 1000.0 + 0.02, floor(p_retailprice) % 97 / 1000.0 - 0.005 * (p_size % 3)] AS folds FROM part),
 s AS (SELECT *, list_aggregate(folds, 'stddev_samp') / sqrt(3) AS own, row_number() OVER (PARTITION BY family ORDER BY mean DESC, id) AS r FROM v),
 b AS (SELECT s.family, s.id, s.mean, t.id AS best, t.mean AS best_mean, t.own AS se, s.mean >= t.mean - t.own AS in_plateau, greatest(s.p_size, 1) AS history, length(s.formula) AS size FROM s JOIN s t ON t.family = s.family AND t.r = 1),
 o AS (SELECT family, id, mean, best, best_mean, se, in_plateau, in_plateau AND row_number() OVER (PARTITION BY family, in_plateau ORDER BY history, size, id) = 1 AS representative FROM b)"""
@@ -279,7 +293,7 @@ o AS (SELECT family, id, mean, best, best_mean, se, in_plateau, in_plateau AND r
 QUERIES = {n: globals()[n] for n in (
     "console_overview console_payoff console_basket console_overlap console_trade_buckets console_return_histogram console_result_rows console_mode_counts console_coverage console_health result_upsert feature_contributions "
     "feature_tooltips table_profile return_correlations filter_cascade nearest_rank_quantiles sample_digest ledger_chain ledger_latest entry_bins entry_segments split_harvest feature_quantiles trajectory_bands interval_overlap "
-    "rank_correlation fold_ranking shap_sign_flips five_significant_digits rotation_acceptance one_se_representatives search_pool_order null_exceedance wilson_interval time_blocks macro_segments block_permutation family_matrix"
+    "rank_correlation fold_ranking shap_sign_flips five_significant_digits rotation_acceptance one_se_representatives search_pool_order null_exceedance wilson_interval time_blocks macro_segments block_permutation family_matrix transfer_prior"
 ).split()}
 
 ORACLES = {
@@ -305,7 +319,7 @@ ORACLES = {
     "feature_contributions": """WITH g AS (SELECT p_brand AS ticker, substr(p_type, 1, 3) AS family, p_type AS feature, sum(p_retailprice) AS gain FROM part GROUP BY ALL),
       s AS (SELECT *, gain / sum(gain) OVER (PARTITION BY ticker) AS share FROM g)
       SELECT ticker, family, feature, round(share, 6) AS share, round(sum(share) OVER (PARTITION BY ticker, family), 6) AS family_share, row_number() OVER (PARTITION BY ticker ORDER BY share DESC, feature)::INT AS rank FROM s""",
-    "feature_tooltips": "SELECT p_brand AS family, string_agg(p_partkey || ':' || p_name, ',' ORDER BY p_partkey) AS members, count(*) AS n FROM part WHERE p_partkey <= 500 GROUP BY p_brand",
+    "feature_tooltips": "SELECT p_brand AS family, string_agg(p_partkey || ':' || p_name, ',' ORDER BY p_partkey) AS members, count(*) AS n FROM part GROUP BY p_brand",
     "table_profile": f"""WITH {S.BARS_1H}, l AS (SELECT *, (epoch(ts) - epoch(lag(ts) OVER w)) / 3600 AS gap, ln(close / lag(close) OVER w) AS r FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY idx)),
       p AS (SELECT ticker, count(*) AS bars, count(DISTINCT close) AS distinct_close, count(*) FILTER (volume = 0) AS zero_volume, count(*) FILTER (high = low) AS flat, count(*) FILTER (gap > 1) AS gaps, max(gap)::BIGINT AS max_gap_hours,
         max(abs(r)) AS max_abs_return, count(*) FILTER (abs(r) > 0.35) AS violent, stddev_samp(r) AS volatility, median(close * volume) AS median_turnover, min(close) AS min_close, max(close) AS max_close FROM l GROUP BY ticker),
@@ -335,7 +349,7 @@ ORACLES = {
     "trajectory_bands": f"""{S.core_features(S.BARS_1H)}, ok AS (SELECT ticker, idx, direction, count(CASE WHEN log_return_5 IS NOT NULL AND rsi_14 IS NOT NULL THEN 1 END) OVER (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS n FROM core),
       st AS (SELECT CASE WHEN o.direction > 0 THEN 'entry' ELSE 'rest' END AS "group", (c.idx - o.idx + 11)::INT AS step, c.log_return_5::FLOAT::DOUBLE AS a, c.rsi_14::FLOAT::DOUBLE AS b FROM ok o JOIN core c ON c.ticker = o.ticker AND c.idx BETWEEN o.idx - 11 AND o.idx WHERE n = 12)
       SELECT "group", f::INT AS feature, step, count(*) AS n, round(avg(v), 4) + 0.0 AS mean, round(stddev_pop(v), 4) + 0.0 AS dev FROM (SELECT "group", step, 0 AS f, a AS v FROM st UNION ALL SELECT "group", step, 1, b FROM st) GROUP BY ALL""",
-    "interval_overlap": """WITH s AS (SELECT DISTINCT l_orderkey AS key, l_linenumber % 2 AS side, unnest(range(l_quantity::INT, (l_quantity + 3 + l_linenumber)::INT)) AS u FROM lineitem WHERE l_orderkey <= 2000),
+    "interval_overlap": """WITH s AS (SELECT DISTINCT l_orderkey AS key, l_linenumber % 2 AS side, unnest(range(l_quantity::INT, (l_quantity + 3 + l_linenumber)::INT)) AS u FROM lineitem),
       c AS (SELECT key, u, count(*) AS k FROM s GROUP BY ALL) SELECT key, round(count(*) FILTER (k = 2) / count(*), 6) AS jaccard FROM c GROUP BY key""",
     "rank_correlation": """WITH a AS (SELECT p_brand AS key, avg(p_retailprice) AS a, avg(p_size) AS b FROM part GROUP BY ALL), r AS (SELECT row_number() OVER (ORDER BY a DESC, key) - row_number() OVER (ORDER BY b DESC, key) AS d FROM a)
       SELECT count(*) AS n, round(1 - 6 * sum(d * d) / (count(*) * (count(*) * count(*) - 1)), 6) AS rho FROM r""",
@@ -344,8 +358,11 @@ ORACLES = {
     "shap_sign_flips": """WITH g AS (SELECT l_linestatus AS feature, floor(l_quantity / 2) AS cell, avg(l_discount) - 0.05 AS mean, count(*) AS n FROM lineitem GROUP BY ALL),
       f AS (SELECT feature, CASE WHEN sign(mean) * lag(sign(mean)) OVER (PARTITION BY feature ORDER BY cell) < 0 THEN 1 ELSE 0 END AS flip FROM g WHERE n >= 25) SELECT feature, sum(flip)::BIGINT AS flips, sum(flip) >= 2 AS reversal FROM f GROUP BY feature""",
     "five_significant_digits": "SELECT p_partkey, printf('%.4e', p_retailprice / 7)::DOUBLE AS v FROM part",
-    "rotation_acceptance": f"""WITH r AS (SELECT {_ROT} FROM orders), u AS (SELECT ticker, outer_fold, arm, CASE WHEN arm = 'flat' THEN 'feature:' || picked ELSE 'family:' || family END AS unit, avg((confirm_delta > 0)::INT) AS win, median(confirm_delta) AS med FROM r WHERE confirm_delta IS NOT NULL GROUP BY ALL)
-      SELECT ticker, outer_fold, arm, count(*) AS units, arg_max(unit, (med, unit)) FILTER (win > 0.5 AND med > 0) AS accepted, round(coalesce(max(med) FILTER (win > 0.5 AND med > 0) - 0.004, 0), 6) AS statistic FROM u GROUP BY ALL""",
+    "rotation_acceptance": f"""WITH r AS (SELECT {_ROT} FROM orders),
+      u AS (SELECT ticker, outer_fold, arm, CASE WHEN arm = 'flat' THEN 'feature:' || picked ELSE 'family:' || family END AS unit, count(*) AS n, sum((confirm_delta > 0)::INT)::BIGINT AS wins, median(confirm_delta) AS med, min(rotation) AS first FROM r WHERE confirm_delta IS NOT NULL GROUP BY ALL),
+      e AS (SELECT *, n >= 2 AND wins / n > 0.5 AS ok FROM u), k AS (SELECT *, row_number() OVER (PARTITION BY ticker, outer_fold, arm, ok ORDER BY med DESC, first, unit) AS place FROM e)
+      SELECT ticker, outer_fold, arm, count(*) AS units, count(*) FILTER (ok) AS units_eligible, max(unit) FILTER (ok AND place = 1) AS unit, coalesce(max(n) FILTER (ok AND place = 1), 0) AS rotations, coalesce(max(wins) FILTER (ok AND place = 1), 0) AS wins,
+        max(unit) FILTER (ok AND place = 1 AND med - 0.004 > 0) AS accepted, round(coalesce(max(med) FILTER (ok AND place = 1) - 0.004, 0), 6) + 0.0 AS statistic FROM k GROUP BY ALL""",
     "one_se_representatives": f"WITH {_VARIANTS} SELECT family, id, round(mean, 6) AS mean, best, round(best_mean, 6) AS best_mean, round(se, 6) AS se, in_plateau, representative FROM o",
     "search_pool_order": f"WITH {_VARIANTS} SELECT family, id, representative, row_number() OVER (ORDER BY NOT representative, CASE WHEN representative THEN best_mean ELSE mean END DESC, id)::INT AS place FROM o",
     "null_exceedance": """WITH n AS (SELECT o_orderpriority AS ticker, o_orderkey % 50 AS perm, max(o_totalprice) AS t FROM orders GROUP BY ALL), s AS (SELECT o_orderpriority AS ticker, max(o_totalprice) * 0.995 AS statistic FROM orders GROUP BY ALL),
@@ -356,6 +373,7 @@ ORACLES = {
     "macro_segments": f"{_BASE} SELECT ticker, t0, least(3, floor((t0 - min(t0) OVER t) / ((max(t0) OVER t + 1 - min(t0) OVER t) / 4.0)))::INT AS segment FROM cand WINDOW t AS (PARTITION BY ticker)",
     "block_permutation": f"""{_BLOCKS}, o AS (SELECT *, md5(concat_ws('-', '42', '1', ticker, block::VARCHAR)) AS o FROM blk), src AS (SELECT ticker, t0 AS src_t0, row_number() OVER (PARTITION BY ticker ORDER BY o, block, pos) AS place FROM o),
       dst AS (SELECT ticker, t0, row_number() OVER (PARTITION BY ticker ORDER BY t0) AS place FROM o) SELECT ticker, t0, src_t0 FROM dst JOIN src USING (ticker, place)""",
-    "family_matrix": """WITH p AS (SELECT substr(p_type, 1, 3) AS family, l_returnflag AS ticker, max((l_discount > 0.095)::INT) AS passed, count(*) AS seen FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
-      f AS (SELECT family, count(*) AS assets, sum(passed)::BIGINT AS passed, sum(seen)::BIGINT AS recurrence FROM p GROUP BY family) SELECT *, CASE WHEN passed >= 3 THEN 'cross_asset' WHEN passed = 2 THEN 'pair' WHEN passed = 1 THEN 'single' ELSE 'none' END AS kind FROM f""",
+    "family_matrix": f"{_MATRIX} SELECT * FROM m",
+    "transfer_prior": f"""{_MATRIX}, c AS (SELECT *, list_position(['universal', 'conditional', 'asset_specific', 'screening_only', 'unconfirmed'], classification) AS k FROM m)
+      SELECT row_number() OVER (ORDER BY k, n_confirmed DESC, recurrence DESC, family)::INT AS place, family, classification FROM c""",
 }

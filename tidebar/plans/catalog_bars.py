@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebar.operators import features as X
@@ -52,17 +52,21 @@ SESSIONS = f"""{S.BARS_1H}, s AS (
 def source_quality(spark, d):
     """Rules broken, on a copy of the bars with every seventh row spoilt in one way or another."""
     b = hourly(spark, d)
-    k = F.col("idx") % 35
-    return B.quality(b.withColumns({"high": F.when(k == 7, F.col("low") - 1).otherwise(F.col("high")), "open": F.when(k == 14, -F.col("open")).otherwise(F.col("open")), "volume": F.when(k == 21, F.lit(float("nan"))).otherwise(F.col("volume")), "ts": F.when(k == 28, F.lit(None)).otherwise(F.col("ts"))}).withColumn("position", F.col("idx")))
+    k, first = F.col("idx") % 42, F.min("ts").over(Window.partitionBy("ticker"))
+    spoilt = {
+        "high": F.when(k == 7, F.col("low") - 1).otherwise(F.col("high")), "open": F.when(k == 14, -F.col("open")).otherwise(F.col("open")),
+        "volume": F.when(k == 21, F.lit(float("nan"))).when(k == 22, F.lit(float("inf"))).otherwise(F.col("volume")), "ts": F.when(k == 28, F.lit(None)).when(k == 35, first).otherwise(F.col("ts")),
+    }
+    return B.quality(b.withColumns(spoilt).withColumn("position", F.col("idx")))
 
 
 SOURCE_QUALITY = f"""WITH {S.BARS_1H}, spoilt AS (
-  SELECT ticker, idx, CASE WHEN idx % 35 = 28 THEN NULL ELSE ts END AS ts, CASE WHEN idx % 35 = 14 THEN -open ELSE open END AS open,
-    CASE WHEN idx % 35 = 7 THEN low - 1 ELSE high END AS high, low, close, CASE WHEN idx % 35 = 21 THEN 'nan'::DOUBLE ELSE volume END AS volume FROM bars),
-l AS (SELECT *, lag(ts) OVER (PARTITION BY ticker ORDER BY idx) AS before FROM spoilt)
-SELECT ticker, count(*) AS bars, count(*) FILTER (ts IS NULL) AS null_ts, count(*) FILTER (ts = before) AS duplicate_ts, count(*) FILTER (ts < before) AS descending_ts,
+  SELECT ticker, idx, CASE WHEN idx % 42 = 28 THEN NULL WHEN idx % 42 = 35 THEN min(ts) OVER (PARTITION BY ticker) ELSE ts END AS ts, CASE WHEN idx % 42 = 14 THEN -open ELSE open END AS open,
+    CASE WHEN idx % 42 = 7 THEN low - 1 ELSE high END AS high, low, close, CASE WHEN idx % 42 = 21 THEN 'nan'::DOUBLE WHEN idx % 42 = 22 THEN 'infinity'::DOUBLE ELSE volume END AS volume FROM bars),
+l AS (SELECT *, lag(ts) OVER (PARTITION BY ticker ORDER BY idx) AS before, count(*) OVER (PARTITION BY ticker, ts ORDER BY idx) AS seen FROM spoilt)
+SELECT ticker, count(*) AS bars, count(*) FILTER (ts IS NULL) AS null_ts, count(*) FILTER (ts IS NOT NULL AND seen > 1) AS duplicate_ts, count(*) FILTER (ts < before) AS descending_ts,
   count(*) FILTER (least(open, high, low, close) <= 0) AS bad_price, count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (high < greatest(open, close)) AS high_below_body,
-  count(*) FILTER (low > least(open, close)) AS low_above_body, count(*) FILTER (isnan(volume) OR volume < 0) AS bad_volume FROM l GROUP BY ticker"""
+  count(*) FILTER (low > least(open, close)) AS low_above_body, count(*) FILTER (NOT isfinite(volume) OR volume < 0) AS bad_volume FROM l GROUP BY ticker"""
 
 
 def universe(spark, d):

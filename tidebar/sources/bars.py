@@ -46,21 +46,25 @@ def universe(bars: DataFrame) -> DataFrame:
 
 
 def quality(bars: DataFrame) -> DataFrame:
-    """Per ticker, the number of rows that break each rule; a good series has zeros only."""
+    """Per ticker, the number of rows that break each rule; a good series has zeros only.
+
+    A repeated time counts wherever it stands. Rows come in the order of `position` if there is such a column.
+    """
     w = Window.partitionBy("ticker").orderBy(F.col("position") if "position" in bars.columns else F.col("ts"))
-    p = bars.withColumn("before", F.lag("ts").over(w))
+    same = Window.partitionBy("ticker", "ts").orderBy(F.lit(0) if "position" not in bars.columns else F.col("position"))
+    p = bars.withColumn("before", F.lag("ts").over(w)).withColumn("again", F.row_number().over(same) > 1)
     prices = ["open", "high", "low", "close"]
     odd = [F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in prices]
     any_odd = odd[0] | odd[1] | odd[2] | odd[3]
     rules = {
         "null_ts": F.col("ts").isNull(),
-        "duplicate_ts": F.col("ts") == F.col("before"),
+        "duplicate_ts": F.col("ts").isNotNull() & F.col("again"),
         "descending_ts": F.col("ts") < F.col("before"),
         "bad_price": any_odd | (F.least(*prices) <= 0),
         "high_below_low": F.col("high") < F.col("low"),
         "high_below_body": F.col("high") < F.greatest("open", "close"),
         "low_above_body": F.col("low") > F.least("open", "close"),
-        "bad_volume": F.col("volume").isNull() | F.isnan("volume") | (F.col("volume") < 0),
+        "bad_volume": F.col("volume").isNull() | F.isnan("volume") | (F.col("volume") < 0) | (F.col("volume") == float("inf")),
     }
     return p.groupBy("ticker").agg(F.count(F.lit(1)).alias("bars"), *[F.sum(F.coalesce(rule.cast("int"), F.lit(0))).alias(name) for name, rule in rules.items()])
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidebar.functions.folds import running
+
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new replace those of old with the same keys; columns that one side lacks are null."""
@@ -18,14 +20,13 @@ def write_bars(bars: DataFrame, path: str) -> None:
 
 def chained(records: DataFrame, order: str, body: str) -> DataFrame:
     """Adds prev and checksum: each record's digest covers its predecessor's. One chain is one ordered fold."""
-    rows = records.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("seq"), F.col(body).alias("body")))).alias("r"))
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<seq: bigint, body: string, prev: string, checksum: string>>").alias("out"))
+    x = records.select(F.lit(0).alias("chain"), F.col(order).cast("bigint").alias("seq"), F.col(body).alias("body"))
 
-    def step(acc, r):
-        sum_ = F.sha2(F.concat(acc["last"], r["body"]), 256)
-        return F.struct(sum_.alias("last"), F.array_append(acc["out"], F.struct(r["seq"].cast("bigint").alias("seq"), r["body"].alias("body"), acc["last"].alias("prev"), sum_.alias("checksum"))).alias("out"))
+    def step(state: Column, row: Column) -> Column:
+        return F.struct(state["checksum"].alias("prev"), F.sha2(F.concat(state["checksum"], row["body"]), 256).alias("checksum"))
 
-    return rows.select(F.inline(F.aggregate("r", start, step, lambda a: a["out"])))
+    y = running(x, ["chain"], ["seq"], {"prev": None, "checksum": ""}, "`prev`: string, `checksum`: string", step)
+    return y.select("seq", "body", "state.prev", "state.checksum")
 
 
 def broken_links(ledger: DataFrame) -> DataFrame:

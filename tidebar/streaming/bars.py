@@ -19,17 +19,28 @@ def hourly(events: DataFrame) -> DataFrame:
     return out.select("ticker", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; only a local session may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def replayed(spark: SparkSession, path: str) -> DataFrame:
-    """The bars after the stream has read all files under path; its checkpoint and output lie in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    at = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    """The bars after the stream has read all files under path; its checkpoint and output lie in the shared folder.
+
+    Append mode: an hour is written once, when the watermark has passed it, and its state is dropped. Where the
+    stream ends, the hours that the watermark has not passed are those of the last LATENESS; they are read from
+    the files as a batch.
+    """
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/bars")
-
-    query = hourly(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query = hourly(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/bars").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{at}/bars")
+    done = spark.read.schema(hourly(spark.read.parquet(path)).schema).parquet(f"{at}/bars")
+    last = spark.read.parquet(path).where("value > 0").agg(F.max("ts").cast("timestamp")).first()[0]
+    rest = hourly(spark.read.parquet(path).where(F.col("ts").cast("timestamp") >= F.date_trunc("hour", F.lit(last).cast("timestamp") - F.expr(f"INTERVAL {LATENESS}"))))
+    return done.unionByName(rest.join(done.select("ticker", "ts"), ["ticker", "ts"], "left_anti"))
