@@ -105,16 +105,35 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, key
     return both.select(*[F.col(f"_l_{c}").alias(c) for c in left.columns], "context")
 
 
-def multi_timeframe(hourly: DataFrame, daily_context: DataFrame) -> DataFrame:
-    """Hourly core features with the latest finished day's, and what the two say together."""
-    own = hourly.withColumn("decision_ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
-    x = asof(own, daily_context, "decision_ts", "available_at")
-    d = lambda c: F.col(f"context.{c}")
-    signs = lambda c: (F.coalesce(F.signum(F.col(c)), F.lit(0.0)) + F.coalesce(F.signum(d(c)), F.lit(0.0))) / F.when(F.col(c).isNotNull().cast("int") + d(c).isNotNull().cast("int") > 0, F.col(c).isNotNull().cast("int") + d(c).isNotNull().cast("int"))
-    dev = d("realized_volatility_20")
+def _nan_mean(*values: Column) -> Column:
+    """Mean of those that are not null; null without any."""
+    some = F.filter(F.array(*values), lambda v: v.isNotNull())
+    return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(some), F.lit(0)))
+
+
+#: The contexts' suffixes.
+CONTEXTS = ("1d", "1w")
+
+
+def projected(hourly: DataFrame, contexts: dict[str, DataFrame]) -> DataFrame:
+    """Hourly core features, and for each context the core features of its latest bar that was finished at the hour's end.
+
+    Columns are named <feature>_<context>; available_at_<context> says since when that bar was known.
+    """
+    x = hourly.withColumn("decision_ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    for suffix, context in contexts.items():
+        x = asof(x, context.select("ticker", "available_at", *CORE), "decision_ts", "available_at")
+        x = x.withColumns({f"{c}_{suffix}": F.col(f"context.{c}") for c in ["available_at", *CORE]}).drop("context")
+    return x.drop("decision_ts")
+
+
+def multi_timeframe(x: DataFrame) -> DataFrame:
+    """The projections of an hour onto day and week, and what the timeframes say together."""
+    signs = lambda c: _nan_mean(*[F.signum(F.col(c + s)) for s in ("", *[f"_{k}" for k in CONTEXTS])])
+    day_range = F.col("atr_pct_14_1d")
     return x.select(
-        "ticker", "idx", "ts", d("available_at").alias("available_at"), d("log_return_5").alias("log_return_5_1d"), d("rsi_14").alias("rsi_14_1d"),
-        signs("log_return_5").alias("momentum_alignment_multi"), ((F.col("rsi_14") - d("rsi_14")) / 100).alias("rsi_spread_1h_1d"),
-        (F.col("realized_volatility_20") / F.when(F.abs(dev) > EPS, dev)).alias("volatility_ratio_1h_1d"), signs("macd_hist").alias("macd_hist_alignment_multi"),
-        (F.log1p(d("dist_to_sma_20")) / (F.col("realized_volatility_20") + 1e-12)).alias("xtf_zscore_1h_vs_1d"), signs("dist_to_sma_20").alias("price_vs_sma_alignment_multi"),
+        "ticker", "idx", "ts", *[f"{c}_{k}" for k in CONTEXTS for c in ["available_at", *CORE]],
+        signs("log_return_5").alias("momentum_alignment_multi"), ((F.col("rsi_14") - F.col("rsi_14_1d")) / 100).alias("rsi_spread_1h_1d"),
+        (F.col("atr_pct_14") / F.when(F.abs(day_range) > EPS, day_range)).alias("volatility_ratio_1h_1d"), signs("macd_hist").alias("macd_hist_alignment_multi"),
+        (F.log1p("dist_to_sma_20_1d") / (F.col("realized_volatility_20") + 1e-12)).alias("xtf_zscore_1h_vs_1d"), signs("dist_to_sma_20").alias("price_vs_sma_alignment_multi"),
     )

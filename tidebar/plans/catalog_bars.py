@@ -128,18 +128,22 @@ MARKET_FEATURES = f"""WITH {S.BARS_1H}, r AS (SELECT ticker, idx, ts, ln(close /
 m AS (SELECT *, CASE WHEN count(r) OVER t > 1 AND r IS NOT NULL THEN (sum(r) OVER t - r) / (count(r) OVER t - 1) END AS ref FROM r WINDOW t AS (PARTITION BY ts))
 SELECT ticker, idx, round(lag(ref) OVER w, 6) + 0.0 AS xas_mkt_lead_ret_1, round(({S.full("sum", "r", 20)}) - ({S.full("sum", "ref", 20)}), 6) + 0.0 AS xas_rs_mkt_20 FROM m {S.windows(20)}"""
 
-MULTI = ["log_return_5_1d", "rsi_14_1d", "momentum_alignment_multi", "rsi_spread_1h_1d", "volatility_ratio_1h_1d", "macd_hist_alignment_multi", "xtf_zscore_1h_vs_1d", "price_vs_sma_alignment_multi"]
+MULTI = ["momentum_alignment_multi", "rsi_spread_1h_1d", "volatility_ratio_1h_1d", "macd_hist_alignment_multi", "xtf_zscore_1h_vs_1d", "price_vs_sma_alignment_multi"]
 
 
 def multi_timeframe(spark, d):
     b = hourly(spark, d)
-    day = B.daily(b).withColumn("ts", F.col("session").cast("timestamp"))
-    context = X.core(B.indexed(day)).join(day.select("ticker", "ts", "available_at"), ["ticker", "ts"])
-    return rounded(X.multi_timeframe(X.core(b), context), MULTI)
+    day = B.daily(b)
+    series = {"1d": day.withColumn("ts", F.col("session").cast("timestamp")), "1w": B.weekly(day).withColumn("ts", F.col("available_at"))}
+    contexts = {k: X.core(B.indexed(x.select("ticker", "ts", "open", "high", "low", "close", "volume", "available_at"))).join(x.select("ticker", "ts", "available_at"), ["ticker", "ts"]) for k, x in series.items()}
+    return rounded(X.multi_timeframe(X.projected(X.core(b), contexts)), PROJECTED + MULTI)
 
 
-def _sign_mean(a: str, b: str) -> str:
-    return f"(coalesce(sign({a}), 0) + coalesce(sign({b}), 0)) / nullif(({a} IS NOT NULL)::INT + ({b} IS NOT NULL)::INT, 0)::DOUBLE"
+PROJECTED = [f"{c}_{k}" for k in X.CONTEXTS for c in X.CORE]
+
+
+def _sign_mean(name: str) -> str:
+    return f"list_avg(list_filter([sign(c.{name}), sign(day.{name}), sign(wk.{name})], lambda v: v IS NOT NULL))"
 
 
 def _renamed(text: str, suffix: str) -> str:
@@ -147,21 +151,22 @@ def _renamed(text: str, suffix: str) -> str:
     return re.sub(r"\b(bars|tr|atr|d|wilder|rsi|fast|macd|x|core)(?= AS \(|\.)|(?<=FROM )(bars|tr|atr|d|wilder|rsi|fast|macd|x)\b|(?<=JOIN )(bars|tr|atr|d|wilder|rsi|fast|macd|x)\b", lambda m: m.group(0) + suffix, text)
 
 
+_OTHERS = S.core_features("bars AS (SELECT 1)").removeprefix("WITH RECURSIVE bars AS (SELECT 1), ")
 MULTI_TIMEFRAME = (
     S.core_features(S.BARS_1H)
     + ", "
     + SESSIONS.removeprefix(f"{S.BARS_1H}, ")
-    + """, bars_d AS (SELECT ticker, session::TIMESTAMP AS ts, open, high, low, close, volume, available_at, (row_number() OVER (PARTITION BY ticker ORDER BY session) - 1)::INT AS idx FROM s), """
-    + _renamed(S.core_features("bars AS (SELECT 1)").removeprefix("WITH RECURSIVE bars AS (SELECT 1), "), "_d")
-    + f""", day AS (SELECT c.*, available_at FROM core_d c JOIN bars_d b USING (ticker, idx)),
-j AS (SELECT c.ticker, c.idx, c.ts, day.available_at, day.log_return_5 AS log_return_5_1d, day.rsi_14 AS rsi_14_1d,
-  {_sign_mean("c.log_return_5", "day.log_return_5")} AS momentum_alignment_multi, (c.rsi_14 - day.rsi_14) / 100 AS rsi_spread_1h_1d,
-  c.realized_volatility_20 / CASE WHEN abs(day.realized_volatility_20) > 1e-9 THEN day.realized_volatility_20 END AS volatility_ratio_1h_1d,
-  {_sign_mean("c.macd_hist", "day.macd_hist")} AS macd_hist_alignment_multi, ln(1 + day.dist_to_sma_20) / (c.realized_volatility_20 + 1e-12) AS xtf_zscore_1h_vs_1d,
-  {_sign_mean("c.dist_to_sma_20", "day.dist_to_sma_20")} AS price_vs_sma_alignment_multi
-  FROM (SELECT *, ts + INTERVAL 1 HOUR AS decision FROM core) c ASOF LEFT JOIN day ON c.ticker = day.ticker AND c.decision >= day.available_at)
-SELECT ticker, idx, ts, available_at, {S.rounded(MULTI)} FROM j"""
-)
+    + """, bars_d AS (SELECT ticker, session::TIMESTAMP AS ts, open, high, low, close, volume, available_at, (row_number() OVER (PARTITION BY ticker ORDER BY session) - 1)::INT AS idx FROM s),
+weeks AS (SELECT ticker, first(open ORDER BY session) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY session) AS close, sum(volume) AS volume, max(available_at) AS available_at FROM s GROUP BY ticker, isoyear(session), weekofyear(session)),
+bars_w AS (SELECT *, available_at AS ts, (row_number() OVER (PARTITION BY ticker ORDER BY available_at) - 1)::INT AS idx FROM weeks), """
+    + _renamed(_OTHERS, "_d") + ", " + _renamed(_OTHERS, "_w")
+    + f""", day AS (SELECT c.*, available_at FROM core_d c JOIN bars_d b USING (ticker, idx)), wk AS (SELECT c.*, available_at FROM core_w c JOIN bars_w b USING (ticker, idx)),
+j AS (SELECT c.ticker, c.idx, c.ts, day.available_at AS available_at_1d, wk.available_at AS available_at_1w, {", ".join(f"{t}.{n} AS {n}_{k}" for k, t in zip(X.CONTEXTS, ("day", "wk")) for n in X.CORE)},
+  {_sign_mean("log_return_5")} AS momentum_alignment_multi, (c.rsi_14 - day.rsi_14) / 100 AS rsi_spread_1h_1d, c.atr_pct_14 / CASE WHEN abs(day.atr_pct_14) > 1e-9 THEN day.atr_pct_14 END AS volatility_ratio_1h_1d,
+  {_sign_mean("macd_hist")} AS macd_hist_alignment_multi, ln(1 + day.dist_to_sma_20) / (c.realized_volatility_20 + 1e-12) AS xtf_zscore_1h_vs_1d, {_sign_mean("dist_to_sma_20")} AS price_vs_sma_alignment_multi
+  FROM (SELECT *, ts + INTERVAL 1 HOUR AS decision FROM core) c ASOF LEFT JOIN day ON c.ticker = day.ticker AND c.decision >= day.available_at ASOF LEFT JOIN wk ON c.ticker = wk.ticker AND c.decision >= wk.available_at)
+SELECT ticker, idx, ts, available_at_1d, available_at_1w, {S.rounded(PROJECTED + MULTI)} FROM j"""
+)
 
 QUERIES = {
     "bars_1h": bars_1h, "bars_1d": bars_1d, "bars_session_daily": bars_session_daily, "bars_weekly": bars_weekly, "source_quality": source_quality, "universe": universe,
