@@ -11,12 +11,15 @@
    Other rounds draw leaders at random. Copies thus hang together after comparisons in proportion to their
    number.
 4. The matrix. For first tokens that still meet several groups, a row (group, token) says that the union of
-   the group's first tokens holds the token. Of the tokens that two sets share, those up to the earlier end of
-   their first tokens are first tokens of both; so c, the number of a set's first tokens in a group's row, and
-   the tokens that are not first bound the overlap with every member. Only groups where the bound allows a
-   link are opened.
-5. In an opened group the set is compared with the members that share one of their first tokens, if the same
-   bound for the pair allows it. So no link between groups is missed; links within a group change nothing.
+   the group's first tokens holds the token, in sets of which sizes, and how early. Two bounds close groups.
+   By place: of two linked sets the first common token stands so early in both that enough tokens follow; so
+   (100 + t) times its place is at most 100 times the own size less t times the other's. By number: of the
+   tokens that two sets share, those up to the earlier end of their first tokens are first tokens of both; so c,
+   the number of a set's first tokens in a group's row, and the tokens that are not first bound the overlap with
+   every member. Of two groups the smaller one asks. Only groups where both bounds allow a link are opened.
+5. In an opened group the set meets the members that hold a common token early enough for the pair, and is
+   compared with those whose common first tokens allow a link. So no link between groups is missed; links
+   within a group change nothing. A set with too many tokens of its own meets nobody, however large the group.
 
 Nothing but the sketch reaches the driver. Set ids are 64-bit hashes, checked against 128-bit digests; if two
 sets shared an id, another seed would be drawn.
@@ -26,10 +29,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ SHINGLE, PERCENT = 5, 80
 ROUNDS = 3
 #: The sketch: one counter for each of 2**SKETCH_BITS values of a hash, in rows of 2**ROW_BITS.
 SKETCH_BITS, ROW_BITS = 22, 16
+#: Tasks' counters meet in this many lanes, then in fewer: a group of the tree has as many members as there are tasks for each lane of the first, and 64 in the second.
+LANES = (4096, 64, 1)
 EMPTY = 0
 
 
@@ -66,6 +72,11 @@ def _long(tokens: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(tokens).view(np.int64))
 
 
+def _first_batch(tokens: list, sets: list, sizes: list, places: list) -> pa.RecordBatch:
+    n, at = (pa.array(np.concatenate(x).astype(np.int32)) for x in (sizes, places))
+    return pa.RecordBatch.from_arrays([_long(np.concatenate(tokens)), pa.array(np.concatenate(sets)), n, at], ["token", "set", "n", "at"])
+
+
 class _Join:
     def __init__(self, docs: DataFrame, id_column: str, text_column: str, shingle: int, percent: int, seed: int):
         self.shingle, self.percent, self.seed = shingle, percent, seed
@@ -78,7 +89,7 @@ class _Join:
         shingle, seed = self.shingle, self.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["id", "check", "n", "set", "digest", "part", "counts"]
+            names = ["id", "check", "n", "set", "digest", "part", "lane", "counts"]
             counters = np.zeros(1 << SKETCH_BITS, np.uint8)
             kind = None
             for batch in batches:
@@ -93,7 +104,7 @@ class _Join:
                     at = np.unique(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                     counters[at] += counters[at] < 255
                 none = pa.nulls(batch.num_rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(digests, pa.binary()), none, pa.nulls(batch.num_rows, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(digests, pa.binary()), none, none, pa.nulls(batch.num_rows, pa.binary())], names)
             if kind is not None:
                 parts, blobs = [], []
                 for part, row in enumerate(counters.reshape(-1, 1 << ROW_BITS)):
@@ -101,43 +112,61 @@ class _Join:
                     if len(some):
                         parts.append(part)
                         blobs.append(b"\0" + row.tobytes() if 3 * len(some) > len(row) else b"\1" + some.astype("<u2").tobytes() + row[some].tobytes())
-                m = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names)
+                m, lane = len(parts), TaskContext.get().partitionId() % LANES[0]
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), *[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.binary()), pa.array(parts, pa.int32()), pa.array([lane] * m, pa.int32()), pa.array(blobs, pa.binary())], names)
 
         kind = self.texts.schema["id"].dataType.simpleString()
-        return self.texts.mapInArrow(run, f"id {kind}, check long, n long, set long, digest binary, part int, counts binary")
+        return self.texts.mapInArrow(run, f"id {kind}, check long, n long, set long, digest binary, part int, lane int, counts binary")
 
     @staticmethod
     def frequent(sketch: DataFrame) -> np.ndarray:
-        """One flag for each counter: more documents than chance gives. 2**SKETCH_BITS bits, whatever the input."""
+        """One flag for each counter: more documents than chance gives. 2**SKETCH_BITS bits, whatever the input.
 
-        def total(part: pa.Table) -> pa.Table:
+        Counters are summed in a tree, lane by lane, so no task gathers those of all tasks.
+        """
+
+        def total(part: pa.Table) -> np.ndarray:
             counts = np.zeros(1 << ROW_BITS, np.int64)
             for blob in part.column("counts"):
                 raw = np.frombuffer(blob.as_py(), np.uint8)
-                if raw[0]:
+                if raw[0] == 2:
+                    counts += np.frombuffer(raw[1:].tobytes(), "<i8")
+                elif raw[0]:
                     m = (len(raw) - 1) // 3
                     counts[np.frombuffer(raw[1 : 1 + 2 * m].tobytes(), "<u2")] += raw[1 + 2 * m :]
                 else:
                     counts += raw[1:]
+            return counts
+
+        def summed(lanes: int) -> Callable[[pa.Table], pa.Table]:
+            def run(part: pa.Table) -> pa.Table:
+                lane = part.column("lane")[0].as_py() % lanes
+                return pa.table({"part": part.column("part")[:1], "lane": pa.array([lane], pa.int32()), "counts": pa.array([b"\2" + total(part).astype("<i8").tobytes()], pa.binary())})
+
+            return run
+
+        def flagged(part: pa.Table) -> pa.Table:
+            counts = total(part)
             mean = float(np.median(counts))
             flags = counts > mean + 5 * math.sqrt(mean) + 6
             return pa.table({"part": part.column("part")[:1], "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
+        for lanes in LANES[1:]:
+            sketch = sketch.groupBy("part", "lane").applyInArrow(summed(lanes), "part int, lane int, counts binary")
         flags = np.zeros((1 << (SKETCH_BITS - ROW_BITS), (1 << ROW_BITS) // 8), np.uint8)
-        for row in sketch.groupBy("part").applyInArrow(total, "part int, flags binary").collect():
+        for row in sketch.groupBy("part").applyInArrow(flagged, "part int, flags binary").collect():
             flags[row.part] = np.frombuffer(row.flags, np.uint8)
         return flags.reshape(-1)
 
     def first_tokens(self, frequent: np.ndarray) -> DataFrame:
-        """token, set, n: of every document, the tokens of which two linked sets share one; n tokens in all."""
+        """token, set, n, at: of every document, the tokens of which two linked sets share one, with their places; n tokens in all."""
         shingle, percent, seed = self.shingle, self.percent, self.seed
         flags = self.source.sparkSession.sparkContext.broadcast(frequent)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = np.unpackbits(flags.value).view(bool)
             for batch in batches:
-                tokens, sets, sizes, size = [], [], [], 0
+                tokens, sets, sizes, places, size = [], [], [], [], 0
                 for value in batch.column(0):
                     every = shingle_set(value.as_py(), shingle, seed)
                     if not len(every):
@@ -148,14 +177,15 @@ class _Join:
                     tokens.append(first)
                     sets.append(np.full(len(first), set_id(every)[0]))
                     sizes.append(np.full(len(first), len(every)))
+                    places.append(np.arange(len(first)))
                     size += len(first)
                     if size > 200_000:
-                        yield pa.RecordBatch.from_arrays([_long(np.concatenate(tokens)), pa.array(np.concatenate(sets)), pa.array(np.concatenate(sizes))], ["token", "set", "n"])
-                        tokens, sets, sizes, size = [], [], [], 0
+                        yield _first_batch(tokens, sets, sizes, places)
+                        tokens, sets, sizes, places, size = [], [], [], [], 0
                 if size:
-                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(tokens)), pa.array(np.concatenate(sets)), pa.array(np.concatenate(sizes))], ["token", "set", "n"])
+                    yield _first_batch(tokens, sets, sizes, places)
 
-        return self.source.select("text").mapInArrow(run, "token long, set long, n long")
+        return self.source.select("text").mapInArrow(run, "token long, set long, n int, at int")
 
     def texts_of(self, sets: DataFrame, rows: DataFrame) -> DataFrame:
         """set, text: one text of each set."""
@@ -188,6 +218,10 @@ class _Join:
         rest = F.greatest(F.floor(na * t / 100.0 - 1e-9), F.floor(nb * t / 100.0 - 1e-9))
         return (100 + t) * (c + rest) >= t * (na + nb)
 
+    def room(self, at: Column, n: Column) -> Column:
+        """A set of m tokens links with one of n tokens only if t m is at most the room behind their first common token, in either."""
+        return 100 * n.cast("long") - (100 + self.percent) * at
+
     def near_in_size(self, na: Column, nb: Column) -> Column:
         return 100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)
 
@@ -200,10 +234,10 @@ class _Join:
 
 
 def _split(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """token, set, n, central, group for the tokens whose sets lie in several groups."""
+    """token, set, n, at, central, group for the tokens whose sets lie in several groups."""
     if groups is None:
         return shared.withColumn("group", F.col("set"))
-    of = shared.join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "central", F.coalesce("root", "set").alias("group"))
+    of = shared.join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "at", "central", F.coalesce("root", "set").alias("group"))
     of = stored(of)
     several = stored(of.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token"))
     return stored(of.join(several, "token"))
@@ -224,14 +258,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         if clash.isEmpty():
             break
         forget(every)
-    frequent = join.frequent(every.where("part IS NOT NULL").select("part", "counts"))
+    frequent = join.frequent(every.where("part IS NOT NULL").select("part", "lane", "counts"))
     first = stored(join.first_tokens(frequent))
     several = stored(first.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count(F.lit(1)).alias("sets")).where("low < high").select("token", "sets"))
     met = stored(first.join(several, "token").distinct())
     forget(first, several)
     central = stored(met.groupBy("set").agg((F.sum("sets") / F.first("n")).alias("central")))
-    shared = stored(met.join(central, "set").select("token", "set", "n", "central"))
+    shared = stored(met.join(central, "set").select("token", "set", "n", "at", "central"))
     forget(met, central)
+    texts = join.texts_of(shared.select("set").distinct(), rows)
     edges = tried = groups = None
     split = _split(shared, None)
     for turn in range(ROUNDS):
@@ -244,9 +279,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         pairs = met.select(F.least("set", "leader.s").alias("a"), F.greatest("set", "leader.s").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         ahead = stored(join.promising(pairs, shared))
-        texts = join.texts_of(ahead.select(F.explode(F.array("a", "b")).alias("set")).distinct(), rows)
         new = join.links(ahead, texts)
-        forget(texts, leaders)
+        forget(ahead, leaders)
         tried = pairs if tried is None else tried.unionAll(pairs)
         edges = new if edges is None else edges.unionAll(new)
         groups = components(edges)
@@ -255,9 +289,11 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
             break
     if not split.isEmpty():
         pairs = stored(_opened(join, split).join(tried, ["a", "b"], "left_anti"))
-        texts = join.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), rows)
-        edges = edges.unionAll(join.links(pairs, texts))
+        ahead = stored(join.promising(pairs, shared))
+        edges = edges.unionAll(join.links(ahead, texts))
         groups = components(edges)
+        forget(pairs, ahead)
+    forget(texts, split, shared)
 
     of = rows.join(groups.withColumnRenamed("node", "set"), "set", "left").select("id", "n", "set", F.coalesce("root", "set").alias("group"))
     of = stored(of)
@@ -267,17 +303,22 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
 
 def _opened(join: _Join, split: DataFrame) -> DataFrame:
-    """(a, b): sets of two groups that share a first token and may link, one of which opens the other's group."""
-    matrix = split.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    sizes = split.groupBy(F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = split.join(matrix.drop("low", "high"), "token").where("group <> other")
-    bound = met.groupBy("set", "n", "other").agg(F.count(F.lit(1)).alias("c")).join(sizes, "other")
+    """(a, b): sets of two groups that share a first token early enough to link, one of which opens the other's group."""
     t = join.percent
-    low, high = F.greatest("low", F.floor(F.col("n") * t / 100.0)), F.least("high", F.ceil(F.col("n") * 100.0 / t))
+    rank = split.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    rows = stored(split.join(rank, "group").select("token", "set", "n", "group", "size", join.room(F.col("at"), F.col("n")).alias("room")))
+    matrix = stored(rows.groupBy("token", F.col("group").alias("other"), F.col("size").alias("other_size")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("most_room")))
+    asks = F.struct("size", "group") < F.struct(F.col("other_size").alias("size"), F.col("other").alias("group"))
+    early = (t * F.col("n") <= F.col("most_room")) & (t * F.col("low") <= F.col("room")) & (t * F.col("n") <= 100 * F.col("high"))
+    met = stored(rows.join(matrix, "token").where(asks & early).select("set", "n", "other").distinct())
+    # the number of the set's first tokens in the group's row of the matrix
+    held = met.join(rows.select("set", "token"), "set").join(matrix.select("token", "other", "low", "high"), ["token", "other"])
+    bound = held.groupBy("set", "n", "other").agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("least"), F.max("high").alias("most"))
+    low, high = F.greatest("least", F.floor(F.col("n") * t / 100.0)), F.least("most", F.ceil(F.col("n") * 100.0 / t))
     more = F.col("c") + 1  # sizes between the two differ by rounding
     may = (low <= high) & (join.enough(more, F.col("n"), low) | join.enough(more, F.col("n"), high))
     opened = stored(bound.where(may).select("set", "other"))
-    others = split.select("token", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("group").alias("other"))
-    pairs = split.join(opened, "set").select("token", "set", "n", "other").join(others, ["token", "other"]).where(join.near_in_size(F.col("n"), F.col("nb")))
-    counts = pairs.groupBy("set", "b", "n", "nb").agg(F.count(F.lit(1)).alias("c")).where(join.enough(F.col("c"), F.col("n"), F.col("nb")))
-    return counts.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
+    members = rows.select("token", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("room").alias("room_b"), F.col("group").alias("other"))
+    asked = rows.join(opened, "set").select("token", "set", "n", "room", "other")
+    pairs = asked.join(members, ["token", "other"]).where((t * F.col("n") <= F.col("room_b")) & (t * F.col("nb") <= F.col("room")))
+    return stored(pairs.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct())
