@@ -24,3 +24,53 @@ def test_unlabelled_template_text_in_the_article_goes(spark):
 def test_text_of_some_pages_without_an_element_of_its_own_stays(spark):
     got = texts(spark, [f"<article><p>Text {i}</p><p>{'Same words' if i < 3 else f'Other {i}'}</p></article>" for i in range(8)])
     assert got[0] == "Text 0\nSame words" and got[7] == "Text 7\nOther 7"
+
+
+def test_equal_vectors_in_different_slots_are_different_classes(spark):
+    """The aside stands in the pages where the line does by chance; the line is no part of its class."""
+    got = texts(spark, [f"{'<aside><i>x</i><div>Box</div></aside>' if i % 2 else ''}<article><p>Text {i}</p><section><p>Own {i}</p>{'<p>A line</p>' if i % 2 else f'<p>Else {i}</p>'}</section></article>" for i in range(8)])
+    assert got[1] == "Text 1\nOwn 1\nA line" and got[2] == "Text 2\nOwn 2\nElse 2"
+
+
+def brute_template(pages: list[str]) -> set[tuple[str, str]]:
+    """(path, text) of the template of one host, by vectors written out."""
+    read = [template_extract.Page(p) for p in pages]
+    names = {("+", t[1:], None) for r in read for t in r.tokens} | {("#", p, t) for r in read for p, t, _, _ in r.blocks}
+    vector = lambda k: tuple(r.tokens["+" + k[1]] if k[0] == "+" else sum((p, t) == k[1:] for p, t, _, _ in r.blocks) for r in read)
+    vectors = {k: vector(k) for k in names}
+    n = len(pages)
+    held = {k: v for k, v in vectors.items() if sum(x > 0 for x in v) >= max(2, -(-3 * n // 10))}
+
+    def parent(k: tuple) -> tuple:
+        parts = k[1].split("/")
+        for i in range(len(parts), 1, -1):
+            up = held.get(("+", "/".join(parts[:i]), None))
+            if up and up != held[k]:
+                return up
+        return ()
+
+    valid = {(v, parent(k)) for k, v in held.items() if k[0] == "+"}
+    return {k[1:] for k, v in held.items() if k[0] == "#" and ((v, parent(k)) in valid or sum(x > 0 for x in v) >= 0.9 * n)}
+
+
+def test_templates_of_the_test_pages_against_brute_force(spark):
+    import re
+
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.001/pages.parquet")  # whose hosts repeat no text, so one that does is added
+    box = "<div class=box><p>Read more of this every week</p></div>"
+    own = [f"<html><body><nav><a href=/>Home</a></nav><article><h1>Head {i}</h1><p>Text {i}</p>{box if i % 2 else ''}<p>End</p></article><p>Contact</p></body></html>" for i in range(12)]
+    pages = pd.concat([pages, pd.DataFrame({"url": "http://own.example.org/", "html": own})])
+    got = {r.host: set(r.template or ()) for r in template_extract.templates(
+        spark.createDataFrame([((re.match(template_extract.HOST, u or "") or [None, ""])[1].lower(), i, h or "") for i, (u, h) in enumerate(zip(pages.url, pages.html))], "host string, page long, html string")
+    ).collect()}
+    hosts: dict[str, list[str]] = {}
+    for u, h in zip(pages.url, pages.html):
+        hosts.setdefault((re.match(template_extract.HOST, u or "") or [None, ""])[1].lower(), []).append(h or "")
+    many = 0
+    for host, some in hosts.items():
+        want = {template_extract.piece(*k) for k in brute_template(some)} if len(some) > 1 else set()
+        assert got.get(host, set()) == want, host
+        many += len(want)
+    assert many == 4

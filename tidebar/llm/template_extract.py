@@ -2,8 +2,11 @@
 
 Pages of one host come from one template. A token is a start or end tag, or a piece of text, together with the path
 of elements it stands in, so equal tags in different places are different tokens. Tokens with the same
-occurrence vector (how often in each page of the host) form an equivalence class. A class is valid if it
-occurs in enough pages and has an element, that is a pair of tags; text of a valid class, and text in nearly
+occurrence vector (how often in each page of the host) form an equivalence class. Classes nest: a token's parent is
+the class of the nearest element around it that has another vector, and tokens of one vector under different
+parents are different classes, as they stand in different slots. A class is valid if it
+occurs in enough pages and has an element, that is a pair of tags. The valid classes with their parents are the
+host's template. Text of a valid class, and text in nearly
 all pages, is the template's and left out, unless its own element also holds text that varies. Other text fills the template's slots. The frame is the deepest
 element, once in nearly every page, that holds all the host's slot text; the main text is what the slots hold
 below it. Text that varies and yet stands beside the article (comments, related links) looks like any slot; it is
@@ -22,7 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import stored, text_of
@@ -146,6 +149,20 @@ def _occurrences(pages: DataFrame) -> DataFrame:
     return pages.select("host", "page", "html").mapInArrow(run, "host string, path string, piece long, page long, n long, chars long")
 
 
+def _above(path: str) -> Column:
+    """The paths of the elements around a token of this path, its own included."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def _nested(framed: DataFrame) -> DataFrame:
+    """framed with `parent`, the vector of the nearest element around the token that is of another class; 0 at the top."""
+    around = framed.where("piece IS NULL").select("host", F.col("path").alias("up"), F.col("vector").alias("up_vector"))
+    x = framed.withColumn("up", F.explode(_above("path"))).join(around, ["host", "up"], "left")
+    nearest = F.max(F.when(F.col("up_vector") != F.col("vector"), F.struct(F.length("up").alias("l"), "up_vector")))
+    return x.groupBy(*framed.columns).agg(F.coalesce(nearest["up_vector"], F.lit(0)).alias("parent"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, frame, template: the path below which a host's pages keep their main text, and the texts (as pieces) that are the template's."""
     every = _occurrences(pages).groupBy("host", "path", "piece").agg(F.count(F.lit(1)).alias("pages"), F.expr("bit_xor(xxhash64(page, n))").alias("vector"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
@@ -156,15 +173,15 @@ def templates(pages: DataFrame) -> DataFrame:
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     framed = every.where("NOT once").join(total, "host").where(F.col("pages") >= F.greatest(F.lit(2), F.ceil(SUPPORT * F.col("total"))))
     whole = F.col("pages") >= WHOLE * F.col("total")
-    elements = framed.where("piece IS NULL").select("host", "vector", "pages").distinct().withColumn("valid", F.lit(True))
-    texts = framed.where("piece IS NOT NULL").join(elements, ["host", "vector", "pages"], "left").where(F.col("valid") | whole)
+    classes = stored(_nested(framed))
+    elements = classes.where("piece IS NULL").select("host", "vector", "pages", "parent").distinct().withColumn("valid", F.lit(True))
+    texts = classes.where("piece IS NOT NULL").join(elements, ["host", "vector", "pages", "parent"], "left").where(F.col("valid") | whole)
     fixed = stored(texts.select("host", "path", "piece", "chars"))
     template = fixed.groupBy("host").agg(F.collect_list("piece").alias("template"))
     frames = framed.where((F.col("piece").isNull()) & (F.col("most") == 1) & whole).select("host", F.col("path").alias("frame"))
     signed = every.where("chars > 0").select("host", "path", "chars").unionAll(fixed.select("host", "path", -F.col("chars")))
     text = stored(signed.groupBy("host", "path").agg(F.sum("chars").alias("chars")).where("chars > 0"))
-    parts = F.split("path", "/")
-    above = text.select("host", "chars", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("frame"))
+    above = text.select("host", "chars", F.explode(_above("path")).alias("frame"))
     held = above.where("frame <> ''").groupBy("host", "frame").agg(F.sum("chars").alias("held")).join(frames, ["host", "frame"])
     all_text = text.groupBy("host").agg(F.sum("chars").alias("all"))
     best = held.join(all_text, "host").where(F.col("held") == F.col("all"))
