@@ -24,6 +24,8 @@ from tidebar.llm.common import stored, text_of
 
 GENERALISE, REMOVE, LEAST_TEXTS = 0.8, 1.0, 2
 BROADCAST_TERMS = 500_000
+#: Spans of one text that are handled together.
+CHUNK = 256
 #: The base kinds in order with their patterns. Possessive repeats and the look-behinds change no
 #: match; they keep long runs from being tried again from each of their characters.
 PATTERNS = {
@@ -64,15 +66,49 @@ def _doubled(d: Column, i: Column) -> Column:
 
 
 def _located(found: str, gaps: str) -> Column:
-    """Matches with their places, from the matches and the stretches between them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    """Matches with their places, from the matches and the stretches between them; CHUNK at a time, so that many are not copied for each one."""
+    every = F.arrays_zip(found, gaps)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x[gaps])
         end = begin + F.length(x[found])
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x[found].alias("value"))).alias("out"))
 
-    return F.aggregate(F.arrays_zip(found, gaps), start, step, lambda acc: acc["out"])
+    def chunk(acc: Column, c: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(_SPAN).alias("out"))
+        part = F.aggregate(F.slice(every, c * CHUNK + 1, F.lit(CHUNK)), start, step)
+        return _bound(part, lambda p: F.struct(p["at"].alias("at"), F.array_append(acc["out"], p["out"]).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(found) / CHUNK).cast("int")), start, chunk, lambda acc: F.flatten(acc["out"]))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _rewritten(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
+    """The text with mark(span, end of the text written so far) in place of each span; spans come in order. CHUNK at a time, so that
+    the text is not cut from its beginning for each span."""
+
+    def chunk(acc: Column, c: Column) -> Column:
+        some = F.slice(spans, c * CHUNK + 1, F.lit(CHUNK))
+        end = F.greatest(acc["at"], F.coalesce(F.array_max(F.transform(some, lambda s: s["end"])), acc["at"]))
+        cut = F.struct(acc["at"].alias("at"), acc["out"].alias("out"), some.alias("some"), end.alias("end"), F.substring(text, acc["at"] + 1, end - acc["at"]).alias("text"))
+        return _bound(cut, lambda z: F.struct(z["end"].alias("at"), F.array_append(z["out"], written(z)).alias("out")))
+
+    def written(z: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            kept = F.substring(z["text"], acc["at"] - z["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(F.array_append(acc["out"], kept), mark(s, acc["at"])).alias("out"))
+
+        start = F.struct(z["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(z["some"], start, step, lambda acc: F.array_join(acc["out"], ""))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(spans) / CHUNK).cast("int")), start, chunk, rest)
 
 
 def base_spans(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -93,14 +129,7 @@ def base_spans(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def _blanked(text: Column, places: Column) -> Column:
     """The text with as many blanks in place of each span."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        blanks = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, blanks).alias("out"))
-
-    return F.aggregate(places, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return _rewritten(text, places, lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0))))
 
 
 def _entities(spans: DataFrame) -> DataFrame:
@@ -173,12 +202,9 @@ def _named(kind: str) -> Callable[[Column], Column]:
 def sanitised(text: Column, base: Column, added: Column) -> Column:
     """The text with base spans and generalised terms replaced by a mark, and removed terms left out."""
     every = F.array_sort(F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] == "remove", F.lit("")).when(s["kind"] == "general", F.lit("<word>")).otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
-        text_before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        late = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(late, acc["out"]).otherwise(F.concat(acc["out"], text_before, mark)).alias("out"))
+    def mark(s: Column, at: Column) -> Column:
+        own = F.when(s["kind"] == "remove", F.lit("")).when(s["kind"] == "general", F.lit("<word>")).otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
+        return F.when(s["start"] < at, F.lit("")).otherwise(own)  # one mark for spans that overlap
 
-    return F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return _rewritten(text, every, mark)
