@@ -24,9 +24,15 @@ def test_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", OTHERS)
-def test_runs(spark, name):
-    assert entry.queries()[name](spark, FOLDER).count() >= 0
+@pytest.mark.parametrize("name", ["logistic_scores", "boosted_scores"])
+def test_scores(spark, name):
+    """One probability for each event from bar 480 on; what they should be is in test_scoring."""
+    got = entry.queries()[name](spark, "/root/testdata/sf0.01").toPandas()
+    assert len(got) and not got.duplicated(["ticker", "t0"]).any() and (got.t0 >= 480).all() and got.p.between(0, 1).all() and got.p.nunique() > 2
+
+
+def test_every_query_has_sql_or_a_test_of_its_own():
+    assert OTHERS == ["boosted_scores", "class_balance", "logistic_scores"]
 
 
 def test_entry(spark):
