@@ -213,3 +213,80 @@ def shared_wins(xgb: Column, lstm: Column, both: Column, neither: Column) -> dic
     held = lambda c: F.greatest(F.lit(0), F.least(c.cast("int"), F.lit(100)))
     x, y = held(xgb), held(lstm)
     return {"xgb": x, "lstm": y, "both": F.greatest(F.lit(0), F.least(both.cast("int"), x, y)), "neither": F.greatest(F.lit(0), F.least(neither.cast("int"), 100 - x, 100 - y))}
+
+
+def joint_point(grid: DataFrame, keys: list[str], least_trades: int) -> DataFrame:
+    """Per key the grid point of most growth among those with enough trades; of equal ones smaller lambda, higher theta, both directions.
+
+    grid: keys, direction, theta, lambda (null: none), growth, trades. Without enough trades anywhere the point with most trades is taken and flagged.
+    """
+    by = Window.partitionBy(*keys)
+    x = grid.withColumn("enough", F.col("trades") >= least_trades).withColumn("floor_met", F.max("enough").over(by))
+    most = F.row_number().over(by.orderBy(F.desc("trades"), F.desc("growth"), F.desc("theta"), "lambda", "direction")) == 1
+    x = x.withColumn("most", most).where(F.when(F.col("floor_met"), F.col("enough")).otherwise(F.col("most")))
+    x = x.withColumn("best", F.max("growth").over(by)).where(F.col("growth") >= F.col("best") - 1e-9)
+    order = by.orderBy(F.coalesce("lambda", F.lit(0.0)), F.desc("theta"), (F.col("direction") != "both").cast("int"), "direction")
+    x = x.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return x.select(*keys, "theta", "lambda", "direction", F.col("best").alias("oof_log_growth"), F.col("trades").alias("oof_trades"), F.col("floor_met").alias("trade_floor_met"))
+
+
+def stability(a2: Column, b: Column) -> Column:
+    """The class of a survivor by its sensitivity nulls, true if passed, null if not run."""
+    yes, also = F.coalesce(a2, F.lit(False)), F.coalesce(b, F.lit(False))
+    return F.when(a2.isNull() & b.isNull(), "primary_only").when(yes & also, "stable").when(also, "regime_sensitive").when(yes, "core_coupled").otherwise("weak")
+
+
+def compiled(survivors: DataFrame, with_null: bool = True) -> DataFrame:
+    """One resolved record for each ticker.
+
+    survivors: ticker, unit, arm, win_rate, outer_delta, null (passed, failed, or null where not run), a2 and b (passed or not, null where not run).
+    """
+    passed, missing = F.coalesce(F.col("null") == "passed", F.lit(False)), F.col("null").isNull()
+    x = survivors.withColumns({"ok": passed, "class": F.when(passed, stability(F.col("a2"), F.col("b")))})
+    own = lambda c: F.when(F.col("ok"), F.col(c))
+    x = x.groupBy("ticker").agg(
+        F.sum(F.col("ok").cast("int")).alias("accepted"), F.sum((F.coalesce(F.col("class"), F.lit("")) == "stable").cast("int")).alias("stable"), F.sum((missing & ~F.col("ok")).cast("int")).alias("screening"),
+        F.countDistinct(own("unit")).alias("n_selected"), F.min(own("arm")).alias("selection_mode"), F.round(F.avg(own("win_rate")), 3).alias("confirmation_win_rate"), F.round(F.max(own("outer_delta")), 6).alias("outer_delta"),
+    )
+    status = F.when(F.col("stable") > 0, "resolved").when(F.col("accepted") > 0, "resolved_conditional").when((F.col("screening") > 0) & F.lit(not with_null), "screening_only").otherwise("resolved_empty")
+    return x.withColumn("status", status)
+
+
+def ranking_objective(x: DataFrame, optimism: float, instability: float, complexity: float, cost: float) -> DataFrame:
+    """J of each ticker: outer gain less weighted optimism, instability, complexity and cost. x: ticker, u_outer, optimism, win_rate, n_units, seconds."""
+    j = F.col("u_outer") - optimism * F.coalesce("optimism", F.lit(0.0)) - instability * (1 - F.col("win_rate")) - complexity * F.col("n_units") - cost * F.col("seconds")
+    return x.select("ticker", F.when(F.col("u_outer").isNotNull(), F.round(j, 6)).alias("j"))
+
+
+def null_scope(verdicts: DataFrame, rotations: DataFrame) -> DataFrame:
+    """The rotations that a null could still overturn: those whose pick supports an accepted unit. verdicts: ticker, outer_fold, arm, unit. rotations: ticker, outer_fold, confirmation_fold, arm, unit, delta."""
+    return rotations.where("delta IS NOT NULL").join(verdicts, ["ticker", "outer_fold", "arm", "unit"]).groupBy("ticker", "outer_fold", "confirmation_fold").agg(F.count(F.lit(1)).alias("arms"), F.max("delta").alias("real_statistic"))
+
+
+def planted(rows: DataFrame, keys: list[str], strength: float) -> DataFrame:
+    """rows with `plant`: strength times the standardised outcome y and the rest noise, of unit variance if noise is."""
+    by = Window.partitionBy(*keys)
+    z = (F.col("y") - F.avg("y").over(by)) / (F.stddev_pop("y").over(by) + 1e-12)
+    return rows.withColumn("plant", strength * z + max(0.0, 1 - strength**2) ** 0.5 * F.col("noise"))
+
+
+def to_search(universe: DataFrame, searched: DataFrame, paused: DataFrame, pool: int) -> DataFrame:
+    """Tickers never searched, or left at the core by a search of a smaller pool; paused ones wait. searched: ticker, applied, pool_size."""
+    x = universe.select("ticker").join(searched, "ticker", "left").join(paused.select("ticker"), "ticker", "left_anti")
+    return x.where(F.col("applied").isNull() | ((F.col("applied") == 0) & (F.coalesce("pool_size", F.lit(0)) < pool))).select("ticker")
+
+
+def search_verdict(subset_size: Column, best: Column, base: Column, thin: Column, least_gain: float) -> Column:
+    return F.when((subset_size > 0) & (best >= base + least_gain), "applied").when(thin, "thin_trades").otherwise("core_only")
+
+
+def names_token(groups: list[list[str]]) -> Column:
+    """Changes whenever a list of feature names does."""
+    return F.substring(F.sha2(F.lit("|".join(",".join(g) for g in groups)), 256), 1, 16)
+
+
+def ranked_tables(profile: DataFrame, limit: int) -> DataFrame:
+    """The tables of finest price resolution, least flat first of equal ones: a report of `limit` rows."""
+    order = [F.desc("resolution"), F.asc("flat_share"), F.asc("ticker")]
+    top = profile.orderBy(*order).limit(limit)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))

@@ -183,6 +183,66 @@ def venn_shares(spark, d):
     return x.select("p_partkey", *[v.alias(k) for k, v in R.shared_wins(F.col("a"), F.col("b"), F.col("c"), F.col("e")).items()])
 
 
+_GRID = ["p_brand AS ticker", "CASE WHEN p_size % 3 = 0 THEN 'both' ELSE 'long' END AS direction", "p_size / 100.0 AS theta", "CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_size % 5 / 10.0 END AS lambda", "floor(p_retailprice / 40) AS growth", "p_size % 9 AS trades"]
+_SURVIVORS = [
+    "l_suppkey AS ticker", "l_partkey % 7 AS unit", "CASE WHEN l_orderkey % 2 = 0 THEN 'flat' ELSE 'hierarchical' END AS arm", "l_discount * 10 AS win_rate", "l_tax - 0.02 AS outer_delta",
+    "CASE WHEN l_partkey % 5 = 0 THEN 'passed' WHEN l_partkey % 5 < 3 THEN 'failed' END AS null", "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_partkey % 3 = 1 END AS a2", "CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_orderkey % 3 = 1 END AS b",
+]
+
+
+def joint_calibration(spark, d):
+    return rounded(R.joint_point(B.read(spark, d, "part").selectExpr(*_GRID), ["ticker"], 4), ["theta", "lambda", "oof_log_growth"])
+
+
+def compiled_records(spark, d):
+    x = B.read(spark, d, "lineitem").where("l_quantity > 49").selectExpr(*[c.replace("AS null", "AS `null`") for c in _SURVIVORS])
+    return rounded(R.compiled(x), ["confirmation_win_rate", "outer_delta"])
+
+
+def ranking_objective(spark, d):
+    x = B.read(spark, d, "part").groupBy(F.col("p_brand").alias("ticker")).agg((F.max("p_retailprice") / 1000).alias("u_outer"), F.avg(F.col("p_size") / 100).alias("optimism"), F.avg((F.col("p_size") > 20).cast("double")).alias("win_rate"), F.countDistinct("p_type").alias("n_units"), F.sum("p_size").alias("seconds"))
+    return rounded(R.ranking_objective(x, 0.5, 0.1, 0.004, 0.0001), ["j"])
+
+
+def null_scope(spark, d):
+    x = B.read(spark, d, "lineitem").selectExpr(*_DELTA).withColumnRenamed("permutation", "confirmation_fold")
+    accepted = x.groupBy("ticker", "outer_fold", "arm").agg(F.max("unit").alias("unit"))
+    best = x.groupBy("ticker", "outer_fold", "confirmation_fold", "arm", "unit").agg(F.max("delta").alias("delta"))
+    return rounded(R.null_scope(accepted, best), ["real_statistic"])
+
+
+def positive_control(spark, d):
+    x = B.read(spark, d, "part").selectExpr("p_brand AS ticker", "p_partkey", "cast(CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS double) AS y", "p_retailprice / 1000 - 1 AS noise")
+    return rounded(R.planted(x, ["ticker"], 0.6).select("ticker", "p_partkey", "plant"), ["plant"])
+
+
+def search_queue(spark, d):
+    c = B.read(spark, d, "customer")
+    searched = c.where("c_custkey % 3 > 0").selectExpr("c_custkey AS ticker", "c_nationkey % 2 AS applied", "c_nationkey AS pool_size")
+    return R.to_search(c.select(F.col("c_custkey").alias("ticker")), searched, c.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("ticker")), 12)
+
+
+def search_verdicts(spark, d):
+    x = B.read(spark, d, "part")
+    v = R.search_verdict(F.col("p_size") % 4, F.col("p_retailprice") / 1000, F.lit(1.2), F.col("p_size") < 10, 0.05)
+    return x.groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cache_token(spark, d):
+    return B.read(spark, d, "region").agg(F.count(F.lit(1)).alias("n")).select(R.names_token([X.CORE, X.OPTIONAL]).alias("token"))
+
+
+def ranked_tables(spark, d):
+    p = B.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("ticker")).agg((F.countDistinct("l_extendedprice") / F.count(F.lit(1))).alias("resolution"), F.avg((F.col("l_quantity") == 1).cast("double")).alias("flat_share"))
+    return R.ranked_tables(p, 40).select("place", "ticker")
+
+
+def rederived_figures(spark, d):
+    """Headline figures computed again from the rows."""
+    r = results(spark, d)
+    return rounded(r.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("model_trades") > 1).cast("int")).alias("promoted"), F.median("return_pct").alias("median_return"), F.median("model_trades").alias("median_trades")), ["median_return", "median_trades"])
+
+
 _Z = "1.96"
 
 
@@ -242,6 +302,24 @@ ORACLES = {
     "gain_and_shap": """SELECT p_brand AS ticker, p_type AS feature, round(avg(p_size) FILTER (p_size < 40), 6) AS shap, round(sum(p_retailprice) FILTER (p_size > 5), 6) AS gain FROM part GROUP BY ALL HAVING count(*) FILTER (p_size < 40) > 0 AND count(*) FILTER (p_size > 5) > 0""",
     "venn_shares": """WITH h AS (SELECT p_partkey, greatest(0, least(p_size * 3, 100)) AS x, greatest(0, least(trunc(p_retailprice / 12)::INT, 100)) AS y, p_size FROM part)
       SELECT p_partkey, x AS xgb, y AS lstm, greatest(0, least(p_size * 2 + 5, x, y)) AS "both", greatest(0, least(p_size, 100 - x, 100 - y)) AS neither FROM h""",
+    "joint_calibration": f"""WITH g AS {_of(_GRID, "part").replace("AS lambda", 'AS "lambda"')}, f AS (SELECT *, bool_or(trades >= 4) OVER (PARTITION BY ticker) AS ok, row_number() OVER (PARTITION BY ticker ORDER BY trades DESC, growth DESC, theta DESC, "lambda" NULLS FIRST, direction) AS m FROM g),
+      p AS (SELECT *, max(growth) OVER (PARTITION BY ticker) AS best FROM f WHERE CASE WHEN ok THEN trades >= 4 ELSE m = 1 END),
+      k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY coalesce("lambda", 0), theta DESC, (direction <> 'both')::INT, direction) AS k FROM p WHERE growth >= best - 1e-9)
+      SELECT ticker, round(theta, 6) + 0.0 AS theta, round("lambda", 6) + 0.0 AS "lambda", direction, round(best, 6) + 0.0 AS oof_log_growth, trades AS oof_trades, ok AS trade_floor_met FROM k WHERE k = 1""",
+    "compiled_records": f"""WITH s AS (SELECT *, coalesce("null" = 'passed', false) AS ok FROM (SELECT {", ".join(_SURVIVORS).replace("AS null", 'AS "null"')} FROM lineitem WHERE l_quantity > 49)),
+      g AS (SELECT ticker, sum(ok::INT)::BIGINT AS accepted, count(*) FILTER (ok AND a2 AND b) AS stable, count(*) FILTER ("null" IS NULL) AS screening, count(DISTINCT unit) FILTER (ok) AS n_selected, min(arm) FILTER (ok) AS selection_mode,
+        round(round(avg(win_rate) FILTER (ok), 3), 6) + 0.0 AS confirmation_win_rate, round(max(outer_delta) FILTER (ok), 6) + 0.0 AS outer_delta FROM s GROUP BY ticker)
+      SELECT *, CASE WHEN stable > 0 THEN 'resolved' WHEN accepted > 0 THEN 'resolved_conditional' ELSE 'resolved_empty' END AS status FROM g""",
+    "ranking_objective": "SELECT p_brand AS ticker, round(max(p_retailprice) / 1000 - 0.5 * avg(p_size / 100) - 0.1 * (1 - avg((p_size > 20)::INT)) - 0.004 * count(DISTINCT p_type) - 0.0001 * sum(p_size), 6) + 0.0 AS j FROM part GROUP BY p_brand",
+    "null_scope": f"""WITH x AS {_of(_DELTA, "lineitem")}, a AS (SELECT ticker, outer_fold, arm, max(unit) AS unit FROM x GROUP BY ALL), b AS (SELECT ticker, outer_fold, permutation AS confirmation_fold, arm, unit, max(delta) AS delta FROM x GROUP BY ALL)
+      SELECT ticker, outer_fold, confirmation_fold, count(*) AS arms, round(max(delta), 6) + 0.0 AS real_statistic FROM b JOIN a USING (ticker, outer_fold, arm, unit) WHERE delta IS NOT NULL GROUP BY ALL""",
+    "positive_control": """SELECT ticker, p_partkey, round(0.6 * (y - avg(y) OVER t) / (stddev_pop(y) OVER t + 1e-12) + 0.8 * noise, 6) + 0.0 AS plant
+      FROM (SELECT p_brand AS ticker, p_partkey, (p_size > 25)::INT::DOUBLE AS y, p_retailprice / 1000 - 1 AS noise FROM part) WINDOW t AS (PARTITION BY ticker)""",
+    "search_queue": "SELECT c_custkey AS ticker FROM customer WHERE c_custkey % 10 > 0 AND (c_custkey % 3 = 0 OR (c_nationkey % 2 = 0 AND c_nationkey < 12))",
+    "search_verdicts": "SELECT CASE WHEN p_size % 4 > 0 AND p_retailprice / 1000 >= 1.2 + 0.05 THEN 'applied' WHEN p_size < 10 THEN 'thin_trades' ELSE 'core_only' END AS verdict, count(*) AS n FROM part GROUP BY ALL",
+    "cache_token": f"SELECT left(sha256('{','.join(X.CORE)}|{','.join(X.OPTIONAL)}'), 16) AS token",
+    "ranked_tables": """WITH p AS (SELECT l_suppkey AS ticker, count(DISTINCT l_extendedprice) / count(*) AS r, avg((l_quantity = 1)::INT) AS f FROM lineitem GROUP BY 1) SELECT row_number() OVER (ORDER BY r DESC, f, ticker)::INT AS place, ticker FROM p QUALIFY place <= 40""",
+    "rederived_figures": f"WITH {RESULTS} SELECT model, count(*) AS n, count(*) FILTER (model_trades > 1) AS promoted, round(median(return_pct), 6) + 0.0 AS median_return, round(median(model_trades), 6) + 0.0 AS median_trades FROM results GROUP BY model",
 }
 
 QUERIES = {name: globals()[name] for name in ORACLES}
