@@ -100,6 +100,12 @@ def macro_segments(times: DataFrame, groups: int) -> DataFrame:
     return times.withColumn("segment", F.least(F.lit(groups - 1), F.floor((F.col("t0") - F.min("t0").over(by)) / width)).cast("int"))
 
 
+def grouped_blocks(times: DataFrame, span: int, groups: int) -> DataFrame:
+    """Blocks within equal spans of time: ticker (with its segment), t0, block, pos. Reordering them moves no block out of its segment."""
+    x = macro_segments(times, groups).select(F.concat_ws("/", "ticker", F.col("segment").cast("string")).alias("ticker"), "t0")
+    return blocks(x, span)
+
+
 def permuted(blocked: DataFrame, seed: int, number: int) -> DataFrame:
     """ticker, t0, src_t0: the rows in a random order of their blocks, drawn by a hash of seed, number and block."""
     order = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.lit(number).cast("string"), F.col("ticker"), F.col("block").cast("string")))

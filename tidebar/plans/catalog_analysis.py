@@ -257,6 +257,11 @@ def block_permutation(spark, d):
     return R.permuted(R.blocks(_t0(spark, d), 24), 42, 1)
 
 
+def segment_permutation(spark, d):
+    """Blocks reordered within each quarter of a ticker's time."""
+    return R.permuted(R.grouped_blocks(_t0(spark, d), 24, 4), 42, 1)
+
+
 def _accepted(spark, d):
     x = B.read(spark, d, "lineitem").join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_quantity > 49")
     verdict = F.when(F.col("l_orderkey") % 13 == 0, "passed").when(F.col("l_orderkey") % 5 > 0, "failed")
@@ -276,6 +281,7 @@ _BLOCKS = f"""{_BASE}, num AS (SELECT ticker, t0, row_number() OVER (PARTITION B
 walk AS (SELECT ticker, t0, k, t0 AS b0, 0 AS block FROM num WHERE k = 1 UNION ALL
   SELECT n.ticker, n.t0, n.k, CASE WHEN n.t0 - b0 >= 24 THEN n.t0 ELSE b0 END, CASE WHEN n.t0 - b0 >= 24 THEN block + 1 ELSE block END FROM walk JOIN num n ON n.ticker = walk.ticker AND n.k = walk.k + 1),
 blk AS (SELECT ticker, t0, block, (row_number() OVER (PARTITION BY ticker, block ORDER BY t0) - 1)::INT AS pos FROM walk)"""
+_SEGMENTS = f"{_BASE}, seg AS (SELECT ticker || '/' || least(3, floor((t0 - min(t0) OVER t) / ((max(t0) OVER t + 1 - min(t0) OVER t) / 4.0)))::INT AS ticker, t0 FROM cand WINDOW t AS (PARTITION BY ticker))" + _BLOCKS.removeprefix(_BASE).replace("FROM cand", "FROM seg")
 _MATRIX = """WITH a AS (SELECT p_type AS family, l_returnflag || l_suppkey AS ticker, CASE WHEN l_orderkey % 13 = 0 THEN 'passed' WHEN l_orderkey % 5 > 0 THEN 'failed' END AS v FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
 t AS (SELECT family, ticker, coalesce(bool_or(v = 'passed'), false) AS passed, bool_or(v IS NULL) AS missing FROM a GROUP BY ALL),
 f AS (SELECT family, count(*) AS n_provisional, sum(passed::INT)::BIGINT AS n_confirmed, sum((missing AND NOT passed)::INT)::BIGINT AS n_screening FROM t GROUP BY family),
@@ -293,7 +299,7 @@ o AS (SELECT family, id, mean, best, best_mean, se, in_plateau, in_plateau AND r
 QUERIES = {n: globals()[n] for n in (
     "console_overview console_payoff console_basket console_overlap console_trade_buckets console_return_histogram console_result_rows console_mode_counts console_coverage console_health result_upsert feature_contributions "
     "feature_tooltips table_profile return_correlations filter_cascade nearest_rank_quantiles sample_digest ledger_chain ledger_latest entry_bins entry_segments split_harvest feature_quantiles trajectory_bands interval_overlap "
-    "rank_correlation fold_ranking shap_sign_flips five_significant_digits rotation_acceptance one_se_representatives search_pool_order null_exceedance wilson_interval time_blocks macro_segments block_permutation family_matrix transfer_prior"
+    "rank_correlation fold_ranking shap_sign_flips five_significant_digits rotation_acceptance one_se_representatives search_pool_order null_exceedance wilson_interval time_blocks macro_segments block_permutation segment_permutation family_matrix transfer_prior"
 ).split()}
 
 ORACLES = {
@@ -373,6 +379,8 @@ ORACLES = {
     "macro_segments": f"{_BASE} SELECT ticker, t0, least(3, floor((t0 - min(t0) OVER t) / ((max(t0) OVER t + 1 - min(t0) OVER t) / 4.0)))::INT AS segment FROM cand WINDOW t AS (PARTITION BY ticker)",
     "block_permutation": f"""{_BLOCKS}, o AS (SELECT *, md5(concat_ws('-', '42', '1', ticker, block::VARCHAR)) AS o FROM blk), src AS (SELECT ticker, t0 AS src_t0, row_number() OVER (PARTITION BY ticker ORDER BY o, block, pos) AS place FROM o),
       dst AS (SELECT ticker, t0, row_number() OVER (PARTITION BY ticker ORDER BY t0) AS place FROM o) SELECT ticker, t0, src_t0 FROM dst JOIN src USING (ticker, place)""",
+    "segment_permutation": f"""{_SEGMENTS}, o AS (SELECT *, md5(concat_ws('-', '42', '1', ticker, block::VARCHAR)) AS o FROM blk), src AS (SELECT ticker, t0 AS src_t0, row_number() OVER (PARTITION BY ticker ORDER BY o, block, pos) AS place FROM o),
+      dst AS (SELECT ticker, t0, row_number() OVER (PARTITION BY ticker ORDER BY t0) AS place FROM o) SELECT ticker, t0, src_t0 FROM dst JOIN src USING (ticker, place)""",
     "family_matrix": f"{_MATRIX} SELECT * FROM m",
     "transfer_prior": f"""{_MATRIX}, c AS (SELECT *, list_position(['universal', 'conditional', 'asset_specific', 'screening_only', 'unconfirmed'], classification) AS k FROM m)
       SELECT row_number() OVER (ORDER BY k, n_confirmed DESC, recurrence DESC, family)::INT AS place, family, classification FROM c""",
