@@ -1,17 +1,18 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame functions only.
 
-The sets are an item's windows of consecutive words, each seen as its shingles. A document that contains
-a window contains all of its shingles, so its rarest shingle is prefix enough: only documents that hold
-that one are candidates. Rarity is the number of occurrences over all documents. Position and length then
-bound where the window would lie, and the words there are compared one by one with the window's.
-
-The shingles of all items are broadcast while they number BROADCAST_SHINGLES at most (16 MB), else they
-are shuffled against the documents' shingles.
+The sets are an item's windows of consecutive words, each seen as its shingles. A first pass counts the items'
+shingles over all documents, which orders them by rarity. A document that contains a window contains all of
+its shingles, so its rarest one is prefix enough: a second pass joins only these with the documents' shingles.
+Position and length then bound where the window would lie, and the words there are compared one by one with
+the window's.
+
+Shingles of documents travel as (place, hash), never with their text. The items' side of a join is
+broadcast while it numbers BROADCAST_ROWS at most; beyond that (place, hash) is shuffled, and the words of
+documents that met a prefix are read again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import stored, text_of
 
 WINDOW, SHINGLE = 10, 5
-BROADCAST_SHINGLES = 1_000_000
+#: Rows of hashes, or of windows a tenth as many, that are broadcast (16 MB, or 10 words each).
+BROADCAST_ROWS = 1_000_000
 #: What a word is made of, and the letters folded.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,8 +36,16 @@ def _hash_at(words: Column, at: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(words, at + F.lit(t)) for t in range(k)])
 
 
-def _hashes_of(words: Column, k: int) -> Callable[[Column], Column]:
-    return lambda at: _hash_at(words, at, k)
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """id, check (a hash of the text), words: rows with one id and check are one and the same."""
+    return docs.select(F.col(id_column).alias("id"), F.xxhash64(text_of(text_column)).alias("check"), words_of(text_column).alias("words"))
+
+
+def _shingles(docs: DataFrame, k: int, *carried: str) -> DataFrame:
+    """The carried columns, at, h: each k words in a row as a hash. Exploded as references into one array of words."""
+    sides = F.arrays_zip(*[(F.slice("words", t + 1, F.size("words")) if t else F.col("words")).alias(f"w{t}") for t in range(k)])
+    each = docs.where(F.size("words") >= k).select(*carried, F.posexplode(sides).alias("at", "z"))
+    return each.where(F.col(f"z.w{k - 1}").isNotNull()).select(*carried, "at", F.xxhash64(*[F.col(f"z.w{t}") for t in range(k)]).alias("h"))
 
 
 def item_windows(items: DataFrame, window: int, item_column: str, text_column: str) -> DataFrame:
@@ -45,51 +55,60 @@ def item_windows(items: DataFrame, window: int, item_column: str, text_column: s
 
 
 def window_hits(docs: DataFrame, windows: DataFrame, id_column: str, text_column: str, shingle: int = SHINGLE) -> DataFrame:
-    """id, start (word, from 0), w: every occurrence of every window in every document."""
+    """id, check, start (word, from 0), w: every occurrence of every window in every document."""
     size = F.least(F.size("w"), F.lit(shingle))
     grams = windows.select("w").distinct().select("w", size.alias("k"), F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("offset"))
     sizes = sorted(r.k for r in grams.select("k").distinct().collect())  # 1 to SHINGLE
+    words = _keyed(docs, id_column, text_column)
     if not sizes:
-        return docs.select(F.col(id_column).alias("id"), F.lit(0).alias("start"), F.lit(None).cast("array<string>").alias("w")).limit(0)
+        return words.select("id", "check", F.lit(0).alias("start"), F.lit(None).cast("array<string>").alias("w")).limit(0)
     grams = stored(grams.select("w", "k", "offset", F.coalesce(*[F.when(F.col("k") == k, _hash_at(F.col("w"), F.col("offset"), k)) for k in sizes]).alias("h")))
-    wanted = grams.select("h", "k").distinct()
-    if wanted.count() <= BROADCAST_SHINGLES:
-        wanted = F.broadcast(wanted)
-    longest = windows.agg(F.max(F.size("w"))).first()[0]
-    words = docs.select(F.col(id_column).alias("id"), words_of(text_column).alias("words"))
-    found = []
+    wanted = stored(grams.select("h", "k").distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    counted = []
     for k in sizes:
-        hashes = F.transform(F.sequence(F.lit(0), F.size("words") - k), _hashes_of(F.col("words"), k))
-        at = words.where(F.size("words") >= k).select("id", "words", F.posexplode(hashes).alias("at", "h"))
-        first = F.greatest(F.col("at") - (longest - k), F.lit(0))
-        near = F.slice("words", first + 1, F.col("at") - first + longest)
-        found.append(at.join(wanted.where(F.col("k") == k).drop("k"), "h").select("id", "h", F.lit(k).alias("k"), "at", first.alias("first"), near.alias("near")))
-    found = stored(reduce(DataFrame.unionAll, found))
-    rarity = found.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n"))
-    prefix = stored(grams.join(rarity, ["h", "k"], "left").groupBy("w", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("h"))).alias("p")).where("p.n > 0").select("w", "k", "p.h", "p.offset"))
+        own = wanted.where(F.col("k") == k).select("h")
+        counted.append(_shingles(words, k).join(F.broadcast(own) if few else own, "h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).select("h", F.lit(k).alias("k"), "n"))
+    rarity = stored(reduce(DataFrame.unionAll, counted))
+    # a window of which a shingle is nowhere is nowhere
+    rarest = grams.join(rarity, ["h", "k"], "left").groupBy("w", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("h"))).alias("p"))
+    prefix = stored(rarest.where("p.n > 0").select("w", "k", "p.h", "p.offset"))
+    few = prefix.count() <= BROADCAST_ROWS // 10
     start = F.col("at") - F.col("offset")
-    inside = (start >= F.col("first")) & (start - F.col("first") + F.size("w") <= F.size("near"))
-    return found.join(prefix, ["h", "k"]).where(inside).where(F.slice("near", start - F.col("first") + 1, F.size("w")) == F.col("w")).select("id", start.alias("start"), "w").distinct()
+    found = []
+    for k in sizes:
+        own = prefix.where(F.col("k") == k).drop("k")
+        if few:
+            near = _shingles(words, k, "id", "check", "words").join(F.broadcast(own), "h").where((start >= 0) & (start + F.size("w") <= F.size("words")))
+            found.append(near.where(F.slice("words", start + 1, F.size("w")) == F.col("w")).select("id", "check", start.alias("start"), "w"))
+            continue
+        met = _shingles(words, k, "id", "check").join(own, "h").where(start >= 0)
+        met = met.select(F.col("id").alias("met_id"), F.col("check").alias("met_check"), start.alias("start"), "w").distinct().groupBy("met_id", "met_check").agg(F.collect_list(F.struct("start", "w")).alias("met"))
+        near = words.join(met, F.col("id").eqNullSafe(F.col("met_id")) & (F.col("check") == F.col("met_check"))).select("id", "check", "words", F.explode("met").alias("m"))
+        near = near.where(F.slice("words", F.col("m.start") + 1, F.size("m.w")) == F.col("m.w"))
+        found.append(near.select("id", "check", "m.start", "m.w"))
+    return reduce(DataFrame.unionAll, found).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """Per row of docs: id column, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit inside any occurrence of any window. Null and empty texts, and items without words, have no
-    windows and no hits. Rows that share an id share their hits; a null id is an id of its own. Repeated
-    items are found each under its own item id. Other columns are not read. An empty benchmark hits
+    windows and no hits. Rows are judged each by its own text, whatever their ids. Repeated items are
+    found each under its own item id. Other columns are not read. An empty benchmark hits
     nothing; an empty docs table gives an empty one.
     """
     windows = stored(item_windows(benchmark, window, item_column, item_text_column))
     hits = stored(window_hits(docs, windows, id_column, text_column))
-    spans = hits.select("id", "start", F.size("w").alias("n")).distinct()
-    covered = spans.select("id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_hit"))
-    items = hits.select("id", "w").distinct().join(windows, "w").select("id", "item").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item").cast("string"))), ",").alias("items"))
-    per_doc = covered.withColumnRenamed("id", "cid").join(items, F.col("cid").eqNullSafe(F.col("id"))).drop("cid").withColumnRenamed("id", "hit_id")
-    out = docs.select(F.col(id_column).alias("id"), F.size(words_of(text_column)).cast("long").alias("n_words")).join(per_doc, F.col("id").eqNullSafe(F.col("hit_id")), "left")
+    spans = hits.select("id", "check", "start", F.size("w").alias("n")).distinct()
+    covered = spans.select("id", "check", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at")).distinct().groupBy("id", "check").agg(F.count(F.lit(1)).alias("n_hit"))
+    items = hits.select("id", "check", "w").distinct().join(windows, "w").select("id", "check", "item").distinct().groupBy("id", "check").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item").cast("string"))), ",").alias("items"))
+    items = items.select(F.col("id").alias("hit_id"), F.col("check").alias("hit_check"), "n_items", "items")
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("check") == F.col("hit_check"))
+    per_doc = covered.join(items, same).drop("id", "check")
+    out = _keyed(docs, id_column, text_column).select("id", "check", F.size("words").cast("long").alias("n_words")).join(per_doc, same, "left")
     zero = F.lit(0).cast("long")
     return out.select(
         F.col("id").alias(id_column), "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
-
