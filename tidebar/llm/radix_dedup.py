@@ -6,6 +6,10 @@ to level (64 bytes, then 16 times as many each time), so that a text of a gigaby
 levels, and only members of groups of two or more go on to the next. Texts meet by their own bytes alone;
 no digest decides.
 
+Only row keys and digits are dealt out; what follows a digit is read again, from the texts of the rows that go
+on, whose keys are broadcast while they number BROADCAST_ROWS at most and else joined with the texts once for each level.
+A row's key is its id with a hash of its text, so rows with one key are one and the same.
+
 Counting a level's groups combines copies before the shuffle, so a group that holds a third of all rows
 is one row from each task. Its members then meet the group's row in a join, which adaptive execution
 splits where a group is large; no task holds a group.
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import forget, stored, text_of
 
 FIRST_DIGIT, DIGIT_GROWTH = 64, 16
+#: Keys of rows that are broadcast (40 MB).
+BROADCAST_ROWS = 1_000_000
 #: Fixed value: the characters that do not count.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -33,26 +39,30 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     their id, so a kept id is kept in each of its rows. A null id can only stay if no other row of its
     group has one as long. Other columns are not read. An empty table gives an empty one.
     """
-    norm = F.regexp_replace(text_of(text_column), BLANKS, "")
-    live = docs.select(F.col(id_column).alias("id"), F.length(text_of(text_column)).cast("long").alias("n"), F.sha2(norm, 256).alias("sha"), F.lit(0).cast("long").alias("group"), norm.cast("binary").alias("rest"))
-    settled, tables, width, level = [], [], FIRST_DIGIT, 0
+    text = text_of(text_column)
+    norm = F.regexp_replace(text, BLANKS, "")
+    key = [F.col(id_column).alias("id"), F.xxhash64(text).alias("check")]
+    live = docs.select(*key, F.length(text).cast("long").alias("n"), F.lit(0).cast("long").alias("group"), norm.cast("binary").alias("rest"))
+    settled, width, level = [], FIRST_DIGIT, 0
     while level == 0 or not live.isEmpty():
-        digit = F.substring("rest", 1, width)
-        groups = stored(live.groupBy("group", digit.alias("digit")).agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("next", F.monotonically_increasing_id()))
-        ended = F.length("digit") < width
-        split = stored(
-            live.withColumn("digit", digit)
-            .join(groups, ["group", "digit"], "left")
-            .select("id", "n", "sha", F.lit(level).alias("level"), F.col("next").alias("group"), F.when(F.col("next").isNotNull() & ~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest"))
+        digits = live.select("id", "check", "n", "group", F.substring("rest", 1, width).alias("digit"))
+        groups = stored(digits.groupBy("group", "digit").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("next", F.monotonically_increasing_id()))
+        placed = stored(digits.join(groups, ["group", "digit"]).select("id", "check", "n", F.lit(level).alias("level"), "next", (F.length("digit") < width).alias("ended")))
+        settled.append(placed.where("ended").drop("ended"))
+        on = stored(placed.where("NOT ended").select(F.col("id").alias("on_id"), F.col("check").alias("on_check"), "next").distinct())
+        few = F.broadcast(on) if on.count() <= BROADCAST_ROWS else on
+        further = stored(
+            live.join(few, F.col("id").eqNullSafe(F.col("on_id")) & (F.col("check") == F.col("on_check")))
+            .select("id", "check", "n", F.col("next").alias("group"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
         )
-        forget(groups)
-        tables.append(split)
-        settled.append(split.where("rest IS NULL").drop("rest"))
-        live = split.where("rest IS NOT NULL").select("id", "n", "sha", "group", "rest")
-        width, level = width * DIGIT_GROWTH, level + 1
+        forget(groups, on, *([live] if level else []))
+        live, width, level = further, width * DIGIT_GROWTH, level + 1
+    forget(live)
     rows = reduce(DataFrame.unionAll, settled)
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id")))
-    groups = stored(rows.where("group IS NOT NULL").groupBy("level", "group").agg(best.alias("best"), F.count(F.lit(1)).alias("size")))
-    out = rows.join(groups, ["level", "group"], "left")
-    keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("best.id"))
+    groups = rows.groupBy("level", "next").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
+    keys = rows.select("id", "check", "level", "next").distinct().join(groups, ["level", "next"])
+    of = keys.select(F.col("id").alias("of_id"), F.col("check").alias("of_check"), F.col("best.id").alias("keep"), "size")
+    out = docs.select(*key, F.sha2(norm, 256).alias("sha")).join(of, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("check") == F.col("of_check")), "left")
+    keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
     return out.select(F.col("id").alias(id_column), keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256"))
