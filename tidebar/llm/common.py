@@ -13,8 +13,12 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session's spark.checkpoint.dir names it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that driver and executors share, as the session's spark.checkpoint.dir names it; only a local session may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = LOCAL_CHECKPOINTS
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
