@@ -6,7 +6,7 @@ its spans that no base span touches are added.
 
 It is trained here, by stochastic gradient on the exact likelihood (forward-backward), on a bounded sample:
 half of TRAINING_ROWS from the rows in which a pattern may match and half from the others, by the smallest hash
-of their id, whose base spans are the labels. Of each row it takes at most PER_ROW stretches around spans and
+of id and text, whose base spans are the labels. Of each row it takes at most PER_ROW stretches around spans and
 one from anywhere, of all rows at most TRAINING_ROWS of either kind, all by hash. Neighbouring
 words are features of the training, the secret's own text is not, only its shape; so it also marks a
 token that looks and stands like a secret where no pattern matches.
@@ -180,11 +180,18 @@ def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
     return out
 
 
-def train(docs: DataFrame, limit: int = TRAINING_ROWS, epochs: int = 2, id_column: str = "doc_id", text_column: str = "text") -> Field:
-    """Fit the field on at most `limit` rows: half of them such that a pattern may match, half others."""
+def training_texts(docs: DataFrame, limit: int, id_column: str, text_column: str) -> DataFrame:
+    """text of at most `limit` rows, half of them such that a pattern may match: those with the smallest hashes of id and text, repeated rows once."""
     text = text_of(text_column)
     hint = text.rlike(r"AKIA|[0-9a-f]{24}|[:=]")
-    ids = docs.where(F.col(id_column).isNotNull()).select(text.alias("text"), hint.cast("int").alias("hint"), F.xxhash64(F.col(id_column)).alias("o"))
+    rows = docs.select(text.alias("text"), hint.cast("int").alias("hint"), F.xxhash64(F.col(id_column), text).alias("o"))
+    parts = [rows.where(f"hint = {k}").select("o").distinct().orderBy("o").limit(limit // 2) for k in (0, 1)]
+    chosen = parts[0].unionAll(parts[1]).distinct()  # so small a table may be broadcast
+    return rows.join(F.broadcast(chosen), "o").groupBy("o").agg(F.first("text").alias("text")).select("text")
+
+
+def train(docs: DataFrame, limit: int = TRAINING_ROWS, epochs: int = 2, id_column: str = "doc_id", text_column: str = "text") -> Field:
+    """Fit the field on at most `limit` rows: half of them such that a pattern may match, half others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,9 +200,7 @@ def train(docs: DataFrame, limit: int = TRAINING_ROWS, epochs: int = 2, id_colum
                     flat = [len(f) for f in seq]
                     yield pa.RecordBatch.from_arrays([pa.array([flat]), pa.array([[x for f in seq for x in f]]), pa.array([tags])], ["sizes", "features", "tags"])
 
-    parts = [ids.where(f"hint = {k}").select("o").orderBy("o").limit(limit // 2) for k in (0, 1)]
-    chosen = parts[0].unionAll(parts[1]).distinct()  # so small a table may be broadcast
-    got = ids.join(F.broadcast(chosen), "o").select("text").mapInArrow(run, "sizes array<long>, features array<string>, tags array<long>").toPandas()  # bounded by `limit`
+    got = training_texts(docs, limit, id_column, text_column).mapInArrow(run, "sizes array<long>, features array<string>, tags array<long>").toPandas()  # bounded by `limit`
     field = Field.blank(sorted({f for row in got["features"] for f in row}))
     sequences = []
     for sizes, features, tags in zip(got["sizes"], got["features"], got["tags"], strict=True):
