@@ -2,7 +2,8 @@
 
 The sets are an item's windows of consecutive words, each seen as its shingles. A first pass counts the items'
 shingles over all documents, which orders them by rarity. A document that contains a window contains all of
-its shingles, so its rarest one is prefix enough: a second pass joins only these with the documents' shingles.
+its shingles, so its rarest one is prefix enough: a second pass joins only these with the shingles of the documents
+that hold one.
 Position and length then bound where the window would lie, and the words there are compared one by one with
 the window's.
 
@@ -65,15 +66,22 @@ def window_hits(docs: DataFrame, windows: DataFrame, id_column: str, text_column
     grams = stored(grams.select("w", "k", "offset", F.coalesce(*[F.when(F.col("k") == k, _hash_at(F.col("w"), F.col("offset"), k)) for k in sizes]).alias("h")))
     wanted = stored(grams.select("h", "k").distinct())
     few = wanted.count() <= BROADCAST_ROWS
-    counted = []
+    met = []
     for k in sizes:
         own = wanted.where(F.col("k") == k).select("h")
-        counted.append(_shingles(words, k).join(F.broadcast(own) if few else own, "h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).select("h", F.lit(k).alias("k"), "n"))
-    rarity = stored(reduce(DataFrame.unionAll, counted))
+        held = _shingles(words, k, "id", "check").join(F.broadcast(own) if few else own, "h").groupBy("id", "check", "h").agg(F.count(F.lit(1)).alias("n"))
+        met.append(held.select("id", "check", "h", F.lit(k).alias("k"), "n"))
+    met = stored(reduce(DataFrame.unionAll, met))
+    rarity = met.groupBy("h", "k").agg(F.sum("n").alias("n"))
     # a window of which a shingle is nowhere is nowhere
     rarest = grams.join(rarity, ["h", "k"], "left").groupBy("w", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("h"))).alias("p"))
     prefix = stored(rarest.where("p.n > 0").select("w", "k", "p.h", "p.offset"))
     few = prefix.count() <= BROADCAST_ROWS // 10
+    holders = stored(met.join(prefix.select("h", "k").distinct(), ["h", "k"]).select(F.col("id").alias("own_id"), F.col("check").alias("own_check")).distinct())
+    if holders.count() <= BROADCAST_ROWS:  # documents without a prefix are not cut into words again
+        texts = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
+        same = F.col("id").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("own_check"))
+        words = _keyed(texts.join(F.broadcast(holders), same, "left_semi"), "id", "text")
     start = F.col("at") - F.col("offset")
     found = []
     for k in sizes:
