@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm import bpe_automaton, decontaminate, jaccard_join, queries, radix_dedup, toxicity
-from tidebar.llm.common import stored, table
+from tidebar.llm.common import stored, table, text_of
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -17,15 +17,23 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _only(docs: DataFrame, kept: DataFrame, *keys: tuple[str, Column]) -> DataFrame:
-    """The rows of docs whose keys are among kept's; null keys are equal."""
-    names = [_free(docs, f"kept_{name}") for name, _ in keys]
-    kept = kept.select(*[F.col(name).alias(alias) for (name, _), alias in zip(keys, names, strict=True)]).distinct()
-    condition = None
-    for (_, own), alias in zip(keys, names, strict=True):
-        same = own.eqNullSafe(F.col(alias))
-        condition = same if condition is None else condition & same
-    return docs.join(kept, condition, "left_semi")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key for each row, and its name: id (null last) and a hash of the text, so rows with one key are repeats of one document."""
+    name = _free(docs, "row_key")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.xxhash64(text_of()).alias("check"))
+    return docs.withColumn(name, key), name
+
+
+def _without(keyed: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of keyed whose key is not among gone's."""
+    other = _free(keyed, "gone_key")
+    return keyed.join(gone.select(F.col(key).alias(other)).distinct(), F.col(key) == F.col(other), "left_anti")
+
+
+def _once(keyed: DataFrame, key: str) -> DataFrame:
+    """Repeated rows once; texts are dealt out only if there are any."""
+    again = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    return keyed if again.isEmpty() else keyed.dropDuplicates([key])
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,26 +45,23 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, also of repeated rows."""
-    groups = stored(radix_dedup.exact_groups(docs).where("kept"))
-    digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), radix_dedup.BLANKS, ""), 256)
-    out = _only(docs, groups, ("doc_id", F.col("doc_id")), ("text_sha256", digest))
-    repeated = groups.groupBy("doc_id", "text_sha256").count().where("count > 1")
-    if repeated.isEmpty():
-        return out
-    same = _free(docs, "digest")
-    return out.withColumn(same, digest).dropDuplicates(["doc_id", same]).drop(same)
+    keyed, key = _keyed(docs)
+    copies = radix_dedup.exact_groups(keyed, id_column=key).where("NOT kept")
+    return _without(_once(keyed, key), key, copies).drop(key)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id."""
-    groups = jaccard_join.jaccard_components(docs)
-    return _only(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), ("doc_id", F.col("doc_id")))
+    """One document of each group stays, the one with the smallest id; of repeated rows one."""
+    keyed, key = _keyed(docs)
+    others = jaccard_join.jaccard_components(keyed, id_column=key).where(F.col(key) != F.col("component_id"))
+    return _without(_once(keyed, key), key, others).drop(key)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where("NOT contaminated"), ("doc_id", F.col("doc_id")))
+    keyed, key = _keyed(docs)
+    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), id_column=key).where("contaminated")
+    return _without(keyed, key, found).drop(key)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
