@@ -16,7 +16,7 @@ from tidebar.sources import bars as B
 # Select lists for both engines.
 _NULL = ["o_orderpriority AS kind", "CASE WHEN o_custkey % 2 = 0 THEN 'flat' ELSE 'hierarchical' END AS arm", "o_totalprice / 100000.0 - 2.9 AS t"]
 _RUNS = ["p_size % 4 AS strength", "p_partkey % 3 AS pool", "p_retailprice > 1000 AS recovered", "p_size * 1.5 AS seconds"]
-_FOLD = ["p_brand AS trial", "p_size AS splits", "p_size % 7 AS leaves", "p_retailprice / 10000 AS std", "p_retailprice / 3000 AS lo", "p_retailprice / 2000 AS hi", "p_size / 100.0 AS ap", "p_retailprice / 5000 - 0.2 AS growth", "p_size % 5 AS trades"]
+_FOLD = ["p_brand AS trial", "p_size AS splits", "p_size % 7 AS leaves", "p_retailprice / 10000 AS std", "p_retailprice / 3000 AS lo", "p_retailprice / 2000 AS hi", "p_size / 7e1 AS ap", "p_retailprice / 5000 - 0.2 AS growth", "p_size % 5 AS trades"]
 _ARMS = [
     "p_partkey", "CASE WHEN p_size % 6 = 0 THEN NULL ELSE p_retailprice / 1000 - 1 END AS core_growth", "CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_retailprice / 1100 - 1 END AS greedy_growth", "p_size % 3 AS core_trades", "p_size % 2 AS greedy_trades",
     "p_size / 200.0 AS inner_gain",
