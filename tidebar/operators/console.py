@@ -60,8 +60,11 @@ def histogram(results: DataFrame, column: str, low: float, high: float, bins: in
 
 
 def health(counts: DataFrame) -> DataFrame:
-    """First matching state. counts: found, missing_tables, failed_checks, assets, expected."""
-    state = F.when(~F.col("found"), "NOT FOUND").when(F.col("missing_tables") > 0, "SCHEMA MISMATCH").when(F.col("failed_checks") > 0, "INTEGRITY FAILED").when(F.col("assets") < F.col("expected"), "PARTIAL").otherwise("OK")
+    """First matching state of each store. counts: found, missing_tables, failed_checks, frozen, assets, expected."""
+    state = (
+        F.when(~F.col("found"), "NOT FOUND").when(F.col("missing_tables") > 0, "SCHEMA MISMATCH").when(F.col("failed_checks") > 0, "INTEGRITY FAILED")
+        .when(~F.coalesce("frozen", F.lit(False)) | ~F.col("assets").eqNullSafe(F.col("expected")), "PARTIAL").otherwise("OK")
+    )
     return counts.withColumn("state", state)
 
 

@@ -76,8 +76,11 @@ def console_coverage(spark, d):
 
 
 def console_health(spark, d):
-    c = results(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("assets")).withColumns({"found": F.lit(True), "missing_tables": F.lit(0), "failed_checks": F.when(F.col("model") == "xgb", 0).otherwise(1), "expected": F.lit(1)})
-    return C.health(c).select("model", "assets", "state")
+    """One store for each nation, in whatever state its customers put it."""
+    c = B.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("store")).agg(F.count(F.lit(1)).alias("assets"), F.sum((F.col("c_acctbal") < -950).cast("int")).alias("failed_checks"))
+    k = F.col("store")
+    c = c.withColumns({"found": k % 7 > 0, "missing_tables": (k % 5 == 1).cast("int"), "frozen": k % 4 != 2, "expected": F.col("assets") + (k % 6 == 5).cast("int")})
+    return C.health(c).select("store", "assets", "state")
 
 
 def result_upsert(spark, d):
@@ -320,7 +323,8 @@ ORACLES = {
     "console_mode_counts": f"WITH {RESULTS} SELECT model, {_MODE} AS result_mode, count(*) AS n FROM results GROUP BY ALL",
     "console_coverage": f"""WITH {RESULTS}, t AS (SELECT ticker, count(*) FILTER (model = 'xgb') AS x, count(*) FILTER (model = 'lstm') AS l FROM results WHERE model_trades > 0 GROUP BY ticker)
       SELECT CASE WHEN x > 0 AND l > 0 THEN 'both' WHEN x > 0 THEN 'xgb_only' ELSE 'lstm_only' END AS side, count(*) AS n FROM t GROUP BY ALL""",
-    "console_health": f"WITH {RESULTS} SELECT model, count(*) AS assets, CASE model WHEN 'xgb' THEN 'OK' ELSE 'INTEGRITY FAILED' END AS state FROM results GROUP BY model",
+    "console_health": """WITH c AS (SELECT c_nationkey AS store, count(*) AS assets, count(*) FILTER (c_acctbal < -950) AS failed FROM customer GROUP BY 1)
+      SELECT store, assets, CASE WHEN store % 7 = 0 THEN 'NOT FOUND' WHEN store % 5 = 1 THEN 'SCHEMA MISMATCH' WHEN failed > 0 THEN 'INTEGRITY FAILED' WHEN store % 4 = 2 OR store % 6 = 5 THEN 'PARTIAL' ELSE 'OK' END AS state FROM c""",
     "result_upsert": f"""WITH {RESULTS} SELECT ticker, model, CASE WHEN model = 'xgb' AND ticker LIKE 'T1%' THEN 0.0 ELSE return_pct + 0.0 END AS return_pct, CASE WHEN model = 'xgb' AND ticker LIKE 'T1%' THEN 'rerun' END AS note FROM results""",
     "feature_contributions": """WITH g AS (SELECT p_brand AS ticker, substr(p_type, 1, 3) AS family, p_type AS feature, sum(p_retailprice) AS gain FROM part GROUP BY ALL),
       s AS (SELECT *, gain / sum(gain) OVER (PARTITION BY ticker) AS share FROM g)
