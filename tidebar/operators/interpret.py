@@ -28,8 +28,9 @@ def bin_stats(rows: DataFrame, edges: list[float]) -> DataFrame:
     return x.withColumn("rate", F.col("n_entry") / F.col("n")).withColumn("lift", F.when(base > 0, F.col("n_entry") / F.col("n") / F.when(base > 0, base)).otherwise(0.0))
 
 
-def entry_segments(rows: DataFrame, edges: list[float], lift: float = 1.25, least_rows: int = 20) -> DataFrame:
-    """Runs of bins of one class (hot or cold): lo_bin, hi_bin, class, n, n_entry.
+def entry_segments(rows: DataFrame, edges: list[float], lift: float = 1.25, least_rows: int = 20, least_entries: int = 10) -> DataFrame:
+    """Runs of bins of one class (hot or cold): lo_bin, hi_bin, class, n, n_entry, entry_share, entry_lift, whether
+    the run is a candidate region, and whether its entries are little evidence.
 
     Empty bins extend the run before them, also at a change of class; leading ones belong to none.
     """
@@ -39,6 +40,11 @@ def entry_segments(rows: DataFrame, edges: list[float], lift: float = 1.25, leas
     x = x.withColumn("filled", F.last("class", ignorenulls=True).over(w)).where("filled IS NOT NULL")
     x = x.withColumn("new", (F.coalesce(F.lag("filled").over(w), F.lit("")) != F.col("filled")).cast("int")).withColumn("run", F.sum("new").over(w))
     out = x.groupBy("run").agg(F.min("bin").alias("lo_bin"), F.max("bin").alias("hi_bin"), F.first("filled").alias("class"), F.sum("n").alias("n"), F.sum("n_entry").alias("n_entry"))
+    all_ = Window.partitionBy()  # one row for each run
+    base = F.sum("n_entry").over(all_) / F.sum("n").over(all_)
+    share = F.col("n_entry") / F.col("n")
+    out = out.withColumns({"entry_share": share, "entry_lift": F.when(base > 0, share / F.when(base > 0, base)).otherwise(0.0)})
+    out = out.withColumns({"candidate_region": (F.col("entry_lift") >= lift) & (F.col("n_entry") >= least_entries), "low_evidence": F.col("n_entry") < least_entries})
     return out.where(F.col("n") >= least_rows).drop("run")
 
 

@@ -151,7 +151,7 @@ def entry_bins(spark, d):
 
 
 def entry_segments(spark, d):
-    return I.entry_segments(_rows(spark, d), EDGES, lift=1.0)
+    return rounded(I.entry_segments(_rows(spark, d), EDGES, lift=1.0), ["entry_share", "entry_lift"])
 
 
 def split_harvest(spark, d):
@@ -350,8 +350,10 @@ ORACLES = {
     "ledger_latest": "SELECT o_custkey AS unit, arg_max(o_orderpriority, o_orderkey) AS body, max(o_orderkey) AS seq FROM orders GROUP BY o_custkey",
     "entry_bins": f"WITH {_BINS} SELECT bin, n, n_entry, round(rate, 6) AS rate, round(lift, 6) AS lift FROM stats",
     "entry_segments": f"""WITH {_BINS}, e AS (SELECT i::INT AS bin, n, n_entry, CASE WHEN n IS NULL THEN NULL WHEN lift >= 1.0 THEN 'hot' ELSE 'cold' END AS c FROM range(0, {len(EDGES) + 1}) r(i) LEFT JOIN stats ON bin = i),
-      f AS (SELECT *, last_value(c IGNORE NULLS) OVER (ORDER BY bin) AS k FROM e), g AS (SELECT *, sum(CASE WHEN k IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (ORDER BY bin) AS run FROM (SELECT *, lag(k) OVER (ORDER BY bin) AS p FROM f WHERE k IS NOT NULL))
-      SELECT min(bin) AS lo_bin, max(bin) AS hi_bin, min(k) AS class, sum(n)::BIGINT AS n, sum(n_entry)::BIGINT AS n_entry FROM g GROUP BY run HAVING sum(n) >= 20""",
+      f AS (SELECT *, last_value(c IGNORE NULLS) OVER (ORDER BY bin) AS k FROM e), g AS (SELECT *, sum(CASE WHEN k IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (ORDER BY bin) AS run FROM (SELECT *, lag(k) OVER (ORDER BY bin) AS p FROM f WHERE k IS NOT NULL)),
+      r AS (SELECT min(bin) AS lo_bin, max(bin) AS hi_bin, min(k) AS class, sum(n)::BIGINT AS n, sum(n_entry)::BIGINT AS n_entry FROM g GROUP BY run),
+      t AS (SELECT *, n_entry / n AS share, (n_entry / n) / (sum(n_entry) OVER () / sum(n) OVER ()) AS lift FROM r)
+      SELECT lo_bin, hi_bin, class, n, n_entry, round(share, 6) + 0.0 AS entry_share, round(lift, 6) + 0.0 AS entry_lift, lift >= 1.0 AND n_entry >= 10 AS candidate_region, n_entry < 10 AS low_evidence FROM t WHERE n >= 20""",
     "split_harvest": """WITH t AS (SELECT p_brand AS feature, p_size::DOUBLE AS split, p_retailprice AS gain FROM part WHERE p_size <= 45), g AS (
       SELECT feature, count(DISTINCT split)::INT AS n_thresholds, min(split) AS lowest, max(split) AS highest, count(*) AS n_splits, sum(gain) AS gain FROM t GROUP BY feature)
       SELECT feature, n_thresholds, lowest, highest, n_splits, round(gain, 6) AS gain, round(gain / sum(gain) OVER (), 6) AS gain_share FROM g""",
