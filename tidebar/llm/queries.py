@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe_automaton, decontaminate, jaccard_join, radix_dedup, sanitise, secret_crf, substring_dedup, template_extract, token_attribution, toxicity
+from tidebar.llm import bpe_automaton, decontaminate, dual_tree, jaccard_join, radix_dedup, sanitise, secret_crf, substring_dedup, template_extract, tiered_search, token_attribution, toxicity, vector_packing
 from tidebar.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,6 +140,68 @@ FROM d LEFT JOIN gone USING (doc_id)
 """
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+b AS (
+  SELECT row_number() OVER () AS item, item_id,
+    list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+corpus AS (SELECT count(*)::BIGINT AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+m AS (SELECT doc, doc_id, 100 - 50 + (50 * len(t) * n) // l AS m FROM d, corpus WHERE len(t) > 0),
+tf AS (SELECT doc, u.term, count(*)::BIGINT AS tf FROM d, unnest(t) AS u(term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term), corpus),
+asked AS (SELECT item, item_id, u.term FROM b, unnest(t) AS u(term)),
+scores AS (
+  SELECT item, item_id, doc, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(k: int, rounds: int, width: int, scale: int, seed: int) -> str:
+    """One pair of tables for each round: who is nearest to whom, and the centroids after it."""
+    nearest = "SELECT r, c FROM (SELECT r, c, row_number() OVER (PARTITION BY r ORDER BY sum((v.x - m.x) * (v.x - m.x)), c) AS place FROM v JOIN m{n} AS m USING (i) GROUP BY r, c) WHERE place = 1"
+    parts = [
+        f"""WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, [floor({scale} * y::DOUBLE)::BIGINT FOR y IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = {width} AND len([y FOR y IN embedding IF y IS NOT NULL AND isfinite(y::DOUBLE)]) = {width}),
+v AS MATERIALIZED (SELECT r, u.i, x[u.i] AS x FROM kept, unnest(range(1, {width + 1})) AS u(i)),
+m0 AS MATERIALIZED (
+  SELECT c, i, x FROM (SELECT r, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR) NULLS LAST, x) - 1 AS c FROM kept) JOIN v USING (r) WHERE c < {k})"""
+    ]
+    for n in range(rounds):
+        parts.append(f"a{n} AS MATERIALIZED ({nearest.format(n=n)})")
+        parts.append(
+            f"m{n + 1} AS MATERIALIZED (SELECT c, i, coalesce(s, x) AS x FROM m{n} LEFT JOIN "
+            f"(SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS s FROM a{n} JOIN v USING (r) GROUP BY c, i) USING (c, i))"
+        )
+    parts.append(f"a AS MATERIALIZED ({nearest.format(n=rounds)})")
+    parts.append(f"d AS (SELECT r, c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS distance FROM a JOIN v USING (r) JOIN m{rounds} AS m USING (c, i) GROUP BY r, c)")
+    parts.append(f"digest AS (SELECT c, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c)")
+    return ",\n".join(parts) + """
+SELECT vec_id, c::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM d JOIN digest USING (c) JOIN kept USING (r)
+"""
+
+
+OP12_SQL = _lloyd_sql(8, 10, 64, 1024, 3)
+
+
+def op13_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.packed(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_bpe_encoding": op2_bpe_encoding,
@@ -150,6 +213,9 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_sequence_packing": op13_sequence_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -157,4 +223,6 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_join": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_ranked_search": OP11_SQL,
+    "op12_centroid_clustering": OP12_SQL,
 }
