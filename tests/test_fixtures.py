@@ -150,7 +150,7 @@ def test_blocks_and_reorder(spark):
     x = search.blocks(spark.createDataFrame([("A", t) for t in (0, 5, 23, 24, 30, 48, 49)], "ticker string, t0 int"), 24)
     got = [(r.t0, r.block) for r in x.orderBy("t0").collect()]
     assert got == [(0, 0), (5, 0), (23, 0), (24, 1), (30, 1), (48, 2), (49, 2)]
-    p = search.permuted(x, 42, 1).collect()
+    p = search.permuted(x, search.orders(x, 42, 1)).collect()
     assert sorted(r.src_t0 for r in p) == sorted(r.t0 for r in p)
 
 

@@ -147,21 +147,6 @@ def discovery_picks(scores: DataFrame) -> DataFrame:
     return scores.where("gain IS NOT NULL").groupBy(*keys).agg(top.alias("top")).select(*keys, F.col("top.id").alias("picked"), F.col("top.family").alias("family"), (-F.col("top.g")).alias("discovery_gain"))
 
 
-def draws(blocked: DataFrame, seed: int, number: int, least: float = 0.5, tries: int = 64) -> DataFrame:
-    """ticker, draw, displaced, n_blocks, index_hash: the first of `tries` reorderings of a ticker's blocks that moves at least this share of them.
-
-    A reordering sorts the blocks by a hash of seed, number, try and block. A ticker none of whose tries moves enough has no row.
-    """
-    order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(number)), F.col("draw").cast("string"), F.col("ticker"), F.col("block").cast("string")))
-    x = blocked.select("ticker", "block").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("o", order)
-    place = F.row_number().over(Window.partitionBy("ticker", "draw").orderBy("o")) - 1
-    x = x.withColumn("place", place).groupBy("ticker", "draw").agg(
-        F.sum((F.col("place") != F.col("block")).cast("int")).alias("displaced"), F.count(F.lit(1)).alias("n_blocks"),
-        F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "block"))), lambda s: s["block"].cast("string")), ","), 256), 1, 16).alias("index_hash"),
-    )
-    return x.where(F.col("displaced") >= least * F.col("n_blocks")).groupBy("ticker").agg(F.min(F.struct("draw", "displaced", "n_blocks", "index_hash")).alias("d")).select("ticker", "d.*")
-
-
 def path_problems(results: DataFrame, manifest: DataFrame) -> DataFrame:
     """model, ticker, problem: sealed rows whose path is not their folder's, or whose folder the manifest omits."""
     x = results.join(manifest.select("model", "ticker", F.lit(True).alias("listed")), ["model", "ticker"], "left")

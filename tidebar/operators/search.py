@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.folds import running
+from tidebar.operators.nulls import FUTILITY, PERMUTATIONS, advanced, begun, verdicts
 
 
 def complexity(formula: Column) -> Column:
@@ -68,10 +69,9 @@ def acceptance(rotations: DataFrame, penalty: float = 0.004, least: int = 2, maj
     return x.select("ticker", "outer_fold", "arm", "units", "units_eligible", F.col("best.unit").alias("unit"), F.coalesce("best.n", F.lit(0)).alias("rotations"), F.coalesce("best.wins", F.lit(0)).alias("wins"), F.when(score > 0, F.col("best.unit")).alias("accepted"), score.alias("statistic"))
 
 
-def exceedance(null: DataFrame, observed: DataFrame, keys: list[str], pass_at: int = 4) -> DataFrame:
-    """How many permutations reach the observed statistic, the Monte-Carlo p, and the verdict."""
-    x = null.join(observed, keys).groupBy(*keys).agg(F.sum((F.col("t") >= F.col("statistic")).cast("int")).alias("b"), F.count(F.lit(1)).alias("m"))
-    return x.withColumn("p", (F.col("b") + 1) / (F.col("m") + 1)).withColumn("verdict", F.when(F.col("b") <= pass_at, "passed").otherwise("failed"))
+def exceedance(null: DataFrame, observed: DataFrame, keys: list[str], most: int = PERMUTATIONS, futility: int = FUTILITY) -> DataFrame:
+    """The sequential verdict over all permutations of a finished null run. null: keys, permutation, t. observed: keys, statistic."""
+    return verdicts(advanced(begun(observed, keys), null, keys, most), keys, most, futility).drop("min_displaced_fraction")
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -80,38 +80,72 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return (mid - half) / d, (mid + half) / d
 
 
-def blocks(times: DataFrame, span: int) -> DataFrame:
-    """ticker, t0, block, pos: a block ends before the first time at least `span` after its first one.
+def blocks(times: DataFrame, span: int, within: list[str] | None = None) -> DataFrame:
+    """ticker, t0, block, pos: a block ends before the first time at least `span` after its first one. within: columns that no block crosses, kept too.
 
     Each block depends on where the last one began, so a ticker's times are one ordered fold.
     """
+    keys = ["ticker", *(within or [])]
+
     def step(a: Column, r: Column) -> Column:
         new = a["begin"].isNull() | (r["t0"] - a["begin"] >= span)
         return F.struct(F.when(new, r["t0"]).otherwise(a["begin"]).alias("begin"), (a["block"] + new.cast("int")).alias("block"))
 
-    x = running(times.select("ticker", "t0"), ["ticker"], ["t0"], {"begin": None, "block": -1}, "`begin`: int, `block`: int", step).select("ticker", "t0", "state.block")
-    return x.withColumn("pos", F.row_number().over(Window.partitionBy("ticker", "block").orderBy("t0")) - 1)
+    x = running(times.select(*keys, "t0"), keys, ["t0"], {"begin": None, "block": -1}, "`begin`: int, `block`: int", step).select(*keys, "t0", "state.block")
+    return x.withColumn("pos", F.row_number().over(Window.partitionBy(*keys, "block").orderBy("t0")) - 1)
 
 
 def macro_segments(times: DataFrame, groups: int) -> DataFrame:
-    """ticker, t0, segment: equal spans of time."""
+    """ticker, t0, segment: equal spans of time, none shorter than one bar."""
     by = Window.partitionBy("ticker")
-    width = (F.max("t0").over(by) + 1 - F.min("t0").over(by)) / groups
+    width = F.greatest(F.lit(1.0), (F.max("t0").over(by) + 1 - F.min("t0").over(by)) / groups)
     return times.withColumn("segment", F.least(F.lit(groups - 1), F.floor((F.col("t0") - F.min("t0").over(by)) / width)).cast("int"))
 
 
 def grouped_blocks(times: DataFrame, span: int, groups: int) -> DataFrame:
-    """Blocks within equal spans of time: ticker (with its segment), t0, block, pos. Reordering them moves no block out of its segment."""
-    x = macro_segments(times, groups).select(F.concat_ws("/", "ticker", F.col("segment").cast("string")).alias("ticker"), "t0")
-    return blocks(x, span)
+    """Blocks within equal spans of time: ticker, segment, t0, block, pos."""
+    return blocks(macro_segments(times.select("ticker", "t0"), groups), span, ["segment"])
+
+
+def orders(blocked: DataFrame, seed: int, number: int, least: float = 0.5, tries: int = 64) -> DataFrame:
+    """ticker, segment, block, own, place, draw: a reordering of each ticker's blocks, within segments if blocked has them; `own` numbers them over all segments.
+
+    A reordering sorts the blocks by a hash of seed, number, try, ticker, segment and block. The first of `tries` that moves at least this share of
+    a ticker's blocks is taken; later ones are drawn only where the first does not. A ticker none of whose tries does is an error.
+    """
+    x = blocked if "segment" in blocked.columns else blocked.withColumn("segment", F.lit(0))
+    x = x.select("ticker", "segment", "block").distinct()
+    x = x.withColumn("own", F.row_number().over(Window.partitionBy("ticker").orderBy("segment", "block")) - 1).withColumn("_first", F.min("own").over(Window.partitionBy("ticker", "segment")))
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(number)), F.col("draw").cast("string"), F.col("ticker"), F.col("segment").cast("string"), F.col("block").cast("string")))
+        y = rows.withColumn("_o", key).withColumn("place", F.row_number().over(Window.partitionBy("ticker", "segment", "draw").orderBy("_o", "block")) - 1 + F.col("_first"))
+        by = Window.partitionBy("ticker", "draw")
+        return y.withColumn("_fine", F.sum((F.col("place") != F.col("own")).cast("int")).over(by) >= least * F.count(F.lit(1)).over(by))
+
+    enough = drawn(x.withColumn("draw", F.lit(0))).groupBy("ticker").agg(F.max("_fine").alias("_enough"))
+    which = F.when(F.col("_enough"), F.array(F.lit(0))).otherwise(F.array(*[F.lit(i) for i in range(min(1, tries - 1), tries)]))
+    by = Window.partitionBy("ticker")
+    y = drawn(x.join(enough, "ticker").withColumn("draw", F.explode(which))).withColumn("_draw", F.min(F.when(F.col("_fine"), F.col("draw"))).over(by))
+    none = F.raise_error(F.concat(F.lit("no reordering moves enough blocks of "), "ticker")).cast("int")
+    y = y.withColumn("_draw", F.when(F.col("_draw").isNull(), none).otherwise(F.col("_draw"))).where(F.col("draw") == F.col("_draw"))
+    return y.select("ticker", "segment", "block", "own", "place", "draw")
+
+
+def draws(order: DataFrame) -> DataFrame:
+    """ticker, draw, displaced, n_blocks, segments, blocks_per_segment, index_hash: what a reordering moved. order: from orders(...)."""
+    per = order.groupBy("ticker", "segment").agg(F.count(F.lit(1)).alias("n")).groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "n"))), lambda s: s["n"]).alias("blocks_per_segment"))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "own"))), lambda s: s["own"].cast("string")), ","), 256)
+    x = order.groupBy("ticker", "draw").agg(F.sum((F.col("place") != F.col("own")).cast("int")).alias("displaced"), F.count(F.lit(1)).alias("n_blocks"), F.substring(digest, 1, 16).alias("index_hash"))
+    return x.join(per, "ticker").select("ticker", "draw", "displaced", "n_blocks", F.size("blocks_per_segment").alias("segments"), "blocks_per_segment", "index_hash")
 
 
-def permuted(blocked: DataFrame, seed: int, number: int) -> DataFrame:
-    """ticker, t0, src_t0: the rows in a random order of their blocks, drawn by a hash of seed, number and block."""
-    order = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.lit(number).cast("string"), F.col("ticker"), F.col("block").cast("string")))
+def permuted(blocked: DataFrame, order: DataFrame) -> DataFrame:
+    """ticker, t0, src_t0: the rows in the order of their blocks that orders(...) gave."""
+    x = blocked if "segment" in blocked.columns else blocked.withColumn("segment", F.lit(0))
     rank = Window.partitionBy("ticker")
-    x = blocked.withColumn("o", order)
-    src = x.select("ticker", F.col("t0").alias("src_t0"), F.row_number().over(rank.orderBy("o", "block", "pos")).alias("place"))
+    src = x.join(order.select("ticker", "segment", "block", F.col("place").alias("_slot")), ["ticker", "segment", "block"])
+    src = src.select("ticker", F.col("t0").alias("src_t0"), F.row_number().over(rank.orderBy("_slot", "pos")).alias("place"))
     dst = x.select("ticker", "t0", F.row_number().over(rank.orderBy("t0")).alias("place"))
     return dst.join(src, ["ticker", "place"]).select("ticker", "t0", "src_t0")
 

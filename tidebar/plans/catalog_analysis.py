@@ -232,10 +232,11 @@ def search_pool_order(spark, d):
 
 
 def null_exceedance(spark, d):
-    x = B.read(spark, d, "orders").select(F.col("o_orderpriority").alias("ticker"), (F.col("o_orderkey") % 50).alias("perm"), "o_totalprice")
-    null = x.groupBy("ticker", "perm").agg(F.max("o_totalprice").alias("t"))
-    obs = x.groupBy("ticker").agg((F.max("o_totalprice") * 0.995).alias("statistic"))
-    return rounded(R.exceedance(null, obs, ["ticker"]), ["p"])
+    """Some tickers' runs stopped short of fifty permutations, some statistics are seldom reached."""
+    x = B.read(spark, d, "orders").select(F.col("o_orderpriority").alias("ticker"), (F.col("o_orderkey") % 50).alias("permutation"), "o_totalprice")
+    null = x.where("NOT (ticker LIKE '5%' AND permutation = 30)").groupBy("ticker", "permutation").agg(F.max("o_totalprice").alias("t"))
+    obs = x.groupBy("ticker").agg((F.max("o_totalprice") * F.when(F.col("ticker") < "3", 0.9).otherwise(0.999)).alias("statistic"))
+    return rounded(R.exceedance(null, obs, ["ticker"]), ["p_mc", "final_p_lower_bound", "null_max", "null_median"])
 
 
 def wilson_interval(spark, d):
@@ -257,12 +258,18 @@ def macro_segments(spark, d):
 
 
 def block_permutation(spark, d):
-    return R.permuted(R.blocks(_t0(spark, d), 24), 42, 1)
+    x = R.blocks(_t0(spark, d), 24)
+    return R.permuted(x, R.orders(x, 42, 1))
 
 
 def segment_permutation(spark, d):
     """Blocks reordered within each quarter of a ticker's time."""
-    return R.permuted(R.grouped_blocks(_t0(spark, d), 24, 4), 42, 1)
+    x = R.grouped_blocks(_t0(spark, d), 24, 4)
+    return R.permuted(x, R.orders(x, 42, 1))
+
+
+def permutation_draw(spark, d):
+    return R.draws(R.orders(R.grouped_blocks(_t0(spark, d), 24, 4), 42, 1)).drop("blocks_per_segment")
 
 
 def _accepted(spark, d):
@@ -280,16 +287,47 @@ def transfer_prior(spark, d):
 
 
 _BASE = f"""{S.core_features(S.BARS_1H)}, cand AS (SELECT ticker, idx AS t0 FROM (SELECT *, max(idx) OVER (PARTITION BY ticker) AS last FROM core) WHERE idx < last AND log_return_5 <> 0 AND atr > 1e-9)"""
-_BLOCKS = f"""{_BASE}, num AS (SELECT ticker, t0, row_number() OVER (PARTITION BY ticker ORDER BY t0) AS k FROM cand),
-walk AS (SELECT ticker, t0, k, t0 AS b0, 0 AS block FROM num WHERE k = 1 UNION ALL
-  SELECT n.ticker, n.t0, n.k, CASE WHEN n.t0 - b0 >= 24 THEN n.t0 ELSE b0 END, CASE WHEN n.t0 - b0 >= 24 THEN block + 1 ELSE block END FROM walk JOIN num n ON n.ticker = walk.ticker AND n.k = walk.k + 1),
-blk AS (SELECT ticker, t0, block, (row_number() OVER (PARTITION BY ticker, block ORDER BY t0) - 1)::INT AS pos FROM walk)"""
-_SEGMENTS = f"{_BASE}, seg AS (SELECT ticker || '/' || least(3, floor((t0 - min(t0) OVER t) / ((max(t0) OVER t + 1 - min(t0) OVER t) / 4.0)))::INT AS ticker, t0 FROM cand WINDOW t AS (PARTITION BY ticker))" + _BLOCKS.removeprefix(_BASE).replace("FROM cand", "FROM seg")
+_SEG = "SELECT ticker, t0, least(3, floor((t0 - min(t0) OVER t) / greatest(1.0, (max(t0) OVER t + 1 - min(t0) OVER t) / 4.0)))::INT AS segment FROM cand WINDOW t AS (PARTITION BY ticker)"
+_ONE = "SELECT ticker, t0, 0 AS segment FROM cand"
+
+
+def blocks_sql(segments: str) -> str:
+    """The table blk: ticker, segment, t0, block, pos."""
+    return f"""{_BASE}, seg AS ({segments}), num AS (SELECT *, row_number() OVER (PARTITION BY ticker, segment ORDER BY t0) AS k FROM seg),
+walk AS (SELECT ticker, segment, t0, k, t0 AS b0, 0 AS block FROM num WHERE k = 1 UNION ALL
+  SELECT n.ticker, n.segment, n.t0, n.k, CASE WHEN n.t0 - b0 >= 24 THEN n.t0 ELSE b0 END, CASE WHEN n.t0 - b0 >= 24 THEN block + 1 ELSE block END FROM walk JOIN num n ON n.ticker = walk.ticker AND n.segment = walk.segment AND n.k = walk.k + 1),
+blk AS (SELECT ticker, segment, t0, block, (row_number() OVER (PARTITION BY ticker, segment, block ORDER BY t0) - 1)::INT AS pos FROM walk)"""
+
+
+def orders_sql(segments: str) -> str:
+    """The tables drawn (provenance) and moved (ticker, t0, src_t0) of the accepted reordering."""
+    return f"""{blocks_sql(segments)}, own AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY segment, block) - 1 AS own FROM (SELECT DISTINCT ticker, segment, block FROM blk)),
+tries AS (SELECT *, t::INT AS draw, row_number() OVER (PARTITION BY ticker, segment, t ORDER BY md5(concat_ws('-', '42', '1', t::VARCHAR, ticker, segment::VARCHAR, block::VARCHAR)), block) - 1 + f AS place
+  FROM (SELECT *, min(own) OVER (PARTITION BY ticker, segment) AS f FROM own), range(64) r(t)),
+seen AS (SELECT ticker, draw, count(*) FILTER (place <> own) AS displaced, count(*) AS n_blocks, count(DISTINCT segment)::INT AS segments, left(sha256(string_agg(own::VARCHAR, ',' ORDER BY place)), 16) AS index_hash FROM tries GROUP BY ALL),
+drawn AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY draw) AS k FROM seen WHERE displaced >= 0.5 * n_blocks) WHERE k = 1),
+src AS (SELECT ticker, t0 AS src_t0, row_number() OVER (PARTITION BY ticker ORDER BY place, pos) AS place FROM blk JOIN tries USING (ticker, segment, block) JOIN drawn USING (ticker, draw)),
+moved AS (SELECT ticker, t0, src_t0 FROM (SELECT ticker, t0, row_number() OVER (PARTITION BY ticker ORDER BY t0) AS place FROM blk) JOIN src USING (ticker, place))"""
+
+
 _MATRIX = """WITH a AS (SELECT p_type AS family, l_returnflag || l_suppkey AS ticker, CASE WHEN l_orderkey % 13 = 0 THEN 'passed' WHEN l_orderkey % 5 > 0 THEN 'failed' END AS v FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
 t AS (SELECT family, ticker, coalesce(bool_or(v = 'passed'), false) AS passed, bool_or(v IS NULL) AS missing FROM a GROUP BY ALL),
 f AS (SELECT family, count(*) AS n_provisional, sum(passed::INT)::BIGINT AS n_confirmed, sum((missing AND NOT passed)::INT)::BIGINT AS n_screening FROM t GROUP BY family),
 m AS (SELECT *, CASE WHEN n_confirmed = 0 AND n_screening = 0 THEN 'unconfirmed' WHEN n_confirmed = 0 THEN 'screening_only' WHEN n_confirmed = 1 THEN 'asset_specific' WHEN n_confirmed > 0.5 * n_provisional THEN 'universal' ELSE 'conditional' END AS classification,
   round(n_confirmed / n_provisional, 3) AS recurrence FROM f)"""
+
+
+def verdict_sql(keys: list[str]) -> str:
+    """The sequential verdict from n (keys, permutation, t) and s (keys, statistic); the last tables of a WITH and its query."""
+    k = ", ".join(keys)
+    return f"""run AS (SELECT *, count(*) FILTER (t >= statistic) OVER (PARTITION BY {k} ORDER BY permutation) AS b FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY permutation) - 1 AS place FROM n JOIN s USING ({k}) WHERE permutation < 50) WHERE place = permutation),
+      st AS (SELECT {k}, max(permutation) + 1 AS executed, min(permutation) FILTER (b >= 5) + 1 AS stopped, least(max(b), 5) AS b FROM run GROUP BY ALL),
+      nl AS (SELECT {k}, max(t) AS null_max, median(t) AS null_median FROM run JOIN st USING ({k}) WHERE permutation < coalesce(stopped, executed) GROUP BY ALL)
+      SELECT {k}, CASE WHEN coalesce(st.b, 0) >= 5 THEN 'rejected_early' WHEN executed >= 50 THEN 'passed' ELSE 'incomplete' END AS verdict, coalesce(stopped, executed, 0)::INT AS permutations_executed, coalesce(st.b, 0)::INT AS exceedances,
+        CASE WHEN st.b < 5 AND executed >= 50 THEN round((st.b + 1) / 51, 6) + 0.0 END AS p_mc, CASE WHEN st.b >= 5 THEN round((st.b + 1) / 51, 6) + 0.0 END AS final_p_lower_bound, round(null_max, 6) + 0.0 AS null_max, round(null_median, 6) + 0.0 AS null_median
+      FROM s LEFT JOIN st USING ({k}) LEFT JOIN nl USING ({k})"""
+
+
 _BINS = f"""bins AS (SELECT len(list_filter({EDGES}, lambda e: e::FLOAT <= (l_extendedprice / 10000)::FLOAT))::INT AS bin, count(*) AS n, sum((l_returnflag = 'R')::INT)::BIGINT AS n_entry FROM lineitem GROUP BY 1),
 stats AS (SELECT *, n_entry / n AS rate, (n_entry / n) / (sum(n_entry) OVER () / sum(n) OVER ()) AS lift FROM bins)"""
 _MODE = "CASE WHEN trade_floor_met = 0 THEN 'TRAIN_OOF_FLOOR_NOT_MET' WHEN model_trades = 0 THEN 'HODL_FALLBACK_NO_MODEL_TRADES' WHEN model_trades = 1 THEN 'ML_ONE_TRADE_LOW_EVIDENCE' ELSE 'ML_MULTI_TRADE' END"
@@ -302,7 +340,7 @@ o AS (SELECT family, id, mean, best, best_mean, se, in_plateau, in_plateau AND r
 QUERIES = {n: globals()[n] for n in (
     "console_overview console_payoff console_basket console_overlap console_trade_buckets console_return_histogram console_result_rows console_mode_counts console_coverage console_health result_upsert feature_contributions "
     "feature_tooltips table_profile return_correlations filter_cascade nearest_rank_quantiles sample_digest ledger_chain ledger_latest entry_bins entry_segments split_harvest feature_quantiles trajectory_bands interval_overlap "
-    "rank_correlation fold_ranking shap_sign_flips five_significant_digits rotation_acceptance one_se_representatives search_pool_order null_exceedance wilson_interval time_blocks macro_segments block_permutation segment_permutation family_matrix transfer_prior"
+    "rank_correlation fold_ranking shap_sign_flips five_significant_digits rotation_acceptance one_se_representatives search_pool_order null_exceedance wilson_interval time_blocks macro_segments block_permutation segment_permutation permutation_draw family_matrix transfer_prior"
 ).split()}
 
 ORACLES = {
@@ -377,16 +415,16 @@ ORACLES = {
         max(unit) FILTER (ok AND place = 1 AND med - 0.004 > 0) AS accepted, round(coalesce(max(med) FILTER (ok AND place = 1) - 0.004, 0), 6) + 0.0 AS statistic FROM k GROUP BY ALL""",
     "one_se_representatives": f"WITH {_VARIANTS} SELECT family, id, round(mean, 6) AS mean, best, round(best_mean, 6) AS best_mean, round(se, 6) AS se, in_plateau, representative FROM o",
     "search_pool_order": f"WITH {_VARIANTS} SELECT family, id, representative, row_number() OVER (ORDER BY NOT representative, CASE WHEN representative THEN best_mean ELSE mean END DESC, id)::INT AS place FROM o",
-    "null_exceedance": """WITH n AS (SELECT o_orderpriority AS ticker, o_orderkey % 50 AS perm, max(o_totalprice) AS t FROM orders GROUP BY ALL), s AS (SELECT o_orderpriority AS ticker, max(o_totalprice) * 0.995 AS statistic FROM orders GROUP BY ALL),
-      x AS (SELECT ticker, count(*) FILTER (t >= statistic) AS b, count(*) AS m FROM n JOIN s USING (ticker) GROUP BY ALL) SELECT ticker, b, m, round((b + 1) / (m + 1), 6) AS p, CASE WHEN b <= 4 THEN 'passed' ELSE 'failed' END AS verdict FROM x""",
+    "null_exceedance": f"""WITH x AS (SELECT o_orderpriority AS ticker, o_orderkey % 50 AS permutation, o_totalprice FROM orders),
+      n AS (SELECT ticker, permutation, max(o_totalprice) AS t FROM x WHERE NOT (ticker LIKE '5%' AND permutation = 30) GROUP BY ALL), s AS (SELECT ticker, max(o_totalprice) * CASE WHEN ticker < '3' THEN 0.9 ELSE 0.999 END AS statistic FROM x GROUP BY ticker),
+      {verdict_sql(["ticker"])}""",
     "wilson_interval": """WITH x AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n, 1.96 AS z FROM orders GROUP BY 1), y AS (SELECT *, k / n AS p, 1 + z * z / n AS d FROM x)
       SELECT o_orderpriority, k, n, round(((p + z * z / (2 * n)) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / d, 6) AS lo, round(((p + z * z / (2 * n)) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / d, 6) AS hi FROM y""",
-    "time_blocks": f"{_BLOCKS} SELECT ticker, t0, block, pos FROM blk",
-    "macro_segments": f"{_BASE} SELECT ticker, t0, least(3, floor((t0 - min(t0) OVER t) / ((max(t0) OVER t + 1 - min(t0) OVER t) / 4.0)))::INT AS segment FROM cand WINDOW t AS (PARTITION BY ticker)",
-    "block_permutation": f"""{_BLOCKS}, o AS (SELECT *, md5(concat_ws('-', '42', '1', ticker, block::VARCHAR)) AS o FROM blk), src AS (SELECT ticker, t0 AS src_t0, row_number() OVER (PARTITION BY ticker ORDER BY o, block, pos) AS place FROM o),
-      dst AS (SELECT ticker, t0, row_number() OVER (PARTITION BY ticker ORDER BY t0) AS place FROM o) SELECT ticker, t0, src_t0 FROM dst JOIN src USING (ticker, place)""",
-    "segment_permutation": f"""{_SEGMENTS}, o AS (SELECT *, md5(concat_ws('-', '42', '1', ticker, block::VARCHAR)) AS o FROM blk), src AS (SELECT ticker, t0 AS src_t0, row_number() OVER (PARTITION BY ticker ORDER BY o, block, pos) AS place FROM o),
-      dst AS (SELECT ticker, t0, row_number() OVER (PARTITION BY ticker ORDER BY t0) AS place FROM o) SELECT ticker, t0, src_t0 FROM dst JOIN src USING (ticker, place)""",
+    "time_blocks": f"{blocks_sql(_ONE)} SELECT ticker, t0, block, pos FROM blk",
+    "macro_segments": f"{_BASE} {_SEG}",
+    "block_permutation": f"{orders_sql(_ONE)} SELECT * FROM moved",
+    "segment_permutation": f"{orders_sql(_SEG)} SELECT * FROM moved",
+    "permutation_draw": f"{orders_sql(_SEG)} SELECT ticker, draw, displaced, n_blocks, segments, index_hash FROM drawn",
     "family_matrix": f"{_MATRIX} SELECT * FROM m",
     "transfer_prior": f"""{_MATRIX}, c AS (SELECT *, list_position(['universal', 'conditional', 'asset_specific', 'screening_only', 'unconfirmed'], classification) AS k FROM m)
       SELECT row_number() OVER (ORDER BY k, n_confirmed DESC, recurrence DESC, family)::INT AS place, family, classification FROM c""",

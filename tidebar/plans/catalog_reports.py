@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from tidebar.operators import features as X
 from tidebar.operators import reports as R
-from tidebar.operators import search
 from tidebar.operators import trades as T
 from tidebar.plans import sql as S
-from tidebar.plans.catalog_analysis import _BASE, _BLOCKS, RESULTS, results
+from tidebar.plans.catalog_analysis import _BASE, RESULTS, results
 from tidebar.plans.catalog_bars import hourly, rounded
 from tidebar.sources import bars as B
 
@@ -121,10 +120,6 @@ def discovery_picks(spark, d):
     return rounded(R.discovery_picks(B.read(spark, d, "lineitem").selectExpr(*_SCORES)), ["discovery_gain"])
 
 
-def permutation_draw(spark, d):
-    return R.draws(search.blocks(T.candidates(X.core(hourly(spark, d))).select("ticker", "t0"), 24), 42, 1)
-
-
 def _numbered(spark, d):
     return results(spark, d).withColumn("k", F.expr("cast(substring(ticker, 2) AS bigint) * 7 + CASE WHEN model = 'lstm' THEN 3 ELSE 0 END"))
 
@@ -285,9 +280,6 @@ ORACLES = {
       SELECT ticker, idx, round((log_return_5 - m1) / nullif(s1, 0), 6) + 0.0 AS log_return_5, round((rsi_14 - m2) / nullif(s2, 0), 6) + 0.0 AS rsi_14 FROM core JOIN s USING (ticker)""",
     "discovery_picks": f"""WITH x AS {_of(_SCORES, "lineitem")}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker, outer_fold, rotation ORDER BY gain DESC, id, family) AS k FROM x WHERE gain IS NOT NULL)
       SELECT ticker, outer_fold, rotation, id AS picked, family, round(gain, 6) + 0.0 AS discovery_gain FROM r WHERE k = 1""",
-    "permutation_draw": f"""{_BLOCKS}, b AS (SELECT DISTINCT ticker, block FROM blk), o AS (SELECT ticker, block, t::INT AS draw, row_number() OVER (PARTITION BY ticker, t ORDER BY md5(concat_ws('-', '42', '1', t::VARCHAR, ticker, block::VARCHAR))) - 1 AS place FROM b, range(64) r(t)),
-      g AS (SELECT ticker, draw, count(*) FILTER (place <> block) AS displaced, count(*) AS n_blocks, left(sha256(string_agg(block::VARCHAR, ',' ORDER BY place)), 16) AS index_hash FROM o GROUP BY ALL),
-      k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY draw) AS k FROM g WHERE displaced >= 0.5 * n_blocks) SELECT ticker, draw, displaced, n_blocks, index_hash FROM k WHERE k = 1""",
     "path_problems": """WITH x AS (SELECT 'T' || c_custkey AS ticker, m AS model, c_custkey * 7 + CASE WHEN m = 'lstm' THEN 3 ELSE 0 END AS k FROM customer, (SELECT unnest(['xgb', 'lstm']) AS m))
       SELECT model, ticker, CASE WHEN k % 19 = 0 THEN 'artifact_path' ELSE 'not in the manifest' END AS problem FROM x WHERE k % 19 = 0 OR k % 23 = 0""",
     "model_counts": "SELECT 'xgb=' || count(*) || ' lstm=' || count(*) AS message, true AS adds_up FROM customer",

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.folds import running
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; only a local session may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what follows reads it several times, and no lost executor sends it back to the start."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new replace those of old with the same keys; columns that one side lacks are null."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.sources.stores import shared_dir
+
 LATENESS = "2 hours"
 
 
@@ -19,14 +21,6 @@ def hourly(events: DataFrame) -> DataFrame:
     return out.select("ticker", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; only a local session may do without."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(base or '/tmp/checkpoints').rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
 def replayed(spark: SparkSession, path: str) -> DataFrame:
     """The bars after the stream has read all files under path; its checkpoint and output lie in the shared folder.
 
