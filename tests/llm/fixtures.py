@@ -46,6 +46,9 @@ def write(folder, spark=None, documents_=None) -> str:
     d.to_parquet(f"{folder}/documents.parquet", index=False)
     benchmark().to_parquet(f"{folder}/benchmark.parquet", index=False)
     pd.DataFrame({"doc_id": pd.array([3, 4, None, 9, 9], "Int64"), "quality": pd.array([1, 0, 1, 1, None], "Int64"), "toxic": pd.array([0, 1, 1, None, 0], "Int64")}).to_parquet(f"{folder}/labels.parquet", index=False)
+    vectors = [(i, [((i * 37 + j * 11) % 97 - 48) / 64 for j in range(64)]) for i in range(40)]
+    vectors += [(3, vectors[3][1]), (3, vectors[9][1]), (50, None), (51, []), (52, [0.5] * 63), (53, [float("nan")] * 64), (54, [None] + [0.0] * 63), (55, [float("-inf")] + [0.0] * 63), (56, vectors[4][1]), (None, vectors[5][1])]
+    pd.DataFrame(vectors, columns=["vec_id", "embedding"]).astype({"vec_id": "Int64"}).assign(id="x", cluster="y", v="z", distance="q", points="p", s=1).to_parquet(f"{folder}/embeddings.parquet", index=False)
     page = lambda i, body: f"<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><div class=sidebar>About us</div><article><h1>Head {i}</h1>{body}</article><div class='comments'><p>me too {i}</p></div><footer>Foot</footer></body></html>"
     pages = [(i, f"https://a.example.com/{i}", page(i, f"<p>First   {i} &amp; more<br>after\n</p><p>Second <b>bold</b> word {i}</p><form>Sign up</form>")) for i in range(6)]
     pages += [(6, None, None), (None, "not a url", ""), (7, "http://one.example.org", page(7, "<p>Alone")), (0, *pages[0][1:])]

@@ -25,7 +25,7 @@ def odd(tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty(tmp_path_factory, spark):
     folder = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels", "benchmark", "pages"):
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
@@ -52,7 +52,7 @@ def test_sql(spark, folder, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, folder).toPandas(), con.sql(queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

@@ -32,25 +32,53 @@ def test_equal_vectors_in_different_slots_are_different_classes(spark):
     assert got[1] == "Text 1\nOwn 1\nA line" and got[2] == "Text 2\nOwn 2\nElse 2"
 
 
+def test_copies_of_a_page_keep_their_title_and_quotation(spark):
+    """Two pages are copies with a quotation; what only they hold is theirs, however it is nested."""
+    plain = [f"<article><h1>Head {i}</h1><p>Own text number {i} is here.</p><p>The end of {i}.</p></article>" for i in range(2, 6)]
+    copy = "<article><h1>Head 0</h1><p>Own text number 0 is here.</p><blockquote><p>As it was said</p></blockquote><p>The end of 0.</p></article>"
+    got = texts(spark, [copy, copy, *plain])
+    assert got[:2] == ["Head 0\nOwn text number 0 is here.\nAs it was said\nThe end of 0."] * 2
+    assert got[2:] == [f"Head {i}\nOwn text number {i} is here.\nThe end of {i}." for i in range(2, 6)]
+    third = copy.replace("number 0", "number 00")  # a near copy is no template either
+    assert texts(spark, [copy, third, *plain])[1] == "Head 0\nOwn text number 00 is here.\nAs it was said\nThe end of 0."
+    assert texts(spark, [copy] * 40 + plain)[3] == got[0]  # most rows are copies of one page
+
+
+def test_a_title_shared_by_some_pages_is_no_part_of_a_box_they_share(spark):
+    box = "<div class=box><p>Read more of this every week</p></div>"
+    got = texts(spark, [f"<article><h1>{'Weekly news' if i < 4 else f'Head {i}'}</h1>{box if i < 4 else ''}<p>Text {i}</p></article>" for i in range(9)])
+    assert got[0] == "Weekly news\nText 0" and got[8] == "Head 8\nText 8"
+
+
+def test_an_image_in_a_line_does_not_end_it(spark):
+    assert texts(spark, ["<article><p>one <img src=x> two<wbr> three<br>four</p></article>"]) == ["one two three\nfour"]
+
+
 def brute_template(pages: list[str]) -> set[tuple[str, str]]:
-    """(path, text) of the template of one host, by vectors written out."""
-    read = [template_extract.Page(p) for p in pages]
-    names = {("+", t[1:], None) for r in read for t in r.tokens} | {("#", p, t) for r in read for p, t, _, _ in r.blocks}
-    vector = lambda k: tuple(r.tokens["+" + k[1]] if k[0] == "+" else sum((p, t) == k[1:] for p, t, _, _ in r.blocks) for r in read)
-    vectors = {k: vector(k) for k in names}
-    n = len(pages)
-    held = {k: v for k, v in vectors.items() if sum(x > 0 for x in v) >= max(2, -(-3 * n // 10))}
-
-    def parent(k: tuple) -> tuple:
-        parts = k[1].split("/")
-        for i in range(len(parts), 1, -1):
-            up = held.get(("+", "/".join(parts[:i]), None))
-            if up and up != held[k]:
-                return up
-        return ()
-
-    valid = {(v, parent(k)) for k, v in held.items() if k[0] == "+"}
-    return {k[1:] for k, v in held.items() if k[0] == "#" and ((v, parent(k)) in valid or sum(x > 0 for x in v) >= 0.9 * n)}
+    """(path, text) of the template of one host, by vectors written out over its different pages."""
+    read = [template_extract.Page(p) for p in sorted(set(pages))]
+    n = len(read)
+    vectors: dict[tuple, list[int]] = {}
+    for k, r in enumerate(read):
+        for path in [t[1:] for t in r.tokens.elements()]:
+            vectors.setdefault((path, None), [0] * n)[k] += 1
+        for path, text, _, _ in r.blocks:
+            vectors.setdefault((path, text), [0] * n)[k] += 1
+    pages_of = {k: sum(x > 0 for x in v) for k, v in vectors.items()}
+    held = {k for k in vectors if pages_of[k] >= max(2, -(-3 * n // 10))}
+
+    def slot(k: tuple) -> str:
+        """The nearest element around it that occurs otherwise."""
+        path = k[0]
+        while path:
+            if (path, None) in held and vectors[path, None] != vectors[k]:
+                return path
+            path = path.rpartition("/")[0]
+        return ""
+
+    whole = lambda k: pages_of[k] >= 0.9 * n
+    classes = {(tuple(vectors[k]), slot(k)) for k in held if k[1] is None and (whole(k) or pages_of[k] >= 3)}
+    return {k for k in held if k[1] is not None and (whole(k) or (tuple(vectors[k]), slot(k)) in classes)}
 
 
 def test_templates_of_the_test_pages_against_brute_force(spark):

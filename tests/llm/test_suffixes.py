@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidebar.llm import secret_crf, substring_dedup
+from tidebar.llm import jaccard_join, secret_crf, substring_dedup, word_hashes
 
 
 def brute(docs: dict[int, str]) -> dict[int, str]:
@@ -44,7 +45,7 @@ def test_one_common_phrase_in_many_contexts(spark, monkeypatch, in_group):
 def test_a_large_group_is_dealt_out_by_the_window():
     rng = np.random.default_rng(1)
     phrase = rng.integers(1, 2**63, 4, dtype=np.uint64)
-    docs = [(i, np.concatenate([x for _ in range(40) for x in (phrase, rng.integers(1, 2**63, 9, dtype=np.uint64))])) for i in range(20)]
+    docs = [(i, i * 7, np.concatenate([x for _ in range(40) for x in (phrase, rng.integers(1, 2**63, 9, dtype=np.uint64))])) for i in range(20)]
     chunk = substring_dedup._Chunk(docs, 13)
     found, n = chunk.counts(4, 1)
     assert n.sum() == (~chunk.known).sum()
@@ -60,6 +61,59 @@ def test_nodes_whose_sums_agree_are_kept_apart():
     assert len(heads) == 2 and len(order) == 3
 
 
+def words_of(n: int, seed: int) -> str:
+    rng = random.Random(seed)
+    return " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+
+
+def test_rows_without_an_id_and_rows_that_share_one(spark):
+    w, u, z = (words_of(20, k) for k in range(3))
+    rows = [(1, w), (None, w), (None, u), (5, w), (5, u), (5, z), (5, z), (9, z), (9, f"{z} {w}"), (4, None), (4, "")]
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=str)
+    want = [(1, 20, 0), (None, 20, 0), (None, 20, 0), (5, 20, 20), (5, 20, 0), (5, 20, 0), (5, 20, 0), (9, 20, 20), (9, 40, 40), (4, 0, 0), (4, 0, 0)]
+    assert got == sorted(want, key=str)
+
+
+def test_random_rows_with_null_and_repeated_ids_against_brute_force(spark):
+    rng = random.Random(9)
+    parts = [words_of(n, 50 + n) for n in (3, 9, 13, 14, 20)]
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5, 6]), " ".join(rng.choice(parts) for _ in range(rng.randint(0, 4)))) for _ in range(60)]
+    first: dict[tuple, int] = {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        for k in range(len(t.split()) - 12):
+            first.setdefault(tuple(t.split()[k : k + 13]), i)
+    want = []
+    for i, t in rows:
+        w = t.split()
+        gone = {p for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        want.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_defeat_hashes_by_powers_are_kept_apart(spark):
+    one, two = thue_morse(1024)
+    assert len({int(word_hashes.word_hashes(x.encode(), seed=s)[0]) for x in (one, two) for s in range(8)}) == 16
+    rest = words_of(30, 1).split()
+    docs = spark.createDataFrame([(1, " ".join([*rest[:6], one, *rest[6:12]])), (2, " ".join([*rest[:6], two, *rest[6:12]]))], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.without_repeats(docs).orderBy("doc_id").collect()] == [0, 0]
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert [r.component_id for r in jaccard_join.jaccard_components(docs).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_a_clash_under_every_seed_is_an_error(spark, monkeypatch):
+    real = jaccard_join._Join.sets
+    monkeypatch.setattr(jaccard_join._Join, "sets", lambda self: real(self).withColumn("set", F.lit(7).cast("long")))
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    with pytest.raises(Exception, match="equal hashes"):
+        jaccard_join.jaccard_components(docs)
+
+
 def test_one_repeated_id_gives_no_more_rows_than_asked_for(spark):
     docs = spark.createDataFrame([(1, f"password=abcdef{i % 700} row") for i in range(3000)] + [(1, f"plain row {i % 700}") for i in range(3000)], "doc_id long, text string")
     assert secret_crf.training_texts(docs, 50, "doc_id", "text").count() == 50

@@ -258,6 +258,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         if clash.isEmpty():
             break
         forget(every)
+    else:
+        raise ValueError("different sets of shingles had equal hashes under every seed")
     frequent = join.frequent(every.where("part IS NOT NULL").select("part", "lane", "counts"))
     first = stored(join.first_tokens(frequent))
     several = stored(first.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count(F.lit(1)).alias("sets")).where("low < high").select("token", "sets"))

@@ -128,15 +128,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (
-  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS u(i)),
+  SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS u(i)),
 late AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM windows) WHERE doc_id > first),
-gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM late, unnest(range(i, i + 13)) AS u(p) GROUP BY doc_id)
+  SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM windows) WHERE doc_id > first),
+gone AS (SELECT r, list(DISTINCT p) AS p FROM late, unnest(range(i, i + 13)) AS u(p) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed,
   sha256(array_to_string([x FOR x, i IN w IF p IS NULL OR NOT list_contains(p, i)], ' ')) AS kept_sha256
-FROM d LEFT JOIN gone USING (doc_id)
+FROM d LEFT JOIN gone USING (r)
 """
 
 

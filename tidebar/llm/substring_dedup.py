@@ -17,6 +17,10 @@ Within one task's chunk of documents equal windows are found before anything is
 document's go to their group, the others are known repeats and travel with their document. So a passage
 that a third of all documents hold reaches its group once from each chunk.
 
+A row is told by its id and a hash of its text, so rows that share an id keep their own cuts; its windows are
+compared with those of other ids. Rows without an id are no larger and no smaller than others: nothing of them
+is removed, and nothing because of them.
+
 Words are seen as 64-bit hashes. Suffixes of one node agree in the hash of the seed (64 bits) and in 40 bits more
 of the window's; the words themselves are not compared.
 """
@@ -37,19 +41,17 @@ from tidebar.llm.word_hashes import mixed, sequence_hashes, word_hashes
 WINDOW, SEED = 13, 4
 SUFFIXES_IN_GROUP = 600_000
 CHUNK_WORDS = 700_000
-#: A null id counts as larger than any other.
-LAST = 2**63 - 1
-_RUN = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("known", "u1")])
+_RUN = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("check", "<i8"), ("start", "<u4"), ("n", "u1"), ("known", "u1")])
 
 
 class _Chunk:
-    """The suffixes of some documents: hash of window and seed, document and first word, and whether it is a known repeat."""
+    """The suffixes of some documents: hash of window and seed, row and first word, and whether it is a known repeat."""
 
-    def __init__(self, docs: list[tuple[int, np.ndarray]], window: int):
+    def __init__(self, docs: list[tuple[int, int, np.ndarray]], window: int):
         docs = sorted(docs, key=lambda d: d[0])
-        words = np.concatenate([w for _, w in docs])
-        sizes = np.array([len(w) for _, w in docs])
-        ids = np.repeat(np.array([i for i, _ in docs], np.int64), sizes)
+        words = np.concatenate([w for _, _, w in docs])
+        sizes = np.array([len(w) for _, _, w in docs])
+        ids, checks = (np.repeat(np.array([d[k] for d in docs], np.int64), sizes) for k in (0, 1))
         begin = np.cumsum(sizes) - sizes
         self.at = at = np.flatnonzero(np.arange(len(words)) < np.repeat(begin + sizes - window + 1, sizes))
         self.hashes = hashes = sequence_hashes(words, window)[at]
@@ -62,7 +64,8 @@ class _Chunk:
             least[better], where[better] = rival[better], j
         self.seed, self.seat = least[at], where[at] + at
         self.start = (at - np.repeat(begin, sizes)[at]).astype(np.uint32)
-        self.doc = doc = ids[at]
+        self.doc, self.check = ids[at], checks[at]
+        doc = self.doc
         # equal windows of this chunk: documents come in order of their ids, so the first is the smallest
         order = np.argsort(hashes, kind="stable")
         new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
@@ -72,7 +75,7 @@ class _Chunk:
 
     def group(self, groups: int) -> np.ndarray:
         """The group of each suffix by its seed; known repeats go with their document."""
-        return (mixed(np.where(self.known, self.doc.astype(np.uint64), self.seed)) % np.uint64(groups)).astype(np.int64)
+        return (mixed(np.where(self.known, self.check.view(np.uint64), self.seed)) % np.uint64(groups)).astype(np.int64)
 
     def counts(self, groups: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Groups that would get at least `least` suffixes of this chunk, and how many."""
@@ -89,7 +92,7 @@ class _Chunk:
         apart = np.array([True]), (self.seat[1:] != self.seat[:-1]) | (self.at[1:] != self.at[:-1] + 1) | (known[1:] != known[:-1]) | (part[1:] != part[:-1])
         first = np.flatnonzero(np.concatenate(apart))
         run = np.zeros(len(first), _RUN)
-        run["seed"], run["doc"], run["start"], run["known"] = self.seed[first], self.doc[first], self.start[first], known[first]
+        run["seed"], run["doc"], run["check"], run["start"], run["known"] = self.seed[first], self.doc[first], self.check[first], self.start[first], known[first]
         run["n"] = np.diff(np.concatenate([first, [len(self.at)]]))
         # a document's known repeats are no part of a tree, whatever the parts of its group
         key = group * (max(parts.values(), default=1) + 1) + part
@@ -116,8 +119,8 @@ def _nodes(seed: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])]))
 
 
-def _repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, first start and number of consecutive repeated windows, from one group's runs."""
+def _repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, check, first start and number of consecutive repeated windows, from one group's runs."""
     runs, tails = [], []
     for b in blobs:
         n = int.from_bytes(b[:8], "little")
@@ -125,7 +128,7 @@ def _repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tails.append(np.frombuffer(b, np.uint8, -1, 8 + n * _RUN.itemsize).reshape(-1, 5))
     run = np.concatenate(runs)
     known, run = run[run["known"] > 0], run[run["known"] == 0]
-    doc, start = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc, check, start = (np.zeros(0, np.int64) for _ in range(3))
     if len(run):
         wide = np.zeros((int(run["n"].sum()), 8), np.uint8)
         wide[:, :5] = np.concatenate(tails)
@@ -135,20 +138,20 @@ def _repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         smallest = np.repeat(np.minimum.reduceat(of[order], heads), np.diff(np.concatenate([heads, [len(order)]])))
         late = order[of[order] > smallest]
         late.sort()
-        doc, start = of[late], place[late]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
+        doc, check, start = of[late], np.repeat(run["check"], run["n"])[late], place[late]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (check[1:] != check[:-1]) | (start[1:] != start[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([new, [len(doc)]]))
-    return np.concatenate([doc[new], known["doc"]]), np.concatenate([start[new], known["start"].astype(np.int64)]), np.concatenate([counts, known["n"].astype(np.int64)])
+    return np.concatenate([doc[new], known["doc"]]), np.concatenate([check[new], known["check"]]), np.concatenate([start[new], known["start"].astype(np.int64)]), np.concatenate([counts, known["n"].astype(np.int64)])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[_Chunk]:
     """Documents of a task in chunks of about CHUNK_WORDS words."""
     held, size = [], 0
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for i, check, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             words = word_hashes(text.as_py())
             if len(words) >= window:
-                held.append((i, words))
+                held.append((i, check, words))
                 size += len(words)
             if size >= CHUNK_WORDS:
                 yield _Chunk(held, window)
@@ -157,12 +160,18 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[_Chunk]:
         yield _Chunk(held, window)
 
 
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """own_id, id, check, text of every row."""
+    x = docs.select(F.col(id_column).alias("own_id"), F.col(id_column).cast("long").alias("id"), text_of(text_column).cast("binary").alias("text"))
+    return x.withColumn("check", F.xxhash64("text"))
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, start, n: runs of n windows, from word `start` on, that also start in a document with a smaller id.
+    """id, check, start, n: runs of n windows, from word `start` on, that also start in a document with a smaller id; check is a hash of the row's text.
 
-    A run may be given in parts. Null and empty texts have no windows; a null id is given as LAST.
+    A run may be given in parts. Null and empty texts have no windows. Rows with a null id are left out.
     """
-    source = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), text_of(text_column).cast("binary").alias("text"))
+    source = _rows(docs, id_column, text_column).where("id IS NOT NULL").select("id", "check", "text")
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(64, chars // (6 * SUFFIXES_IN_GROUP))
     # of a group's suffixes, chunks that send fewer than this hold no more than one group's worth together
@@ -182,24 +191,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_column: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([part], pa.int64()), pa.array([blob], pa.binary())], ["group", "part", "runs"])
 
     def build(group: pa.Table) -> pa.Table:
-        doc, start, n = _repeats([b.as_py() for b in group.column("runs")])
-        return pa.table({"id": doc, "start": start.astype(np.int32), "n": n.astype(np.int32)})
+        doc, check, start, n = _repeats([b.as_py() for b in group.column("runs")])
+        return pa.table({"id": doc, "check": check, "start": start.astype(np.int32), "n": n.astype(np.int32)})
 
     runs = source.mapInArrow(cut, "group long, part long, runs binary")
-    return runs.groupBy("group", "part").applyInArrow(build, "id long, start int, n int")
+    return runs.groupBy("group", "part").applyInArrow(build, "id long, check long, start int, n int")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id column, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if a window that covers it also starts in a document with a smaller id; windows are judged on
-    the input. Nulls and empty texts have no words. Rows that share an id are one document and share what
-    is removed, by word position; a null id counts as larger than any. Other columns are not read. An empty
-    table gives an empty one.
+    the input. Nulls and empty texts have no words. Rows that share an id are documents of their own, neither smaller than the
+    other; of rows without an id nothing is removed, and nothing because of them. Ids are numbers. Other columns are
+    not read. An empty table gives an empty one.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    repeats = repeated_windows(docs, window, id_column, text_column).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("cut"))
-    rows = docs.select(F.col(id_column).alias("own_id"), F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), text_of(text_column).cast("binary").alias("text"))
+    repeats = repeated_windows(docs, window, id_column, text_column).groupBy("id", "check").agg(F.collect_list(F.struct("start", "n")).alias("cut"))
+    rows = _rows(docs, id_column, text_column)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,5 +227,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc
                 text.append(b" ".join(kept).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
-    joined = rows.join(repeats, "id", "left").select("own_id", "text", "cut")
+    joined = rows.join(repeats, ["id", "check"], "left").select("own_id", "text", "cut")
     return joined.mapInArrow(drop, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_column)

@@ -3,9 +3,10 @@
 Pages of one host come from one template. A token is a start or end tag, or a piece of text, together with the path
 of elements it stands in, so equal tags in different places are different tokens. Tokens with the same
 occurrence vector (how often in each page of the host) form an equivalence class. Classes nest: a token's parent is
-the class of the nearest element around it that has another vector, and tokens of one vector under different
+the nearest element around it that has another vector, told by its path, and tokens of one vector under different
 parents are different classes, as they stand in different slots. A class is valid if it
-occurs in enough pages and has an element, that is a pair of tags. The valid classes with their parents are the
+occurs in enough pages and has an element, that is a pair of tags. Equal pages count once, so copies of a page
+are no evidence of a template. The valid classes with their parents are the
 host's template. Text of a valid class, and text in nearly
 all pages, is the template's and left out, unless its own element also holds text that varies. Other text fills the template's slots. The frame is the deepest
 element, once in nearly every page, that holds all the host's slot text; the main text is what the slots hold
@@ -30,11 +31,11 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.common import stored, text_of
 
-#: A class must occur in this share of the host's pages, and in two pages; the frame's element, and text without one in its class, in this share.
-SUPPORT, WHOLE = 0.3, 0.9
+#: A class must occur in this share of the host's different pages, and in this many; the frame's element, and text without one in its class, in this share and in two.
+SUPPORT, LEAST, WHOLE = 0.3, 3, 0.9
 # Names of elements, as HTML has them, and words in class and id that say what an element is for.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title"
 ASIDE = set("nav header footer aside form button dialog menu fieldset head".split())
 PURPOSE = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|sidebar|menu|nav|navbar|navigation|header|footer|comments?|disqus|cookies?|consent|notice|popup|modal|share|social|related|breadcrumbs?|newsletter|subscribe|signup|login)(?:[-_\s]|$)", re.I)
@@ -102,10 +103,10 @@ class Page:
             marks = " ".join(next(filter(None, x), "") for x in MARK.findall(m.group("rest")))
             label = re.sub(r"\d+", "0", marks.split()[0]) if marks.strip() else ""
             path = f"{stack[-1][1]}/{name}.{label}" if label else f"{stack[-1][1]}/{name}"
-            if name in INLINE:
+            if name in INLINE and name not in VOID:
                 stack.append((name, stack[-1][1], bool(PURPOSE.search(marks)), stack[-1][3]))
                 continue
-            if name not in VOID and not m.group("rest").rstrip().endswith("/"):
+            if name not in VOID and name not in INLINE and not m.group("rest").rstrip().endswith("/"):
                 stack.append((name, path, name in ASIDE or bool(PURPOSE.search(marks)), m.start()))
         flush()
         close(1)
@@ -156,15 +157,24 @@ def _above(path: str) -> Column:
 
 
 def _nested(framed: DataFrame) -> DataFrame:
-    """framed with `parent`, the vector of the nearest element around the token that is of another class; 0 at the top."""
+    """framed with `parent`, the path of the nearest element around the token that is of another class; empty at the top."""
     around = framed.where("piece IS NULL").select("host", F.col("path").alias("up"), F.col("vector").alias("up_vector"))
     x = framed.withColumn("up", F.explode(_above("path"))).join(around, ["host", "up"], "left")
-    nearest = F.max(F.when(F.col("up_vector") != F.col("vector"), F.struct(F.length("up").alias("l"), "up_vector")))
-    return x.groupBy(*framed.columns).agg(F.coalesce(nearest["up_vector"], F.lit(0)).alias("parent"))
+    nearest = F.max(F.when(F.col("up_vector") != F.col("vector"), F.struct(F.length("up").alias("l"), "up")))
+    return x.groupBy(*framed.columns).agg(F.coalesce(nearest["up"], F.lit("")).alias("parent"))
+
+
+def _once(pages: DataFrame) -> DataFrame:
+    """Equal pages of a host once; whole pages are dealt out only if they have equals. pages: host, page (a hash of the html), html."""
+    again = pages.groupBy("host", "page").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("host", "page")
+    if again.isEmpty():
+        return pages
+    return pages.join(again, ["host", "page"], "left_anti").unionByName(pages.join(again, ["host", "page"], "left_semi").dropDuplicates(["host", "page"]))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, frame, template: the path below which a host's pages keep their main text, and the texts (as pieces) that are the template's."""
+    pages = _once(pages)
     every = _occurrences(pages).groupBy("host", "path", "piece").agg(F.count(F.lit(1)).alias("pages"), F.expr("bit_xor(xxhash64(page, n))").alias("vector"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
     # texts of one page only are slots, never template; of them only their characters count
     once = F.col("piece").isNotNull() & (F.col("pages") == 1)
@@ -174,7 +184,8 @@ def templates(pages: DataFrame) -> DataFrame:
     framed = every.where("NOT once").join(total, "host").where(F.col("pages") >= F.greatest(F.lit(2), F.ceil(SUPPORT * F.col("total"))))
     whole = F.col("pages") >= WHOLE * F.col("total")
     classes = stored(_nested(framed))
-    elements = classes.where("piece IS NULL").select("host", "vector", "pages", "parent").distinct().withColumn("valid", F.lit(True))
+    backed = F.col("pages") >= F.greatest(F.lit(LEAST), F.ceil(SUPPORT * F.col("total")))
+    elements = classes.where(F.col("piece").isNull() & (backed | whole)).select("host", "vector", "pages", "parent").distinct().withColumn("valid", F.lit(True))
     texts = classes.where("piece IS NOT NULL").join(elements, ["host", "vector", "pages", "parent"], "left").where(F.col("valid") | whole)
     fixed = stored(texts.select("host", "path", "piece", "chars"))
     template = fixed.groupBy("host").agg(F.collect_list("piece").alias("template"))
@@ -201,7 +212,7 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "
     kind = pages.schema[id_column].dataType.simpleString()
     host = F.lower(F.coalesce(F.regexp_extract(url_column, HOST, 1), F.lit("")))
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"), host.alias("host"), text_of(html_column).alias("html"))
-    template = stored(templates(rows.select("host", F.xxhash64("url", "id", "html").alias("page"), "html")))
+    template = stored(templates(rows.select("host", F.xxhash64("html").alias("page"), "html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

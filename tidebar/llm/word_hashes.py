@@ -12,14 +12,15 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _FOLDED = _BYTE.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
-_powers = np.ones(1, np.uint64)
+#: Multipliers of the places in a word, by seed.
+_places: dict[int, np.ndarray] = {}
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, np.uint64(0x9E3779B97F4A7C15))]), dtype=np.uint64)
-    return _powers
+def _multipliers(n: int, seed: int) -> np.ndarray:
+    """One number for each place, drawn by place and seed: a byte at another place, or the same bytes under another seed, weigh anew."""
+    if len(_places.get(seed, ())) < n:
+        _places[seed] = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed(np.array([seed + 1], np.uint64)))
+    return _places[seed]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -30,7 +31,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: bytes, fold: bool = False, seed: int = 0) -> np.ndarray:
-    """One hash for each word, that is each run without blanks; fold: A-Z count as a-z."""
+    """One hash for each word, that is each run without blanks; fold: A-Z count as a-z.
+
+    A multilinear hash: bytes as random numbers, times the random numbers of their places, summed. Words that clash under one seed need not under another.
+    """
     raw = np.frombuffer(text, np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64)
@@ -47,7 +51,7 @@ def word_hashes(text: bytes, fold: bool = False, seed: int = 0) -> np.ndarray:
     letters = (_FOLDED if fold else _BYTE)[raw[~blank]]
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(letters)) - np.repeat(first, lengths)
-    return mixed(np.add.reduceat(letters * _power_table(int(lengths.max()))[place], first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed * 0x632BE59BD9B4E019 % 2**64))
+    return mixed(np.add.reduceat(letters * _multipliers(int(lengths.max()), seed)[place], first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
