@@ -193,11 +193,19 @@ def status_label(mode: Column) -> Column:
     return F.coalesce(*[F.when(mode == k, v) for k, v in STATUS_LABELS.items()], mode)
 
 
-def shared_wins(xgb: Column, lstm: Column, both: Column, neither: Column) -> dict[str, Column]:
-    """Whole percentages of a Venn picture, held within what the others allow."""
+def shared_wins(xgb: Column, lstm: Column, both_win: Column, both_lose: Column, own_xgb: Column, own_lstm: Column) -> dict[str, Column]:
+    """Whole percentages of a Venn picture, held within what the others allow.
+
+    xgb, lstm: each model's share of won trades. both_win, both_lose: the drawn blocks common to both, the smaller of their shares. own_xgb, own_lstm: each
+    model's own share of wins on tickers that both won; what it wins beyond that is its edge, so that models that agree have none.
+    """
     held = lambda c: F.greatest(F.lit(0), F.least(c.cast("int"), F.lit(100)))
     x, y = held(xgb), held(lstm)
-    return {"xgb": x, "lstm": y, "both": F.greatest(F.lit(0), F.least(both.cast("int"), x, y)), "neither": F.greatest(F.lit(0), F.least(neither.cast("int"), 100 - x, 100 - y))}
+    both, none = F.greatest(F.lit(0), F.least(both_win.cast("int"), x, y)), F.greatest(F.lit(0), F.least(both_lose.cast("int"), 100 - x, 100 - y))
+    edge = lambda c, own: F.greatest(F.lit(0), c - F.bround(own, 0).cast("int"))
+    ex, ey = edge(x, own_xgb), edge(y, own_lstm)
+    drawn = F.when(both + none > 0, F.bround(100 * both / F.nullif(both + none, F.lit(0)), 0).cast("int"))
+    return {"xgb": x, "lstm": y, "both": both, "neither": none, "edge_xgb": ex, "edge_lstm": ey, "edge": ex + ey, "intersection_win_rate": drawn}
 
 
 def joint_point(grid: DataFrame, keys: list[str], least_trades: int) -> DataFrame:
@@ -224,14 +232,14 @@ def stability(a2: Column, b: Column) -> Column:
 def compiled(survivors: DataFrame, with_null: bool = True) -> DataFrame:
     """One resolved record for each ticker.
 
-    survivors: ticker, unit, arm, win_rate, outer_delta, null (passed, failed, or null where not run), a2 and b (passed or not, null where not run).
+    Win rates are rounded to three places before they are averaged. survivors: ticker, unit, arm, win_rate, outer_delta, null (passed, failed, or null where not run), a2 and b (passed or not, null where not run).
     """
     passed, missing = F.coalesce(F.col("null") == "passed", F.lit(False)), F.col("null").isNull()
     x = survivors.withColumns({"ok": passed, "class": F.when(passed, stability(F.col("a2"), F.col("b")))})
     own = lambda c: F.when(F.col("ok"), F.col(c))
     x = x.groupBy("ticker").agg(
         F.sum(F.col("ok").cast("int")).alias("accepted"), F.sum((F.coalesce(F.col("class"), F.lit("")) == "stable").cast("int")).alias("stable"), F.sum((missing & ~F.col("ok")).cast("int")).alias("screening"),
-        F.countDistinct(own("unit")).alias("n_selected"), F.min(own("arm")).alias("selection_mode"), F.round(F.avg(own("win_rate")), 3).alias("confirmation_win_rate"), F.round(F.max(own("outer_delta")), 6).alias("outer_delta"),
+        F.countDistinct(own("unit")).alias("n_selected"), F.min(own("arm")).alias("selection_mode"), F.round(F.sum(F.round(own("win_rate") * 1000).cast("long")) / F.count(own("win_rate")) / 1000, 3).alias("confirmation_win_rate"), F.round(F.max(own("outer_delta")), 6).alias("outer_delta"),
     )
     status = F.when(F.col("stable") > 0, "resolved").when(F.col("accepted") > 0, "resolved_conditional").when((F.col("screening") > 0) & F.lit(not with_null), "screening_only").otherwise("resolved_empty")
     return x.withColumn("status", status)
@@ -265,9 +273,9 @@ def search_verdict(subset_size: Column, best: Column, base: Column, thin: Column
     return F.when((subset_size > 0) & (best >= base + least_gain), "applied").when(thin, "thin_trades").otherwise("core_only")
 
 
-def names_token(groups: list[list[str]]) -> Column:
-    """Changes whenever a list of feature names does."""
-    return F.substring(F.sha2(F.lit("|".join(",".join(g) for g in groups)), 256), 1, 16)
+def names_token(groups: list[Column]) -> Column:
+    """Changes whenever a list of feature names does. groups: arrays of names."""
+    return F.substring(F.sha2(F.concat_ws("|", *[F.array_join(g, ",") for g in groups]), 256), 1, 16)
 
 
 def ranked_tables(profile: DataFrame, limit: int) -> DataFrame:

@@ -28,6 +28,17 @@ def nearest_rank(values: str, q: float) -> Column:
     return F.element_at(s, F.bround(q * (F.size(s) - 1), 0).cast("int") + 1)
 
 
+# What a table must be to be sampled, in the order in which failures are counted.
+SAMPLE_RULES = {
+    "coverage": "coverage >= 0.99", "gaps": "gaps = 0", "max_gap_hours": "max_gap_hours <= 100", "violent": "violent = 0", "max_abs_return": "max_abs_return <= 0.35", "flat_share": "flat_share <= 0.0052", "resolution": "resolution >= 0.7489",
+}
+
+
+def sample_rules(**other: str) -> list[tuple[str, Column]]:
+    """The rules of a sample, some of them replaced by name."""
+    return [(k, F.expr(v)) for k, v in (SAMPLE_RULES | other).items()]
+
+
 def cascade(profiles: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """step, rule, dropped, remaining: each row falls to the first rule that it fails."""
     failed = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(i)) for i, (_, ok) in enumerate(rules)], F.lit(len(rules)))

@@ -98,18 +98,27 @@ def average_precision(scored: DataFrame, keys: list[str], label: str = "y", scor
 
 
 def train_stats(features: DataFrame, names: list[str], before: Column, pooled: bool = False) -> DataFrame:
-    """Mean and deviation of each feature on the rows before a bound; per ticker, or over all of them.
+    """Mean and deviation of each feature's finite values on the rows before a bound; per ticker, or over all of them.
 
     Deviations of 1e-8 and below count as 1e-8 for a ticker, as 1 for the pool; without values 0 and 1.
     """
     x = features.where(before)
-    long = x.select("ticker", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names])).alias("f")).select("ticker", "f.feature", "f.v")
+    long = x.select("ticker", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names])).alias("f")).select("ticker", "f.feature", F.when(F.abs("f.v") < float("inf"), F.col("f.v")).alias("v"))
     dev = F.stddev_pop("v")
     keys = ["feature"] if pooled else ["ticker", "feature"]
     floor = F.when(dev <= 1e-8, 1.0).otherwise(dev) if pooled else F.greatest(dev, F.lit(1e-8))
     return long.groupBy(*keys).agg(F.count("v").alias("n"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mu"), F.coalesce(F.when(F.count("v") > 0, floor), F.lit(1.0)).alias("sigma"))
 
 
+def normalised(features: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
+    """ticker, idx and the features less their mean, by their deviation; stats: from train_stats(...), per ticker or pooled. A feature that stood still is 0 where it still does."""
+    keys = ["ticker"] if "ticker" in stats.columns else []
+    of = lambda n, c: F.max(F.when(F.col("feature") == n, F.col(c)))
+    wide = stats.groupBy(*keys).agg(*[of(n, c).alias(f"{c}_{n}") for n in names for c in ("mu", "sigma")])
+    x = features.join(wide, keys) if keys else features.crossJoin(F.broadcast(wide))  # pooled: one row
+    return x.select("ticker", "idx", *[((F.col(n) - F.col(f"mu_{n}")) / F.col(f"sigma_{n}")).alias(n) for n in names])
+
+
 def sequences(features: DataFrame, names: list[str], length: int) -> DataFrame:
     """ticker, idx, seq (length x features, float): only windows without a null."""
     row = F.array(*[F.col(n).cast("float") for n in names])

@@ -115,9 +115,15 @@ def return_correlations(spark, d):
 
 
 def filter_cascade(spark, d):
-    rules = [("bars", F.col("bars") >= 10), ("coverage", F.col("coverage") >= 0.6), ("price", F.col("min_close") > 0), ("flat", F.col("flat_share") < 0.999)]
+    """The rules of a sample on the bars of each kind of event and group of users; a table is short if it has under 70 in 100 of the longest one's bars, and lies flat if it has no second event in an hour."""
+    e = B.read(spark, d, "events").withColumn("event_type", F.concat("event_type", F.lit("-"), (F.col("user_id") % 11).cast("string")))
+    return P.cascade(P.profile(B.hourly_from_events(e)), P.sample_rules(coverage="coverage >= 0.7", max_abs_return="max_abs_return <= 6", violent="violent <= bars * 0.97", flat_share="flat_share <= 0.99", max_gap_hours="max_gap_hours <= 60"))
+
+
+def sample_cascade(spark, d):
+    """The same rules at their fixed values, on daily bars."""
     by_brand = B.read(spark, d, "lineitem").join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("l_returnflag", F.col("p_brand"))
-    return P.cascade(P.profile(B.daily_from_lineitem(by_brand)), rules)
+    return P.cascade(P.profile(B.daily_from_lineitem(by_brand)), P.sample_rules())
 
 
 def nearest_rank_quantiles(spark, d):
@@ -273,7 +279,7 @@ def permutation_draw(spark, d):
 
 
 def _accepted(spark, d):
-    x = B.read(spark, d, "lineitem").join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_quantity > 49")
+    x = B.read(spark, d, "lineitem").join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     verdict = F.when(F.col("l_orderkey") % 13 == 0, "passed").when(F.col("l_orderkey") % 5 > 0, "failed")
     return x.select(F.col("p_type").alias("family"), F.concat("l_returnflag", F.col("l_suppkey").cast("string")).alias("ticker"), verdict.alias("null"))
 
@@ -310,13 +316,23 @@ src AS (SELECT ticker, t0 AS src_t0, row_number() OVER (PARTITION BY ticker ORDE
 moved AS (SELECT ticker, t0, src_t0 FROM (SELECT ticker, t0, row_number() OVER (PARTITION BY ticker ORDER BY t0) AS place FROM blk) JOIN src USING (ticker, place))"""
 
 
-_MATRIX = """WITH a AS (SELECT p_type AS family, l_returnflag || l_suppkey AS ticker, CASE WHEN l_orderkey % 13 = 0 THEN 'passed' WHEN l_orderkey % 5 > 0 THEN 'failed' END AS v FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
+_MATRIX = """WITH a AS (SELECT p_type AS family, l_returnflag || l_suppkey AS ticker, CASE WHEN l_orderkey % 13 = 0 THEN 'passed' WHEN l_orderkey % 5 > 0 THEN 'failed' END AS v FROM lineitem JOIN part ON l_partkey = p_partkey),
 t AS (SELECT family, ticker, coalesce(bool_or(v = 'passed'), false) AS passed, bool_or(v IS NULL) AS missing FROM a GROUP BY ALL),
 f AS (SELECT family, count(*) AS n_provisional, sum(passed::INT)::BIGINT AS n_confirmed, sum((missing AND NOT passed)::INT)::BIGINT AS n_screening FROM t GROUP BY family),
 m AS (SELECT *, CASE WHEN n_confirmed = 0 AND n_screening = 0 THEN 'unconfirmed' WHEN n_confirmed = 0 THEN 'screening_only' WHEN n_confirmed = 1 THEN 'asset_specific' WHEN n_confirmed > 0.5 * n_provisional THEN 'universal' ELSE 'conditional' END AS classification,
   round(n_confirmed / n_provisional, 3) AS recurrence FROM f)"""
 
 
+def cascade_sql(bars: str, **other: str) -> str:
+    rules = P.SAMPLE_RULES | other
+    fails = " ".join(f"WHEN NOT coalesce({r}, false) THEN {i}" for i, r in enumerate(rules.values()))
+    return f"""WITH {bars}, l AS (SELECT *, (epoch(date_trunc('hour', ts)) - epoch(date_trunc('hour', lag(ts) OVER w))) / 3600 AS gap, ln(close / lag(close) OVER w) AS r FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY idx)),
+      p AS (SELECT ticker, count(*) AS bars, count(*) FILTER (gap > 96) AS gaps, max(gap)::BIGINT AS max_gap_hours, max(abs(r)) AS max_abs_return, count(*) FILTER (abs(r) > 0.35) AS violent, round(count(*) FILTER (high = low) / count(*), 6) AS flat_share, round(count(DISTINCT close) / count(*), 6) AS resolution FROM l GROUP BY ticker),
+      f AS (SELECT CASE {fails} ELSE {len(rules)} END AS s FROM (SELECT *, round(bars / max(bars) OVER (), 6) AS coverage FROM p)),
+      r AS (SELECT unnest({list(rules)}) AS rule, unnest({list(range(len(rules)))})::INT AS step)
+      SELECT step, rule, (SELECT count(*) FROM f WHERE s = step) AS dropped, (SELECT count(*) FROM f WHERE s > step) AS remaining FROM r"""
+
+
 def verdict_sql(keys: list[str]) -> str:
     """The sequential verdict from n (keys, permutation, t) and s (keys, statistic); the last tables of a WITH and its query."""
     k = ", ".join(keys)
@@ -339,7 +355,7 @@ o AS (SELECT family, id, mean, best, best_mean, se, in_plateau, in_plateau AND r
 
 QUERIES = {n: globals()[n] for n in (
     "console_overview console_payoff console_basket console_overlap console_trade_buckets console_return_histogram console_result_rows console_mode_counts console_coverage console_health result_upsert feature_contributions "
-    "feature_tooltips table_profile return_correlations filter_cascade nearest_rank_quantiles sample_digest ledger_chain ledger_latest entry_bins entry_segments split_harvest feature_quantiles trajectory_bands interval_overlap "
+    "feature_tooltips table_profile return_correlations filter_cascade sample_cascade nearest_rank_quantiles sample_digest ledger_chain ledger_latest entry_bins entry_segments split_harvest feature_quantiles trajectory_bands interval_overlap "
     "rank_correlation fold_ranking shap_sign_flips five_significant_digits rotation_acceptance one_se_representatives search_pool_order null_exceedance wilson_interval time_blocks macro_segments block_permutation segment_permutation permutation_draw family_matrix transfer_prior"
 ).split()}
 
@@ -375,11 +391,8 @@ ORACLES = {
       SELECT ticker, bars, distinct_close, zero_volume, flat, gaps, max_gap_hours, violent, {S.rounded(PROFILE)} FROM q""",
     "return_correlations": f"""WITH {S.BARS_1H}, r AS (SELECT ticker, ts, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY idx)) AS r FROM bars)
       SELECT a.ticker AS a, b.ticker AS b, count(*) AS n, round(corr(a.r, b.r), 6) + 0.0 AS corr FROM r a JOIN r b ON a.ts = b.ts AND a.ticker < b.ticker WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY ALL HAVING count(*) > 100""",
-    "filter_cascade": f"""WITH {S.BARS_1D.replace("l_returnflag", "p_brand").replace("FROM lineitem WHERE", "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE")},
-      p AS (SELECT ticker, count(*) AS bars, min(close) AS min_close, count(*) FILTER (high = low) / count(*) AS flat_share FROM bars GROUP BY ticker), q AS (SELECT *, bars / max(bars) OVER () AS coverage FROM p),
-      f AS (SELECT CASE WHEN bars < 10 THEN 0 WHEN round(coverage, 6) < 0.6 THEN 1 WHEN min_close <= 0 THEN 2 WHEN round(flat_share, 6) >= 0.999 THEN 3 ELSE 4 END AS s FROM q),
-      r AS (SELECT unnest(['bars', 'coverage', 'price', 'flat']) AS rule, unnest([0, 1, 2, 3])::INT AS step)
-      SELECT step, rule, (SELECT count(*) FROM f WHERE s = step) AS dropped, (SELECT count(*) FROM f WHERE s > step) AS remaining FROM r""",
+    "filter_cascade": cascade_sql(S.BARS_1H.replace("event_type", "concat(event_type, '-', user_id % 11)"), coverage="coverage >= 0.7", max_abs_return="max_abs_return <= 6", violent="violent <= bars * 0.97", flat_share="flat_share <= 0.99", max_gap_hours="max_gap_hours <= 60"),
+    "sample_cascade": cascade_sql(S.BARS_1D.replace("l_returnflag", "p_brand").replace("FROM lineitem WHERE", "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE")),
     "nearest_rank_quantiles": f"""WITH {S.BARS_1H}, s AS (SELECT ticker, list_sort(list(close)) AS c FROM bars GROUP BY ticker)
       SELECT ticker, round(c[round_even(0.1 * (len(c) - 1), 0)::INT + 1], 6) AS p10, round(c[round_even(0.5 * (len(c) - 1), 0)::INT + 1], 6) AS p50, round(c[round_even(0.9 * (len(c) - 1), 0)::INT + 1], 6) AS p90 FROM s""",
     "sample_digest": "SELECT sha256(string_agg(t, chr(10) ORDER BY t)) AS digest FROM (SELECT DISTINCT event_type AS t FROM events WHERE value > 0)",

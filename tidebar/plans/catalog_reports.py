@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebar.operators import features as X
+from tidebar.operators import figures as G
 from tidebar.operators import reports as R
 from tidebar.operators import trades as T
 from tidebar.plans import sql as S
@@ -109,11 +110,10 @@ def long_only(spark, d):
 
 
 def normalised_features(spark, d):
-    """Each ticker's features by the mean and deviation of its first 480 bars."""
-    f = X.core(hourly(spark, d)).select("ticker", "idx", "log_return_5", "rsi_14")
-    stats = f.where("idx < 480").groupBy("ticker").agg(*[g(c).alias(f"{k}_{c}") for c in ("log_return_5", "rsi_14") for k, g in (("mu", F.avg), ("sd", F.stddev_pop))])
-    out = f.join(stats, "ticker").select("ticker", "idx", *[((F.col(c) - F.col(f"mu_{c}")) / F.nullif(f"sd_{c}", F.lit(0.0))).alias(c) for c in ("log_return_5", "rsi_14")])
-    return rounded(out, ["log_return_5", "rsi_14"])
+    """Each ticker's features by the mean and deviation of its first 480 bars, and one that stands still there."""
+    f = X.core(hourly(spark, d)).select("ticker", "idx", "log_return_5", "rsi_14").withColumn("late", F.when(F.col("idx") < 480, 2.5).otherwise(2.5 + F.col("idx") % 3))
+    names = ["log_return_5", "rsi_14", "late"]
+    return rounded(T.normalised(f, T.train_stats(f, names, F.col("idx") < 480), names), names)
 
 
 def discovery_picks(spark, d):
@@ -129,10 +129,15 @@ def path_problems(spark, d):
     return R.path_problems(r, r.where("k % 23 > 0"))
 
 
+_STATED = "concat('xgb=', cast(count(*) AS varchar(20)), ' lstm=', cast(count(*) + (CASE WHEN store % 6 = 5 THEN 1 ELSE 0 END) AS varchar(20)), CASE WHEN store % 4 = 1 THEN '' ELSE ' status=PASS' END)"
+
+
 def model_counts(spark, d):
-    """The counts that the store's messages restate."""
-    x = results(spark, d).agg(F.sum((F.col("model") == "xgb").cast("int")).alias("xgb"), F.sum((F.col("model") == "lstm").cast("int")).alias("lstm"), F.count(F.lit(1)).alias("total"))
-    return x.select(F.format_string("xgb=%d lstm=%d", "xgb", "lstm").alias("message"), (F.col("total") == F.col("xgb") + F.col("lstm")).alias("adds_up"))
+    """The counts that each store's message states, against its rows; some stores lost a row since."""
+    c = B.read(spark, d, "customer").select(F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_nationkey").alias("store"))
+    stated = c.groupBy("store").agg(F.expr(_STATED).alias("message"))
+    actual = results(spark, d).join(c, "ticker").groupBy("store", F.col("model").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return G.count_problems(stated, actual, ["store"], ["xgb", "lstm"])
 
 
 def store_slimming(spark, d):
@@ -174,8 +179,8 @@ def gain_and_shap(spark, d):
 
 
 def venn_shares(spark, d):
-    x = B.read(spark, d, "part").selectExpr("p_partkey", "p_size * 3 AS a", "p_retailprice / 12 AS b", "p_size * 2 + 5 AS c", "p_size AS e")
-    return x.select("p_partkey", *[v.alias(k) for k, v in R.shared_wins(F.col("a"), F.col("b"), F.col("c"), F.col("e")).items()])
+    x = B.read(spark, d, "part").selectExpr("p_partkey", "p_size * 3 AS a", "p_retailprice / 12 AS b", "p_size * 2 + 5 AS c", "p_size AS e", "p_retailprice / 16 AS f", "p_size * 1.5 AS g")
+    return x.select("p_partkey", *[v.alias(k) for k, v in R.shared_wins(*[F.col(c) for c in "abcefg"]).items()])
 
 
 _GRID = ["p_brand AS ticker", "CASE WHEN p_size % 3 = 0 THEN 'both' ELSE 'long' END AS direction", "p_size / 100.0 AS theta", "CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_size % 5 / 10.0 END AS lambda", "floor(p_retailprice / 40) AS growth", "p_size % 9 AS trades"]
@@ -190,7 +195,7 @@ def joint_calibration(spark, d):
 
 
 def compiled_records(spark, d):
-    x = B.read(spark, d, "lineitem").where("l_quantity > 49").selectExpr(*[c.replace("AS null", "AS `null`") for c in _SURVIVORS])
+    x = B.read(spark, d, "lineitem").selectExpr(*[c.replace("AS null", "AS `null`") for c in _SURVIVORS])
     return rounded(R.compiled(x), ["confirmation_win_rate", "outer_delta"])
 
 
@@ -224,7 +229,10 @@ def search_verdicts(spark, d):
 
 
 def cache_token(spark, d):
-    return B.read(spark, d, "region").agg(F.count(F.lit(1)).alias("n")).select(R.names_token([X.CORE, X.OPTIONAL]).alias("token"))
+    """For each nation the token of the feature lists that its customers chose; it changes whenever a list does."""
+    c = B.read(spark, d, "customer").selectExpr("c_nationkey AS nation", "concat('f', cast(c_custkey % 23 AS varchar(5))) AS core", "concat('g', cast(c_custkey % 7 AS varchar(5))) AS optional")
+    names = lambda n: F.array_sort(F.collect_set(n))
+    return c.groupBy("nation").agg(R.names_token([names("core"), names("optional")]).alias("token"))
 
 
 def ranked_tables(spark, d):
@@ -276,13 +284,16 @@ ORACLES = {
       g AS (SELECT ticker, fold, val_lo, val_hi, count(*) FILTER (t0 + 48 < val_lo - 5) AS n_train, count(*) FILTER (t0 >= val_lo AND t0 < val_hi) AS n_val FROM cand JOIN c USING (ticker) GROUP BY ALL) SELECT *, val_lo - 5 - 48 - 1 AS inner_end FROM g WHERE n_val >= 5 AND n_train >= 10""",
     "bar_segments": f"WITH {S.BARS_1H} SELECT ticker, CASE {_CASE} ELSE 'none' END AS segment, count(*) AS n FROM bars GROUP BY ALL",
     "long_only": f"{_BASE.replace('SELECT ticker, idx AS t0 FROM', 'SELECT ticker, idx AS t0, log_return_5 FROM')} SELECT ticker, t0 FROM cand WHERE log_return_5 > 0",
-    "normalised_features": f"""{S.core_features(S.BARS_1H)}, s AS (SELECT ticker, avg(log_return_5) AS m1, stddev_pop(log_return_5) AS s1, avg(rsi_14) AS m2, stddev_pop(rsi_14) AS s2 FROM core WHERE idx < 480 GROUP BY ticker)
-      SELECT ticker, idx, round((log_return_5 - m1) / nullif(s1, 0), 6) + 0.0 AS log_return_5, round((rsi_14 - m2) / nullif(s2, 0), 6) + 0.0 AS rsi_14 FROM core JOIN s USING (ticker)""",
+    "normalised_features": f"""{S.core_features(S.BARS_1H)}, f AS (SELECT ticker, idx, log_return_5, rsi_14, CASE WHEN idx < 480 THEN 2.5 ELSE 2.5 + idx % 3 END::DOUBLE AS late FROM core),
+      s AS (SELECT ticker, {", ".join(f"coalesce(avg({c}), 0) AS m_{c}, coalesce(greatest(stddev_pop({c}), 1e-8), 1) AS s_{c}" for c in ("log_return_5", "rsi_14", "late"))} FROM f WHERE idx < 480 GROUP BY ticker)
+      SELECT ticker, idx, {", ".join(f"round(({c} - m_{c}) / s_{c}, 6) + 0.0 AS {c}" for c in ("log_return_5", "rsi_14", "late"))} FROM f JOIN s USING (ticker)""",
     "discovery_picks": f"""WITH x AS {_of(_SCORES, "lineitem")}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker, outer_fold, rotation ORDER BY gain DESC, id, family) AS k FROM x WHERE gain IS NOT NULL)
       SELECT ticker, outer_fold, rotation, id AS picked, family, round(gain, 6) + 0.0 AS discovery_gain FROM r WHERE k = 1""",
     "path_problems": """WITH x AS (SELECT 'T' || c_custkey AS ticker, m AS model, c_custkey * 7 + CASE WHEN m = 'lstm' THEN 3 ELSE 0 END AS k FROM customer, (SELECT unnest(['xgb', 'lstm']) AS m))
       SELECT model, ticker, CASE WHEN k % 19 = 0 THEN 'artifact_path' ELSE 'not in the manifest' END AS problem FROM x WHERE k % 19 = 0 OR k % 23 = 0""",
-    "model_counts": "SELECT 'xgb=' || count(*) || ' lstm=' || count(*) AS message, true AS adds_up FROM customer",
+    "model_counts": f"""WITH {RESULTS}, c AS (SELECT 'T' || c_custkey AS ticker, c_nationkey AS store FROM customer), m AS (SELECT store, {_STATED} AS message FROM c GROUP BY store),
+      n AS (SELECT store, count(*) FILTER (model = 'xgb') AS xgb, count(*) FILTER (model = 'lstm') AS lstm FROM results JOIN c USING (ticker) GROUP BY store)
+      SELECT store, message, xgb, lstm, xgb = regexp_extract(message, 'xgb=([0-9]+)', 1)::BIGINT AND lstm = regexp_extract(message, 'lstm=([0-9]+)', 1)::BIGINT AS agrees FROM m JOIN n USING (store)""",
     "store_slimming": """WITH k AS (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey * 7 % 41 < 5 OR (c_custkey * 7 + 3) % 41 < 5) SELECT m AS model, count(*) AS n FROM k, (SELECT unnest(['xgb', 'lstm']) AS m) GROUP BY m""",
     "ledger_resume": f"""WITH x AS {_of(_UNIT, "orders")}, l AS (SELECT unit, bool_or(status = 'completed') AS done, arg_max(status, seq) AS last FROM x WHERE stage = 'a1' GROUP BY unit)
       SELECT c_custkey AS unit, CASE WHEN last IS NULL THEN 'open' WHEN done THEN 'completed' WHEN last = 'running' THEN 'orphan' ELSE 'open' END AS state FROM customer LEFT JOIN l ON unit = c_custkey""",
@@ -292,15 +303,16 @@ ORACLES = {
     "console_status": f"""WITH {RESULTS} SELECT model, CASE WHEN trade_floor_met = 0 THEN 'NO-TRADE (floor)' WHEN model_trades = 0 THEN 'IDLE / HODL' WHEN model_trades = 1 THEN 'LOW EVIDENCE' ELSE 'ACTIVE' END AS status, count(*) AS n FROM results GROUP BY ALL""",
     "annual_return": f"WITH {RESULTS} SELECT ticker, round(return_pct * 365 / 181, 6) + 0.0 AS roi_per_365 FROM results WHERE model = 'xgb'",
     "gain_and_shap": """SELECT p_brand AS ticker, p_type AS feature, round(avg(p_size) FILTER (p_size < 40), 6) AS shap, round(sum(p_retailprice) FILTER (p_size > 5), 6) AS gain FROM part GROUP BY ALL HAVING count(*) FILTER (p_size < 40) > 0 AND count(*) FILTER (p_size > 5) > 0""",
-    "venn_shares": """WITH h AS (SELECT p_partkey, greatest(0, least(p_size * 3, 100)) AS x, greatest(0, least(trunc(p_retailprice / 12)::INT, 100)) AS y, p_size FROM part)
-      SELECT p_partkey, x AS xgb, y AS lstm, greatest(0, least(p_size * 2 + 5, x, y)) AS "both", greatest(0, least(p_size, 100 - x, 100 - y)) AS neither FROM h""",
+    "venn_shares": """WITH h AS (SELECT p_partkey, greatest(0, least(p_size * 3, 100)) AS x, greatest(0, least(trunc(p_retailprice / 12)::INT, 100)) AS y, p_size, p_retailprice FROM part),
+      k AS (SELECT *, greatest(0, least(p_size * 2 + 5, x, y)) AS b, greatest(0, least(p_size, 100 - x, 100 - y)) AS n, greatest(0, x - round_even(p_retailprice / 16, 0)::INT) AS ex, greatest(0, y - round_even(p_size * 1.5, 0)::INT) AS ey FROM h)
+      SELECT p_partkey, x AS xgb, y AS lstm, b AS "both", n AS neither, ex AS edge_xgb, ey AS edge_lstm, ex + ey AS edge, coalesce(round_even(100 * b / nullif(b + n, 0), 0)::INT, 0) AS intersection_win_rate FROM k""",
     "joint_calibration": f"""WITH g AS {_of(_GRID, "part").replace("AS lambda", 'AS "lambda"')}, f AS (SELECT *, bool_or(trades >= 4) OVER (PARTITION BY ticker) AS ok, row_number() OVER (PARTITION BY ticker ORDER BY trades DESC, growth DESC, theta DESC, "lambda" NULLS FIRST, direction) AS m FROM g),
       p AS (SELECT *, max(growth) OVER (PARTITION BY ticker) AS best FROM f WHERE CASE WHEN ok THEN trades >= 4 ELSE m = 1 END),
       k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY coalesce("lambda", 0), theta DESC, (direction <> 'both')::INT, direction) AS k FROM p WHERE growth >= best - 1e-9)
       SELECT ticker, round(theta, 6) + 0.0 AS theta, round("lambda", 6) + 0.0 AS "lambda", direction, round(best, 6) + 0.0 AS oof_log_growth, trades AS oof_trades, ok AS trade_floor_met FROM k WHERE k = 1""",
-    "compiled_records": f"""WITH s AS (SELECT *, coalesce("null" = 'passed', false) AS ok FROM (SELECT {", ".join(_SURVIVORS).replace("AS null", 'AS "null"')} FROM lineitem WHERE l_quantity > 49)),
+    "compiled_records": f"""WITH s AS (SELECT *, coalesce("null" = 'passed', false) AS ok FROM (SELECT {", ".join(_SURVIVORS).replace("AS null", 'AS "null"')} FROM lineitem)),
       g AS (SELECT ticker, sum(ok::INT)::BIGINT AS accepted, count(*) FILTER (ok AND a2 AND b) AS stable, count(*) FILTER ("null" IS NULL) AS screening, count(DISTINCT unit) FILTER (ok) AS n_selected, min(arm) FILTER (ok) AS selection_mode,
-        round(round(avg(win_rate) FILTER (ok), 3), 6) + 0.0 AS confirmation_win_rate, round(max(outer_delta) FILTER (ok), 6) + 0.0 AS outer_delta FROM s GROUP BY ticker)
+        round(round(sum(round(win_rate * 1000)::BIGINT) FILTER (ok) / count(win_rate) FILTER (ok) / 1000, 3), 6) + 0.0 AS confirmation_win_rate, round(max(outer_delta) FILTER (ok), 6) + 0.0 AS outer_delta FROM s GROUP BY ticker)
       SELECT *, CASE WHEN stable > 0 THEN 'resolved' WHEN accepted > 0 THEN 'resolved_conditional' ELSE 'resolved_empty' END AS status FROM g""",
     "ranking_objective": "SELECT p_brand AS ticker, round(max(p_retailprice) / 1000 - 0.5 * avg(p_size / 100) - 0.1 * (1 - avg((p_size > 20)::INT)) - 0.004 * count(DISTINCT p_type) - 0.0001 * sum(p_size), 6) + 0.0 AS j FROM part GROUP BY p_brand",
     "null_scope": f"""WITH x AS {_of(_DELTA, "lineitem")}, a AS (SELECT ticker, outer_fold, arm, max(unit) AS unit FROM x GROUP BY ALL), b AS (SELECT ticker, outer_fold, permutation AS confirmation_fold, arm, unit, max(delta) AS delta FROM x GROUP BY ALL)
@@ -309,7 +321,7 @@ ORACLES = {
       FROM (SELECT p_brand AS ticker, p_partkey, (p_size > 25)::INT::DOUBLE AS y, p_retailprice / 1000 - 1 AS noise FROM part) WINDOW t AS (PARTITION BY ticker)""",
     "search_queue": "SELECT c_custkey AS ticker FROM customer WHERE c_custkey % 10 > 0 AND (c_custkey % 3 = 0 OR (c_nationkey % 2 = 0 AND c_nationkey < 12))",
     "search_verdicts": "SELECT CASE WHEN p_size % 4 > 0 AND p_retailprice / 1000 >= 1.2 + 0.05 THEN 'applied' WHEN p_size < 10 THEN 'thin_trades' ELSE 'core_only' END AS verdict, count(*) AS n FROM part GROUP BY ALL",
-    "cache_token": f"SELECT left(sha256('{','.join(X.CORE)}|{','.join(X.OPTIONAL)}'), 16) AS token",
+    "cache_token": """SELECT c_nationkey AS nation, left(sha256(string_agg(DISTINCT 'f' || c_custkey % 23, ',' ORDER BY 'f' || c_custkey % 23) || '|' || string_agg(DISTINCT 'g' || c_custkey % 7, ',' ORDER BY 'g' || c_custkey % 7)), 16) AS token FROM customer GROUP BY c_nationkey""",
     "ranked_tables": """WITH p AS (SELECT l_suppkey AS ticker, count(DISTINCT l_extendedprice) / count(*) AS r, avg((l_quantity = 1)::INT) AS f FROM lineitem GROUP BY 1) SELECT row_number() OVER (ORDER BY r DESC, f, ticker)::INT AS place, ticker FROM p QUALIFY place <= 40""",
     "rederived_figures": f"WITH {RESULTS} SELECT model, count(*) AS n, count(*) FILTER (model_trades > 1) AS promoted, round(median(return_pct), 6) + 0.0 AS median_return, round(median(model_trades), 6) + 0.0 AS median_trades FROM results GROUP BY model",
 }
