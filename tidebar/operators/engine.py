@@ -22,7 +22,7 @@ def replay(scored: DataFrame, keys: list[str], costs: Costs = Costs(), tie: floa
 
     scored: keys, t0, p, passes (p reaches the threshold), size, net_return, flat_from. Returns every event with
     its fate (entered, ignored_while_open, threshold_rejects, not_selected, simultaneous_tie_skip, after_halt) and, if
-    entered, trade_id, capital_before and capital_after. Keys are advanced side by side; one key's events
+    entered, trade_id, capital_before, capital_after and uncovered, the loss beyond the capital. Keys are advanced side by side; one key's events
     are one ordered fold, on the JVM.
     """
     order = Window.partitionBy(*keys, "t0").orderBy("_rank", "size", "net_return", "flat_from")
@@ -55,6 +55,7 @@ def replay(scored: DataFrame, keys: list[str], costs: Costs = Costs(), tie: floa
     return y.select(
         *keys, "t0", "p", F.col("state.fate").alias("fate"), F.when(entered, F.col("state.trade")).alias("trade_id"),
         F.when(entered, F.col("state.before")).alias("capital_before"), F.when(entered, F.col("state.capital")).alias("capital_after"),
+        F.when(entered, F.greatest(F.lit(0.0), -F.col("state.before") * (1 + F.col("size") * F.col("net_return")))).alias("uncovered"),
     )
 
 
@@ -91,6 +92,7 @@ def summary(replayed: DataFrame, trades: DataFrame, costs: Costs = Costs()) -> D
         F.coalesce(F.max_by("capital_after", F.col("trade_id")), F.lit(costs.capital)).alias("end_capital"), F.coalesce(gain, F.lit(0.0)).alias("gross_profit"), F.coalesce(loss, F.lit(0.0)).alias("gross_loss"),
         F.when(loss > 0, F.coalesce(gain, F.lit(0.0)) / loss).alias("profit_factor"), F.sum((inside & (net > 0)).cast("int")).alias("wins"), F.sum((inside & (net < 0)).cast("int")).alias("losses"),
         F.sum(F.when(inside, F.col("exit_idx") - F.col("t_fill") + 1).otherwise(0)).alias("exposure_bars"), F.sum((inside & (F.col("market_exit_reason") == "OOS_END_FORCED_EXIT")).cast("int")).alias("forced_exits"),
+        F.coalesce(F.sum("uncovered"), F.lit(0.0)).alias("uncovered_total"), F.coalesce(F.max("uncovered"), F.lit(0.0)).alias("uncovered_max"), F.coalesce(F.max(F.col("capital_after") <= 0), F.lit(False)).alias("capital_depleted"),
     ).withColumns({"return_pct": (F.col("end_capital") / costs.capital - 1) * 100, "result_mode": result_mode(F.col("entered"), F.lit(True))})
 
 
@@ -107,6 +109,28 @@ def hold(bars: DataFrame, costs: Costs = Costs()) -> DataFrame:
     return x.select("ticker", end.alias("end_capital"), ((end / costs.capital - 1) * 100).alias("return_pct"))
 
 
+def hold_ledger(bars: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    """The one trade of a ticker whose model made none, in the columns of a ledger: bought at the first open with all capital, sold at the last close. It is a benchmark trade, no model trade."""
+    x = bars.groupBy("ticker").agg(F.min("idx").alias("t_fill"), F.max("idx").alias("exit_idx"), (F.min_by("open", "idx") * (1 + costs.slip)).alias("entry_fill"), (F.max_by("close", "idx") * (1 - costs.slip)).alias("exit_fill"))
+    q = costs.capital / (F.col("entry_fill") * (1 + costs.fee))
+    net = q * (F.col("exit_fill") - F.col("entry_fill")) - q * costs.fee * (F.col("entry_fill") + F.col("exit_fill"))
+    return x.select(
+        "ticker", F.lit(1).alias("trade_id"), F.lit(1).alias("direction"), F.col("t_fill").alias("t0"), "t_fill", F.lit(-1).alias("trigger_idx"), "exit_idx", "entry_fill", "exit_fill", F.lit(1.0).alias("size"), q.alias("quantity"),
+        F.lit("scheduled").alias("exit_kind"), F.lit("HODL_FALLBACK_EXIT").alias("market_exit_reason"), F.lit("ACTIVE").alias("capital_state"), F.lit(costs.capital).alias("capital_before"), net.alias("net_pnl"), F.lit(0.0).alias("uncovered"), (F.lit(costs.capital) + net).alias("capital_after"),
+    )
+
+
+def hold_summary(bars: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    """ticker, end_capital, return_pct, max_drawdown_pct and the counts of a held ticker: no model trades, one benchmark trade, no profit factor."""
+    ledger = hold_ledger(bars, costs)
+    down = drawdown(equity(bars, ledger, costs), costs)
+    out = ledger.join(down, "ticker")
+    return out.select(
+        "ticker", F.col("capital_after").alias("end_capital"), ((F.col("capital_after") / costs.capital - 1) * 100).alias("return_pct"), "max_drawdown_pct", F.lit(None).cast("double").alias("profit_factor"), F.lit(0).alias("trades"), F.lit(1).alias("benchmark_trades"),
+        F.lit(100.0).alias("time_in_market_pct"), (F.col("capital_after") <= 0).alias("capital_depleted"), result_mode(F.lit(0), F.lit(True)).alias("result_mode"),
+    )
+
+
 def operating_point(grid: DataFrame, keys: list[str], least_trades: int = 0, least_folds: int = 0, most_share: float = 1.0) -> DataFrame:
     """One grid row for each key.
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A cell with fewer rows says nothing about a feature's direction.
+LEAST_CELL = 25
+
+
 def split_points(trees: DataFrame) -> DataFrame:
     """feature, thresholds (distinct, sorted, finite), n_splits, gain, gain_share."""
     ok = trees.where((F.col("feature") != "Leaf") & F.col("split").isNotNull() & ~F.isnan("split") & (F.abs("split") < float("inf")))
@@ -55,12 +59,64 @@ def trajectories(seqs: DataFrame) -> DataFrame:
 
 
 def sign_flips(grid: DataFrame) -> DataFrame:
-    """feature, flips, reversal: how often the mean changes sign from one kept cell to the next. grid: feature, cell, mean, n."""
+    """feature, flips, reversal: how often the mean changes sign from one kept cell to the next that has one. grid: feature, cell, mean, n."""
     w = Window.partitionBy("feature").orderBy("cell")
-    x = grid.where("n >= 25").withColumn("flip", ((F.signum("mean") * F.signum(F.lag("mean").over(w))) < 0).cast("int"))
+    x = grid.where(F.col("n") >= LEAST_CELL).withColumn("sign", F.when(F.col("mean") != 0, F.signum("mean")))
+    x = x.withColumn("flip", (F.col("sign") * F.last("sign", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) < 0).cast("int"))
     return x.groupBy("feature").agg(F.coalesce(F.sum("flip"), F.lit(0)).alias("flips")).withColumn("reversal", F.col("flips") >= 2)
 
 
+def contribution_cells(rows: DataFrame, keys: list[str], low: float = -3.0, high: float = 3.0, step: float = 0.25) -> DataFrame:
+    """keys, feature, cell, lo, hi, n, mean, abs_mean, thin: contributions by how many deviations a value lies from its mean; cells of `step` and an open one at either end, empty ones too.
+
+    rows: keys, feature, value, contribution. Values count as 32-bit floats; one that does not vary lies at 0, a missing one in the last cell. lo and hi are null where the cell is open.
+    """
+    edges = [low + i * step for i in range(round((high - low) / step) + 1)]
+    by = [*keys, "feature"]
+    v = F.when(~F.isnan(F.col("value").cast("double")), F.col("value").cast("float").cast("double"))
+    x = rows.select(*by, v.alias("v"), F.col("contribution").cast("double").alias("c"))
+    stats = x.groupBy(*by).agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sigma"))
+    z = F.when(F.col("sigma") > 0, (F.col("v") - F.col("mu")) / F.nullif("sigma", F.lit(0.0))).otherwise(0.0)
+    cell = F.when(F.col("sigma").isNull() | ((F.col("sigma") > 0) & F.col("v").isNull()), len(edges)).otherwise(bin_of(z, F.array(*[F.lit(e) for e in edges])))
+    sums = x.join(stats, by).groupBy(*by, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean"), F.avg(F.abs("c")).alias("abs_mean"))
+    every = stats.select(*by, F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).alias("cell")).join(sums, [*by, "cell"], "left")
+    at = F.array(*[F.lit(e) for e in edges])
+    n = F.coalesce("n", F.lit(0))
+    return every.select(*by, "cell", F.get(at, F.col("cell") - 1).alias("lo"), F.get(at, F.col("cell")).alias("hi"), n.alias("n"), F.round("mean", 8).alias("mean"), F.round("abs_mean", 8).alias("abs_mean"), (n < LEAST_CELL).alias("thin"))
+
+
+def contribution_features(rows: DataFrame, keys: list[str], **axis: float) -> DataFrame:
+    """keys, feature, rank, mean_abs, share, used, mu, sigma, flips, reversal of contribution_cells(...): what each feature adds, and whether its push turns more than once."""
+    by = [*keys, "feature"]
+    v = F.when(~F.isnan(F.col("value").cast("double")), F.col("value").cast("float").cast("double"))
+    x = rows.groupBy(*by).agg(F.avg(F.abs("contribution")).alias("m"), F.max((F.col("contribution") != 0).cast("int")).alias("u"), F.avg(v).alias("mu"), F.stddev_pop(v).alias("sigma"))
+    all_ = Window.partitionBy(*keys)
+    total = F.sum("m").over(all_)
+    x = x.withColumns({"rank": F.row_number().over(all_.orderBy(F.desc("m"), "feature")), "share": F.round(F.when(total > 0, F.col("m") / F.nullif(total, F.lit(0.0))).otherwise(0.0), 8)})
+    flips = sign_flips(contribution_cells(rows, keys, **axis).select(F.struct(*by).alias("feature"), "cell", "mean", "n")).select("feature.*", "flips", "reversal")
+    y = x.join(flips, by, "left")
+    return y.select(*by, "rank", F.round("m", 8).alias("mean_abs"), "share", (F.col("u") == 1).alias("used"), F.round("mu", 8).alias("mu"), F.round("sigma", 8).alias("sigma"), F.coalesce("flips", F.lit(0)).alias("flips"), F.coalesce("reversal", F.lit(False)).alias("reversal"))
+
+
+def sigma_bounds(lo: Column, hi: Column, mu: Column, sigma: Column) -> tuple[Column, Column]:
+    """Bounds in deviations from the mean, to five digits; null where a bound is open or nothing varies."""
+    one = lambda b: F.when((sigma > 0) & (F.abs(b) < float("inf")), five_digits((b - mu) / F.nullif(sigma, F.lit(0.0))))
+    return one(lo), one(hi)
+
+
+def segment_outcomes(rows: DataFrame, edges: list[float], **rule: float) -> DataFrame:
+    """entry_segments(...) with tp_events, tp_rate and tp_lift: how often an entry of the segment reached its target, and that over the rate of all rows. rows: value, entry, y (0 or 1). Shares and lifts have five digits."""
+    segments = entry_segments(rows, edges, **rule)
+    e = F.array(*[F.lit(float(x)) for x in edges])
+    x = rows.where("value IS NOT NULL").groupBy(bin_of(F.col("value"), e).alias("bin")).agg(F.sum(F.when(F.col("entry") == 1, F.col("y")).otherwise(0)).alias("tp"), F.sum("y").alias("all_y"), F.count(F.lit(1)).alias("all_n"))
+    all_ = Window.partitionBy()  # one row for each bin
+    x = x.withColumn("baseline", F.sum("all_y").over(all_) / F.sum("all_n").over(all_))
+    got = segments.join(x, (F.col("bin") >= F.col("lo_bin")) & (F.col("bin") <= F.col("hi_bin"))).groupBy(*segments.columns).agg(F.sum("tp").alias("tp_events"), F.first("baseline").alias("baseline"))
+    rate = F.col("tp_events") / F.nullif("n_entry", F.lit(0))
+    got = got.withColumns({"tp_rate": five_digits(rate), "tp_lift": F.when(F.col("baseline") > 0, five_digits(rate / F.nullif("baseline", F.lit(0.0))))})
+    return got.withColumns({c: five_digits(F.col(c)) for c in ("entry_share", "entry_lift")}).drop("baseline")
+
+
 def fold_ranking(contributions: DataFrame) -> DataFrame:
     """Mean of the folds' means, not of the pooled rows, and the rank. contributions: fold, feature, value."""
     per = contributions.groupBy("feature", "fold").agg(F.avg(F.abs("value")).alias("m"))
@@ -91,4 +147,4 @@ def interval_jaccard(spans: DataFrame) -> DataFrame:
 
 def five_digits(x: Column) -> Column:
     """Five significant digits."""
-    return F.format_string("%.4e", x).cast("double")
+    return F.when(x.isNotNull(), F.format_string("%.4e", x)).cast("double")

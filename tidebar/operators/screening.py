@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.functions.folds import running
 from tidebar.functions.rolling import back
 
 
@@ -57,14 +58,21 @@ def correlations(bars: DataFrame, least: int) -> DataFrame:
     return x.where((F.col("n") > least) & (F.col("la") < F.col("ha")) & (F.col("lb") < F.col("hb"))).select("a", "b", "n", "corr")
 
 
-def uncorrelated(ranking: list[str], pairs: DataFrame, limit: int = 20, most: float = 0.95) -> list[str]:
-    """Walk a short ranking; take a ticker unless it is too close to one already taken."""
-    near = {frozenset((r.a, r.b)) for r in pairs.where(F.col("corr") > most).where(F.col("a").isin(ranking) & F.col("b").isin(ranking)).collect()}
-    out: list[str] = []
-    for t in ranking:
-        if len(out) < limit and not any(frozenset((t, o)) in near for o in out):
-            out.append(t)
-    return out
+def uncorrelated(ranking: DataFrame, pairs: DataFrame, limit: int = 20, most: float = 0.95) -> DataFrame:
+    """ticker, place, duplicate_of, picked: a short ranking (ticker, place) walked from its top; a ticker is taken unless it is too close to one already taken, then it names the first such. After `limit` are taken the others are left."""
+    near = pairs.where(F.col("corr") > most)
+    either = near.select(F.col("a").alias("ticker"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("ticker"), F.col("a").alias("other")))
+    x = ranking.select(F.lit(0).alias("chain"), "place", "ticker").join(either.groupBy("ticker").agg(F.collect_set("other").alias("near")), "ticker", "left")
+
+    def step(state: Column, row: Column) -> Column:
+        clash = F.get(F.filter(state["taken"], lambda t: F.array_contains(F.coalesce(row["near"], F.array().cast("array<string>")), t)), F.lit(0))
+        takes = clash.isNull() & (F.size(state["taken"]) < limit)
+        open_ = F.size(state["taken"]) < limit
+        return F.struct(F.when(takes, F.array_append(state["taken"], row["ticker"])).otherwise(state["taken"]).alias("taken"), F.when(open_, clash).alias("clash"), takes.alias("picked"))
+
+    start = F.array().cast("array<string>")
+    y = running(x, ["chain"], ["place"], {"taken": None, "clash": None, "picked": None}, "`taken`: array<string>, `clash`: string, `picked`: boolean", lambda s, r: step(F.struct(F.coalesce(s["taken"], start).alias("taken")), r))
+    return y.select("ticker", "place", F.col("state.clash").alias("duplicate_of"), F.col("state.picked").alias("picked"))
 
 
 def digest(names: Column) -> Column:

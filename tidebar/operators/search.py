@@ -49,6 +49,17 @@ def pool_order(ranked: DataFrame, ranges: int = 32) -> DataFrame:
     return x.select("family", "id", "representative", place.alias("place"))  # one row for each feature
 
 
+def stage_pool(ranked: DataFrame) -> DataFrame:
+    """family, id, stage, place: the pool of a search in two stages, from one_se(...) of the survivors.
+
+    Stage 1 holds each family's representative, the strongest family first, then the smaller id; stage 2 its other survivors, the best first, to be tried only if the representative was taken: `place` counts within the stage, in stage 2 within the family.
+    """
+    first, others = F.row_number().over(Window.orderBy(F.desc("best_mean"), "id")), F.row_number().over(Window.partitionBy("family").orderBy(F.desc("mean"), "id"))
+    heads = ranked.where("representative").select("family", "id", F.lit(1).alias("stage"), first.alias("place"))  # one row for each family
+    rest = ranked.where("NOT representative").select("family", "id", F.lit(2).alias("stage"), others.alias("place"))
+    return heads.unionByName(rest)
+
+
 def acceptance(rotations: DataFrame, penalty: float = 0.004, least: int = 2, majority: float = 0.5) -> DataFrame:
     """Per ticker, fold and arm: the eligible unit with the best median gain less the penalty, and whether it is accepted.
 

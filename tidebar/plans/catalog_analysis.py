@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebar.operators import console as C
@@ -131,6 +132,14 @@ def nearest_rank_quantiles(spark, d):
     return rounded(x, ["p10", "p50", "p90"])
 
 
+def uncorrelated_sample(spark, d):
+    """The smoothest prices first, of which each must differ from those taken."""
+    b = hourly(spark, d)
+    b = b.withColumn("half", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("ticker", F.concat_ws("-", "ticker", "half")).withColumn("close", F.when(F.col("half") == "b", F.col("close") * 2 + F.col("idx") % 3 * 0.01).otherwise(F.col("close")))
+    top = b.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "ticker")))  # one row for each ticker
+    return P.uncorrelated(top, P.correlations(b, 20), 4, 0.95)
+
+
 def sample_digest(spark, d):
     return B.universe(hourly(spark, d)).agg(P.digest(F.array_sort(F.collect_list("ticker"))).alias("digest"))
 
@@ -198,6 +207,36 @@ def shap_sign_flips(spark, d):
     return I.sign_flips(x)
 
 
+def _contributions(spark, d):
+    """Line items' contributions by price, tax and a constant, for each line status."""
+    x = B.read(spark, d, "lineitem").withColumn("f", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.expr(v).alias("value"), F.expr(c).alias("contribution")) for n, v, c in _CONTRIBUTIONS])))
+    return x.select(F.col("l_linestatus").alias("ticker"), "f.*")
+
+
+_CONTRIBUTIONS = [("price", "CAST(l_extendedprice AS double)", "sin(l_extendedprice / 9000.0D) * l_discount"), ("tax", "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_tax AS double) END", "l_tax - 0.04"), ("constant", "CAST(2.5 AS double)", "0.0D")]
+
+
+def contribution_cells(spark, d):
+    return rounded(I.contribution_cells(_contributions(spark, d), ["ticker"]), ["mean", "abs_mean"])
+
+
+def contribution_features(spark, d):
+    return rounded(I.contribution_features(_contributions(spark, d), ["ticker"]), ["mean_abs", "share", "mu", "sigma"])
+
+
+def sigma_bounds(spark, d):
+    s = B.read(spark, d, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("mu"), F.when(F.col("p_brand") == "Brand#1", 0.0).otherwise(F.stddev_pop("p_retailprice")).alias("sigma"))
+    x = B.read(spark, d, "part").join(s, "p_brand").withColumns({"lo": F.when(F.col("p_size") < 5, -float("inf")).otherwise(F.col("p_retailprice") - F.col("p_size")), "hi": F.when(F.col("p_size") > 45, float("inf")).otherwise(F.col("p_retailprice") + F.col("p_size"))})
+    lo, hi = I.sigma_bounds(F.col("lo"), F.col("hi"), F.col("mu"), F.col("sigma"))
+    return x.select("p_partkey", (lo + 0.0).alias("lo"), (hi + 0.0).alias("hi"))
+
+
+def segment_outcomes(spark, d):
+    """Entries are dear returned line items; a target is reached with a high discount."""
+    x = B.read(spark, d, "lineitem").select((F.col("l_extendedprice") / 10000).alias("value"), ((F.col("l_returnflag") == "R") & (F.col("l_extendedprice") % 25000 > 12000)).cast("int").alias("entry"), (F.col("l_discount") > 0.06).cast("int").alias("y"))
+    return I.segment_outcomes(x, EDGES)
+
+
 def five_significant_digits(spark, d):
     return B.read(spark, d, "part").select("p_partkey", I.five_digits(F.col("p_retailprice") / 7).alias("v"))
 
@@ -237,6 +276,10 @@ def search_pool_order(spark, d):
     return R.pool_order(R.one_se(_variants(spark, d)))
 
 
+def search_stage_pool(spark, d):
+    return R.stage_pool(R.one_se(_variants(spark, d)))
+
+
 def null_exceedance(spark, d):
     """Some tickers' runs stopped short of fifty permutations, some statistics are seldom reached."""
     x = B.read(spark, d, "orders").select(F.col("o_orderpriority").alias("ticker"), (F.col("o_orderkey") % 50).alias("permutation"), "o_totalprice")
@@ -346,6 +389,12 @@ def verdict_sql(keys: list[str]) -> str:
 
 _BINS = f"""bins AS (SELECT len(list_filter({EDGES}, lambda e: e::FLOAT <= (l_extendedprice / 10000)::FLOAT))::INT AS bin, count(*) AS n, sum((l_returnflag = 'R')::INT)::BIGINT AS n_entry FROM lineitem GROUP BY 1),
 stats AS (SELECT *, n_entry / n AS rate, (n_entry / n) / (sum(n_entry) OVER () / sum(n) OVER ()) AS lift FROM bins)"""
+_CELLS = f"""WITH x AS (SELECT l_linestatus AS ticker, feature, v::FLOAT::DOUBLE AS v, c FROM (
+  {" UNION ALL ".join(f"SELECT l_linestatus, '{n}' AS feature, {v} AS v, {c.replace('0D', '0').replace('9000.0', '9000.0::DOUBLE')} AS c FROM lineitem" for n, v, c in _CONTRIBUTIONS)})),
+st AS (SELECT ticker, feature, avg(v) AS mu, stddev_pop(v) AS sigma FROM x GROUP BY ALL),
+z AS (SELECT x.*, CASE WHEN sigma > 0 THEN (v - mu) / sigma ELSE 0 END AS z, sigma > 0 AND v IS NULL AS gone FROM x JOIN st USING (ticker, feature)),
+own AS (SELECT ticker, feature, CASE WHEN gone THEN 25 ELSE len([e FOR e IN range(-12, 13) IF (e / 4.0)::FLOAT <= z::FLOAT]) END::INT AS cell, count(*) AS n, avg(c) AS mean, avg(abs(c)) AS abs_mean FROM z GROUP BY ALL),
+cells AS (SELECT ticker, feature, i::INT AS cell, CASE WHEN i > 0 THEN (i - 13) / 4.0::DOUBLE END AS lo, CASE WHEN i < 25 THEN (i - 12) / 4.0::DOUBLE END AS hi, coalesce(n, 0) AS n, mean, abs_mean FROM (SELECT DISTINCT ticker, feature FROM x) CROSS JOIN range(26) r(i) LEFT JOIN (SELECT *, cell AS i FROM own) USING (ticker, feature, i))"""
 _MODE = "CASE WHEN trade_floor_met = 0 THEN 'TRAIN_OOF_FLOOR_NOT_MET' WHEN model_trades = 0 THEN 'HODL_FALLBACK_NO_MODEL_TRADES' WHEN model_trades = 1 THEN 'ML_ONE_TRADE_LOW_EVIDENCE' ELSE 'ML_MULTI_TRADE' END"
 _VARIANTS = """v AS (SELECT p_brand AS family, p_partkey AS id, floor(p_retailprice) % 97 / 1000.0 AS mean, 'rolling_mean(c,' || p_size || ')/c-1' AS formula, p_size,
   [floor(p_retailprice) % 97 / 1000.0 - 0.01, floor(p_retailprice) % 97 / 1000.0 + 0.02, floor(p_retailprice) % 97 / 1000.0 - 0.005 * (p_size % 3)] AS folds FROM part),
@@ -356,7 +405,7 @@ o AS (SELECT family, id, mean, best, best_mean, se, in_plateau, in_plateau AND r
 QUERIES = {n: globals()[n] for n in (
     "console_overview console_payoff console_basket console_overlap console_trade_buckets console_return_histogram console_result_rows console_mode_counts console_coverage console_health result_upsert feature_contributions "
     "feature_tooltips table_profile return_correlations filter_cascade sample_cascade nearest_rank_quantiles sample_digest ledger_chain ledger_latest entry_bins entry_segments split_harvest feature_quantiles trajectory_bands interval_overlap "
-    "rank_correlation fold_ranking shap_sign_flips five_significant_digits rotation_acceptance one_se_representatives search_pool_order null_exceedance wilson_interval time_blocks macro_segments block_permutation segment_permutation permutation_draw family_matrix transfer_prior"
+    "rank_correlation fold_ranking shap_sign_flips contribution_cells contribution_features sigma_bounds segment_outcomes uncorrelated_sample five_significant_digits rotation_acceptance one_se_representatives search_pool_order search_stage_pool null_exceedance wilson_interval time_blocks macro_segments block_permutation segment_permutation permutation_draw family_matrix transfer_prior"
 ).split()}
 
 ORACLES = {
@@ -419,7 +468,27 @@ ORACLES = {
     "fold_ranking": """WITH m AS (SELECT p_brand AS feature, p_partkey % 4 AS fold, avg(abs(p_retailprice - 1400)) AS m FROM part GROUP BY ALL), s AS (SELECT feature, avg(m) AS score, count(*) AS folds FROM m GROUP BY feature)
       SELECT feature, round(score, 6) AS score, folds, row_number() OVER (ORDER BY score DESC, feature)::INT AS rank FROM s""",
     "shap_sign_flips": """WITH g AS (SELECT l_linestatus AS feature, floor(l_quantity / 2) AS cell, avg(l_discount) - 0.05 AS mean, count(*) AS n FROM lineitem GROUP BY ALL),
-      f AS (SELECT feature, CASE WHEN sign(mean) * lag(sign(mean)) OVER (PARTITION BY feature ORDER BY cell) < 0 THEN 1 ELSE 0 END AS flip FROM g WHERE n >= 25) SELECT feature, sum(flip)::BIGINT AS flips, sum(flip) >= 2 AS reversal FROM f GROUP BY feature""",
+      f AS (SELECT feature, CASE WHEN sign(mean) * lag(sign(mean)) OVER (PARTITION BY feature ORDER BY cell) < 0 THEN 1 ELSE 0 END AS flip FROM g WHERE n >= 25 AND mean <> 0) SELECT feature, sum(flip)::BIGINT AS flips, sum(flip) >= 2 AS reversal FROM f GROUP BY feature""",
+    "contribution_cells": f"""{_CELLS} SELECT ticker, feature, cell, lo, hi, n, round(mean, 6) + 0.0 AS mean, round(abs_mean, 6) + 0.0 AS abs_mean, n < 25 AS thin FROM cells""",
+    "contribution_features": f"""{_CELLS}, s AS (SELECT ticker, feature, sign(round(mean, 8)) * lag(sign(round(mean, 8))) OVER (PARTITION BY ticker, feature ORDER BY cell) < 0 AS flip FROM cells WHERE n >= 25 AND round(mean, 8) <> 0),
+      f AS (SELECT ticker, feature, count(*) FILTER (flip) AS flips FROM s GROUP BY ALL), m AS (SELECT ticker, feature, avg(abs(c)) AS m, bool_or(c <> 0) AS used, avg(v) AS mu, stddev_pop(v) AS sigma FROM x GROUP BY ALL)
+      SELECT ticker, feature, row_number() OVER (PARTITION BY ticker ORDER BY m DESC, feature)::INT AS rank, round(m, 6) + 0.0 AS mean_abs, round(m / sum(m) OVER (PARTITION BY ticker), 6) + 0.0 AS share, used, round(mu, 6) + 0.0 AS mu, round(sigma, 6) + 0.0 AS sigma, coalesce(flips, 0) AS flips, coalesce(flips, 0) >= 2 AS reversal FROM m LEFT JOIN f USING (ticker, feature)""",
+    "sigma_bounds": """WITH s AS (SELECT p_brand, avg(p_retailprice) AS mu, CASE WHEN p_brand = 'Brand#1' THEN 0 ELSE stddev_pop(p_retailprice) END AS sigma FROM part GROUP BY p_brand)
+      SELECT p_partkey, CASE WHEN sigma > 0 AND p_size >= 5 THEN printf('%.4e', (p_retailprice - p_size - mu) / sigma)::DOUBLE + 0.0 END AS lo, CASE WHEN sigma > 0 AND p_size <= 45 THEN printf('%.4e', (p_retailprice + p_size - mu) / sigma)::DOUBLE + 0.0 END AS hi FROM part JOIN s USING (p_brand)""",
+    "segment_outcomes": f"""WITH {_BINS.replace("l_returnflag = 'R'", "l_returnflag = 'R' AND l_extendedprice % 25000 > 12000")}, tp AS (SELECT len(list_filter({EDGES}, lambda e: e::FLOAT <= (l_extendedprice / 10000)::FLOAT))::INT AS bin, count(*) FILTER (l_returnflag = 'R' AND l_extendedprice % 25000 > 12000 AND l_discount > 0.06) AS tp, (SELECT avg((l_discount > 0.06)::INT) FROM lineitem) AS base FROM lineitem GROUP BY 1),
+      e AS (SELECT i::INT AS bin, n, n_entry, CASE WHEN n IS NULL THEN NULL WHEN lift >= 1.25 THEN 'hot' ELSE 'cold' END AS c FROM range(0, {len(EDGES) + 1}) r(i) LEFT JOIN stats ON bin = i),
+      f AS (SELECT *, last_value(c IGNORE NULLS) OVER (ORDER BY bin) AS k FROM e), g AS (SELECT *, sum(CASE WHEN k IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (ORDER BY bin) AS run FROM (SELECT *, lag(k) OVER (ORDER BY bin) AS p FROM f WHERE k IS NOT NULL)),
+      r AS (SELECT min(bin) AS lo_bin, max(bin) AS hi_bin, min(k) AS class, sum(n)::BIGINT AS n, sum(n_entry)::BIGINT AS n_entry, coalesce(sum(tp), 0)::BIGINT AS tp_events, max(base) AS base FROM g LEFT JOIN tp USING (bin) GROUP BY run),
+      t AS (SELECT *, n_entry / n AS share, (n_entry / n) / (sum(n_entry) OVER () / sum(n) OVER ()) AS lift FROM r)
+      SELECT lo_bin, hi_bin, class, n, n_entry, printf('%.4e', share)::DOUBLE + 0.0 AS entry_share, printf('%.4e', lift)::DOUBLE + 0.0 AS entry_lift, lift >= 1.25 AND n_entry >= 10 AS candidate_region, n_entry < 10 AS low_evidence, tp_events, CASE WHEN n_entry > 0 THEN printf('%.4e', tp_events / n_entry)::DOUBLE + 0.0 END AS tp_rate, CASE WHEN n_entry > 0 THEN printf('%.4e', tp_events / n_entry / base)::DOUBLE + 0.0 END AS tp_lift FROM t WHERE n >= 20""",
+    "uncorrelated_sample": f"""WITH RECURSIVE {S.BARS_1H}, y AS (SELECT ticker || '-' || half AS ticker, ts, idx, CASE WHEN half = 'b' THEN close * 2 + idx % 3 * 0.01 ELSE close END AS close FROM bars, (SELECT unnest(['a', 'b']) AS half)),
+      r AS (SELECT ticker, ts, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY idx)) AS r FROM y),
+      c AS (SELECT a.ticker AS a, b.ticker AS b FROM r a JOIN r b ON a.ts = b.ts AND a.ticker <> b.ticker WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY ALL HAVING count(*) > 20 AND corr(a.r, b.r) > 0.95),
+      t AS (SELECT ticker, row_number() OVER (ORDER BY count(*) DESC, ticker)::INT AS place FROM y GROUP BY ticker), n AS (SELECT t.*, (SELECT list(b) FROM c WHERE a = ticker) AS near FROM t),
+      w AS (SELECT 0 AS place, NULL::VARCHAR AS ticker, []::VARCHAR[] AS taken, NULL::VARCHAR AS duplicate_of, false AS picked
+        UNION ALL SELECT place, ticker, CASE WHEN open AND clash IS NULL THEN list_append(taken, ticker) ELSE taken END, CASE WHEN open THEN clash END, open AND clash IS NULL FROM (
+          SELECT n.place, n.ticker, w.taken, len(w.taken) < 4 AS open, [x FOR x IN w.taken IF list_contains(coalesce(n.near, []), x)][1] AS clash FROM w JOIN n ON n.place = w.place + 1))
+      SELECT ticker, place, duplicate_of, picked FROM w WHERE place > 0""",
     "five_significant_digits": "SELECT p_partkey, printf('%.4e', p_retailprice / 7)::DOUBLE AS v FROM part",
     "rotation_acceptance": f"""WITH r AS (SELECT {_ROT} FROM orders),
       u AS (SELECT ticker, outer_fold, arm, CASE WHEN arm = 'flat' THEN 'feature:' || picked ELSE 'family:' || family END AS unit, count(*) AS n, sum((confirm_delta > 0)::INT)::BIGINT AS wins, median(confirm_delta) AS med, min(rotation) AS first FROM r WHERE confirm_delta IS NOT NULL GROUP BY ALL),
@@ -428,6 +497,8 @@ ORACLES = {
         max(unit) FILTER (ok AND place = 1 AND med - 0.004 > 0) AS accepted, round(coalesce(max(med) FILTER (ok AND place = 1) - 0.004, 0), 6) + 0.0 AS statistic FROM k GROUP BY ALL""",
     "one_se_representatives": f"WITH {_VARIANTS} SELECT family, id, round(mean, 6) AS mean, best, round(best_mean, 6) AS best_mean, round(se, 6) AS se, in_plateau, representative FROM o",
     "search_pool_order": f"WITH {_VARIANTS} SELECT family, id, representative, row_number() OVER (ORDER BY NOT representative, CASE WHEN representative THEN best_mean ELSE mean END DESC, id)::INT AS place FROM o",
+    "search_stage_pool": f"""WITH {_VARIANTS} SELECT family, id, 1 AS stage, row_number() OVER (ORDER BY best_mean DESC, id)::INT AS place FROM o WHERE representative
+      UNION ALL SELECT family, id, 2, row_number() OVER (PARTITION BY family ORDER BY mean DESC, id)::INT FROM o WHERE NOT representative""",
     "null_exceedance": f"""WITH x AS (SELECT o_orderpriority AS ticker, o_orderkey % 50 AS permutation, o_totalprice FROM orders),
       n AS (SELECT ticker, permutation, max(o_totalprice) AS t FROM x WHERE NOT (ticker LIKE '5%' AND permutation = 30) GROUP BY ALL), s AS (SELECT ticker, max(o_totalprice) * CASE WHEN ticker < '3' THEN 0.9 ELSE 0.999 END AS statistic FROM x GROUP BY ticker),
       {verdict_sql(["ticker"])}""",

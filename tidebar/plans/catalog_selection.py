@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidebar.operators import records
 from tidebar.operators import selection as L
-from tidebar.operators.search import acceptance
+from tidebar.operators.search import acceptance, exceedance
+from tidebar.plans.catalog_analysis import verdict_sql
 from tidebar.plans.catalog_bars import rounded
 from tidebar.sources import bars as B
 from tidebar.sources import stores
@@ -71,6 +73,24 @@ def verdict_replay(spark, d):
     return L.verdict_replay(stored, x, penalty=0.02)
 
 
+_NULL_KEYS = ["kind", "ticker", "outer_fold", "arm"]
+_NULL_UNITS = ["CASE l_suppkey % 3 WHEN 0 THEN 'a1' WHEN 1 THEN 'a2' ELSE 'b' END AS kind", "l_returnflag AS ticker", "cast(l_linenumber % 2 AS int) AS outer_fold", "CASE WHEN l_orderkey % 2 = 0 THEN 'flat' ELSE 'hierarchical' END AS arm", "cast(l_partkey % 50 AS int) AS permutation", "l_discount - l_tax - 0.02 AS v"]
+
+
+def ticker_records(spark, d):
+    """From cross-fit to the record: what it accepted, three nulls of it that ran to an end or not, and the ranking score. One ticker has no cross-fit record."""
+    rotated = stores.kept(_rotated(spark, d))
+    verdicts = acceptance(rotated, penalty=0.0, least=1)
+    accepted = verdicts.where("accepted IS NOT NULL").select("ticker", "outer_fold", "arm", "unit", "rotations", "wins", F.col("statistic").alias("median"))
+    null = B.read(spark, d, "lineitem").selectExpr(*_NULL_UNITS).where("NOT (kind = 'b' AND ticker = 'N' AND permutation = 20)").groupBy(*_NULL_KEYS, "permutation").agg((F.max("v") / 2).alias("t"))
+    observed = accepted.select("ticker", "outer_fold", "arm", F.round("median", 6).alias("statistic")).withColumn("kind", F.explode(F.array(F.lit("a1"), F.lit("a2"), F.lit("b"))))
+    nulls = exceedance(null, observed.where("NOT (kind = 'a1' AND ticker = 'R' AND arm = 'flat')"), _NULL_KEYS)
+    tickers = B.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("ticker")).agg(F.sum(F.lit(0.5)).alias("seconds")).unionByName(spark.createDataFrame([("Z", None)], "ticker string, seconds double"))
+    x = records.ticker_records(tickers, accepted, nulls, rotated, 45)
+    p = F.array_join(F.transform("max_null_p", lambda u: F.concat_ws(" ", u["unit"], u["arm"], u["outer_fold"].cast("string"), F.coalesce(F.format_string("%.4f", u["p"]), F.lit("-")))), "; ")
+    return rounded(x.withColumn("max_null_p", p).withColumn("selected", F.array_join("selected", ", ")), ["confirmation_win_rate", "outer_delta", "optimism", "j"])
+
+
 def _arms(grid):
     """core is configuration 0, best_single the best of the odd ones in the first inner fold, greedy the ticker's busiest one; two arms may share one."""
     folds = grid.select("ticker", "outer_fold").distinct()
@@ -140,6 +160,22 @@ ORACLES = {
     "crossfit_acceptance": f"{_ROTATED}, {_accept_sql('acc', 0.004, 2)} SELECT * FROM acc",
     "verdict_replay": f"""{_ROTATED}, {_accept_sql("old", 0.0, 1)}, {_accept_sql("new", 0.02, 2)} SELECT ticker, outer_fold, arm, new.unit, old.accepted IS NOT NULL AS accepted_before, new.accepted IS NOT NULL AS accepted_after, (old.accepted IS NOT NULL) <> (new.accepted IS NOT NULL) AS changed
       FROM old FULL JOIN new USING (ticker, outer_fold, arm)""",
+    "ticker_records": f"""{_ROTATED}, {_accept_sql("acc", 0.0, 1)}, ac AS (SELECT ticker, outer_fold, arm, unit, round(wins * 1000 / rotations)::BIGINT AS wr, round(statistic, 6) AS delta FROM acc WHERE accepted IS NOT NULL),
+n AS (SELECT kind, ticker, outer_fold, arm, permutation, max(v) / 2 AS t FROM (SELECT {", ".join(_NULL_UNITS)} FROM lineitem) WHERE NOT (kind = 'b' AND ticker = 'N' AND permutation = 20) GROUP BY ALL),
+s AS (SELECT kind, ticker, outer_fold, arm, delta AS statistic FROM ac, (SELECT unnest(['a1', 'a2', 'b']) AS kind) WHERE NOT (kind = 'a1' AND ticker = 'R' AND arm = 'flat')),
+vd AS ({"WITH " + verdict_sql(_NULL_KEYS)}),
+wd AS (SELECT ticker, outer_fold, arm, max(verdict) FILTER (kind = 'a1') AS verdict, max(coalesce(p_mc, final_p_lower_bound)) FILTER (kind = 'a1') AS p, max(verdict) FILTER (kind = 'a2') = 'passed' AS a2, max(verdict) FILTER (kind = 'b') = 'passed' AS b FROM vd GROUP BY ALL),
+sv AS (SELECT ac.*, verdict, p, CASE WHEN verdict IS NULL THEN 'screening_only' WHEN verdict = 'passed' THEN 'accepted' ELSE 'rejected_by_null' END AS standing, a2 AND b AS stable FROM ac LEFT JOIN wd USING (ticker, outer_fold, arm)),
+op AS (SELECT r.ticker, avg(discovery_gain - confirm_delta) AS optimism FROM rot r JOIN sv ON sv.ticker = r.ticker AND sv.outer_fold = r.outer_fold AND sv.arm = r.arm AND sv.unit = CASE WHEN r.arm = 'flat' THEN 'feature:' || picked ELSE 'family:' || family END WHERE standing = 'accepted' AND confirm_delta IS NOT NULL GROUP BY r.ticker),
+g AS (SELECT ticker, count(*) FILTER (standing = 'accepted') AS a, count(*) FILTER (standing = 'rejected_by_null') AS rj, count(*) FILTER (standing = 'screening_only') AS sc, count(*) FILTER (standing = 'accepted' AND stable) AS st, min(arm) FILTER (standing = 'accepted') AS mode,
+  string_agg(DISTINCT unit, ', ' ORDER BY unit) FILTER (standing = 'accepted') AS units, count(DISTINCT unit) FILTER (standing = 'accepted') AS nu, sum(wr) FILTER (standing = 'accepted') / 1000 / nullif(count(*) FILTER (standing = 'accepted'), 0) AS win, max(delta) FILTER (standing = 'accepted') AS od,
+  string_agg(unit || ' ' || arm || ' ' || outer_fold || ' ' || coalesce(printf('%.4f', p), '-'), '; ' ORDER BY unit, arm, outer_fold) FILTER (standing = 'accepted') AS ps FROM sv GROUP BY ticker),
+tk AS (SELECT l_returnflag AS ticker, count(*) * 0.5 AS seconds FROM lineitem GROUP BY 1 UNION ALL SELECT 'Z', NULL)
+SELECT ticker, CASE WHEN seconds IS NULL THEN 'absent' WHEN st > 0 THEN 'resolved' WHEN a > 0 THEN 'resolved_conditional' ELSE 'resolved_empty' END AS status,
+  CASE WHEN seconds IS NULL THEN 'no cross-fit record' WHEN st > 0 THEN 'survived all three nulls' WHEN a > 0 THEN 'passed the primary null, not every sensitivity null' WHEN rj > 0 OR sc > 0 THEN 'no unit exceeded the procedure-level null' ELSE 'cross-fit accepted nothing' END AS stop_reason,
+  mode AS selection_mode, coalesce(units, '') AS selected, coalesce(nu, 0)::INT AS n_selected, (45 - coalesce(nu, 0))::INT AS rejected_features, round(win, 3) + 0.0 AS confirmation_win_rate, round(od, 6) + 0.0 AS outer_delta, CASE WHEN a IS NOT NULL THEN coalesce(ps, '') END AS max_null_p,
+  coalesce(a, 0) AS n_accepted, coalesce(rj, 0) AS n_rejected_by_null, coalesce(sc, 0) AS n_screening_only, CASE WHEN a > 0 THEN round(coalesce(optimism, 0), 6) + 0.0 END AS optimism, CASE WHEN a > 0 THEN round(od - coalesce(optimism, 0) - 0.5 * (1 - win) - 0.004 * nu - 1e-5 * seconds, 6) + 0.0 END AS j
+FROM tk LEFT JOIN g USING (ticker) LEFT JOIN op USING (ticker)""",
     "outer_evaluation": f"""{_cuts_sql()}, gi AS (SELECT * FROM grid WHERE fold IS NOT NULL), {_point_sql("gi", "ticker, outer_fold, config", "pt")},
 sg AS (SELECT ticker, outer_fold, arg_max(config, (round(growth, 9), config)) AS config FROM grid WHERE config % 2 = 1 AND fold = 0 AND theta = 0.2 GROUP BY ALL),
 gr AS (SELECT ticker, outer_fold, arg_max(config, (n, config)) AS config FROM (SELECT ticker, outer_fold, config, sum(trades) AS n FROM gi WHERE config > 0 AND theta = 0.2 GROUP BY ALL) GROUP BY ALL),

@@ -106,7 +106,7 @@ def kelly_replay(spark, d):
     return rounded(r.where("fate = 'entered'").select("ticker", "trade_id", "t0", "capital_after"), ["capital_after"])
 
 
-SUMMARY = ["end_capital", "gross_profit", "gross_loss", "profit_factor", "return_pct"]
+SUMMARY = ["end_capital", "gross_profit", "gross_loss", "profit_factor", "return_pct", "uncovered_total", "uncovered_max"]
 
 
 def replay_summary(spark, d):
@@ -124,6 +124,14 @@ def buy_and_hold(spark, d):
     return rounded(E.hold(hourly(spark, d)), ["end_capital", "return_pct"])
 
 
+def hold_fallback(spark, d):
+    return rounded(E.hold_summary(hourly(spark, d)), ["end_capital", "return_pct", "max_drawdown_pct"])
+
+
+def hold_marks(spark, d):
+    return rounded(E.equity(hourly(spark, d), E.hold_ledger(hourly(spark, d))).select("ticker", "event_type", "bar_index", "equity"), ["equity"])
+
+
 def _grid(spark, d):
     bars, features, events, trades = _parts(spark, d)
     x = _scored(features, trades).join(T.folds(events).where("role = 'val'").select("ticker", "t0", "fold"), ["ticker", "t0"])
@@ -217,10 +225,16 @@ QUERIES = {
     "candidate_events": candidate_events, "gated_events": gated_events, "simulated_trades": simulated_trades, "label_weights": label_weights, "training_matrix": training_matrix,
     "walk_forward_folds": walk_forward_folds, "fold_average_precision": fold_average_precision, "train_statistics": train_statistics, "pooled_statistics": pooled_statistics,
     "sequence_windows": sequence_windows, "capital_replay": capital_replay, "kelly_replay": kelly_replay, "replay_summary": replay_summary, "equity_drawdown": equity_drawdown,
-    "buy_and_hold": buy_and_hold, "operating_grid": operating_grid, "operating_point": operating_point, "quantile_cut": quantile_cut,
+    "buy_and_hold": buy_and_hold, "hold_fallback": hold_fallback, "hold_marks": hold_marks, "operating_grid": operating_grid, "operating_point": operating_point, "quantile_cut": quantile_cut,
 }
 
 _LONG = "SELECT ticker, unnest(['log_return_5', 'close_z_score_20', 'rsi_14']) AS feature, unnest([log_return_5, close_z_score_20, rsi_14]) AS v FROM core WHERE idx < 480"
+HELD = f"""WITH {S.BARS_1H}, e AS (SELECT ticker, min(idx) AS first, max(idx) AS last, arg_min(open, idx) * (1 + 2e-4) AS buy, arg_max(close, idx) * (1 - 2e-4) AS sell FROM bars GROUP BY ticker), h AS (SELECT *, 1000 / (buy * (1 + 1e-4)) AS q FROM e),
+f AS (SELECT *, 1000 + q * (sell - buy) - q * 1e-4 * (sell + buy) AS capital_after FROM h),
+pts AS (SELECT ticker, 0 AS seq, 'entry_fee_mark' AS event_type, first AS bar_index, greatest(0, 1000 - q * buy * 1e-4) AS equity, capital_after FROM f
+  UNION ALL SELECT f.ticker, idx - first + 1, 'held_close_mark', idx, greatest(0, 1000 + q * (close * (1 - 2e-4) - buy) - q * buy * 1e-4 - q * close * (1 - 2e-4) * 1e-4), capital_after FROM f JOIN bars USING (ticker)
+  UNION ALL SELECT ticker, 1000000, 'exit_fill', last, capital_after, capital_after FROM f)"""
+
 ORACLES = {
     "candidate_events": f"{BASE} SELECT ticker, t0, direction, {S.rounded(['atr_t0', 'width_tp', 'width_sl'])} FROM cand",
     "gated_events": f"{BASE} SELECT ticker, t0, direction FROM cand WHERE abs(mom) >= 0.2 * rv AND sign(macd_hist) = direction",
@@ -243,10 +257,11 @@ ORACLES = {
     "kelly_replay": f"{_chain(BASE + ', ' + EV_KELLY, 'ticker')} SELECT ticker, trade_id, t0, round(capital_after, 6) AS capital_after FROM chain",
     "replay_summary": f"""{_chain(BASE + ", " + EV, "ticker")},
       fate AS (SELECT s.ticker, s.t0, p, c.t0 IS NOT NULL AS entered, EXISTS (SELECT 1 FROM chain k WHERE k.ticker = s.ticker AND k.t0 < s.t0 AND s.t0 < k.flat_from) AND NOT halted AS ignored, halted,
-        capital_after - capital_before AS net, s.exit_idx - s.t_fill + 1 AS bars_in, market_exit_reason, trade_id, capital_after FROM (SELECT *, EXISTS (SELECT 1 FROM chain k WHERE k.ticker = z.ticker AND k.t0 < z.t0 AND k.capital_after <= 0) AS halted FROM scored z) s LEFT JOIN chain c ON c.ticker = s.ticker AND c.t0 = s.t0),
+        capital_after - capital_before AS net, s.exit_idx - s.t_fill + 1 AS bars_in, market_exit_reason, trade_id, capital_after, CASE WHEN c.t0 IS NOT NULL THEN greatest(0, -capital_before * (1 + s.net_return)) END AS lost FROM (SELECT *, EXISTS (SELECT 1 FROM chain k WHERE k.ticker = z.ticker AND k.t0 < z.t0 AND k.capital_after <= 0) AS halted FROM scored z) s LEFT JOIN chain c ON c.ticker = s.ticker AND c.t0 = s.t0),
       a AS (SELECT ticker, count(*) AS signals_total, count(*) FILTER (entered) AS entered, count(*) FILTER (ignored) AS ignored_while_open, count(*) FILTER (NOT ignored AND NOT halted AND p < {THETA}) AS threshold_rejects,
         0::BIGINT AS not_selected, 0::BIGINT AS simultaneous_tie_skip, coalesce(arg_max(capital_after, trade_id), 1000) AS end_capital, coalesce(sum(net) FILTER (net > 0), 0) AS gross_profit, coalesce(-sum(net) FILTER (net < 0), 0) AS gross_loss,
-        count(*) FILTER (net > 0) AS wins, count(*) FILTER (net < 0) AS losses, coalesce(sum(bars_in) FILTER (entered), 0)::BIGINT AS exposure_bars, count(*) FILTER (entered AND market_exit_reason = 'OOS_END_FORCED_EXIT') AS forced_exits FROM fate GROUP BY ticker)
+        count(*) FILTER (net > 0) AS wins, count(*) FILTER (net < 0) AS losses, coalesce(sum(bars_in) FILTER (entered), 0)::BIGINT AS exposure_bars, count(*) FILTER (entered AND market_exit_reason = 'OOS_END_FORCED_EXIT') AS forced_exits,
+        round(coalesce(sum(lost), 0), 6) + 0.0 AS uncovered_total, round(coalesce(max(lost), 0), 6) + 0.0 AS uncovered_max, coalesce(bool_or(capital_after <= 0), false) AS capital_depleted FROM fate GROUP BY ticker)
       SELECT * REPLACE (round(end_capital, 6) AS end_capital, round(gross_profit, 6) AS gross_profit, round(gross_loss, 6) AS gross_loss), round(CASE WHEN gross_loss > 0 THEN gross_profit / gross_loss END, 6) AS profit_factor,
         round((end_capital / 1000 - 1) * 100, 6) AS return_pct, CASE WHEN entered = 0 THEN 'HODL_FALLBACK_NO_MODEL_TRADES' WHEN entered = 1 THEN 'ML_ONE_TRADE_LOW_EVIDENCE' ELSE 'ML_MULTI_TRADE' END AS result_mode FROM a""",
     "equity_drawdown": f"""{_chain(BASE + ", " + EV, "ticker")},
@@ -260,6 +275,9 @@ ORACLES = {
     "buy_and_hold": f"""WITH {S.BARS_1H}, e AS (SELECT ticker, arg_min(open, idx) * (1 + 2e-4) AS buy, arg_max(close, idx) * (1 - 2e-4) AS sell FROM bars GROUP BY ticker),
       f AS (SELECT ticker, 1000 + 1000 / (buy * (1 + 1e-4)) * (sell - buy - 1e-4 * (sell + buy)) AS end_capital FROM e)
       SELECT ticker, round(end_capital, 6) AS end_capital, round((end_capital / 1000 - 1) * 100, 6) AS return_pct FROM f""",
+    "hold_fallback": f"""{HELD} SELECT ticker, round(max(capital_after), 6) AS end_capital, round((max(capital_after) / 1000 - 1) * 100, 6) + 0.0 AS return_pct, round(max((peak - equity) / greatest(1e-9, peak)) * 100, 6) + 0.0 AS max_drawdown_pct, NULL::DOUBLE AS profit_factor, 0 AS trades, 1 AS benchmark_trades,
+      100.0::DOUBLE AS time_in_market_pct, max(capital_after) <= 0 AS capital_depleted, 'HODL_FALLBACK_NO_MODEL_TRADES' AS result_mode FROM (SELECT *, greatest(1000.0, max(equity) OVER (PARTITION BY ticker ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS peak FROM pts) GROUP BY ticker""",
+    "hold_marks": f"{HELD} SELECT ticker, event_type, bar_index, round(equity, 6) + 0.0 AS equity FROM pts",
     "operating_grid": f"{_chain(BASE + ', ' + GRID, 'ticker, theta, fold')}, {ALL_KEYS} SELECT ticker, theta, fold, round(growth, 6) + 0.0 AS growth, n FROM grid",
     "operating_point": f"{_chain(BASE + ', ' + GRID, 'ticker, theta, fold')}, {ALL_KEYS}, {POINT}",
     "quantile_cut": f"""{BASE} SELECT ticker, fold, count(*) AS n, round(quantile_cont(p, 0.75), 6) AS q75, round(quantile_cont(p, 0.88), 6) AS q88, round(quantile_cont(p, 0.96), 6) AS q96
