@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from itertools import product
 
 import numpy as np
@@ -21,7 +22,40 @@ def test_stretches_come_from_anywhere_and_one_text_gives_few():
     rows = [" ".join(f"w{i}x{k}" for k in range(200)) for i in range(20)]
     firsts = {f for r in rows for seq, _ in secret_crf.examples(r) for f in seq[0] if f.startswith("p=")}
     assert len(firsts) > 10
-    assert len(secret_crf.examples("password=abcdef12 word " * 500)) <= secret_crf.PER_ROW + 1
+    # around spans, around other numbers, from anywhere, and twice for each span put elsewhere
+    assert len(secret_crf.examples("password=abcdef12 word x1y2z3 " * 500)) <= 4 * secret_crf.PER_ROW + 1
+
+
+def test_the_end_of_a_long_text_draws_as_its_beginning_does():
+    head = "plain words here " * 1000
+    one, two = (secret_crf.examples(f"{head} token = abcdef0123456789 {tail} " + "token = abcdef0123456789 and so on " * 40) for tail in ("x", "y"))
+    assert one != two and len(one) == len(two)
+    long_word = "w" * 40
+    assert secret_crf.word_features(long_word + "a") != secret_crf.word_features(long_word + "b")
+
+
+def test_secrets_that_no_pattern_matches_are_found_and_numbers_are_not(spark):
+    """Planted in the plain texts of the given table, on which the field is trained: random letters and digits of 20 to 40 characters in forms that no pattern knows."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    tagger = secret_crf.Tagger(secret_crf.train(docs))
+    rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts = [r.text for r in docs.where("length(text) > 200").orderBy("doc_id").select("text").limit(600).collect()]
+    planted = found = wrong = 0
+    for text in texts:
+        if secret_crf.base_spans(text):
+            continue
+        secret = "".join(rng.choice(letters) for _ in range(rng.randint(20, 40)))
+        words = text.split(" ")
+        words.insert(rng.randrange(len(words)), rng.choice(["the key is %s", "Bearer %s", "use %s to log in", "%s"]) % secret)
+        with_it = " ".join(words)
+        at = with_it.index(secret)
+        spans = tagger.spans(with_it)
+        planted += 1
+        found += (at, at + len(secret)) in spans
+        wrong += sum(not (a < at + len(secret) and b > at) for a, b in spans)
+    assert planted > 300 and found >= 0.85 * planted and wrong <= 0.01 * planted
+    plain = "on 2024-05-17 at 12:30:11 from 152.143.123.131 call +1 (555) 010-9999 card 4111 1111 1111 1111 v1.2.3 of 10.0.0.1:8080 see http://example.org/a/b/c123 mail a.b99@c-d.org order 12345678901234567890 size 1,234,567 or 3.14159265"
+    assert tagger.spans(plain) == []
 
 
 def test_length_alone_is_no_code():

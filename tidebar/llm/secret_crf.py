@@ -6,10 +6,10 @@ its spans that no base span touches are added.
 
 It is trained here, by stochastic gradient on the exact likelihood (forward-backward), on a bounded sample:
 half of TRAINING_ROWS from the rows in which a pattern may match and half from the others, by the smallest hash
-of id and text, whose base spans are the labels. Of each row it takes at most PER_ROW stretches around spans and
-one from anywhere, of all rows at most TRAINING_ROWS of either kind, all by hash. Neighbouring
-words are features of the training, the secret's own text is not, only its shape; so it also marks a
-token that looks and stands like a secret where no pattern matches.
+of id and text, whose base spans are the labels. Of each row it takes at most PER_ROW stretches around spans, as many around other tokens with
+digits (numbers, addresses and dates are what a secret's shape must be told from) and one from anywhere, of all rows at most TRAINING_ROWS of either kind, all by hash. Neighbouring
+words are features of the training, the secret's own text is not, only its shape; and each secret drawn is learned again in the midst of other text, by parts of its shape. So the field also marks a
+token that looks like a secret where no pattern matches.
 
 Decoding is exact and whole-text, yet cheap: a token outside the training's words has only its shape's weights,
 which are summed once for each different shape, and a token whose "outside" leads by more than all transitions and its successor's "inside" could win back is
@@ -66,15 +66,19 @@ def shape(token: str) -> str:
 
 
 def shape_features(token: str) -> tuple[list[str], list[str], list[str]]:
-    """What a token's shape says of itself, of the next token, and of the one before."""
+    """What a token's shape says of itself, of the next token, and of the one before.
+
+    Beside the whole shape there are its parts, in which capitals count as other letters do, so that a shape which the training lacks is judged by what it has in common with others.
+    """
     s = shape(token)
     odd = sum(c.isdigit() for c in token) * 4 >= len(token) >= 8
-    return [f"s={s}", f"odd={odd}"], [f"ps={s}"], [f"ns={s}"]
+    kinds = ("a" if any(c.isalpha() for c in token) else "") + ("0" if any(c.isdigit() for c in token) else "") + ("_" if any(not c.isalnum() for c in token) else "")
+    return [f"s={s}", *(["odd"] if odd else []), f"mix={kinds}{s[-1]}", f"size={kinds}{s[-2]}"], [f"ps={s}"], [f"ns={s}"]
 
 
 def word_features(token: str) -> tuple[list[str], list[str], list[str]]:
     """What a word says of its neighbours; of itself it says nothing."""
-    w = token.lower()[:24]
+    w = token.lower()
     return [], [f"p={w}"], [f"n={w}"]
 
 
@@ -150,7 +154,11 @@ def bounded(sequences: list, limit: int) -> list:
 
 
 def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
-    """Sequences for training: around base spans, and as long a stretch from anywhere, both drawn by hash."""
+    """Sequences for training: around base spans, around other tokens that have digits, and as long a stretch from anywhere, all drawn by hash.
+
+    Each secret drawn comes twice more, put into the stretch from anywhere, so that its shape must tell where nothing around it does: once without its
+    whole shape, once without its size too, so that the parts must tell where the whole was never seen.
+    """
     spans = base_spans(text)
     # the secret value itself, without the key before it
     values = [(k, m.start(2), m.end(2)) for k, m in (("assign", m) for m in ASSIGN.finditer(text)) if len(m.group(2)) >= LEAST_VALUE] + [s for s in spans if s[0] != "assign"]
@@ -161,22 +169,28 @@ def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
     tags = _spans_to_tags(tokens, values)
     kind = file_kind(text)
     marked = [i for i, t in enumerate(tags) if t != OUTSIDE]
-    seed = text.encode("utf-8", "surrogatepass")
-    drawn = sorted(sorted(marked[::NEAR], key=lambda i: _hash(b"%d " % i + seed[:4096]))[:PER_ROW])
-    windows = [(max(0, i - NEAR), min(len(words), i + NEAR + 1)) for i in drawn]
-    at = _hash(seed) % max(1, len(words) - 2 * NEAR + 1)
+    seed = _hash(text.encode("utf-8", "surrogatepass"))
+    some = lambda places: sorted(sorted(places, key=lambda i: _hash(b"%d %d" % (i, seed)))[:PER_ROW])
+    numbers = [i for i, w in enumerate(words) if tags[i] == OUTSIDE and len(w) > 3 and any(c.isdigit() for c in w)]
+    windows = [(max(0, i - NEAR), min(len(words), i + NEAR + 1)) for i in some(marked[::NEAR]) + some(numbers)]
+    at = seed % max(1, len(words) - 2 * NEAR + 1)
     windows.append((at, min(len(words), at + 2 * NEAR)))
+    stretches = [(words[max(0, a - 1) : b + 1], tags[a:b], 1 if a else 0, ()) for a, b in windows]
+    if all(t == OUTSIDE for t in tags[at : at + 2 * NEAR]):
+        held, middle = words[at : at + 2 * NEAR], min(NEAR, len(words) - at)
+        moved = [i for i in some(marked[::NEAR]) if tags[i] == BEGIN]
+        stretches += [([*held[:middle], words[i], *held[middle:]], [OUTSIDE] * middle + [BEGIN] + [OUTSIDE] * (len(held) - middle), 0, without) for i in moved for without in (("s=",), ("s=", "size="))]
     out = []
-    for a, b in windows:
-        feats = [token_features(w) for w in words[max(0, a - 1) : b + 1]]
-        shift = 1 if a else 0
+    for held, own, shift, without in stretches:
+        feats = [token_features(w) for w in held]
         seq = []
-        for i in range(b - a):
+        for i in range(len(own)):
             at = i + shift
             before = feats[at - 1][1] if at else []
             after = feats[at + 1][2] if at + 1 < len(feats) else []
-            seq.append(feats[at][0] + before + after + [kind])
-        out.append((seq, tags[a:b]))
+            itself = [x for x in feats[at][0] if own[i] == OUTSIDE or not x.startswith(without)] if without else feats[at][0]
+            seq.append(itself + before + after + [kind])
+        out.append((seq, own))
     return out
 
 
@@ -232,7 +246,7 @@ class _Rows(dict):
         return self.used - 1
 
     def __missing__(self, token: str) -> int:
-        if token.lower()[:24] in self.words:
+        if token.lower() in self.words:
             i = self._add(token_features(token))
         else:
             plain = token.translate(_CLASSES)

@@ -15,9 +15,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import stored, text_of
 
 TRAINING_ROWS = 20_000
-ENTRIES, EXCEPTIONS = 2_000, 2_000
 #: Word beginnings of these lengths may become entries.
 BEGINNINGS = (4, 5, 6)
 LEAST_ROWS, LEAST_WEIGHT = 3, 2.0
@@ -104,7 +105,11 @@ class Lexicon:
                     taken.append((begin, end))
                 elif w > found.get(begin, 0.0):
                     found[begin] = w
-        weight = sum(w for b, w in found.items() if not any(x <= b < y for x, y in taken))
+        # how far the exception phrases reach that begin at or before a place
+        taken.sort()
+        begins, reach = [x for x, _ in taken], list(accumulate((y for _, y in taken), max))
+        free = lambda b: not (k := bisect_right(begins, b)) or reach[k - 1] <= b
+        weight = sum(w for b, w in sorted(found.items()) if free(b))
         return weight, text.count(" ") - 1
 
     @staticmethod
@@ -172,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, id_col
     odds = F.ln((F.col("toxic") + 0.5) / (toxic + 1)) - F.ln((F.col("clean") + 0.5) / (clean + 1))
     sure = odds > 2 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     telling = _counted(rows, terms).where((F.col("toxic") >= LEAST_ROWS) & (odds >= LEAST_WEIGHT) & sure).select("term", odds.alias("w"), "toxic")
-    out.weights = {r.term: r.w for r in telling.orderBy(F.desc(F.col("w") * F.col("toxic")), "term").limit(ENTRIES).collect()}
+    out.weights = {r.term: r.w for r in telling.orderBy("term").collect()}  # at most the words and beginnings of the toxic ones of `limit` rows
 
     words = frozenset(t.strip() for t in out.weights if t.endswith(" "))
 
@@ -182,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, id_col
 
     if words:
         clearing = _counted(rows, phrases).where((F.col("clean") >= LEAST_ROWS) & (odds <= 0))
-        out.exceptions = {r.term for r in clearing.orderBy(F.desc(F.greatest("toxic", "clean")), "term").limit(EXCEPTIONS).collect()}
+        out.exceptions = {r.term for r in clearing.select("term").collect()}  # at most the phrases of `limit` rows that hold an entry
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = out.automaton()
