@@ -92,17 +92,27 @@ def market(bars: DataFrame) -> DataFrame:
     return x.select("ticker", "idx", back("ref", 1).alias("xas_mkt_lead_ret_1"), (full(F.sum, "r", 20) - full(F.sum, "ref", 20)).alias("xas_rs_mkt_20"))
 
 
-def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, key: str = "ticker") -> DataFrame:
-    """left with the struct `context` of the latest right row at or before its time, exact matches included.
+def asof_many(left: DataFrame, rights: dict[str, DataFrame], left_time: str, right_time: str, key: str = "ticker") -> DataFrame:
+    """left with a struct for each of rights, by its name: the latest row of it at or before left's time, exact matches included.
 
-    Both sides are sorted together once; right rows come first at equal times and the whole row is carried, so
+    All sides are sorted together once; right rows come first at equal times and the whole row is carried, so
     a null inside the latest row stays null.
     """
-    r = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*right.columns).alias("_row"), *[F.lit(None).cast(left.schema[c].dataType).alias(f"_l_{c}") for c in left.columns])
-    x = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"), *[F.col(c).alias(f"_l_{c}") for c in left.columns])
+    kinds = {name: r.select(F.struct(*r.columns).alias("_row")).schema["_row"].dataType for name, r in rights.items()}
+    own = {c: left.schema[c].dataType for c in left.columns}
+    none = lambda kind: F.lit(None).cast(kind)
+    both = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), *[none(k).alias(f"_r_{n}") for n, k in kinds.items()], *[F.col(c).alias(f"_l_{c}") for c in left.columns])
+    for name, r in rights.items():
+        rows = [(F.struct(*r.columns) if n == name else none(k)).alias(f"_r_{n}") for n, k in kinds.items()]
+        both = both.unionAll(r.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), *rows, *[none(t).alias(f"_l_{c}") for c, t in own.items()]))
     w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = x.unionByName(r).withColumn("context", F.last("_row", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select(*[F.col(f"_l_{c}").alias(c) for c in left.columns], "context")
+    both = both.withColumns({n: F.last(f"_r_{n}", ignorenulls=True).over(w) for n in kinds}).where("_side = 1")
+    return both.select(*[F.col(f"_l_{c}").alias(c) for c in left.columns], *kinds)
+
+
+def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, key: str = "ticker") -> DataFrame:
+    """left with the struct `context` of the latest right row at or before its time, exact matches included."""
+    return asof_many(left, {"context": right}, left_time, right_time, key)
 
 
 def _nan_mean(*values: Column) -> Column:
@@ -121,10 +131,9 @@ def projected(hourly: DataFrame, contexts: dict[str, DataFrame]) -> DataFrame:
     Columns are named <feature>_<context>; available_at_<context> says since when that bar was known.
     """
     x = hourly.withColumn("decision_ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
-    for suffix, context in contexts.items():
-        x = asof(x, context.select("ticker", "available_at", *CORE), "decision_ts", "available_at")
-        x = x.withColumns({f"{c}_{suffix}": F.col(f"context.{c}") for c in ["available_at", *CORE]}).drop("context")
-    return x.drop("decision_ts")
+    x = asof_many(x, {f"_at_{k}": c.select("ticker", "available_at", *CORE) for k, c in contexts.items()}, "decision_ts", "available_at")
+    known = {f"{c}_{k}": F.col(f"_at_{k}.{c}") for k in contexts for c in ["available_at", *CORE]}
+    return x.withColumns(known).drop("decision_ts", *[f"_at_{k}" for k in contexts])
 
 
 def multi_timeframe(x: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebar.operators import features as X
 from tidebar.plans import sql as S
 from tidebar.sources import bars as B
+from tidebar.sources import stores
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +133,8 @@ MULTI = ["momentum_alignment_multi", "rsi_spread_1h_1d", "volatility_ratio_1h_1d
 
 
 def multi_timeframe(spark, d):
-    b = hourly(spark, d)
-    day = B.daily(b)
+    b = stores.kept(hourly(spark, d))
+    day = stores.kept(B.daily(b))
     series = {"1d": day.withColumn("ts", F.col("session").cast("timestamp")), "1w": B.weekly(day).withColumn("ts", F.col("available_at"))}
     contexts = {k: X.core(B.indexed(x.select("ticker", "ts", "open", "high", "low", "close", "volume", "available_at"))).join(x.select("ticker", "ts", "available_at"), ["ticker", "ts"]) for k, x in series.items()}
     return rounded(X.multi_timeframe(X.projected(X.core(b), contexts)), PROJECTED + MULTI)
