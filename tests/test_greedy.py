@@ -92,6 +92,32 @@ def test_selection_equals_refitting(spark, gates):
     assert want["A"][0] and (gates.feature_gain == 0 or got["C"].stop_reason == "no_candidate_passed_marginal_gates")
 
 
+def test_the_register_equals_refitting(spark):
+    x, y = table(5)
+    t = np.arange(len(y))
+
+    def score(names):
+        out = []
+        for _, a, b, lo, hi in FOLDS:
+            tr, te = (t >= a) & (t < b), (t >= lo) & (t < hi)
+            design = lambda m: np.column_stack([np.ones(m.sum()), *(x[n][m] for n in names)])
+            w = np.linalg.lstsq(design(tr), y[tr], rcond=None)[0]
+            out.append(1 - ((y[te] - design(te) @ w) ** 2).sum() / ((y[te] - y[te].mean()) ** 2).sum())
+        return np.array(out)
+
+    frame = spark.createDataFrame([("A", i, *(float(v[i]) for v in x.values()), float(y[i])) for i in range(len(y))], "ticker string, t0 int, " + ", ".join(f"{n} double" for n in x) + ", y double")
+    folds = spark.createDataFrame([("A", f, role, lo, hi) for f, a, b, c, d in FOLDS for role, lo, hi in (("train", a, b), ("val", c, d))], "ticker string, fold int, role string, lo int, hi int")
+    got = {(r.kind, r.unit): r for r in greedy.utility_register(frame, ["core"], spark.createDataFrame(CANDIDATES, "id int, feature string, family string, formula string"), folds, ridge=0.0).collect()}
+    base = score(["core"])
+    want = {("core", "core"): []} | {("single", str(i)): [n] for i, n, _, _ in CANDIDATES} | {("family", f): [n for _, n, g, _ in CANDIDATES if g == f] for f in "abn"}
+    for unit, names in want.items():
+        own = score(["core", *names])
+        assert got[unit].gain == pytest.approx((own - base).mean(), abs=1e-8) and got[unit].fold_share == (own > base).mean()
+    best = max((i for i, _, f, _ in CANDIDATES if f == "a"), key=lambda i: got["single", str(i)].gain)
+    assert got["family", "a"].best_member == best and got["family", "a"].best_member_gain == got["single", str(best)].gain
+    assert got["greedy", "greedy"].members == brute(x, y, Gates())[0] and len(got) == 11
+
+
 def test_thin_and_flat_tickers(spark):
     candidates = spark.createDataFrame([(1, "x", "f", "c")], "id int, feature string, family string, formula string")
     folds = spark.createDataFrame([(k, 0, role, lo, hi) for k in "AB" for role, lo, hi in (("train", 0, 20), ("val", 20, 24))], "ticker string, fold int, role string, lo int, hi int")

@@ -32,7 +32,7 @@ def test_scores(spark, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert OTHERS == ["boosted_scores", "class_balance", "family_first_search", "logistic_scores"]
+    assert OTHERS == ["boosted_scores", "class_balance", "family_first_search", "logistic_scores", "utility_register"]
 
 
 def test_entry(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,29 @@ def contributions(rows: DataFrame) -> DataFrame:
 
 def tooltips(features: DataFrame) -> DataFrame:
     return features.groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "name"))), lambda s: F.concat_ws(":", s["feature_id"].cast("string"), s["name"])), ",").alias("members"), F.count(F.lit(1)).alias("n"))
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by a stated order, null last; other columns break ties."""
+    rest = [F.col(c).asc_nulls_last() for c in [*order, *[c for c in rows.columns if c not in keys and c not in order]]]
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest))).where("_place = 1").drop("_place")
+
+
+def integrity(checks: DataFrame) -> DataFrame:
+    """check_name, status, place, passed, total: the checks in order of their names, each with how many of all passed. One row for each check."""
+    all_ = Window.partitionBy()
+    return checks.select("check_name", "status", F.row_number().over(Window.orderBy("check_name")).alias("place"), F.sum((F.col("status") == "PASS").cast("int")).over(all_).alias("passed"), F.count(F.lit(1)).over(all_).alias("total"))
+
+
+def drawn_basket(tickers: DataFrame, seed: int, least: int = 5, most: int = 15) -> DataFrame:
+    """A basket of least to most tickers drawn by a hash of the seed, which also draws their number; all of them if there are fewer."""
+    n = least + int(hashlib.md5(str(seed).encode()).hexdigest()[:8], 16) % (most - least + 1)
+    key = F.md5(F.concat_ws("-", F.lit(str(seed)), "ticker"))
+    return tickers.select("ticker").distinct().orderBy(key, "ticker").limit(n)
+
+
+def ledger_head(ledger: DataFrame, keys: list[str], most: int = 50) -> DataFrame:
+    """The first trades of each key's ledger, as a report prints them, and how many more there are."""
+    by = Window.partitionBy(*keys)
+    x = ledger.withColumns({"place": F.row_number().over(by.orderBy("trade_id")), "n": F.count(F.lit(1)).over(by)})
+    return x.where(F.col("place") <= most).withColumn("more", F.greatest(F.lit(0), F.col("n") - most)).drop("n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,6 +130,32 @@ def walk(scores: Scores, core: list[int], candidates: list[dict], gates: Gates)
     return found | {"selected": sorted(state["taken"]) if applied else [], "best": best, "gain": best - base_mean if applied else 0.0, "families": accepted, "stage": "auto_selected" if applied else "core_only", "stop_reason": stop}
 
 
+def ladder(scores: Scores, core: list[int], candidates: list[dict], gates: Gates) -> list[dict]:
+    """One ticker's register: the core, every candidate alone, every family whole, and what the search takes, each with its gain over the core and its share of folds won."""
+    base = scores.of(core)
+    base_mean = _mean(base)
+    if base_mean is None:
+        return []
+
+    def row(kind: str, name: str, members: list[dict]) -> dict:
+        folds = scores.of([*core, *(c["column"] for c in members)])
+        mean = _mean(folds)
+        gain = None if mean is None else mean - base_mean
+        share = _won(base, folds)
+        return {"kind": kind, "unit": name, "members": [c["id"] for c in members], "gain": gain, "fold_share": share, "passes": gain is not None and gain >= gates.feature_gain and share >= gates.fold_share}
+
+    singles = [row("single", str(c["id"]), [c]) for c in candidates]
+    gain = {r["members"][0]: r["gain"] for r in singles}
+    families = []
+    for name in sorted({c["family"] for c in candidates}):
+        members = [c for c in candidates if c["family"] == name]
+        told = [c["id"] for c in members if gain[c["id"]] is not None]
+        best = min(told, key=lambda i: (-gain[i], i)) if told else None
+        families.append(row("family", name, members) | {"best_member": best, "best_member_gain": gain.get(best)})
+    taken = walk(scores, core, candidates, gates)["selected"]
+    return [row("core", "core", []), *singles, *families, row("greedy", "greedy", [c for c in candidates if c["id"] in taken])]
+
+
 def family_first(rows: DataFrame, core: list[str], candidates: DataFrame, folds: DataFrame, target: str = "y", gates: Gates = Gates(), ridge: float = 1e-6) -> DataFrame:
     """ticker, selected, base, best, gain, families, stage, stop_reason: the features that a ticker's target needs beside the core.
 
@@ -139,6 +165,21 @@ def family_first(rows: DataFrame, core: list[str], candidates: DataFrame, folds:
     rows again: products of all columns are summed once for each stretch between two borders of folds, in one pass, and a subset's fit and error on any fold are read off
     sums of them. Rows with a missing value are left out; a ticker without rows or folds has none.
     """
+    kind = {"selected": "array<long>", "base": "double", "best": "double", "gain": "double", "families": "array<string>", "stage": "string", "stop_reason": "string"}
+    return _by_ticker(rows, core, candidates, folds, target, ridge, lambda *x: [walk(*x, gates)], kind)
+
+
+def utility_register(rows: DataFrame, core: list[str], candidates: DataFrame, folds: DataFrame, target: str = "y", gates: Gates = Gates(), ridge: float = 1e-6) -> DataFrame:
+    """ticker, kind (core, single, family, greedy), unit, members, gain, fold_share, passes, best_member, best_member_gain: what each candidate, each family as a whole and the searched subset add to the core. Inputs as for family_first(...); a ticker whose core cannot be scored has no rows."""
+    kind = {"kind": "string", "unit": "string", "members": "array<long>", "gain": "double", "fold_share": "double", "passes": "boolean", "best_member": "long", "best_member_gain": "double"}
+    return _by_ticker(rows, core, candidates, folds, target, ridge, lambda *x: ladder(*x, gates), kind)
+
+
+_ARROW = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+
+
+def _by_ticker(rows: DataFrame, core: list[str], candidates: DataFrame, folds: DataFrame, target: str, ridge: float, report: Callable[[Scores, list[int], list[dict]], list[dict]], kind: dict[str, str]) -> DataFrame:
+    """ticker and the report's columns: products summed by stretch, then one small search for each ticker."""
     listed = sorted((r.asDict() for r in candidates.select("id", "feature", "family", complexity(F.col("formula")).alias("simplicity")).collect()), key=lambda c: c["id"])
     names = [*core, *[c["feature"] for c in listed]]
     m = len(names) + 2
@@ -170,8 +211,9 @@ def family_first(rows: DataFrame, core: list[str], candidates: DataFrame, folds:
 
     def search(key: tuple, sums: pa.Table, splits: pa.Table) -> pa.Table:
         """One ticker: as many products as stretches and tasks, and its folds."""
+        types = {"ticker": "string"} | kind
         if not sums.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in kind.items()})
+            return pa.table({n: pa.array([], _ARROW[t]) for n, t in types.items()})
         edges = sorted({*splits.column("lo").to_pylist(), *splits.column("hi").to_pylist()})
         parts = np.zeros((len(edges) + 1, m, m))
         np.add.at(parts, sums.column("part").to_numpy(), np.array(sums.column("s").to_pylist()).reshape(-1, m, m))
@@ -180,14 +222,12 @@ def family_first(rows: DataFrame, core: list[str], candidates: DataFrame, folds:
             between = parts[edges.index(r["lo"]) + 1 : edges.index(r["hi"]) + 1].sum(axis=0)
             roles[r["fold"]][r["role"]] = roles[r["fold"]].get(r["role"], 0.0) + between
         both = [r for _, r in sorted(roles.items()) if len(r) == 2]
-        out = walk(Scores([r["train"] for r in both], [r["val"] for r in both], ridge), list(range(1, len(core) + 1)), known, gates)
-        return pa.table({n: pa.array([key[0].as_py() if n == "ticker" else out.get(n)], t) for n, t in kind.items()})
+        out = report(Scores([r["train"] for r in both], [r["val"] for r in both], ridge), list(range(1, len(core) + 1)), known)
+        return pa.table({n: pa.array([key[0].as_py() if n == "ticker" else o.get(n) for o in out], _ARROW[t]) for n, t in types.items()})
 
-    kind = {"ticker": pa.string(), "selected": pa.list_(pa.int64()), "base": pa.float64(), "best": pa.float64(), "gain": pa.float64(), "families": pa.list_(pa.string()), "stage": pa.string(), "stop_reason": pa.string()}
     sums = x.mapInArrow(gather, "ticker string, part int, s array<double>")
     splits = folds.select("ticker", "fold", "role", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-    schema = "ticker string, selected array<long>, base double, best double, gain double, families array<string>, stage string, stop_reason string"
-    return sums.groupBy("ticker").cogroup(splits.groupBy("ticker")).applyInArrow(search, schema)
+    return sums.groupBy("ticker").cogroup(splits.groupBy("ticker")).applyInArrow(search, ", ".join(f"{n} {t}" for n, t in ({"ticker": "string"} | kind).items()))
 
 
 def drawn(trials: DataFrame, space: list[dict], seed: int) -> DataFrame:

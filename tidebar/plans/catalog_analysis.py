@@ -84,6 +84,25 @@ def console_health(spark, d):
     return C.health(c).select("store", "assets", "state")
 
 
+def first_result_rows(spark, d):
+    """One row for each asset, that of the model with the higher return."""
+    return rounded(C.first_rows(results(spark, d).select("ticker", "model", (-F.col("return_pct")).alias("loss_pct")), ["ticker"], ["loss_pct", "model"]), ["loss_pct"])
+
+
+def integrity_checks(spark, d):
+    c = B.read(spark, d, "customer").groupBy(F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("check_name")).agg(F.when(F.min("c_acctbal") < -900, "FAIL").otherwise("PASS").alias("status"))
+    return C.integrity(c)
+
+
+def drawn_basket(spark, d):
+    return C.drawn_basket(results(spark, d), 11)
+
+
+def ledger_head(spark, d):
+    x = B.read(spark, d, "orders").select(F.col("o_orderpriority").alias("ticker"), F.col("o_orderkey").alias("trade_id"), "o_orderstatus")
+    return C.ledger_head(x, ["ticker"])
+
+
 def result_upsert(spark, d):
     r = results(spark, d).select("ticker", "model", "return_pct")
     new = r.where("model = 'xgb'").withColumn("return_pct", F.lit(0.0)).withColumn("note", F.lit("rerun"))
@@ -403,7 +422,7 @@ b AS (SELECT s.family, s.id, s.mean, t.id AS best, t.mean AS best_mean, t.own AS
 o AS (SELECT family, id, mean, best, best_mean, se, in_plateau, in_plateau AND row_number() OVER (PARTITION BY family, in_plateau ORDER BY history, size, id) = 1 AS representative FROM b)"""
 
 QUERIES = {n: globals()[n] for n in (
-    "console_overview console_payoff console_basket console_overlap console_trade_buckets console_return_histogram console_result_rows console_mode_counts console_coverage console_health result_upsert feature_contributions "
+    "console_overview console_payoff console_basket console_overlap console_trade_buckets console_return_histogram console_result_rows console_mode_counts console_coverage console_health first_result_rows integrity_checks drawn_basket ledger_head result_upsert feature_contributions "
     "feature_tooltips table_profile return_correlations filter_cascade sample_cascade nearest_rank_quantiles sample_digest ledger_chain ledger_latest entry_bins entry_segments split_harvest feature_quantiles trajectory_bands interval_overlap "
     "rank_correlation fold_ranking shap_sign_flips contribution_cells contribution_features sigma_bounds segment_outcomes uncorrelated_sample five_significant_digits rotation_acceptance one_se_representatives search_pool_order search_stage_pool null_exceedance wilson_interval time_blocks macro_segments block_permutation segment_permutation permutation_draw family_matrix transfer_prior"
 ).split()}
@@ -428,6 +447,11 @@ ORACLES = {
       SELECT CASE WHEN x > 0 AND l > 0 THEN 'both' WHEN x > 0 THEN 'xgb_only' ELSE 'lstm_only' END AS side, count(*) AS n FROM t GROUP BY ALL""",
     "console_health": """WITH c AS (SELECT c_nationkey AS store, count(*) AS assets, count(*) FILTER (c_acctbal < -950) AS failed FROM customer GROUP BY 1)
       SELECT store, assets, CASE WHEN store % 7 = 0 THEN 'NOT FOUND' WHEN store % 5 = 1 THEN 'SCHEMA MISMATCH' WHEN failed > 0 THEN 'INTEGRITY FAILED' WHEN store % 4 = 2 OR store % 6 = 5 THEN 'PARTIAL' ELSE 'OK' END AS state FROM c""",
+    "first_result_rows": f"WITH {RESULTS} SELECT ticker, model, round(-return_pct, 6) + 0.0 AS loss_pct FROM results QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY return_pct DESC, model) = 1",
+    "integrity_checks": """WITH c AS (SELECT 'nation-' || c_nationkey AS check_name, CASE WHEN min(c_acctbal) < -900 THEN 'FAIL' ELSE 'PASS' END AS status FROM customer GROUP BY 1)
+      SELECT check_name, status, row_number() OVER (ORDER BY check_name)::INT AS place, sum((status = 'PASS')::INT) OVER ()::BIGINT AS passed, count(*) OVER () AS total FROM c""",
+    "drawn_basket": f"WITH {RESULTS} SELECT ticker FROM (SELECT DISTINCT ticker FROM results) ORDER BY md5('11-' || ticker), ticker LIMIT (SELECT 5 + ('0x' || left(md5('11'), 8))::BIGINT % 11)",
+    "ledger_head": "SELECT o_orderpriority AS ticker, o_orderkey AS trade_id, o_orderstatus, row_number() OVER w::INT AS place, greatest(0, count(*) OVER (PARTITION BY o_orderpriority) - 50) AS more FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey) QUALIFY place <= 50",
     "result_upsert": f"""WITH {RESULTS} SELECT ticker, model, CASE WHEN model = 'xgb' AND ticker LIKE 'T1%' THEN 0.0 ELSE return_pct + 0.0 END AS return_pct, CASE WHEN model = 'xgb' AND ticker LIKE 'T1%' THEN 'rerun' END AS note FROM results""",
     "feature_contributions": """WITH g AS (SELECT p_brand AS ticker, substr(p_type, 1, 3) AS family, p_type AS feature, sum(p_retailprice) AS gain FROM part GROUP BY ALL),
       s AS (SELECT *, gain / sum(gain) OVER (PARTITION BY ticker) AS share FROM g)

@@ -17,8 +17,8 @@ CANDIDATES = [
 ]
 
 
-def family_first_search(spark, d):
-    """What the next hour's return of each kind of event needs beside two features, by walk-forward folds."""
+def _search(spark, d):
+    """The next hour's return of each kind of event, features for it, and walk-forward folds."""
     f = X.core(hourly(spark, d))
     x = f.select("ticker", F.col("idx").alias("t0"), *CORE, *[c[1] for c in CANDIDATES], F.lead("log_return_1").over(by()).alias("y"))
     ends = x.groupBy("ticker").agg(F.max("t0").alias("last"))
@@ -27,8 +27,15 @@ def family_first_search(spark, d):
     cut = ends.withColumn("fold", fold)
     train = cut.select("ticker", "fold", F.lit("train").alias("role"), F.lit(0).alias("lo"), F.greatest(F.lit(1), edge(F.col("fold")) - 5).alias("hi"))
     val = cut.select("ticker", "fold", F.lit("val").alias("role"), edge(F.col("fold")).alias("lo"), (edge(F.col("fold") + 1) + 1).alias("hi"))
-    out = Y.family_first(x, CORE, spark.createDataFrame(CANDIDATES, "id int, feature string, family string, formula string"), train.unionByName(val))
-    return rounded(out, ["base", "best", "gain"])
+    return x, CORE, spark.createDataFrame(CANDIDATES, "id int, feature string, family string, formula string"), train.unionByName(val)
+
+
+def family_first_search(spark, d):
+    return rounded(Y.family_first(*_search(spark, d)), ["base", "best", "gain"])
+
+
+def utility_register(spark, d):
+    return rounded(Y.utility_register(*_search(spark, d)), ["gain", "fold_share", "best_member_gain"])
 
 
 SPACE = [{"name": "depth", "low": 2, "high": 8, "whole": True}, {"name": "rate", "low": 0.01, "high": 0.3, "log": True}, {"name": "subsample", "low": 0.5, "high": 1.0}, {"name": "min_child", "low": 0.001, "high": 0.1, "log": True, "relative": True}]
@@ -69,4 +76,4 @@ ORACLES = {
       SELECT ticker, arm, trial, state, steps_run, round(score, 6) + 0.0 AS score, coalesce(trial = arg_max(CASE WHEN state = 'complete' THEN trial END, CASE WHEN state = 'complete' THEN (score, -trial) END) OVER (PARTITION BY ticker, arm), false) AS best FROM r""",
 }
 
-QUERIES = {name: globals()[name] for name in ["family_first_search", *ORACLES]}
+QUERIES = {name: globals()[name] for name in ["family_first_search", "utility_register", *ORACLES]}
