@@ -19,7 +19,7 @@ def rows(frame: pd.DataFrame) -> list[str]:
     frame = frame[sorted(frame.columns)]
 
     def one(v) -> str:
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return "-"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
