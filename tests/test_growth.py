@@ -5,8 +5,15 @@ from __future__ import annotations
 import duckdb
 import pandas as pd
 from compare import rows
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
+from tidebar.functions import canonical as J
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stale_families_are_no_candidates_even_where_parts_have_their_keys(spark, tmp_path):
@@ -14,3 +21,9 @@ def test_stale_families_are_no_candidates_even_where_parts_have_their_keys(spark
     pd.DataFrame({"p_partkey": keys, "p_brand": "b", "p_type": "t", "p_size": [4, 4, 9, 1, 9, 5]}).astype({"p_size": "int32"}).to_parquet(tmp_path / "part.parquet")
     part = pd.read_parquet(tmp_path / "part.parquet")  # noqa: F841
     assert rows(entry.queries()["family_map_check"](spark, str(tmp_path)).toPandas()) == rows(duckdb.sql(entry.oracle_sql()["family_map_check"]).df())
+
+
+def test_a_double_is_written_out_once(spark):
+    x = spark.range(1).select((F.col("id") / 7).alias("v"))
+    text = x.select(J.canonical(F.col("v"), T.DoubleType()).alias("j"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("format_string") == 3

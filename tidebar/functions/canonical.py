@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, where c is computed once however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def _text(c: Column) -> Column:
     """A JSON string in ASCII: quotes, backslashes and what is not printable are escaped."""
     short = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
@@ -25,22 +32,33 @@ def _text(c: Column) -> Column:
 
 def _double(c: Column, whole: bool) -> Column:
     """The shortest digits that give the number again (below 2.3e-308, where doubles hold fewer, 15): positional from 1e-4 to below 1e16, else with an exponent. whole: infinities as strings, no negative zero."""
-    x = F.abs(c)
-    forms = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
-    form = F.coalesce(*[F.when(f.cast("double") == x, f) for f in forms], forms[-1])
-    digits = F.regexp_replace(F.concat(F.substring_index(F.substring_index(form, "e", 1), ".", 1), F.substring_index(F.substring_index(form, "e", 1), ".", -1)), "0+$", "")
-    e, n = F.substring_index(form, "e", -1).cast("int"), F.length(digits)
     some = lambda a, b: F.when(F.length(a) > 0, a).otherwise(b)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    large = F.concat(F.rpad(F.substring(digits, 1, 17), e + 1, "0"), F.lit(".0"))
-    split = F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), some(F.substring(digits, e + 2, F.lit(20)), F.lit("0")))
-    mantissa = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 20))).otherwise(digits)
-    power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), "0"))
-    out = F.when((e < -4) | (e >= 16), F.concat(mantissa, F.lit("e"), power)).when(e < 0, small).when(n <= e + 1, large).otherwise(split)
-    sign = F.when(c < 0, "-").otherwise("")
-    zero = F.lit("0.0") if whole else F.when(c.cast("string").startswith("-"), "-0.0").otherwise("0.0")
-    endless = F.when(c > 0, '"inf"').otherwise('"-inf"') if whole else F.when(c > 0, "Infinity").otherwise("-Infinity")
-    return F.when(F.isnan(c), "null" if whole else "NaN").when(x == float("inf"), endless).when(c == 0, zero).otherwise(F.concat(sign, out))
+
+    def shortest(x: Column) -> Column:
+        forms = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
+        return F.coalesce(*[_once(f, lambda s: F.when(s.cast("double") == x, s)) for f in forms[:2]], forms[2])
+
+    def parts(form: Column) -> Column:
+        digits = F.rtrim(F.replace(F.substring_index(form, "e", 1), F.lit("."), F.lit("")), F.lit("0"))
+        return F.struct(digits.alias("digits"), F.substring_index(form, "e", -1).cast("int").alias("e"))
+
+    def laid_out(p: Column) -> Column:
+        digits, e, n = p["digits"], p["e"], F.length(p["digits"])
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        large = F.concat(F.rpad(F.substring(digits, 1, 17), e + 1, "0"), F.lit(".0"))
+        split = F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), some(F.substring(digits, e + 2, F.lit(20)), F.lit("0")))
+        mantissa = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 20))).otherwise(digits)
+        power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), "0"))
+        return F.when((e < -4) | (e >= 16), F.concat(mantissa, F.lit("e"), power)).when(e < 0, small).when(n <= e + 1, large).otherwise(split)
+
+    def one(v: Column) -> Column:
+        out = _once(_once(shortest(F.abs(v)), parts), laid_out)
+        sign = F.when(v < 0, "-").otherwise("")
+        zero = F.lit("0.0") if whole else F.when(v.cast("string").startswith("-"), "-0.0").otherwise("0.0")
+        endless = F.when(v > 0, '"inf"').otherwise('"-inf"') if whole else F.when(v > 0, "Infinity").otherwise("-Infinity")
+        return F.when(F.isnan(v), "null" if whole else "NaN").when(F.abs(v) == float("inf"), endless).when(v == 0, zero).otherwise(F.concat(sign, out))
+
+    return _once(c, one)
 
 
 def canonical(c: Column, kind: T.DataType, item: str = ",", pair: str = ":", whole: bool = True) -> Column:
