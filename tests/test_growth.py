@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import duckdb
 import pandas as pd
+import pytest
 from compare import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 from tidebar.functions import canonical as J
+from tidebar.operators import interpret
 
 
 def plan(df) -> str:
@@ -27,3 +29,11 @@ def test_a_double_is_written_out_once(spark):
     x = spark.range(1).select((F.col("id") / 7).alias("v"))
     text = x.select(J.canonical(F.col("v"), T.DoubleType()).alias("j"))._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("format_string") == 3
+
+
+def test_intervals_are_swept_in_one_ordered_pass(spark):
+    spans = [("k", "a", 0.0, 4.0), ("k", "a", 1.0, 2.0), ("k", "a", 4.0, 6.0), ("k", "b", 2.0, 3.0), ("k", "b", 2.0, 3.0), ("k", "b", 5.0, 9.0), ("k", "b", 7.0, 7.0)]
+    spans += [("apart", "a", 0.0, 1.0), ("apart", "b", 1.0, 2.0), ("one", "b", 0.0, 1.0), (None, "a", 0.0, 2.0), (None, "b", 1.0, 2.0)]
+    got = interpret.interval_jaccard(spark.createDataFrame(spans, "key string, side string, lo double, hi double"))
+    assert {r.key: r.jaccard for r in got.collect()} == {"k": pytest.approx(2 / 9), "apart": 0.0, "one": 0.0, None: 0.5}
+    assert "Join" not in plan(got) and plan(got).split("Initial Plan")[-1].count("Sort [") == 1

@@ -134,15 +134,13 @@ def spearman(pairs: DataFrame) -> DataFrame:
 
 def interval_jaccard(spans: DataFrame) -> DataFrame:
     """key, jaccard of two interval lists by measure. spans: key, side (a or b), lo, hi; overlaps within a side count once."""
-    w = Window.partitionBy("key", "side").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    x = spans.where("hi > lo").withColumn("reach", F.max("hi").over(w)).withColumn("new", (F.col("reach").isNull() | (F.col("lo") > F.col("reach"))).cast("int"))
-    x = x.withColumn("island", F.sum("new").over(Window.partitionBy("key", "side").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)))
-    merged = x.groupBy("key", "side", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    size = merged.groupBy("key").agg(F.sum(F.col("hi") - F.col("lo")).alias("total"))
-    a, b = merged.where("side = 'a'").select("key", F.col("lo").alias("la"), F.col("hi").alias("ha")), merged.where("side = 'b'").select("key", "lo", "hi")
-    both = a.join(b, "key").where("la < hi AND lo < ha").groupBy("key").agg(F.sum(F.least("ha", "hi") - F.greatest("la", "lo")).alias("common"))
-    c = F.coalesce("common", F.lit(0.0))
-    return size.join(both, "key", "left").select("key", (c / (F.col("total") - c)).alias("jaccard"))
+    step = lambda at, by: F.struct(F.col(at).alias("at"), *[F.when(F.col("side") == s, by).otherwise(0).alias(s) for s in ("a", "b")])
+    ends = spans.where("hi > lo").select("key", F.explode(F.array(step("lo", 1), step("hi", -1))).alias("end")).select("key", "end.*")
+    w = Window.partitionBy("key").orderBy("at")
+    open_ = {s: F.sum(s).over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0 for s in ("a", "b")}  # after the last of equal ends; between equal ends nothing is measured
+    x = ends.select("key", (F.lead("at").over(w) - F.col("at")).alias("width"), *[c.alias(s) for s, c in open_.items()])
+    common, total = F.sum(F.when(F.col("a") & F.col("b"), F.col("width"))), F.sum(F.when(F.col("a") | F.col("b"), F.col("width")))
+    return x.groupBy("key").agg((F.coalesce(common, F.lit(0.0)) / total).alias("jaccard"))
 
 
 def five_digits(x: Column) -> Column:
