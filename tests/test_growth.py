@@ -37,3 +37,9 @@ def test_intervals_are_swept_in_one_ordered_pass(spark):
     got = interpret.interval_jaccard(spark.createDataFrame(spans, "key string, side string, lo double, hi double"))
     assert {r.key: r.jaccard for r in got.collect()} == {"k": pytest.approx(2 / 9), "apart": 0.0, "one": 0.0, None: 0.5}
     assert "Join" not in plan(got) and plan(got).split("Initial Plan")[-1].count("Sort [") == 1
+
+
+@pytest.mark.parametrize("operator", [interpret.contribution_cells, interpret.contribution_features])
+def test_rows_of_a_feature_are_not_dealt_by_feature(spark, operator):
+    x = spark.range(100).selectExpr("string(id % 2) AS ticker", "string(id % 3) AS feature", "double(id) AS value", "double(id) AS contribution")
+    assert "BroadcastHashJoin [ticker" in plan(operator(x, ["ticker"]))

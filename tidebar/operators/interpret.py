@@ -66,10 +66,11 @@ def sign_flips(grid: DataFrame) -> DataFrame:
     return x.groupBy("feature").agg(F.coalesce(F.sum("flip"), F.lit(0)).alias("flips")).withColumn("reversal", F.col("flips") >= 2)
 
 
-def contribution_cells(rows: DataFrame, keys: list[str], low: float = -3.0, high: float = 3.0, step: float = 0.25) -> DataFrame:
+def contribution_cells(rows: DataFrame, keys: list[str], low: float = -3.0, high: float = 3.0, step: float = 0.25, digits: int = 8) -> DataFrame:
     """keys, feature, cell, lo, hi, n, mean, abs_mean, thin: contributions by how many deviations a value lies from its mean; cells of `step` and an open one at either end, empty ones too.
 
     rows: keys, feature, value, contribution. Values count as 32-bit floats; one that does not vary lies at 0, a missing one in the last cell. lo and hi are null where the cell is open.
+    Means are rounded to `digits`. One row of statistics for each feature is broadcast: joined by key, all rows of a feature would meet in one task.
     """
     edges = [low + i * step for i in range(round((high - low) / step) + 1)]
     by = [*keys, "feature"]
@@ -78,24 +79,24 @@ def contribution_cells(rows: DataFrame, keys: list[str], low: float = -3.0, high
     stats = x.groupBy(*by).agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sigma"))
     z = F.when(F.col("sigma") > 0, (F.col("v") - F.col("mu")) / F.nullif("sigma", F.lit(0.0))).otherwise(0.0)
     cell = F.when(F.col("sigma").isNull() | ((F.col("sigma") > 0) & F.col("v").isNull()), len(edges)).otherwise(bin_of(z, F.array(*[F.lit(e) for e in edges])))
-    sums = x.join(stats, by).groupBy(*by, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean"), F.avg(F.abs("c")).alias("abs_mean"))
+    sums = x.join(F.broadcast(stats), by).groupBy(*by, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean"), F.avg(F.abs("c")).alias("abs_mean"))
     every = stats.select(*by, F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).alias("cell")).join(sums, [*by, "cell"], "left")
     at = F.array(*[F.lit(e) for e in edges])
     n = F.coalesce("n", F.lit(0))
-    return every.select(*by, "cell", F.get(at, F.col("cell") - 1).alias("lo"), F.get(at, F.col("cell")).alias("hi"), n.alias("n"), F.round("mean", 8).alias("mean"), F.round("abs_mean", 8).alias("abs_mean"), (n < LEAST_CELL).alias("thin"))
+    return every.select(*by, "cell", F.get(at, F.col("cell") - 1).alias("lo"), F.get(at, F.col("cell")).alias("hi"), n.alias("n"), F.round("mean", digits).alias("mean"), F.round("abs_mean", digits).alias("abs_mean"), (n < LEAST_CELL).alias("thin"))
 
 
-def contribution_features(rows: DataFrame, keys: list[str], **axis: float) -> DataFrame:
-    """keys, feature, rank, mean_abs, share, used, mu, sigma, flips, reversal of contribution_cells(...): what each feature adds, and whether its push turns more than once."""
+def contribution_features(rows: DataFrame, keys: list[str], digits: int = 8, **axis: float) -> DataFrame:
+    """keys, feature, rank, mean_abs, share, used, mu, sigma, flips, reversal of contribution_cells(...): what each feature adds, and whether its push turns more than once. Figures are rounded to `digits`; signs are those of 8."""
     by = [*keys, "feature"]
     v = F.when(~F.isnan(F.col("value").cast("double")), F.col("value").cast("float").cast("double"))
     x = rows.groupBy(*by).agg(F.avg(F.abs("contribution")).alias("m"), F.max((F.col("contribution") != 0).cast("int")).alias("u"), F.avg(v).alias("mu"), F.stddev_pop(v).alias("sigma"))
     all_ = Window.partitionBy(*keys)
     total = F.sum("m").over(all_)
-    x = x.withColumns({"rank": F.row_number().over(all_.orderBy(F.desc("m"), "feature")), "share": F.round(F.when(total > 0, F.col("m") / F.nullif(total, F.lit(0.0))).otherwise(0.0), 8)})
+    x = x.withColumns({"rank": F.row_number().over(all_.orderBy(F.desc("m"), "feature")), "share": F.round(F.when(total > 0, F.col("m") / F.nullif(total, F.lit(0.0))).otherwise(0.0), digits)})
     flips = sign_flips(contribution_cells(rows, keys, **axis).select(F.struct(*by).alias("feature"), "cell", "mean", "n")).select("feature.*", "flips", "reversal")
     y = x.join(flips, by, "left")
-    return y.select(*by, "rank", F.round("m", 8).alias("mean_abs"), "share", (F.col("u") == 1).alias("used"), F.round("mu", 8).alias("mu"), F.round("sigma", 8).alias("sigma"), F.coalesce("flips", F.lit(0)).alias("flips"), F.coalesce("reversal", F.lit(False)).alias("reversal"))
+    return y.select(*by, "rank", F.round("m", digits).alias("mean_abs"), "share", (F.col("u") == 1).alias("used"), F.round("mu", digits).alias("mu"), F.round("sigma", digits).alias("sigma"), F.coalesce("flips", F.lit(0)).alias("flips"), F.coalesce("reversal", F.lit(False)).alias("reversal"))
 
 
 def sigma_bounds(lo: Column, hi: Column, mu: Column, sigma: Column) -> tuple[Column, Column]:
