@@ -43,3 +43,10 @@ def test_intervals_are_swept_in_one_ordered_pass(spark):
 def test_rows_of_a_feature_are_not_dealt_by_feature(spark, operator):
     x = spark.range(100).selectExpr("string(id % 2) AS ticker", "string(id % 3) AS feature", "double(id) AS value", "double(id) AS contribution")
     assert "BroadcastHashJoin [ticker" in plan(operator(x, ["ticker"]))
+
+
+@pytest.mark.parametrize("name", ["contribution_cells", "contribution_features"])
+def test_contributions_are_rounded_once(spark, tmp_path, name):
+    pd.DataFrame({"l_linestatus": "O", "l_linenumber": [1, 2], "l_extendedprice": [9000.0, 18000.0], "l_discount": 0.1, "l_tax": 0.0200085037}).astype({"l_linenumber": "int32"}).to_parquet(tmp_path / "lineitem.parquet")
+    lineitem = pd.read_parquet(tmp_path / "lineitem.parquet")  # noqa: F841
+    assert rows(entry.queries()[name](spark, str(tmp_path)).toPandas()) == rows(duckdb.sql(entry.oracle_sql()[name]).df())

@@ -236,11 +236,11 @@ _CONTRIBUTIONS = [("price", "CAST(l_extendedprice AS double)", "sin(l_extendedpr
 
 
 def contribution_cells(spark, d):
-    return rounded(I.contribution_cells(_contributions(spark, d), ["ticker"]), ["mean", "abs_mean"])
+    return rounded(I.contribution_cells(_contributions(spark, d), ["ticker"], digits=6), ["mean", "abs_mean"])
 
 
 def contribution_features(spark, d):
-    return rounded(I.contribution_features(_contributions(spark, d), ["ticker"]), ["mean_abs", "share", "mu", "sigma"])
+    return rounded(I.contribution_features(_contributions(spark, d), ["ticker"], digits=6), ["mean_abs", "share", "mu", "sigma"])
 
 
 def sigma_bounds(spark, d):
