@@ -18,7 +18,9 @@
    the number of a set's first tokens in a group's row, and the tokens that are not first bound the overlap with
    every member. Of two groups the smaller one asks. Only groups where both bounds allow a link are opened.
 5. In an opened group the set meets the members that hold a common token early enough for the pair, and is
-   compared with those whose common first tokens allow a link. So no link between groups is missed; links
+   compared with those whose common first tokens allow a link. Where a group shows one set only, the bounds
+   have decided on that pair already. Of the set's c tokens in the group's row a linked member shares some
+   number at least, so the first shared one is not among the last of the row; those do not ask. So no link between groups is missed; links
    within a group change nothing. A set with too many tokens of its own meets nobody, however large the group.
 
 Nothing but the sketch reaches the driver. Set ids are 64-bit hashes, checked against 128-bit digests; if two
@@ -34,7 +36,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import forget, stored, text_of
@@ -218,6 +220,12 @@ class _Join:
         rest = F.greatest(F.floor(na * t / 100.0 - 1e-9), F.floor(nb * t / 100.0 - 1e-9))
         return (100 + t) * (c + rest) >= t * (na + nb)
 
+    def least_common(self, na: Column, nb: Column) -> Column:
+        """The number of common first tokens below which enough() fails."""
+        t = self.percent
+        rest = F.greatest(F.floor(na * t / 100.0 - 1e-9), F.floor(nb * t / 100.0 - 1e-9))
+        return F.ceil(t * (na + nb) / (100.0 + t) - 1e-9) - rest
+
     def room(self, at: Column, n: Column) -> Column:
         """A set of m tokens links with one of n tokens only if t m is at most the room behind their first common token, in either."""
         return 100 * n.cast("long") - (100 + self.percent) * at
@@ -319,8 +327,15 @@ def _opened(join: _Join, split: DataFrame) -> DataFrame:
     low, high = F.greatest("least", F.floor(F.col("n") * t / 100.0)), F.least("most", F.ceil(F.col("n") * 100.0 / t))
     more = F.col("c") + 1  # sizes between the two differ by rounding
     may = (low <= high) & (join.enough(more, F.col("n"), low) | join.enough(more, F.col("n"), high))
-    opened = stored(bound.where(may).select("set", "other"))
-    members = rows.select("token", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("room").alias("room_b"), F.col("group").alias("other"))
-    asked = rows.join(opened, "set").select("token", "set", "n", "room", "other")
+    opened = stored(bound.where(may).select("set", "other", (F.col("c") - F.least(join.least_common(F.col("n"), low), join.least_common(F.col("n"), high)) + 2).alias("asking")))
+    # a group that shows one set: its rows of the matrix are that set's, so the bounds held for the pair itself
+    alone = rows.groupBy(F.col("group").alias("other")).agg(F.min("set").alias("b"), F.max("set").alias("last")).where("b = last").select("other", "b")
+    single = opened.join(alone, "other").select("set", "b")
+    # of c tokens in the group's row, at least so many common ones: the first of these is among the first `asking`
+    members = rows.join(alone, rows["group"] == alone["other"], "left_anti").select("token", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("room").alias("room_b"), F.col("group").alias("other"))
+    asked = rows.join(opened.join(alone, "other", "left_anti"), "set").select("token", "set", "n", "room", "other", "asking").join(matrix.select("token", "other"), ["token", "other"])
+    place = F.row_number().over(Window.partitionBy("set", "other").orderBy(F.desc("room")))
+    asked = asked.withColumn("place", place).where("place <= asking")
     pairs = asked.join(members, ["token", "other"]).where((t * F.col("n") <= F.col("room_b")) & (t * F.col("nb") <= F.col("room")))
+    pairs = pairs.select("set", "b").unionByName(single)
     return stored(pairs.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct())
