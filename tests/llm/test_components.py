@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
+from tidebar.llm import components as module
+from tidebar.llm import jaccard_join
 from tidebar.llm.components import components
 
 
@@ -20,3 +24,42 @@ def test_chains_stay_whole(spark):
     assert len(got) == at
     for ids in chains:
         assert len({got[i] for i in ids}) == 1 and got[ids[0]] in ids
+
+
+def grouped(df) -> set[frozenset]:
+    by: dict[int, set] = {}
+    for r in df.collect():
+        by.setdefault(r.root, set()).add(r.node)
+    assert all(root in nodes for root, nodes in by.items())
+    return {frozenset(nodes) for nodes in by.values()}
+
+
+@pytest.mark.parametrize("finish", [0, 10, 10_000])
+def test_edges_added_to_known_components_give_those_of_all(spark, finish):
+    rng = random.Random(finish)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)]
+    later = [(rng.randrange(200), rng.randrange(200)) for _ in range(30)]
+    table = lambda some: spark.createDataFrame(some, "a long, b long")
+    known = components(table(edges), finish=finish)
+    assert grouped(components(table(later), known, finish)) == grouped(components(table(edges + later), finish=0))
+    assert grouped(components(table([(a, a) for a, _ in later]), known, finish)) == grouped(known)
+
+
+def test_the_join_stores_few_tables_and_contracts_an_edge_once(spark, monkeypatch):
+    """Each stored table is a job of its own; 158 of them took longer than all their work."""
+    rng = random.Random(3)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], []
+    for k in range(40):
+        base = words(120)
+        for _ in range(1 + k % 4):
+            at = rng.randrange(120)
+            rows.append((len(rows), " ".join([*base[:at], *words(1), *base[at + 1 :]])))
+            want.append(k)
+    times = []
+    for m in (module, jaccard_join):
+        monkeypatch.setattr(m, "stored", lambda df, real=m.stored: times.append(1) or real(df))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    least = {k: want.index(k) for k in set(want)}
+    assert [r.component_id for r in got] == [least[k] for k in want]
+    assert len(times) <= 60
